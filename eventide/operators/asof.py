@@ -38,9 +38,9 @@ class Timeline:
     """Frames over the merged bars and probe points of one (key, session)."""
 
     def __init__(self, key: Sequence[str], session: str):
-        part = W.partitionBy(*key, session)
-        self._fwd = part.orderBy(F.col(AXIS))
-        self._rev = part.orderBy(F.col(AXIS).desc())
+        self.whole = W.partitionBy(*key, session)
+        self._fwd = self.whole.orderBy(F.col(AXIS))
+        self._rev = self.whole.orderBy(F.col(AXIS).desc())
         self.bars_only = W.partitionBy(*key, session, F.col("bar").isNull()).orderBy(AXIS)
 
     def back(self, minutes: int = 0, strict: bool = False, of: str = "bar") -> Column:
@@ -61,10 +61,6 @@ class Timeline:
         return agg.over(self._fwd.rangeBetween(2 * start, 2 * end - int(open_end)))
 
 
-def probe(events: DataFrame, ts: str) -> DataFrame:
-    return events.withColumn(AXIS, clock.axis(F.col(ts)))
-
-
 def timeline(
     bars: DataFrame,
     points: DataFrame,
@@ -77,226 +73,195 @@ def timeline(
     bar = F.struct(F.col(bar_ts).alias("ts"), *[F.col(c) for c in columns])
     rows = bars.select(*key, session, (clock.minute_no(F.col(bar_ts)) * 2).alias(AXIS), bar.alias("bar"))
     empty = F.lit(None).cast(rows.schema["bar"].dataType)
-    slots = points.select(*key, session, AXIS).distinct().withColumn("bar", empty)
+    slots = points.select(*key, session, AXIS).filter(F.col(session).isNotNull()).distinct().withColumn("bar", empty)
     return rows.unionByName(slots).repartition(*key, session)
 
 
-def attach(
-    events: DataFrame, answers: DataFrame, key: Sequence[str], session: str, how: str = "left"
-) -> DataFrame:
+def attach(events: DataFrame, answers: DataFrame, key: Sequence[str], session: str) -> DataFrame:
     """Bring per-point answers back to the events (one answer row per point).
 
     Only the event side can be skewed, which is the side an AQE skew join splits.
     """
-    return events.join(answers, [*key, session, AXIS], how).drop(AXIS)
-
-
-def measure(
-    bars: DataFrame,
-    events: DataFrame,
-    questions: Mapping[str, Column],
-    key: Sequence[str] = ("symbol",),
-    session: str = "trade_date",
-    ts: str = "ts",
-    columns: Sequence[str] = PRICES,
-) -> DataFrame:
-    """Answer frame questions (built from ``Timeline``) for every event."""
-    probed = probe(events, ts)
-    line = timeline(bars, probed, key, session, columns=columns)
-    answered = (
-        line.select(*key, session, AXIS, "bar", *[c.alias(n) for n, c in questions.items()])
-        .filter(F.col("bar").isNull())
-        .drop("bar")
-    )
-    return attach(probed, answered, key, session)
-
-
-def unpack(df: DataFrame, struct: str, names: Mapping[str, str]) -> DataFrame:
-    """Spread fields of a struct column into columns and drop the struct."""
-    return df.withColumns({out: F.col(f"{struct}.{field}") for field, out in names.items()}).drop(struct)
-
-
-def lookbacks(
-    bars: DataFrame,
-    events: DataFrame,
-    minutes: Sequence[int] = LOOKBACKS,
-    key: Sequence[str] = ("symbol",),
-    session: str = "trade_date",
-    ts: str = "ts",
-    columns: Sequence[str] = PRICES,
-    strict: bool = False,
-    volatility: bool = True,
-) -> DataFrame:
-    """Bar snapshot at the event and at every look-back offset; a missing offset is null.
-
-    ``strict`` uses bars before the event only (a bar stamped T covers the minute after T).
-    """
-    line = Timeline(key, session)
-    asked = {"__at": line.back(0, strict), **{f"__{k}": line.back(k, strict) for k in minutes}}
-    out = measure(bars, events, asked, key, session, ts, columns)
-    named = {f"{c}_at_signal": F.col(f"__at.{c}") for c in columns}
-    for k in minutes:
-        named |= {f"pre_{c}_{k}m": F.col(f"__{k}.{c}") for c in columns}
-        if volatility and {"open", "high", "low"} <= set(columns):
-            bar = F.col(f"__{k}")
-            span = F.try_divide(bar["high"] - bar["low"], bar["open"])
-            named[f"pre_volatility_{k}m"] = F.when(bar["open"] > 0, span).when(bar["open"].isNotNull(), 0.0)
-    return out.withColumns(named).drop(*asked)
-
-
-def forward_prices(
-    bars: DataFrame,
-    events: DataFrame,
-    minutes: Sequence[int] = FORWARDS,
-    tolerance: int = TOLERANCE,
-    key: Sequence[str] = ("symbol",),
-    session: str = "trade_date",
-    ts: str = "ts",
-) -> DataFrame:
-    """Close of the first bar in [T+k, T+k+tolerance]; a null close there stays null."""
-    line = Timeline(key, session)
-    asked = {f"__{k}": line.between(k, k + tolerance) for k in minutes}
-    out = measure(bars, events, asked, key, session, ts, ("close",))
-    named = {f"price_after_{k}min": F.round(F.col(f"__{k}.close"), 2) for k in minutes}
-    return out.withColumns(named).drop(*asked)
-
-
-def signal_price(back: Column, fwd: Column) -> tuple[Column, Column]:
-    """Price at signal and its fallback flag from the last and the next bar."""
-    price = F.coalesce(back["close"], fwd["close"])
-    return price, back["close"].isNull() & fwd["close"].isNotNull()
-
+    return events.join(answers, [*key, session, AXIS], "left").drop(AXIS)
 
-def price_at_signal(
-    bars: DataFrame,
-    events: DataFrame,
-    fallback: int = FALLBACK,
-    key: Sequence[str] = ("symbol",),
-    session: str = "trade_date",
-    ts: str = "ts",
-) -> DataFrame:
-    """Last close at or before T, else the first close in (T, T+fallback], flagged."""
-    line = Timeline(key, session)
-    asked = {"__back": line.back(0), "__fwd": line.between(0, fallback, after=True)}
-    out = measure(bars, events, asked, key, session, ts, ("close",))
-    price, flag = signal_price(F.col("__back"), F.col("__fwd"))
-    return out.withColumns({"price_at_signal": F.round(price, 2), "price_at_signal_is_fallback": flag}).drop(*asked)
-
-
-def price_range(
-    bars: DataFrame,
-    events: DataFrame,
-    minutes: int = max(FORWARDS),
-    key: Sequence[str] = ("symbol",),
-    session: str = "trade_date",
-    ts: str = "ts",
-) -> DataFrame:
-    """Highest high and lowest low in [T, T+minutes]."""
-    line = Timeline(key, session)
-    asked = {
-        "highest_price": F.round(line.over(F.max("bar.high"), 0, minutes), 2),
-        "lowest_price": F.round(line.over(F.min("bar.low"), 0, minutes), 2),
-    }
-    return measure(bars, events, asked, key, session, ts, ("high", "low"))
 
+class Study:
+    """Collects questions about events and answers all of them on one timeline.
 
-def reaction_window(
-    bars: DataFrame,
-    events: DataFrame,
-    minutes: int = REACTION,
-    key: Sequence[str] = ("symbol",),
-    session: str = "trade_date",
-    ts: str = "ts",
-) -> DataFrame:
-    """OHLCV and return % of [s, s+minutes), s being the first bar at or after the event.
-
-    Every bar first aggregates its own forward window; a point then takes the window of
-    the next bar.
+    Each method adds output columns and returns the study; ``run`` builds the plan: one
+    exchange of bars and points however many questions were asked.
     """
-    line = Timeline(key, session)
-    probed = probe(events, ts)
-    own = F.struct(
-        F.col("bar.open").alias("open"),
-        line.over(F.max("bar.high"), 0, minutes, open_end=True).alias("high"),
-        line.over(F.min("bar.low"), 0, minutes, open_end=True).alias("low"),
-        line.over(F.last("bar", ignorenulls=True), 0, minutes, open_end=True)["close"].alias("close"),
-        line.over(F.sum("bar.volume"), 0, minutes, open_end=True).alias("volume"),
-        F.col("bar.ts").alias("start"),
-    )
-    rows = timeline(bars, probed, key, session).withColumn("__own", own)
-    rows = rows.withColumn("__own", F.when(F.col("bar").isNotNull(), F.col("__own")))
-    answers = (
-        rows.withColumn("__w", line.ahead("__own"))
-        .filter(F.col("bar").isNull())
-        .select(*key, session, AXIS, "__w")
-    )
-    w = F.col("__w")
-    named = {f"post_{c}_{minutes}m": w[c] for c in PRICES}
-    named["post_start"] = w["start"]
-    named[f"return_{minutes}m"] = F.try_divide(w["close"] - w["open"], w["open"]) * 100
-    return attach(probed, answers, key, session).withColumns(named).drop("__w")
 
-
-def pre_event_features(
-    bars: DataFrame,
-    events: DataFrame,
-    short: int = 5,
-    long: int = 30,
-    min_bars: int = 5,
-    key: Sequence[str] = ("symbol",),
-    session: str = "trade_date",
-    ts: str = "ts",
-    point: str | None = None,
-) -> DataFrame:
-    """Momentum over the last 5 and 30 bars, volume ratio, range % and price before T.
-
-    Bars carry their running statistics, so one strictly-before as-of answers all five.
-    Fewer than ``min_bars`` bars leave every feature null; fewer than ``long`` bars make
-    the long momentum equal the short one. ``point`` names an axis column to use instead
-    of the event time (events moved to an earlier session).
-    """
-    line = Timeline(key, session)
-    probed = events.withColumn(AXIS, F.col(point)) if point else probe(events, ts)
-    run = line.bars_only.rowsBetween(W.unboundedPreceding, 0)
-    stats = F.struct(
-        F.count(F.lit(1)).over(run).alias("n"),
-        F.lag(F.col("bar.open"), short - 1).over(line.bars_only).alias("open_short"),
-        F.lag(F.col("bar.open"), long - 1).over(line.bars_only).alias("open_long"),
-        F.col("bar.close").alias("close"),
-        F.col("bar.volume").alias("volume"),
-        F.avg("bar.volume").over(run).alias("avg_volume"),
-        F.max("bar.high").over(run).alias("high"),
-        F.min("bar.low").over(run).alias("low"),
-        F.first("bar.open").over(run).alias("first_open"),
-    )
-    rows = timeline(bars, probed, key, session).withColumn("__own", stats)
-    rows = rows.withColumn("__own", F.when(F.col("bar").isNotNull(), F.col("__own")))
-    answers = (
-        rows.withColumn("__s", line.back(0, strict=True, of="__own"))
-        .filter(F.col("bar").isNull())
-        .select(*key, session, AXIS, "__s")
-    )
-    s = F.col("__s")
-
-    def move(start: Column) -> Column:
-        # A non-positive or missing open counts as no movement.
-        return F.when(start > 0, F.try_divide(s["close"] - start, start) * 100).otherwise(0.0)
-
-    enough = s["n"] >= min_bars
-    short_move = move(s["open_short"])
-    long_move = F.when(s["n"] >= long, move(s["open_long"])).otherwise(short_move)
-    ratio = F.when(s["avg_volume"] > 0, s["volume"] / s["avg_volume"]).otherwise(1.0)
-    span = F.when(
-        s["first_open"] > 0, F.try_divide(s["high"] - s["low"], s["first_open"]) * 100
-    ).otherwise(0.0)
-    named = {
-        "pre_news_momentum_5m": F.when(enough, F.round(short_move, 4)),
-        "pre_news_momentum_30m": F.when(enough, F.round(long_move, 4)),
-        "pre_news_volume_ratio": F.when(enough, F.round(ratio, 4)),
-        "intraday_volatility": F.when(enough, F.round(span, 4)),
-        "pre_news_price": F.when(enough, F.round(s["close"], 2)),
-    }
-    return attach(probed, answers, key, session).withColumns(named).drop("__s")
+    def __init__(
+        self,
+        bars: DataFrame,
+        events: DataFrame,
+        key: Sequence[str] = ("symbol",),
+        session: str = "trade_date",
+        ts: str = "ts",
+        point: str | None = None,
+    ):
+        """``point`` names a ready axis column for events that were moved to an earlier session."""
+        self.bars, self.key, self.session = bars, list(key), session
+        self.events = events.withColumn(AXIS, F.col(point) if point else clock.axis(F.col(ts)))
+        self.line = Timeline(self.key, session)
+        self._bar_columns: dict[str, None] = {}
+        self._own: dict[str, Column] = {}
+        self._asked: dict[str, Column] = {}
+        self._named: dict[str, Column] = {}
+        self._after: dict[str, Column] = {}
+
+    def _needs(self, *columns: str) -> None:
+        self._bar_columns.update(dict.fromkeys(columns))
+
+    def _ask(self, name: str, question: Column) -> Column:
+        self._asked[name] = question
+        return F.col(name)
+
+    def last_bar(self, columns: Mapping[str, str], minutes: int = 0, strict: bool = False) -> Study:
+        """Fields of the last bar at or before the event: ``{bar column: output name}``."""
+        self._needs(*[c for c in columns if c != "ts"])
+        bar = self._ask(f"__back{minutes}{'s' if strict else ''}", self.line.back(minutes, strict))
+        self._named |= {out: bar[c] for c, out in columns.items()}
+        return self
+
+    def lookbacks(
+        self,
+        minutes: Sequence[int] = LOOKBACKS,
+        columns: Sequence[str] = PRICES,
+        strict: bool = False,
+        volatility: bool = True,
+    ) -> Study:
+        """Bar snapshot at the event and at every look-back offset; a missing offset is null.
+
+        ``strict`` uses bars before the event only (a bar stamped T covers the minute after T).
+        """
+        self.last_bar({c: f"{c}_at_signal" for c in columns}, 0, strict)
+        for k in minutes:
+            self.last_bar({c: f"pre_{c}_{k}m" for c in columns}, k, strict)
+            if volatility and {"open", "high", "low"} <= set(columns):
+                o, h, lo = (F.col(f"pre_{c}_{k}m") for c in ("open", "high", "low"))
+                span = F.when(o > 0, F.try_divide(h - lo, o)).when(o.isNotNull(), 0.0)
+                self._late(f"pre_volatility_{k}m", span)
+        return self
+
+    def _late(self, name: str, column: Column) -> None:
+        self._after[name] = column
+
+    def forward_prices(self, minutes: Sequence[int] = FORWARDS, tolerance: int = TOLERANCE) -> Study:
+        """Close of the first bar in [T+k, T+k+tolerance]; a null close there stays null."""
+        self._needs("close")
+        for k in minutes:
+            bar = self._ask(f"__fwd{k}", self.line.between(k, k + tolerance))
+            self._named[f"price_after_{k}min"] = F.round(bar["close"], 2)
+        return self
+
+    def price_at_signal(self, fallback: int = FALLBACK, places: int | None = 2) -> Study:
+        """Last close at or before T, else the first close in (T, T+fallback], flagged."""
+        self._needs("close")
+        back = self._ask("__back0", self.line.back())
+        ahead = self._ask("__fallback", self.line.between(0, fallback, after=True))
+        price = F.coalesce(back["close"], ahead["close"])
+        self._named["price_at_signal"] = price if places is None else F.round(price, places)
+        self._named["price_at_signal_is_fallback"] = back["close"].isNull() & ahead["close"].isNotNull()
+        return self
+
+    def price_range(self, minutes: int = max(FORWARDS)) -> Study:
+        """Highest high and lowest low in [T, T+minutes]."""
+        self._needs("high", "low")
+        top = self._ask("__high", self.line.over(F.max("bar.high"), 0, minutes))
+        low = self._ask("__low", self.line.over(F.min("bar.low"), 0, minutes))
+        self._named |= {"highest_price": F.round(top, 2), "lowest_price": F.round(low, 2)}
+        return self
+
+    def has_session(self, out: str = "has_bars") -> Study:
+        """Whether the event's (key, session) has any bar."""
+        found = self._ask("__any", F.max(F.col("bar").isNotNull()).over(self.line.whole))
+        self._named[out] = F.coalesce(found, F.lit(False))
+        return self
+
+    def next_in_session(self, out: str) -> Study:
+        """Time of the first bar at or after the event inside its session."""
+        self._named[out] = self._ask("__ahead", self.line.ahead())["ts"]
+        return self
+
+    def reaction(self, minutes: int = REACTION) -> Study:
+        """OHLCV and return % of [s, s+minutes), s being the first bar at or after the event.
+
+        Every bar first aggregates its own forward window; a point takes the next bar's.
+        """
+        self._needs(*PRICES)
+        over, name = self.line.over, f"__react{minutes}"
+        self._own[name] = F.struct(
+            F.col("bar.open").alias("open"),
+            over(F.max("bar.high"), 0, minutes, True).alias("high"),
+            over(F.min("bar.low"), 0, minutes, True).alias("low"),
+            over(F.last("bar", ignorenulls=True), 0, minutes, True)["close"].alias("close"),
+            over(F.sum("bar.volume"), 0, minutes, True).alias("volume"),
+            F.col("bar.ts").alias("start"),
+        )
+        w = self._ask(f"{name}_w", self.line.ahead(name))
+        self._named |= {f"post_{c}_{minutes}m": w[c] for c in PRICES}
+        self._named["post_start"] = w["start"]
+        self._named[f"return_{minutes}m"] = F.try_divide(w["close"] - w["open"], w["open"]) * 100
+        return self
+
+    def pre_event(self, short: int = 5, long: int = 30, min_bars: int = 5) -> Study:
+        """Momentum over the last 5 and 30 bars, volume ratio, range % and price before T.
+
+        Bars carry their running statistics, so one strictly-before as-of answers all five.
+        Fewer than ``min_bars`` bars leave every feature null; fewer than ``long`` bars make
+        the long momentum equal the short one.
+        """
+        self._needs(*PRICES)
+        rows = self.line.bars_only
+        run = rows.rowsBetween(W.unboundedPreceding, 0)
+        self._own["__run"] = F.struct(
+            F.count(F.lit(1)).over(run).alias("n"),
+            F.lag(F.col("bar.open"), short - 1).over(rows).alias("open_short"),
+            F.lag(F.col("bar.open"), long - 1).over(rows).alias("open_long"),
+            F.col("bar.close").alias("close"),
+            F.col("bar.volume").alias("volume"),
+            F.avg("bar.volume").over(run).alias("avg_volume"),
+            F.max("bar.high").over(run).alias("high"),
+            F.min("bar.low").over(run).alias("low"),
+            F.first("bar.open").over(run).alias("first_open"),
+        )
+        s = self._ask("__stats", self.line.back(0, strict=True, of="__run"))
+
+        def move(start: Column) -> Column:
+            # A non-positive or missing open counts as no movement.
+            return F.when(start > 0, F.try_divide(s["close"] - start, start) * 100).otherwise(0.0)
+
+        span = F.try_divide(s["high"] - s["low"], s["first_open"]) * 100
+        features = {
+            "pre_news_momentum_5m": F.round(move(s["open_short"]), 4),
+            "pre_news_momentum_30m": F.round(
+                F.when(s["n"] >= long, move(s["open_long"])).otherwise(move(s["open_short"])), 4
+            ),
+            "pre_news_volume_ratio": F.round(
+                F.when(s["avg_volume"] > 0, s["volume"] / s["avg_volume"]).otherwise(1.0), 4
+            ),
+            "intraday_volatility": F.round(F.when(s["first_open"] > 0, span).otherwise(0.0), 4),
+            "pre_news_price": F.round(s["close"], 2),
+        }
+        self._named |= {n: F.when(s["n"] >= min_bars, c) for n, c in features.items()}
+        return self
+
+    def answers(self) -> DataFrame:
+        """One row per probe point with the raw answers."""
+        line = timeline(self.bars, self.events, self.key, self.session, columns=list(self._bar_columns))
+        is_bar = F.col("bar").isNotNull()
+        for name, own in self._own.items():
+            line = line.withColumn(name, own).withColumn(name, F.when(is_bar, F.col(name)))
+        asked = [c.alias(n) for n, c in self._asked.items()]
+        out = line.select(*self.key, self.session, AXIS, "bar", *asked)
+        return out.filter(F.col("bar").isNull()).drop("bar")
+
+    def run(self) -> DataFrame:
+        out = attach(self.events, self.answers(), self.key, self.session)
+        out = out.withColumns(self._named).drop(*self._asked)
+        return out.withColumns(self._after) if self._after else out
 
 
 def sessions_of(bars: DataFrame, key: Sequence[str], session: str = "trade_date", ts: str = "ts") -> DataFrame:
@@ -344,15 +309,10 @@ def next_bar(
     bar of the next session, found on the (key, session) table. No window runs over the
     whole history of a key's bars.
     """
-    line = Timeline(key, session)
     own_day = events.withColumn(session, F.to_date(ts))
-    probed = probe(own_day, ts)
-    inside = (
-        timeline(bars, probed, key, session, columns=())
-        .withColumn("__hit", line.ahead())
-        .filter(F.col("bar").isNull())
-        .select(*key, session, AXIS, F.col("__hit.ts").alias("__in"))
-    )
+    study = Study(bars, own_day, key, session, ts).next_in_session("__in")
+    inside = study.answers().select(*key, session, AXIS, F.col("__ahead.ts").alias("__in"))
+    probed = study.events
     opens = sessions_of(bars, key, session).select(*key, session, "first_ts")
     dates = probed.select(*key, session).distinct().withColumn("first_ts", F.lit(None).cast("timestamp_ntz"))
     later = W.partitionBy(*key).orderBy(F.unix_date(session).desc()).rangeBetween(W.unboundedPreceding, -1)

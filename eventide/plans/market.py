@@ -46,11 +46,8 @@ def canonical_bars(t: Tables) -> DataFrame:
       ON a.symbol = b.symbol AND a.trade_date = b.trade_date AND a.ts >= b.ts"""
 )
 def asof_price_at_event(t: Tables) -> DataFrame:
-    line = asof.Timeline(["symbol"], "trade_date")
-    out = asof.measure(bars(t), anchors(t), {"hit": line.back()}, columns=("close",))
-    return asof.unpack(out, "hit", {"ts": "bar_ts", "close": "price"}).select(
-        "event_id", "symbol", "ts", "bar_ts", "price"
-    )
+    out = asof.Study(bars(t), anchors(t)).last_bar({"ts": "bar_ts", "close": "price"}).run()
+    return out.select("event_id", "symbol", "ts", "bar_ts", "price")
 
 
 def _lookback_sql() -> str:
@@ -71,7 +68,7 @@ def _lookback_sql() -> str:
 
 @query(_lookback_sql())
 def asof_lookbacks(t: Tables) -> DataFrame:
-    out = asof.lookbacks(bars(t), anchors(t), LOOKBACKS)
+    out = asof.Study(bars(t), anchors(t)).lookbacks(LOOKBACKS).run()
     per = [
         c
         for k in LOOKBACKS
@@ -100,7 +97,7 @@ def _forward_sql() -> str:
 
 @query(_forward_sql())
 def forward_prices_tolerance(t: Tables) -> DataFrame:
-    out = asof.forward_prices(bars(t), anchors(t), FORWARDS, TOLERANCE)
+    out = asof.Study(bars(t), anchors(t)).forward_prices(FORWARDS, TOLERANCE).run()
     return out.select("event_id", *[f"price_after_{k}min" for k in FORWARDS])
 
 
@@ -115,7 +112,7 @@ def forward_prices_tolerance(t: Tables) -> DataFrame:
     FROM both_sides"""
 )
 def price_at_signal_fallback(t: Tables) -> DataFrame:
-    out = asof.price_at_signal(bars(t), anchors(t), fallback=60)
+    out = asof.Study(bars(t), anchors(t)).price_at_signal(fallback=60).run()
     return out.select("event_id", "price_at_signal", "price_at_signal_is_fallback")
 
 
@@ -141,7 +138,7 @@ returns AS (
     FROM returns"""
 )
 def forward_reaction_window(t: Tables) -> DataFrame:
-    out = asof.reaction_window(bars(t), anchors(t), REACTION)
+    out = asof.Study(bars(t), anchors(t)).reaction(REACTION).run()
     return out.select(
         "event_id",
         "post_start",
@@ -159,7 +156,7 @@ def forward_reaction_window(t: Tables) -> DataFrame:
     GROUP BY a.event_id"""
 )
 def price_range_after_event(t: Tables) -> DataFrame:
-    return asof.price_range(bars(t), anchors(t), 240).select("event_id", "highest_price", "lowest_price")
+    return asof.Study(bars(t), anchors(t)).price_range(240).run().select("event_id", "highest_price", "lowest_price")
 
 
 PRE_SQL = f"""{STUDY_SQL}, pre AS (
@@ -183,7 +180,7 @@ feats AS (
     FROM anchors a LEFT JOIN feats f ON a.event_id = f.event_id"""
 )
 def pre_event_momentum(t: Tables) -> DataFrame:
-    out = asof.pre_event_features(bars(t), anchors(t))
+    out = asof.Study(bars(t), anchors(t)).pre_event().run()
     return out.select("event_id", "pre_news_momentum_5m", "pre_news_momentum_30m")
 
 
@@ -197,7 +194,7 @@ def pre_event_momentum(t: Tables) -> DataFrame:
     FROM anchors a LEFT JOIN feats f ON a.event_id = f.event_id"""
 )
 def pre_event_volume_volatility(t: Tables) -> DataFrame:
-    out = asof.pre_event_features(bars(t), anchors(t))
+    out = asof.Study(bars(t), anchors(t)).pre_event().run()
     return out.select("event_id", "pre_news_volume_ratio", "intraday_volatility", "pre_news_price")
 
 
@@ -266,7 +263,7 @@ def reaction_labels(t: Tables) -> DataFrame:
     """Live and historic thresholds side by side over one pass of the reactions."""
     from pyspark.sql import Window as W
 
-    reacted = asof.reaction_window(bars(t), anchors(t), REACTION)
+    reacted = asof.Study(bars(t), anchors(t)).reaction(REACTION).run()
     both = F.array(F.lit(labels.LIVE_THRESHOLD), F.lit(labels.HISTORIC_THRESHOLD))
     rows = reacted.select("return_60m", F.explode(both).alias("threshold"))
     ret, cut = F.col("return_60m"), F.col("threshold")
@@ -298,9 +295,7 @@ _FLAGSHIP_LABEL = "CASE WHEN ret >= 0.15 THEN 'BUY' WHEN ret <= -0.15 THEN 'SELL
 )
 def flagship(t: Tables) -> DataFrame:
     """Bars, look-backs, reaction window and label counts in one plan."""
-    minute = bars(t)
-    looked = asof.lookbacks(minute, anchors(t), (30,), columns=("close",), volatility=False)
-    reacted = asof.reaction_window(minute, looked, REACTION)
+    reacted = asof.Study(bars(t), anchors(t)).lookbacks((30,), ("close",)).reaction(REACTION).run()
     tagged = reacted.withColumn("label", labels.label_return(F.col("return_60m"))["label"])
     return tagged.groupBy("label").agg(
         F.count(F.lit(1)).alias("n"),

@@ -63,7 +63,7 @@ def main() -> int:
             df = q.build(Tables(spark, folder))
             rows = [tuple(r) for r in df.collect()]
         except Exception as e:  # noqa: BLE001
-            print(f"{name:32s} SPARK ERROR {str(e)[:1500]}", flush=True)
+            print(f"{name:32s} SPARK ERROR {str(e)[:700]}", flush=True)
             failed += 1
             continue
         took = time.time() - start
@@ -77,7 +77,7 @@ def main() -> int:
             kinds = {d[0]: str(d[1]) for d in cur.description}
             other = cur.fetchall()
         except Exception as e:  # noqa: BLE001
-            print(f"{name:32s} DUCK ERROR {str(e)[:1500]}", flush=True)
+            print(f"{name:32s} DUCK ERROR {str(e)[:700]}", flush=True)
             failed += 1
             continue
         verdict = compare(df.columns, rows, names, other)
