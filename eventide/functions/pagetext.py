@@ -183,10 +183,10 @@ def cleaned_body(text: Column) -> Column:
     return strip_lines(text, fixed.DISCLAIMER_LINES + fixed.BOILERPLATE_LINES)
 
 
-def is_ad_line(line: Column) -> Column:
+def is_ad_line(line: Column, phrases: Sequence[str] = fixed.AD_PHRASES) -> Column:
     """Advert or navigation: a phrase, a pattern, a listing title, or a long line with few spaces."""
     phrase = F.lit(False)
-    for p in fixed.AD_PHRASES:
+    for p in phrases:
         phrase = phrase | line.contains(p)
     spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     return (
@@ -196,8 +196,8 @@ def is_ad_line(line: Column) -> Column:
     )
 
 
-def without_ad_lines(text: Column) -> Column:
-    return F.array_join(F.filter(trimmed_lines(text), lambda x: ~is_ad_line(x)), "\n")
+def without_ad_lines(text: Column, phrases: Sequence[str] = fixed.AD_PHRASES) -> Column:
+    return F.array_join(F.filter(trimmed_lines(text), lambda x: ~is_ad_line(x, phrases)), "\n")
 
 
 def cleaned_headline(headline: Column) -> Column:

@@ -1 +1,348 @@
-"""Queries."""
+"""Page, line, tagging and condensation queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from eventide.functions import fixed
+from eventide.functions import pagetext as P
+from eventide.operators import condense, pages, tagging
+from eventide.plans import Tables, query
+from eventide.plans.study import _HEAD_SQL, _REST_SQL, content, headline
+
+
+def sql_text(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+# --- urls ----------------------------------------------------------------------------------
+
+_ID_PATTERNS = (r"/(\d{3,})\.html", r"/(\d+)")
+_SECTIONS = (*fixed.SECTION_PREFIXES, r"/en/?", r"/de/?")
+_SIGNAL_SQL = "(contains(lower(url), '.html') OR regexp_matches(url, '\\d{5,}') OR contains(url, '/story/') OR contains(url, '/article/'))"
+
+
+def _by_source_sql() -> str:
+    out = []
+    for name, (patterns, strip) in fixed.ARTICLE_ID_PATTERNS.items():
+        u = "regexp_replace(url, '[?#].*$', '')" if strip else "url"
+        found = ", ".join(f"nullif(regexp_extract({u}, '{p}', 1), '')" for p in patterns)
+        out.append(f"WHEN '{name}' THEN coalesce({found}, md5({u}))")
+    return "CASE site " + " ".join(out) + " END"
+
+
+@query(
+    f"""WITH p AS (SELECT page_id, url,
+        [{", ".join(sql_text(s) for s in fixed.ARTICLE_ID_PATTERNS)}][CAST(page_id % 6 AS INTEGER) + 1] AS site,
+        regexp_replace(url, '[?#].*$', '') AS bare FROM pages)
+    SELECT page_id, bare AS normalized,
+      coalesce({", ".join(f"nullif(regexp_extract(bare, '{p}', 1), '')" for p in _ID_PATTERNS)}, md5(bare)) AS article_id,
+      {_by_source_sql()} AS site_id,
+      regexp_matches(url, '(?i)({"|".join(_SECTIONS)})') AND NOT {_SIGNAL_SQL} AS is_section,
+      regexp_matches(url, '{"|".join(fixed.MEDIA_URL_PARTS)}') AS is_media,
+      starts_with(bare, 'https://') AND ends_with(bare, '.html') AND NOT contains(bare, 'spam') AS is_valid
+    FROM p"""
+)
+def url_ids(t: Tables) -> DataFrame:
+    url = F.col("url")
+    sites = F.array(*[F.lit(s) for s in fixed.ARTICLE_ID_PATTERNS])
+    site = F.get(sites, F.pmod("page_id", F.lit(6)).cast("int"))
+    return t.pages.select(
+        "page_id",
+        P.normalized_url(url).alias("normalized"),
+        P.article_id(url, _ID_PATTERNS, strip=True).alias("article_id"),
+        P.article_id_by_source(url, site).alias("site_id"),
+        P.is_section(url, _SECTIONS).alias("is_section"),
+        P.is_media(url).alias("is_media"),
+        P.valid_article_url(url, "https://", ".html", ("spam",)).alias("is_valid"),
+    )
+
+
+# --- html ----------------------------------------------------------------------------------
+
+
+def _plain_sql(x: str) -> str:
+    out = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
+    for name, char in P.ENTITIES:
+        out = f"replace({out}, {sql_text(name)}, {sql_text(char)})"
+    return f"trim(regexp_replace({out}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
+
+
+def _junk_sql(x: str) -> str:
+    out = f"regexp_replace({x}, '(?is)<!--.*?-->', ' ', 'g')"
+    for tag in P.JUNK_BLOCKS:
+        out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
+    return out
+
+
+def _paragraph_sql(x: str) -> str:
+    piece = "string_split_regex(p, '(?i)</p\\s*>')[1]"
+    return (
+        f"list_filter(list_transform(string_split_regex({x}, '(?i)<p\\b[^>]*>')[2:], lambda p: {_plain_sql(piece)}), "
+        "lambda p: p <> '')"
+    )
+
+
+@query(
+    f"""WITH a AS (
+      SELECT page_id, url, generate_subscripts(hs, 1) - 1 AS pos, trim(unnest(hs)) AS href, unnest(ts) AS raw
+      FROM (SELECT page_id, url, regexp_extract_all(html, {sql_text(pages.ANCHOR)}, 1) AS hs,
+                   regexp_extract_all(html, {sql_text(pages.ANCHOR)}, 2) AS ts FROM pages)),
+    b AS (SELECT page_id, pos, {_plain_sql("raw")} AS title,
+        CASE WHEN starts_with(href, 'http') THEN href
+             WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || href END AS link FROM a)
+    SELECT page_id, link, min(pos) AS pos, arg_min(title, pos) AS title FROM b
+    WHERE link IS NOT NULL AND length(title) > 0 GROUP BY page_id, link"""
+)
+def page_links(t: Tables) -> DataFrame:
+    return pages.page_links(t.pages).withColumn("pos", F.col("pos").cast("long"))
+
+
+_PAGE_SQL = f"""p AS (SELECT page_id, html, {_junk_sql("html")} AS clean FROM pages),
+q AS (SELECT *, regexp_extract(clean, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1) AS own FROM p),
+r AS (SELECT *, array_to_string({_paragraph_sql("own")}, chr(10)) AS own_text,
+             array_to_string({_paragraph_sql("clean")}, chr(10)) AS all_text,
+             {_plain_sql("regexp_extract(clean, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")} AS headline FROM q),
+s AS (SELECT *, CASE WHEN length(own_text) > 100 THEN own_text WHEN length(all_text) >= 100 THEN all_text END AS body FROM r)"""
+
+
+@query(
+    f"""WITH {_PAGE_SQL}
+    SELECT page_id, headline, length(body) AS n_chars, md5(body) AS body_id,
+      coalesce(length(body) >= 500 AND
+        len(list_filter(string_split(body, chr(10)), lambda x: length(trim(x)) > 80)) >= 3, false) AS is_article,
+      '2024-02-01 00:00:00' AS published_text
+    FROM s"""
+)
+def page_text(t: Tables) -> DataFrame:
+    """Headline, body text and article test of every page (the data has no publish-time marks)."""
+    page, clean = F.col("html"), P.without_junk(F.col("html"))
+    rows = t.pages.select(
+        "page_id",
+        "html",
+        P.plain_text(P.container(clean, "h1")).alias("headline"),
+        F.coalesce(P.ld_article_body(page), P.body_text(page)).alias("body"),
+    )
+    return rows.select(
+        "page_id",
+        "headline",
+        F.length("body").cast("long").alias("n_chars"),
+        F.md5("body").alias("body_id"),
+        P.looks_like_article(page, F.col("body")).alias("is_article"),
+        P.published_text(page, F.lit("2024-02-01 00:00:00")).alias("published_text"),
+    )
+
+
+# --- lines ---------------------------------------------------------------------------------
+
+_EXTRA_LINES = (r"(?i)^licensed under\b.*", r"(?i)^released under\b.*")
+_EXTRA_PHRASES = ("The and attion to thanedble",)
+_TRIM_SQL = "regexp_replace(x, '^[ \\t\\r\\f]+|[ \\t\\r\\f]+$', '', 'g')"
+_LINES_SQL = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM_SQL}), lambda x: x <> '')"
+_DROP_RX = P.alternation(fixed.DISCLAIMER_LINES + fixed.BOILERPLATE_LINES + _EXTRA_LINES)
+_AD_RX = P.alternation((*fixed.AD_LINES, fixed.AD_LISTING_LINE))
+_AD_SQL = (
+    "(" + " OR ".join(f"contains(x, {sql_text(p)})" for p in (*fixed.AD_PHRASES, *_EXTRA_PHRASES)) + ")"
+    f" OR regexp_matches(x, {sql_text(_AD_RX)})"
+    " OR (length(x) > 200 AND length(x) - length(replace(x, ' ', '')) < 5)"
+)
+_CATS = "|".join(c.replace("-", r"\-") for c in fixed.HEADLINE_CATEGORIES)
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, {_LINES_SQL} AS lines, text,
+        CASE doc_id % 3 WHEN 0 THEN 'Gold & Silver12:59 | Nov 17, 2025' WHEN 1 THEN '9:05 | Feb 1, 2024 ' ELSE '' END
+          || {_HEAD_SQL} AS head FROM documents)
+    SELECT doc_id, md5(array_to_string(list_filter(lines, lambda x: NOT regexp_matches(x, {sql_text(_DROP_RX)})), chr(10))) AS body_id,
+      md5(array_to_string(list_filter(lines, lambda x: NOT ({_AD_SQL})), chr(10))) AS ad_free_id,
+      trim(regexp_replace(regexp_replace(head, {sql_text(f"(?i)^({_CATS}){chr(92)}s*" + fixed.HEADLINE_STAMP)}, ''),
+        {sql_text("(?i)^" + fixed.HEADLINE_STAMP)}, '')) AS headline,
+      md5(trim(regexp_replace(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g')), {sql_text(fixed.SYNOPSIS_CUT)}, ''))) AS synopsis_id
+    FROM d"""
+)
+def clean_lines(t: Tables) -> DataFrame:
+    """Line, advert, headline and synopsis cleaning over whole texts."""
+    stamp = F.get(
+        F.array(F.lit("Gold & Silver12:59 | Nov 17, 2025"), F.lit("9:05 | Feb 1, 2024 "), F.lit("")),
+        F.pmod("doc_id", F.lit(3)).cast("int"),
+    )
+    text = F.col("text")
+    drop = fixed.DISCLAIMER_LINES + fixed.BOILERPLATE_LINES + _EXTRA_LINES
+    return t.documents.select(
+        "doc_id",
+        F.md5(P.strip_lines(text, drop)).alias("body_id"),
+        F.md5(P.without_ad_lines(text, (*fixed.AD_PHRASES, *_EXTRA_PHRASES))).alias("ad_free_id"),
+        P.cleaned_headline(F.concat(stamp, headline())).alias("headline"),
+        F.md5(P.cleaned_synopsis(text)).alias("synopsis_id"),
+    )
+
+
+# --- tagging -------------------------------------------------------------------------------
+
+# Words of the generated prose play parents, contexts and generic terms.
+_GENERIC = (*fixed.GENERIC_KEYWORDS, "that", "from")
+_EXCLUSIONS = {**fixed.KEYWORD_EXCLUSIONS, "with": ("the", "that", "this"), "this": ("the", "and", "tion")}
+_NEGATIVE = {**fixed.NEGATIVE_CONTEXT, "thing": ("ther", "than"), "ther": ("thnt",)}
+
+
+def mapping(t: Tables) -> DataFrame:
+    """``benchmark`` items as companies: name, symbol, and words and word pairs as keywords."""
+    words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1))
+    rows = t.benchmark.select("item_id", words.alias("w"))
+    pairs = F.transform(
+        F.slice("w", 2, 1_000_000), lambda x, i: F.concat(F.get(F.col("w"), i), F.lit(" "), x)
+    )
+    return rows.select(
+        "item_id",
+        F.array_join(F.slice("w", 1, 3), " ").alias("CompanyName"),
+        F.upper(F.get("w", F.lit(3))).alias("Symbol"),
+        F.lit("S").alias("Sector"),
+        F.lit("I").alias("Index"),
+        F.array_join(F.array_distinct(F.concat("w", pairs)), ",").alias("Keyword"),
+    )
+
+
+def keywords(t: Tables) -> DataFrame:
+    return tagging.keyword_table(mapping(t), "item_id", _GENERIC, _EXCLUSIONS, _NEGATIVE)
+
+
+def news(t: Tables) -> DataFrame:
+    return t.documents.select(
+        F.col("doc_id").alias("article_id"), headline().alias("headline"), content().alias("content")
+    )
+
+
+_B = "[^\\p{L}\\p{N}_]"
+_EX_SQL = " ".join(
+    f"WHEN kw = {sql_text(p)} OR starts_with(kw, {sql_text(p + ' ')}) THEN {sql_text('|'.join(after))}"
+    for p, after in _EXCLUSIONS.items()
+)
+_NEG_SQL = " ".join(f"WHEN {sql_text(w)} THEN [{', '.join(sql_text(b) for b in bad)}]" for w, bad in _NEGATIVE.items())
+_TAG_SQL = f"""words AS (SELECT item_id, regexp_extract_all(lower(text), '([\\p{{L}}]+)', 1) AS w FROM benchmark),
+named AS (
+  SELECT item_id, array_to_string(w[1:3], ' ') AS company, upper(replace(w[4], 'ß', 'ss')) AS symbol,
+    list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS ks FROM words),
+flat AS (SELECT item_id, company, symbol, unnest(ks) AS kw, generate_subscripts(ks, 1) AS p FROM named),
+kws AS (
+  SELECT item_id, company, symbol, kw, min(p) AS p, any_value(CASE {_EX_SQL} END) AS suffixes,
+    any_value(CASE kw {_NEG_SQL} ELSE [] END) AS bad_words
+  FROM flat WHERE length(kw) >= 4 GROUP BY ALL),
+heads AS (
+  SELECT doc_id AS article_id, {_HEAD_SQL} AS headline, ' ' || lower({_HEAD_SQL}) || ' ' AS h,
+    ' ' || lower({_REST_SQL}) || ' ' AS b FROM documents
+  WHERE {_HEAD_SQL} <> '' AND NOT regexp_matches(lower({_HEAD_SQL}), {sql_text("|".join(fixed.SKIP_HEADLINE_PATTERNS))})),
+hits AS (
+  SELECT article_id, item_id, kw, company, symbol, p, suffixes, bad_words, h, b,
+    length(regexp_extract(h, '(?s)^(.*?){_B}' || kw || '{_B}', 1)) AS start
+  FROM (SELECT DISTINCT article_id, unnest(regexp_extract_all(h, '[\\p{{L}}\\p{{N}}_]+')) AS w FROM heads)
+  JOIN kws ON split_part(kw, ' ', 1) = w JOIN heads USING (article_id)
+  WHERE contains(h, kw) AND regexp_matches(h, '{_B}' || kw || '{_B}'))"""
+_SCORE_SQL = f"""{_TAG_SQL},
+graded AS (
+  SELECT *, start + length(kw) AS stop,
+    CASE WHEN contains(company, kw) OR contains(kw, company) THEN CASE WHEN length(kw) >= 8 THEN 2 ELSE 0 END
+         WHEN contains(kw, ' ') AND length(kw) >= 10 THEN 2 ELSE 0 END
+    + CASE WHEN upper(replace(kw, 'ß', 'ss')) = symbol THEN 3 ELSE 0 END
+    + CASE WHEN regexp_matches(h, {sql_text("|".join(fixed.BUSINESS_ACTION_KEYWORDS))}) THEN 1 ELSE 0 END
+    + CASE WHEN regexp_matches(b, '{_B}' || kw || '{_B}') THEN 1 ELSE 0 END AS confidence
+  FROM hits
+  WHERE NOT (suffixes IS NOT NULL AND regexp_matches(h, '{_B}' || kw || '\\s+(?:' || suffixes || '){_B}'))
+    AND len(list_filter(bad_words, lambda w: contains(h || ltrim(b, ' ') , ' ' || w || ' ')
+                                           OR contains(h || b, ' ' || w || ' '))) = 0
+    AND kw NOT IN ({", ".join(sql_text(g) for g in _GENERIC)})),
+kept AS (SELECT * FROM graded WHERE confidence >= 2)"""
+
+
+@query(f"WITH {_TAG_SQL} SELECT article_id, item_id, kw AS keyword, symbol, start, start + length(kw) AS stop FROM hits")
+def keyword_match(t: Tables) -> DataFrame:
+    """Every keyword of every headline with the place of its first whole-word match."""
+    found = tagging.candidates(news(t), keywords(t))
+    return found.select("article_id", F.explode("matches").alias("m")).select(
+        "article_id",
+        F.col("m.row").alias("item_id"),
+        "m.keyword",
+        F.col("m.Symbol").alias("symbol"),
+        F.col("m.start").cast("long").alias("start"),
+        F.col("m.stop").cast("long").alias("stop"),
+    )
+
+
+@query(f"WITH {_SCORE_SQL} SELECT article_id, kw AS keyword, symbol, company, confidence FROM kept")
+def keyword_confidence(t: Tables) -> DataFrame:
+    found = tagging.scored(tagging.candidates(news(t), keywords(t)))
+    return found.select("article_id", F.explode("matches").alias("m")).select(
+        "article_id",
+        "m.keyword",
+        F.col("m.Symbol").alias("symbol"),
+        F.col("m.CompanyName").alias("company"),
+        "m.confidence",
+    )
+
+
+_CLASH = (
+    "p.symbol IS NOT DISTINCT FROM x[1].symbol OR ((contains(p.kw, x[1].kw) OR contains(x[1].kw, p.kw)) AND "
+    "((x[1].start >= p.start AND x[1].start < p.stop) OR (x[1].stop > p.start AND x[1].stop <= p.stop)))"
+)
+
+
+@query(
+    f"""WITH {_SCORE_SQL}, ranked AS (
+      SELECT article_id, list([{{'kw': kw, 'symbol': symbol, 'start': start, 'stop': stop, 'confidence': confidence}}]
+        ORDER BY length(kw) DESC, item_id, p) AS l FROM kept GROUP BY article_id),
+    chosen AS (
+      SELECT article_id, unnest(list_reduce(l, lambda acc, x: CASE
+        WHEN len(list_filter(acc, lambda p: {_CLASH})) > 0 THEN acc ELSE list_concat(acc, x) END)) AS m FROM ranked)
+    SELECT article_id, m.kw AS keyword, m.symbol AS symbol, m.confidence AS confidence FROM chosen"""
+)
+def tag_resolution(t: Tables) -> DataFrame:
+    """The tagging step end to end: one row per (article, company)."""
+    out = tagging.tag_articles(news(t), keywords(t))
+    return out.select("article_id", "keyword", F.col("Symbol").alias("symbol"), "confidence")
+
+
+# --- condensation --------------------------------------------------------------------------
+
+_SENT_SQL = """sents AS (
+  SELECT doc_id, generate_subscripts(ss, 1) - 1 AS sent, unnest(ss) AS sentence FROM (
+    SELECT doc_id, list_filter(string_split(regexp_replace(text, '([.!?])[ \\t\\n\\r\\f]+', '\\1' || chr(1), 'g'), chr(1)),
+      lambda s: trim(s) <> '') AS ss FROM documents)),
+words AS (SELECT doc_id, sent, unnest(regexp_extract_all(lower(sentence), '([\\p{L}\\p{N}]+)', 1)) AS w FROM sents),
+per AS (SELECT doc_id, sent, w, count(*) AS c FROM words GROUP BY ALL),
+docs AS (SELECT doc_id, w, sum(c) AS d FROM per GROUP BY ALL),
+lens AS (SELECT doc_id, sqrt(sum(d * d)) AS len FROM docs GROUP BY doc_id),
+scores AS (SELECT doc_id, sent, sum(c * d) / (sqrt(sum(c * c)) * any_value(len)) AS score
+  FROM per JOIN docs USING (doc_id, w) JOIN lens USING (doc_id) GROUP BY doc_id, sent)"""
+
+
+@query(
+    f"""WITH {_SENT_SQL}, best AS (
+      SELECT doc_id, sent FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, sent) AS rn FROM scores)
+      WHERE rn <= 5),
+    joined AS (SELECT doc_id, string_agg(sentence, ' ' ORDER BY sent) AS condensed FROM best JOIN sents USING (doc_id, sent) GROUP BY doc_id),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sents GROUP BY doc_id)
+    SELECT doc_id, length(CASE WHEN coalesce(n, 0) <= 5 OR condensed IS NULL THEN text ELSE condensed END) AS n_chars,
+      md5(CASE WHEN coalesce(n, 0) <= 5 OR condensed IS NULL THEN text ELSE condensed END) AS condensed_id
+    FROM documents LEFT JOIN joined USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
+)
+def top_sentences(t: Tables) -> DataFrame:
+    out = condense.top_sentences(t.documents.select("doc_id", "text"))
+    return out.select(
+        "doc_id", F.length("condensed_text").cast("long").alias("n_chars"), F.md5("condensed_text").alias("condensed_id")
+    )
+
+
+@query(
+    """WITH flat AS (SELECT vec_id, label, generate_subscripts(embedding, 1) AS i, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings),
+    centre AS (SELECT label, i, avg(x) AS m FROM flat GROUP BY ALL),
+    scored AS (
+      SELECT label, vec_id, sum(x * m) / (sqrt(sum(x * x)) * sqrt(sum(m * m))) AS score
+      FROM flat JOIN centre USING (label, i) GROUP BY label, vec_id)
+    SELECT label, vec_id, rank, round(score, 6) AS score FROM (
+      SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY round(score, 9) DESC, vec_id) AS INTEGER) AS rank FROM scored)
+    WHERE rank <= 5"""
+)
+def embedding_topk(t: Tables) -> DataFrame:
+    """The five vectors of each label closest to its mean vector."""
+    out = condense.closest_to_centre(t.embeddings, "label", "vec_id", "embedding", 64)
+    return out.select("label", "vec_id", "rank", F.round("score", 6).alias("score"))
