@@ -1 +1,61 @@
-"""Queries."""
+"""Model queries (no SQL twin: the fits are iterative) and the exact time split."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from eventide.operators import asof, labels, ml
+from eventide.plans import Tables, query
+from eventide.plans.roles import LOOKBACKS, REACTION, anchors, bars
+
+
+@query(
+    """SELECT event_id, row_number() OVER (ORDER BY ts, event_id) <= floor(0.8 * (SELECT count(*) FROM events)) AS is_train
+    FROM events"""
+)
+def chronological_split(t: Tables) -> DataFrame:
+    return ml.chronological_split(t.events.select("event_id", "ts"), "ts", ["event_id"]).select("event_id", "is_train")
+
+
+def labelled(t: Tables) -> DataFrame:
+    study = asof.Study(bars(t), anchors(t)).pre_event().lookbacks(LOOKBACKS).reaction(REACTION)
+    rows = study.run()
+    tag = labels.label_return(F.col(f"return_{REACTION}m"))
+    return rows.withColumns({**tag, "has_return": F.col(f"return_{REACTION}m").isNotNull()}).filter("has_return")
+
+
+def model_columns() -> list[str]:
+    from eventide.operators.features import MARKET_FEATURES, SNAPSHOT
+
+    per = [f"pre_{c}_{k}m" for k in LOOKBACKS for c in (*asof.PRICES, "volatility")]
+    return [*MARKET_FEATURES, *SNAPSHOT, *per]
+
+
+@query()
+def reaction_model(t: Tables) -> DataFrame:
+    """Weighted forest on pre-event features: time split, fit, hold-out metrics."""
+    rows = ml.chronological_split(labelled(t), "ts", ["event_id"])
+    model = ml.train_reaction_model(rows.filter("is_train"), model_columns())
+    return ml.holdout_metrics(model, rows.filter("not is_train"), model_columns())
+
+
+@query()
+def reaction_scores(t: Tables) -> DataFrame:
+    """Scoring with the validity filter and the confidence gate over all anchors."""
+    rows = labelled(t)
+    model = ml.train_reaction_model(rows, model_columns(), trees=20)
+    out = ml.score_reaction(model, rows, model_columns())
+    return out.select("event_id", "symbol", "predicted_signal", "signal_confidence", "buy_prob", "sell_prob", "hold_prob")
+
+
+@query()
+def text_classifier(t: Tables) -> DataFrame:
+    """Sentiment model fitted on labelled documents and applied to all of them."""
+    mood = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
+    train = t.documents.join(t.labels, "doc_id").select("doc_id", "text", mood.alias("sentiment"))
+    model = ml.train_sentiment(train, "text")
+    out = ml.score_sentiment(model, t.documents.select("doc_id", "text"), "text")
+    return out.select(
+        "doc_id", "sentiment", *[F.round(c, 4).alias(c) for c in ("positive_prob", "negative_prob", "neutral_prob", "confidence")]
+    )

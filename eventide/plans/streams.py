@@ -1 +1,101 @@
-"""Queries."""
+"""Streaming queries: ``availableNow`` runs over the driver tables."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from eventide.functions import timeparse
+from eventide.plans import Tables, query
+from eventide.plans.market import HV_SQL
+from eventide.plans.roles import BARS_SQL, symbol
+from eventide.plans.study import PAIRS_SQL
+from eventide.session import scratch
+from eventide.sources.tables import KeyedTable
+from eventide.streaming import jobs
+
+
+def stream(t: Tables, name: str) -> DataFrame:
+    return jobs.file_stream(t.spark, t.folder, f"{name}.parquet", getattr(t, name).schema)
+
+
+def tick_stream(t: Tables) -> DataFrame:
+    return stream(t, "events").filter(F.col("event_type") != "signup").select(
+        "event_id",
+        symbol(),
+        "ts",
+        F.col("value").alias("price"),
+        F.get_json_object("props", "$.k").cast("int").alias("qty"),
+    )
+
+
+@query(
+    f"""WITH {BARS_SQL} SELECT * FROM bars
+    WHERE ts + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 2 SECOND"""
+)
+def stream_bars(t: Tables) -> DataFrame:
+    """Candles closed by the final watermark."""
+    path = scratch(t.spark, "candles")
+    jobs.run_available(jobs.candles(tick_stream(t), seq="event_id"), f"{path}/out", f"{path}/log").awaitTermination()
+    return t.spark.read.parquet(f"{path}/out")
+
+
+@query("SELECT md5(text) AS text_id, min(doc_id) AS doc_id FROM documents GROUP BY 1")
+def stream_dedup(t: Tables) -> DataFrame:
+    """First document of every text across micro-batches."""
+    path = scratch(t.spark, "dedup")
+    table = KeyedTable(t.spark, f"{path}/out", ["text_id"])
+    rows = stream(t, "documents").select("doc_id", F.md5("text").alias("text_id"))
+    jobs.run_batches(rows, jobs.dedup_into(table, ["doc_id"]), f"{path}/log").awaitTermination()
+    return table.read().select("text_id", "doc_id")
+
+
+@query(f"WITH {HV_SQL} SELECT event_id, symbol, trade_date, round(hv, 4) AS hv FROM hvs")
+def stream_hv_state(t: Tables) -> DataFrame:
+    """Rolling volatility carried across micro-batches by a state table."""
+    path = scratch(t.spark, "hv")
+    rows = tick_stream(t).withColumn("trade_date", F.to_date("ts"))
+    jobs.run_batches(rows, jobs.hv_into(t.spark, path), f"{path}/log").awaitTermination()
+    done = t.spark.read.parquet(f"{path}/hv")
+    return done.select("event_id", "symbol", "trade_date", F.round("hv", 4).alias("hv"))
+
+
+@query(f"WITH {PAIRS_SQL} SELECT predicted, actual, count(*) AS n FROM pairs GROUP BY ALL")
+def stream_accuracy(t: Tables) -> DataFrame:
+    """Labels arriving as a stream, counted against stored predictions."""
+    path = scratch(t.spark, "accuracy")
+    said = F.when(F.col("n_chars") > 2000, "BUY").when(F.col("lang") != "en", "SELL").otherwise("HOLD")
+    real = F.when(F.col("toxic") == 1, "SELL").when(F.col("quality") == 1, "BUY").otherwise("HOLD")
+    predictions = t.documents.select("doc_id", said.alias("signal"))
+    counts = jobs.live_confusion(
+        stream(t, "labels").select("doc_id", real.alias("label")), predictions, "doc_id", "signal", "label"
+    )
+
+    def keep(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out")
+
+    writer = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/log")
+    writer.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.parquet(f"{path}/out")
+
+
+@query(
+    """WITH e AS (
+      SELECT event_id, date_trunc('second', ts) AS tick, date_trunc('second', ts) + INTERVAL 1 SECOND * (event_id * 7 % 90) AS arrived
+      FROM events)
+    SELECT event_id, tick AS tick_time,
+      date_trunc('minute', tick) = date_trunc('minute', arrived)
+      OR (date_trunc('minute', tick) = date_trunc('minute', arrived) - INTERVAL 1 MINUTE AND second(arrived) <= 2) AS accepted
+    FROM e"""
+)
+def late_tick_rule(t: Tables) -> DataFrame:
+    """Epoch stamps (seconds, milliseconds, or already local) back to ticks, then the grace rule."""
+    sec = F.date_trunc("second", F.col("ts")).cast("timestamp_ntz")
+    n = F.col("event_id")
+    arrived = (sec + F.make_dt_interval(secs=F.pmod(n * 7, F.lit(90)).cast("decimal(18,6)"))).cast("timestamp_ntz")
+    local = F.unix_seconds(sec.cast("timestamp"))
+    utc = local - 330 * 60
+    kind = F.pmod(n, F.lit(3))
+    epoch = F.when(kind == 0, utc).when(kind == 1, utc * 1000).otherwise(local)
+    tick = timeparse.epoch_local(epoch, arrived)
+    return t.events.select("event_id", tick.alias("tick_time"), jobs.tick_accepted(tick, arrived).alias("accepted"))
