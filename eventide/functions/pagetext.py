@@ -102,12 +102,8 @@ def paragraphs(html: Column) -> Column:
     return F.filter(bodies, lambda p: p != "")
 
 
-def body_text(html: Column, min_length: int = 100) -> Column:
-    """Paragraphs of the article container when they are long enough, else of the page; else null."""
-    clean = without_junk(html)
-    own = F.array_join(paragraphs(container(clean)), "\n")
-    every = F.array_join(paragraphs(clean), "\n")
-    return F.when(F.length(own) > min_length, own).when(F.length(every) >= min_length, every)
+def joined_paragraphs(html: Column) -> Column:
+    return F.array_join(paragraphs(html), "\n")
 
 
 def ld_article_body(html: Column) -> Column:
@@ -161,16 +157,25 @@ def published_text(html: Column, scraped_at: Column | None = None) -> Column:
 
 
 def trimmed_lines(text: Column) -> Column:
-    lines = F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^[ \t\r\f]+|[ \t\r\f]+$", ""))
+    lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r\f")))
     return F.filter(lines, lambda x: x != "")
 
 
 def alternation(patterns: Sequence[str]) -> str:
-    """One pattern for many; a leading case flag becomes a flagged group."""
-    parts = []
+    """One pattern for many; a leading case flag becomes a flagged group.
+
+    Patterns that start at the line start share one anchor, so at any other position the
+    search gives up after a single test.
+    """
+    anchored, free = [], []
     for p in patterns:
-        parts.append(f"(?i:{p[4:]})" if p.startswith("(?i)") else f"(?:{p})")
-    return "|".join(parts)
+        flag, body = ("?i:", p[4:]) if p.startswith("(?i)") else ("?:", p)
+        if body.startswith("^"):
+            anchored.append(f"({flag}{body[1:]})")
+        else:
+            free.append(f"({flag}{body})")
+    groups = ([f"^(?:{'|'.join(anchored)})"] if anchored else []) + free
+    return "|".join(groups)
 
 
 def strip_lines(text: Column, patterns: Sequence[str]) -> Column:

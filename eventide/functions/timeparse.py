@@ -7,19 +7,20 @@ from pyspark.sql import functions as F
 
 from eventide.functions.clock import EXCHANGE_ZONE, floor_minute
 
-# The written forms of publish times.
+# The written forms of publish times. A failed parse is far more costly than a
+# shape test, so parsers that try several forms test the shape first.
 PIPE_SECONDS = "d MMM yyyy h:m:s a"
 PIPE_MINUTES = "d MMM yyyy h:m a"
 SLASH_FORM = "MMMM d, yyyy H:m"
 ISO_FORM = "yyyy-M-d H:m:s"
 AT_FORM = "MMMM d, yyyy 'at' h:m a"
-SITE_FORMS = (
-    "MMM d, yyyy, h:m:s a",
-    "MMM d, yyyy, h:m a",
-    "d MMM yyyy, h:m:s a",
-    "d MMM yyyy, h:m a",
-    "yyyy-M-d H:m:s",
-)
+SITE_FORMS = {
+    "MMM d, yyyy, h:m:s a": r"^\p{L}+ \d+, \d+, \d+:\d+:\d+ \w+$",
+    "MMM d, yyyy, h:m a": r"^\p{L}+ \d+, \d+, \d+:\d+ \w+$",
+    "d MMM yyyy, h:m:s a": r"^\d+ \p{L}+ \d+, \d+:\d+:\d+ \w+$",
+    "d MMM yyyy, h:m a": r"^\d+ \p{L}+ \d+, \d+:\d+ \w+$",
+    "yyyy-M-d H:m:s": r"^\d+-\d+-\d+ \d+:\d+:\d+$",
+}
 DISPLAY_FORM = "hh:mm:ss a '|' dd MMM yyyy"
 
 
@@ -33,7 +34,10 @@ def _pipe(text: Column, seconds: bool = True) -> Column:
     clock, day = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1)))
     joined = F.concat_ws(" ", day, clock)
     short = _read(joined, PIPE_MINUTES)
-    read = F.when(F.size(F.split(clock, ":")) == 3, _read(joined, PIPE_SECONDS)).otherwise(short) if seconds else short
+    pieces = F.size(F.split(clock, ":"))
+    read = F.when(pieces == 2, short)
+    if seconds:
+        read = F.when(pieces == 3, _read(joined, PIPE_SECONDS)).otherwise(read)
     return F.when(F.size(parts) == 2, read)
 
 
@@ -83,9 +87,9 @@ def signal_local(text: Column) -> Column:
     return floor_minute(
         F.coalesce(
             F.when(t.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$"), _read(t, ISO_FORM)),
-            _slash(t, " "),
-            _read(t, AT_FORM),
-            _pipe(t, seconds=False),
+            F.when(t.rlike(r"^\p{L}+ +\d+, *\d+[/ ] *\d+:\d+"), _slash(t, " ")),
+            F.when(has(t, " at "), _read(t, AT_FORM)),
+            F.when(has(t, "|"), _pipe(t, seconds=False)),
             _iso_any(t),
         )
     )
@@ -130,4 +134,5 @@ def site_display(raw: Column) -> Column:
     """Site time text to ``hh:mm:ss AM | dd Mon yyyy``; unknown forms are null."""
     bare = F.trim(F.replace(F.trim(raw), F.lit("IST"), F.lit("")))
     bare = F.regexp_replace(bare, r"(?i)updated:\s*", "")
-    return F.date_format(F.coalesce(*[_read(bare, f) for f in SITE_FORMS]), DISPLAY_FORM)
+    read = [F.when(bare.rlike(shape), _read(bare, form)) for form, shape in SITE_FORMS.items()]
+    return F.date_format(F.coalesce(*read), DISPLAY_FORM)

@@ -49,6 +49,36 @@ def page_links(
     return first.select(key, "pos", "link", "title")
 
 
+def with_text(pages: DataFrame, html: str = "html", min_length: int = 100) -> DataFrame:
+    """Add ``headline`` and ``content``: JSON-LD text, else the paragraphs of the article
+    container when they are long enough, else those of the whole page, else null.
+
+    Each step is a column of its own, so that the page is stripped once per row.
+    """
+    return (
+        pages.withColumn("__clean", P.without_junk(F.col(html)))
+        .withColumn("__own", P.joined_paragraphs(P.container(F.col("__clean"))))
+        .withColumn("__ld", P.ld_article_body(F.col(html)))
+        .withColumn(
+            "__all",
+            F.when(
+                F.col("__ld").isNull() & (F.length("__own") <= min_length), P.joined_paragraphs(F.col("__clean"))
+            ),
+        )
+        .withColumns(
+            {
+                "headline": P.cleaned_headline(P.plain_text(P.container(F.col("__clean"), "h1"))),
+                "content": F.coalesce(
+                    "__ld",
+                    F.when(F.length("__own") > min_length, F.col("__own")),
+                    F.when(F.length("__all") >= min_length, F.col("__all")),
+                ),
+            }
+        )
+        .drop("__clean", "__own", "__ld", "__all")
+    )
+
+
 def articles(
     pages: DataFrame,
     source: Column,
@@ -60,13 +90,10 @@ def articles(
 ) -> DataFrame:
     """Pages to article rows; a page without enough text gives no row.
 
-    JSON-LD text is preferred to the DOM text; ``verify`` also drops listing pages.
+    ``verify`` also drops listing pages.
     """
     page = F.col(html)
-    content = F.coalesce(P.ld_article_body(page), P.body_text(page, min_length))
-    headline = P.plain_text(P.container(P.without_junk(page), "h1"))
-    rows = pages.withColumns({"source": source, "content": content, "headline": P.cleaned_headline(headline)})
-    rows = rows.filter(F.col("content").isNotNull())
+    rows = with_text(pages.withColumn("source", source), html, min_length).filter(F.col("content").isNotNull())
     if verify:
         rows = rows.filter(P.looks_like_article(page, F.col("content")))
     scraped = F.date_format(scraped_at, "yyyy-MM-dd HH:mm:ss")

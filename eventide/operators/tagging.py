@@ -1,14 +1,15 @@
 """Company tagging: keywords in headlines, context rules, confidence and greedy resolution.
 
-Headlines are never paired with all keywords. A keyword that occurs in a headline has each
-of its words there as a whole word, so an equi-join of headline words with the keyword's
-longest word yields every possible pair; the exact word-boundary match, the context rules
-and the resolution then run inside the article row on built-in array functions.
+Headlines are never paired with all keywords. The words of a keyword that occurs in a headline
+are adjacent whole words there, so an equi-join of the headline's words and word pairs with the
+keyword's only word or longest pair yields every possible match and few others; the exact
+word-boundary match, the context rules and the resolution then run inside the article row on
+built-in array functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,14 +17,57 @@ from pyspark.sql import functions as F
 from eventide.functions import fixed
 
 WORDS = r"(?U)(\w+)"
+MARK = "\x01"
 
 
 def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(1))
 
 
-def _whole_word(quoted: Column) -> Column:
-    return F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\b"))
+def once(values: Sequence[Column], use: Callable[..., Column]) -> Column:
+    """``use(*values)`` with each value computed once per row.
+
+    The optimizer may move a column that is named once into the lambda that uses it, where
+    it would be computed again for every array element; a lambda variable cannot move.
+    """
+    names = [f"v{i}" for i in range(len(values))]
+    packed = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names)]))
+    return F.get(F.transform(packed, lambda v: use(*[v[n] for n in names])), F.lit(0))
+
+
+def _neighbours(words: Column) -> Column:
+    """Adjacent word pairs."""
+    pairs = F.zip_with(words, F.slice(words, 2, 2_000_000_000), lambda a, b: F.concat(a, F.lit(MARK), b))
+    return F.array_compact(pairs)
+
+
+def _anchors(text: Column) -> Column:
+    """Words and adjacent word pairs of a headline."""
+    return once([_words(text)], lambda w: F.array_distinct(F.concat(w, _neighbours(w))))
+
+
+def _anchor(phrase: Column) -> Column:
+    """The longest word pair of a phrase, or its only word."""
+
+    def longest(parts: Column) -> Column:
+        return F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
+
+    return once([_words(phrase)], lambda w: F.when(F.size(w) > 1, longest(_neighbours(w))).otherwise(longest(w)))
+
+
+def marked(text: Column) -> Column:
+    """The text with a mark at every word boundary.
+
+    A phrase occurs between word boundaries exactly when its marked form (marks at both
+    ends) is a substring of the marked text, so each text meets one regular expression and
+    each keyword a plain substring search.
+    """
+    return F.regexp_replace(F.translate(text, MARK, " "), WORDS, f"{MARK}$1{MARK}")
+
+
+def marked_phrase(phrase: Column) -> Column:
+    inner = F.regexp_replace(phrase, WORDS, f"{MARK}$1{MARK}")
+    return F.concat(F.lit(MARK), F.trim(inner, F.lit(MARK)), F.lit(MARK))
 
 
 def keyword_table(
@@ -66,12 +110,11 @@ def keyword_table(
     inside = name.contains(kw) | kw.contains(name)
     long_alias = kw.contains(" ") & (F.length(kw) >= fixed.MULTI_WORD_LENGTH)
     full_name = F.when(inside, F.length(kw) >= fixed.FULL_NAME_LENGTH).otherwise(long_alias)
-    longest = F.array_max(F.transform(_words(kw), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))
     return parts.withColumns(
         {
             "neg_length": -F.length(kw),
-            "anchor": longest["w"],
-            "pattern": _whole_word(quoted),
+            "anchor": _anchor(kw),
+            "phrase": marked_phrase(kw),
             "excluded_by": F.when(
                 suffixes != "", F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\s+(?:"), suffixes, F.lit(r")\b"))
             ),
@@ -85,7 +128,7 @@ def keyword_table(
 
 FIELDS = (
     "neg_length", "row", "pos", "keyword", "CompanyName", "Symbol", "Sector", "Index",
-    "pattern", "excluded_by", "context", "is_generic", "base_score",
+    "phrase", "excluded_by", "context", "is_generic", "base_score",
 )
 
 
@@ -98,21 +141,25 @@ def candidates(
 ) -> DataFrame:
     """Articles whose headline holds a keyword, with ``matches`` in keyword rank order.
 
-    Only (key, word) pairs travel through the join; the article row joins back once.
+    Only (key, word or word pair) rows travel through the join; the article row joins back once.
     ``key`` is unique. Headlines of macro news are skipped.
     """
     head = F.lower(headline)
     scanned = articles.filter((F.coalesce(F.col(headline), F.lit("")) != "") & ~head.rlike("|".join(skip)))
-    words = scanned.select(key, F.explode(F.array_distinct(_words(head))).alias("anchor"))
+    words = scanned.select(key, F.explode(_anchors(head)).alias("anchor"))
     table = keywords.select("anchor", F.struct(*FIELDS).alias("k"))
     found = words.join(table, "anchor").groupBy(key).agg(F.collect_list("k").alias("__k"))
 
-    def located(k: Column) -> Column:
-        start = F.regexp_instr(head, k["pattern"]) - 1
+    def located(k: Column, text: Column) -> Column:
+        before = F.call_function("substring_index", text, k["phrase"], F.lit(1))
+        start = F.when(text.contains(k["phrase"]), F.length(F.replace(before, F.lit(MARK), F.lit(""))))
         return F.struct(*[k[f].alias(f) for f in FIELDS], start.alias("start"), (start + F.length(k["keyword"])).alias("stop"))
 
-    hits = F.filter(F.transform(F.array_sort("__k"), located), lambda k: k["start"] >= 0)
-    return articles.join(found, key).withColumn("matches", hits).drop("__k").filter(F.size("matches") > 0)
+    def hits(text: Column) -> Column:
+        found = F.transform(F.sort_array("__k"), lambda k: located(k, text))
+        return F.filter(found, lambda k: k["start"].isNotNull())
+
+    return articles.join(found, key).withColumn("matches", once([marked(head)], hits)).drop("__k")
 
 
 def scored(
@@ -128,20 +175,23 @@ def scored(
     padded = F.concat(F.lit(" "), head, F.lit(" "), body, F.lit(" "))
     action = F.when(head.rlike("|".join(actions)), 1).otherwise(0)
 
-    def confident(k: Column) -> Column:
-        in_body = F.when(F.rlike(body, k["pattern"]), 1).otherwise(0)
+    def confident(k: Column, text: Column, acts: Column) -> Column:
+        in_body = F.when(text.contains(k["phrase"]), 1).otherwise(0)
         return F.struct(
             *[k[f].alias(f) for f in ("keyword", "CompanyName", "Symbol", "Sector", "Index", "start", "stop")],
-            (k["base_score"] + action + in_body).alias("confidence"),
+            (k["base_score"] + acts + in_body).alias("confidence"),
         )
 
-    def allowed(k: Column) -> Column:
-        by_suffix = F.coalesce(F.rlike(head, k["excluded_by"]), F.lit(False))
-        by_context = F.exists(k["context"], lambda w: padded.contains(F.concat(F.lit(" "), w, F.lit(" "))))
-        return ~by_suffix & ~by_context & ~k["is_generic"]
+    def allowed(k: Column, title: Column, whole: Column) -> Column:
+        by_suffix = F.coalesce(F.rlike(title, k["excluded_by"]), F.lit(False))
+        by_context = F.exists(k["context"], lambda w: whole.contains(F.concat(F.lit(" "), w, F.lit(" "))))
+        return ~k["is_generic"] & ~by_suffix & ~by_context
+
+    def kept(title: Column, text: Column, whole: Column, acts: Column) -> Column:
+        good = F.filter("matches", lambda k: allowed(k, title, whole))
+        return F.filter(F.transform(good, lambda k: confident(k, text, acts)), lambda k: k["confidence"] >= min_score)
 
-    kept = F.filter(F.transform(F.filter("matches", allowed), confident), lambda k: k["confidence"] >= min_score)
-    return matched.withColumn("matches", kept)
+    return matched.withColumn("matches", once([head, marked(body), padded, action], kept))
 
 
 def resolved(matched: DataFrame) -> DataFrame:
@@ -153,12 +203,14 @@ def resolved(matched: DataFrame) -> DataFrame:
         ends = (k["stop"] > p["start"]) & (k["stop"] <= p["stop"])
         return p["Symbol"].eqNullSafe(k["Symbol"]) | (nested & (begins | ends))
 
-    chosen = F.aggregate(
-        "matches",
-        F.slice("matches", 1, 0),
-        lambda acc, k: F.when(F.exists(acc, lambda p: clash(p, k)), acc).otherwise(F.array_append(acc, k)),
-    )
-    return matched.withColumn("matches", chosen)
+    def chosen(ranked: Column) -> Column:
+        return F.aggregate(
+            ranked,
+            F.slice(ranked, 1, 0),
+            lambda acc, k: F.when(F.exists(acc, lambda p: clash(p, k)), acc).otherwise(F.array_append(acc, k)),
+        )
+
+    return matched.withColumn("matches", once([F.col("matches")], chosen))
 
 
 def tag_articles(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators import asof, labels, ml
 from eventide.plans import Tables, query
+from eventide.session import materialised, spread
 from eventide.plans.roles import LOOKBACKS, REACTION, anchors, bars
 
 
@@ -35,7 +36,7 @@ def model_columns() -> list[str]:
 @query()
 def reaction_model(t: Tables) -> DataFrame:
     """Weighted forest on pre-event features: time split, fit, hold-out metrics."""
-    rows = ml.chronological_split(labelled(t), "ts", ["event_id"])
+    rows = spread(materialised(ml.chronological_split(labelled(t), "ts", ["event_id"]), "reactions"))
     model = ml.train_reaction_model(rows.filter("is_train"), model_columns())
     return ml.holdout_metrics(model, rows.filter("not is_train"), model_columns())
 
@@ -43,7 +44,7 @@ def reaction_model(t: Tables) -> DataFrame:
 @query()
 def reaction_scores(t: Tables) -> DataFrame:
     """Scoring with the validity filter and the confidence gate over all anchors."""
-    rows = labelled(t)
+    rows = spread(materialised(labelled(t), "reactions"))
     model = ml.train_reaction_model(rows, model_columns(), trees=20)
     out = ml.score_reaction(model, rows, model_columns())
     return out.select("event_id", "symbol", "predicted_signal", "signal_confidence", "buy_prob", "sell_prob", "hold_prob")
@@ -53,9 +54,10 @@ def reaction_scores(t: Tables) -> DataFrame:
 def text_classifier(t: Tables) -> DataFrame:
     """Sentiment model fitted on labelled documents and applied to all of them."""
     mood = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
-    train = t.documents.join(t.labels, "doc_id").select("doc_id", "text", mood.alias("sentiment"))
+    docs = spread(t.documents.select("doc_id", "text"))
+    train = docs.join(t.labels, "doc_id").select("doc_id", "text", mood.alias("sentiment"))
     model = ml.train_sentiment(train, "text")
-    out = ml.score_sentiment(model, t.documents.select("doc_id", "text"), "text")
+    out = ml.score_sentiment(model, docs, "text")
     return out.select(
         "doc_id", "sentiment", *[F.round(c, 4).alias(c) for c in ("positive_prob", "negative_prob", "neutral_prob", "confidence")]
     )

@@ -9,6 +9,7 @@ from eventide.functions import fixed
 from eventide.functions import pagetext as P
 from eventide.operators import condense, pages, tagging
 from eventide.plans import Tables, query
+from eventide.session import spread
 from eventide.plans.study import _HEAD_SQL, _REST_SQL, content, headline
 
 
@@ -18,6 +19,7 @@ def sql_text(s: str) -> str:
 
 # --- urls ----------------------------------------------------------------------------------
 
+_CATS = "|".join(c.replace("-", r"\-") for c in fixed.HEADLINE_CATEGORIES)
 _ID_PATTERNS = (r"/(\d{3,})\.html", r"/(\d+)")
 _SECTIONS = (*fixed.SECTION_PREFIXES, r"/en/?", r"/de/?")
 _SIGNAL_SQL = "(contains(lower(url), '.html') OR regexp_matches(url, '\\d{5,}') OR contains(url, '/story/') OR contains(url, '/article/'))"
@@ -103,7 +105,8 @@ _PAGE_SQL = f"""p AS (SELECT page_id, html, {_junk_sql("html")} AS clean FROM pa
 q AS (SELECT *, regexp_extract(clean, '(?is)<article\\b[^>]*>(.*?)</article\\s*>', 1) AS own FROM p),
 r AS (SELECT *, array_to_string({_paragraph_sql("own")}, chr(10)) AS own_text,
              array_to_string({_paragraph_sql("clean")}, chr(10)) AS all_text,
-             {_plain_sql("regexp_extract(clean, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")} AS headline FROM q),
+             trim(regexp_replace(regexp_replace({_plain_sql("regexp_extract(clean, '(?is)<h1\\b[^>]*>(.*?)</h1\\s*>', 1)")},
+               {sql_text(f"(?i)^({_CATS}){chr(92)}s*" + fixed.HEADLINE_STAMP)}, ''), {sql_text("(?i)^" + fixed.HEADLINE_STAMP)}, '')) AS headline FROM q),
 s AS (SELECT *, CASE WHEN length(own_text) > 100 THEN own_text WHEN length(all_text) >= 100 THEN all_text END AS body FROM r)"""
 
 
@@ -117,13 +120,8 @@ s AS (SELECT *, CASE WHEN length(own_text) > 100 THEN own_text WHEN length(all_t
 )
 def page_text(t: Tables) -> DataFrame:
     """Headline, body text and article test of every page (the data has no publish-time marks)."""
-    page, clean = F.col("html"), P.without_junk(F.col("html"))
-    rows = t.pages.select(
-        "page_id",
-        "html",
-        P.plain_text(P.container(clean, "h1")).alias("headline"),
-        F.coalesce(P.ld_article_body(page), P.body_text(page)).alias("body"),
-    )
+    page = F.col("html")
+    rows = pages.with_text(spread(t.pages)).withColumnRenamed("content", "body")
     return rows.select(
         "page_id",
         "headline",
@@ -147,7 +145,6 @@ _AD_SQL = (
     f" OR regexp_matches(x, {sql_text(_AD_RX)})"
     " OR (length(x) > 200 AND length(x) - length(replace(x, ' ', '')) < 5)"
 )
-_CATS = "|".join(c.replace("-", r"\-") for c in fixed.HEADLINE_CATEGORIES)
 
 
 @query(
@@ -169,7 +166,7 @@ def clean_lines(t: Tables) -> DataFrame:
     )
     text = F.col("text")
     drop = fixed.DISCLAIMER_LINES + fixed.BOILERPLATE_LINES + _EXTRA_LINES
-    return t.documents.select(
+    return spread(t.documents.select("doc_id", "text")).select(
         "doc_id",
         F.md5(P.strip_lines(text, drop)).alias("body_id"),
         F.md5(P.without_ad_lines(text, (*fixed.AD_PHRASES, *_EXTRA_PHRASES))).alias("ad_free_id"),
@@ -208,7 +205,7 @@ def keywords(t: Tables) -> DataFrame:
 
 
 def news(t: Tables) -> DataFrame:
-    return t.documents.select(
+    return spread(t.documents.select("doc_id", "text")).select(
         F.col("doc_id").alias("article_id"), headline().alias("headline"), content().alias("content")
     )
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from eventide.functions import clock, fixed, scalars, timeparse
 from eventide.operators import calendar, evaluate, labels
 from eventide.plans import Tables, query
-from eventide.plans.roles import BARS_SQL, FORWARDS, TOLERANCE, bars, symbol
+from eventide.plans.roles import BARS_SQL, FORWARDS, TOLERANCE, bars
+from eventide.session import spread
 
 # --- event study ---------------------------------------------------------------------------
 
@@ -213,7 +214,7 @@ FROM cut"""
 def parse_times(t: Tables) -> DataFrame:
     """Every event time written in every published form and read back by each parser."""
     forms = F.array(*[F.struct(F.lit(n).alias("style"), F.date_format("ts", f).alias("text")) for n, (f, _) in STYLES.items()])
-    rows = t.events.select("event_id", F.explode(forms).alias("s")).select(
+    rows = spread(t.events.select("event_id", "ts")).select("event_id", F.explode(forms).alias("s")).select(
         "event_id", "s.style", F.col("s.text").alias("published_time")
     )
     text = F.col("published_time")
@@ -347,7 +348,7 @@ def text_flags_mentions(t: Tables) -> DataFrame:
     first_words = F.slice(F.split(headline(), " "), 1, 3)
     company = F.concat(F.array_join(first_words, " "), F.lit(" Limited"))
     site = F.get(F.array(*[F.lit(s) for s in _SITES]), F.pmod("doc_id", F.lit(4)).cast("int"))
-    rows = t.documents.select(
+    rows = spread(t.documents.select("doc_id", "text")).select(
         "doc_id",
         scalars.text_blob(headline(), content()).alias("blob"),
         company.alias("company"),

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job relies on. The zone is pinned because bar times are
 # zone-less wall-clock values; AQE coalesces small shuffles and splits skewed joins.
@@ -56,3 +56,19 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="eventide-")
         spark.conf.set("spark.checkpoint.dir", base)
     return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for per-row CPU work on a table stored in fewer splits than cores.
+
+    A table with enough splits is returned as it is, so large inputs gain no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """Write once to the shared scratch folder and read back: for inputs of iterative fits."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
