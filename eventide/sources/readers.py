@@ -13,27 +13,17 @@ from pyspark.sql import types as T
 
 from eventide.functions.scalars import loose_name
 
-CORRUPT = "_corrupt"
-
 
 def json_arrays(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, unreadable) of a folder of JSON files holding an array or one object each.
 
-    An empty array gives no rows. A file that cannot be read is reported with its path and
-    never stops the others.
+    An empty array gives no rows. A file that cannot be read gives no rows either; it is
+    listed by path in ``unreadable`` and never stops the others.
     """
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    raw = (
-        spark.read.schema(wide)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-        .withColumn("_file", F.col("_metadata.file_path"))
-    )
-    rows = raw.filter(F.col(CORRUPT).isNull()).drop(CORRUPT, "_file")
-    unreadable = raw.filter(F.col(CORRUPT).isNotNull()).select("_file", CORRUPT)
-    return rows, unreadable
+    texts = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    parsed = texts.select("file", F.from_json("value", T.ArrayType(schema)).alias("records"))
+    rows = parsed.select(F.inline("records"))
+    return rows, parsed.filter(F.col("records").isNull()).select("file")
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -121,7 +111,12 @@ def packet_status(value: Column) -> Column:
     )
 
 
-@F.pandas_udf("secid string, ltp double, ltq int, ltt bigint")
+TICK_FIELDS = (
+    T.StructType().add("secid", "string").add("ltp", "double").add("ltq", "integer").add("ltt", "long")
+)
+
+
+@F.pandas_udf(TICK_FIELDS)
 def _unpack(values: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     import numpy as np
 
