@@ -276,21 +276,30 @@ def resolve_session(
     key: Sequence[str] = ("symbol",),
     date: str = "event_date",
     session: str = "trade_date",
+    last_bar: str | None = None,
 ) -> DataFrame:
     """Latest session on or before the event date, at most ``max_days`` back (else null).
 
     Works on distinct (key, date) pairs; the window is one row per key and calendar day.
+    ``last_bar`` also adds the time of that session's last bar under this name.
     """
-    held = bars.select(*key, F.col(session).alias("__d")).distinct().withColumn("__s", F.col("__d"))
+    held = bars.groupBy(*key, F.col(session).alias("__d"))
+    held = held.agg(F.max("ts").alias("__last")) if last_bar else held.agg(F.lit(None).cast("timestamp_ntz").alias("__last"))
     asked = events.select(*key, F.col(date).alias("__d")).distinct()
-    asked = asked.withColumn("__s", F.lit(None).cast("date"))
     day = W.partitionBy(*key).orderBy(F.unix_date("__d")).rangeBetween(-max_days, 0)
+    best = F.max_by(F.struct(F.col("__s").alias("s"), F.col("__last").alias("l")), F.col("__s")).over(day)
     found = (
-        held.withColumn("__ask", F.lit(False))
-        .unionByName(asked.withColumn("__ask", F.lit(True)))
-        .withColumn("__found", F.max("__s").over(day))
+        held.withColumn("__s", F.col("__d"))
+        .unionByName(asked.withColumns({"__s": F.lit(None).cast("date"), "__last": F.lit(None).cast("timestamp_ntz")}))
+        .withColumn("__ask", F.col("__s").isNull())
+        .withColumn("__found", best)
         .filter("__ask")
-        .select(*key, F.col("__d").alias(date), F.col("__found").alias(session))
+        .select(
+            *key,
+            F.col("__d").alias(date),
+            F.col("__found.s").alias(session),
+            *([F.col("__found.l").alias(last_bar)] if last_bar else []),
+        )
     )
     return events.join(found, [*key, date], "left")
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide.functions import clock
@@ -32,43 +34,41 @@ HOLIDAYS_2026 = (
 REACH_DAYS = 30
 
 
-def holiday_table(spark: SparkSession, days: Sequence[str] = HOLIDAYS_2026) -> DataFrame:
-    return spark.createDataFrame([(d,) for d in days], "d string").select(F.to_date("d").alias("holiday_date"))
-
-
-def with_sessions(
-    df: DataFrame, holidays: DataFrame, date: str = "event_date", reach: int = REACH_DAYS
+def calendar_table(
+    spark: SparkSession,
+    holidays: Sequence[str] = HOLIDAYS_2026,
+    start: str = "1990-01-01",
+    end: str = "2060-12-31",
+    reach: int = REACH_DAYS,
 ) -> DataFrame:
-    """Add is_trading, reason, prev_session and next_session for a date column.
+    """One row per day: is_trading, reason, prev_session, next_session (null when further than ``reach``).
 
-    Each distinct date looks at its ``2 * reach + 1`` neighbours; a session further away
-    is null. One row per date is joined back, so nothing depends on the number of rows.
+    The table grows with the calendar only (a century has 36,525 rows), which is why its
+    one window may run unpartitioned, and Spark knows its size from the start: a join to
+    it is broadcast by size, without shuffling the events by date.
     """
-    near = (
-        df.select(date)
-        .filter(F.col(date).isNotNull())
-        .distinct()
-        .withColumn("__o", F.explode(F.sequence(F.lit(-reach), F.lit(reach))))
-        .withColumn("__c", F.date_add(date, F.col("__o")))
-    )
-    closed = holidays.select(F.col("holiday_date").alias("__c")).distinct().withColumn("__h", F.lit(True))
-    off, cand = F.col("__o"), F.col("__c")
-    weekend = F.weekday(cand) >= 5
-    flagged = near.join(closed, "__c", "left").withColumn("__open", ~weekend & F.col("__h").isNull())
-    today = off == 0
-    dim = flagged.groupBy(date).agg(
-        F.bool_or(today & F.col("__open")).alias("is_trading"),
-        F.bool_or(today & F.col("__h").isNotNull()).alias("__holiday"),
-        F.max(F.when((off < 0) & F.col("__open"), cand)).alias("prev_session"),
-        F.min(F.when((off > 0) & F.col("__open"), cand)).alias("next_session"),
-    )
-    day = F.col(date)
+    first, last = dt.date.fromisoformat(start), dt.date.fromisoformat(end)
+    day = F.date_add(F.lit(first), F.col("id").cast("int"))
+    rows = spark.range((last - first).days + 1).select(day.alias("d"))
+    closed = F.date_format("d", "yyyy-MM-dd").isin(*holidays) if holidays else F.lit(False)
+    weekend = F.weekday("d") >= 5
+    line = W.orderBy("d")
+    open_day = F.when(F.col("is_trading"), F.col("d"))
+    before = F.max(open_day).over(line.rowsBetween(-reach, -1))
+    after = F.min(open_day).over(line.rowsBetween(1, reach))
     reason = (
-        F.when(F.weekday(day) >= 5, F.format_string("Weekend (%s)", F.date_format(day, "EEEE")))
-        .when(F.col("__holiday"), F.format_string("NSE Holiday (%s)", F.date_format(day, "yyyy-MM-dd")))
+        F.when(weekend, F.format_string("Weekend (%s)", F.date_format("d", "EEEE")))
+        .when(closed, F.format_string("NSE Holiday (%s)", F.date_format("d", "yyyy-MM-dd")))
         .otherwise("Trading Day")
     )
-    return df.join(dim.withColumn("reason", reason).drop("__holiday"), date, "left")
+    return rows.select("d", (~weekend & ~closed).alias("is_trading"), reason.alias("reason")).withColumns(
+        {"prev_session": before, "next_session": after}
+    )
+
+
+def with_sessions(df: DataFrame, table: DataFrame, date: str = "event_date") -> DataFrame:
+    """Add the calendar columns for a date column; dates outside the table get nulls."""
+    return df.join(table.withColumnRenamed("d", date), date, "left")
 
 
 def market_status(ts: Column, is_trading: Column, reason: Column) -> Column:

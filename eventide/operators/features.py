@@ -66,9 +66,7 @@ def with_market(
     """
     dated = rows.filter(F.col("company_name").isNotNull() & F.col(ts).isNotNull())
     dated = dated.withColumn("event_date", F.to_date(ts))
-    placed = asof.resolve_session(dated, bars, key=[key])
-    last = asof.sessions_of(bars, [key]).select(key, "trade_date", "last_ts")
-    placed = placed.join(last, [key, "trade_date"], "left")
+    placed = asof.resolve_session(dated, bars, key=[key], last_bar="last_ts")
     moved = F.col("trade_date") < F.col("event_date")
     # Half a minute after the last bar: every bar of the earlier session lies before it.
     point = F.when(moved, clock.axis(F.col("last_ts")) + 1).otherwise(clock.axis(F.col(ts)))

@@ -25,39 +25,42 @@ TRAIN_SHARE = 0.8
 # --- splits --------------------------------------------------------------------------------
 
 
+def _reach(rows: DataFrame, bucket: Column, base: Column, cut: Column) -> DataFrame:
+    """The bucket in which the running count (from ``base``) first reaches ``cut``: one row (b, base)."""
+    counts = rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    line = W.partitionBy(F.lit(1)).orderBy("b").rowsBetween(W.unboundedPreceding, 0)
+    seen = counts.withColumn("seen", base + F.sum("n").over(line))
+    return seen.filter(F.col("seen") >= cut).agg(F.min("b").alias("b"), F.min(F.col("seen") - F.col("n")).alias("base"))
+
+
 def chronological_split(
-    df: DataFrame, ts: str, order: Sequence[str], share: float = TRAIN_SHARE, bucket_minutes: int = 60, out: str = "is_train"
+    df: DataFrame, ts: str, order: Sequence[str], share: float = TRAIN_SHARE, out: str = "is_train"
 ) -> DataFrame:
     """Flag the first ``floor(share * n)`` rows in time order, exactly.
 
-    Only hourly counts are accumulated in one place. Rows of hours wholly before or after
-    the cut are decided by their hour; just the hour that holds the cut is sorted. Rows
-    without a time are left out.
+    Counts per hour, then per second of the hour that holds the cut, locate the cut as two
+    single values; only the rows of that one second are ranked, all others are decided by
+    comparing their time. Rows without a time are left out.
     """
-    rows = df.filter(F.col(ts).isNotNull()).withColumn("__b", F.floor(clock.minute_no(F.col(ts)) / bucket_minutes))
-    counts = rows.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))
-    line = W.partitionBy(F.lit(1)).orderBy("__b")
-    cut = F.floor(F.sum("__n").over(W.partitionBy(F.lit(1))) * share)
-    hours = counts.select(
-        "__b",
-        "__n",
-        (F.sum("__n").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("__n")).alias("__base"),
-        cut.alias("__cut"),
-    )
-    placed = rows.join(hours, "__b")
-    whole = F.col("__base") + F.col("__n") <= F.col("__cut")
-    split_here = (F.col("__base") < F.col("__cut")) & ~whole
-    clear = placed.filter(~split_here).withColumn(out, whole)
-    rank = F.row_number().over(W.partitionBy("__b").orderBy(ts, *order))
-    edge = placed.filter(split_here).withColumn(out, F.col("__base") + rank <= F.col("__cut"))
-    return clear.unionByName(edge).drop("__b", "__n", "__base", "__cut")
+    rows = df.filter(F.col(ts).isNotNull())
+    second = F.floor(clock.micros(F.col(ts)) / 1_000_000).cast("long")
+    hour = F.floor(second / 3600).cast("long")
+    cut = rows.agg(F.floor(F.count(F.lit(1)) * share).cast("long")).scalar()
+    by_hour = _reach(rows, hour, F.lit(0), cut)
+    edge_hour = rows.filter(hour == by_hour.select("b").scalar())
+    by_second = _reach(edge_hour, second, by_hour.select("base").scalar(), cut)
+    edge, base = by_second.select("b").scalar(), by_second.select("base").scalar()
+    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(ts, *order))
+    # No row reaches a cut of zero rows before the first one: everything then lies after it.
+    clear = rows.filter(F.coalesce(second != edge, F.lit(True))).withColumn(out, F.coalesce(second < edge, F.lit(False)))
+    tie = rows.filter(second == edge).withColumn(out, base + rank <= cut)
+    return clear.unionByName(tie)
 
 
 def approximate_split(df: DataFrame, ts: str, share: float = TRAIN_SHARE, out: str = "is_train") -> DataFrame:
     """Split at an approximate time quantile (one sketch, no sort)."""
-    cut = df.agg(F.percentile_approx(clock.micros(F.col(ts)), share).alias("__cut"))
-    flagged = df.join(F.broadcast(cut)).withColumn(out, clock.micros(F.col(ts)) <= F.col("__cut"))
-    return flagged.drop("__cut")
+    at = clock.micros(F.col(ts))
+    return df.withColumn(out, at <= df.agg(F.percentile_approx(at, share)).scalar())
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = TRAIN_SHARE, seed: int = SEED, out: str = "is_train") -> DataFrame:
@@ -143,6 +146,31 @@ def model_run(metrics: DataFrame, rows: DataFrame, version: str, source: str, pr
     return spark.createDataFrame([row], schema).withColumn("trained_at", F.current_timestamp())
 
 
+def retrain(
+    rows: DataFrame,
+    features: Sequence[str],
+    ts: str,
+    order: Sequence[str],
+    version: str,
+    source: str = "live",
+    previous: dict | None = None,
+    min_rows: int = MIN_TRAINING_ROWS,
+    force: bool = False,
+    **shape: int,
+) -> tuple[PipelineModel | None, DataFrame | None, str]:
+    """Row gate, time split, fit, hold-out metrics and model run: (model, run, reason).
+
+    ``rows`` should be a stored table: the fit reads it several times.
+    """
+    if rows.limit(min_rows).count() < min_rows:
+        return None, None, "insufficient_data"
+    split = chronological_split(rows.filter(F.col("label").isin(*labels.CLASSES)), ts, order)
+    model = train_reaction_model(split.filter("is_train"), features, **shape)
+    metrics = holdout_metrics(model, split.filter("not is_train"), features)
+    run = model_run(metrics, rows, version, source, previous, force)
+    return model, run, "success"
+
+
 def save_run(model: PipelineModel, run: DataFrame, model_folder: str, runs_path: str, version: str) -> None:
     """Versioned model plus a row in ``model_runs``; "latest" is the last deployed version there."""
     model.write().overwrite().save(f"{model_folder}/{version}")

@@ -148,17 +148,10 @@ def packet_counts(packets: DataFrame, value: str = "value") -> DataFrame:
 
 
 def newer_table(night: DataFrame, regular: DataFrame, at: str = "predicted_at") -> DataFrame:
-    """The off-hours table when it has rows and its latest time is later, else the regular one.
-
-    Both latest times meet as one-row aggregates; each table is then kept or emptied by
-    that flag, so nothing is read on the driver.
-    """
-    tops = night.agg(F.max(at).alias("n")).select("n", F.lit(1).alias("__j")).join(
-        regular.agg(F.max(at).alias("r")).select("r", F.lit(1).alias("__j")), "__j"
-    )
-    use = tops.select("__j", (F.col("n").isNotNull() & (F.col("r").isNull() | (F.col("n") > F.col("r")))).alias("__night"))
+    """The off-hours table when it has rows and its latest time is later, else the regular one."""
+    n, r = (t.agg(F.max(at)).scalar() for t in (night, regular))
+    use_night = n.isNotNull() & (r.isNull() | (n > r))
     every = night.withColumn("is_overnight", F.lit(True)).unionByName(
         regular.withColumn("is_overnight", F.lit(False)), allowMissingColumns=True
     )
-    chosen = every.withColumn("__j", F.lit(1)).join(F.broadcast(use), "__j")
-    return chosen.filter(F.col("is_overnight") == F.col("__night")).drop("__j", "__night")
+    return every.filter(F.col("is_overnight") == F.coalesce(use_night, F.lit(False)))

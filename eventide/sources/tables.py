@@ -39,8 +39,10 @@ class KeyedTable:
     def read(self, before: int | None = None) -> DataFrame | None:
         """All batches (below ``before``), or None while nothing is stored."""
         try:
-            rows = self.spark.read.option("mergeSchema", True).parquet(self.path)
-        except AnalysisException:
+            rows = self.spark.read.parquet(self.path)
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
             return None
         return rows if before is None else rows.filter(F.col("batch") < before)
 

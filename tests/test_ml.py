@@ -24,6 +24,19 @@ def test_chronological_split_is_exact(spark):
     assert abs(approx - 802) < 20
 
 
+def test_chronological_split_with_one_hot_second(spark):
+    df = spark.range(500).select("id", F.lit("2024-01-01 00:00:01").cast("timestamp_ntz").alias("ts"))
+    got = ml.chronological_split(df, "ts", ["id"]).filter("is_train").collect()
+    assert {r.id for r in got} == set(range(400))
+    one = ml.chronological_split(df.filter("id = 7"), "ts", ["id"]).collect()
+    assert [r.is_train for r in one] == [False]
+
+
+def test_retrain_gate(spark):
+    few = spark.range(10).select(F.lit("BUY").alias("label"))
+    assert ml.retrain(few, [], "ts", [], "v")[2] == "insufficient_data"
+
+
 def test_stratified_split_repeats(spark):
     df = spark.range(5000).select(F.col("id").cast("string").alias("k"), F.when(F.col("id") % 3 == 0, "BUY").otherwise("HOLD").alias("label"))
     a = ml.stratified_split(df, "k", "label").filter("is_train")

@@ -71,7 +71,9 @@ def test_epoch(spark):
 def test_calendar(spark):
     df = spark.createDataFrame([("2026-02-14",), ("2026-01-26",), ("2026-02-16",), ("2026-02-13",)], "d string")
     df = df.select(F.to_date("d").alias("event_date"))
-    got = {str(r.event_date): r for r in calendar.with_sessions(df, calendar.holiday_table(spark)).collect()}
+    got = {str(r.event_date): r for r in calendar.with_sessions(df, calendar.calendar_table(spark)).collect()}
+    plan = calendar.with_sessions(df, calendar.calendar_table(spark))._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan
     assert got["2026-02-14"].reason == "Weekend (Saturday)" and not got["2026-02-14"].is_trading
     assert got["2026-01-26"].reason == "NSE Holiday (2026-01-26)"
     assert got["2026-02-16"].is_trading and str(got["2026-02-16"].prev_session) == "2026-02-13"
