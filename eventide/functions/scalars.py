@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 from operator import and_
 
@@ -12,6 +12,17 @@ from pyspark.sql import functions as F
 from eventide.functions import clock, fixed
 
 
+def once(values: Sequence[Column], use: Callable[..., Column]) -> Column:
+    """``use(*values)`` with each value computed once per row.
+
+    The optimizer may move a column that is named once into the lambda that uses it, where
+    it would be computed again for every array element; a lambda variable cannot move.
+    """
+    names = [f"v{i}" for i in range(len(values))]
+    packed = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names)]))
+    return F.get(F.transform(packed, lambda v: use(*[v[n] for n in names])), F.lit(0))
+
+
 def time_decay(ts: Column, as_of: Column, minutes: float = 15.0, places: int = 4) -> Column:
     """exp(-age / 15 min); the future counts as age 0, an unknown time as fresh."""
     age = F.greatest((clock.micros(as_of) - clock.micros(ts)) / clock.MINUTE_US, F.lit(0.0))
@@ -48,7 +59,7 @@ def mention_strength(blob: Column, company: Column, stop: Sequence[str] = fixed.
     words = F.filter(
         F.split(F.trim(name), r"\s+"), lambda w: (F.length(w) > 2) & ~w.isin(*stop)
     )
-    total = F.aggregate(words, F.lit(0), lambda acc, w: acc + occurrences(blob, w))
+    total = once([blob], lambda b: F.aggregate(words, F.lit(0), lambda acc, w: acc + occurrences(b, w)))
     mentions = F.when(F.size(words) > 0, total).otherwise(occurrences(blob, name))
     return F.when(F.coalesce(company, F.lit("")) == "", 0).otherwise(mentions).cast("int")
 

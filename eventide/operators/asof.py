@@ -73,7 +73,7 @@ def timeline(
     bar = F.struct(F.col(bar_ts).alias("ts"), *[F.col(c) for c in columns])
     rows = bars.select(*key, session, (clock.minute_no(F.col(bar_ts)) * 2).alias(AXIS), bar.alias("bar"))
     empty = F.lit(None).cast(rows.schema["bar"].dataType)
-    slots = points.select(*key, session, AXIS).filter(F.col(session).isNotNull()).distinct().withColumn("bar", empty)
+    slots = points.select(*key, session, AXIS).filter(F.col(session).isNotNull() & F.col(AXIS).isNotNull()).distinct().withColumn("bar", empty)
     return rows.unionByName(slots).repartition(*key, session)
 
 
@@ -203,7 +203,14 @@ class Study:
         w = self._ask(f"{name}_w", self.line.ahead(name))
         self._named |= {f"post_{c}_{minutes}m": w[c] for c in PRICES}
         self._named["post_start"] = w["start"]
-        self._named[f"return_{minutes}m"] = F.try_divide(w["close"] - w["open"], w["open"]) * 100
+        # Floating-point division: a zero open gives an infinite return, or NaN without a move.
+        move = w["close"] - w["open"]
+        self._named[f"return_{minutes}m"] = (
+            F.when(w["open"] != 0, F.try_divide(move, w["open"]) * 100)
+            .when(move > 0, float("inf"))
+            .when(move < 0, float("-inf"))
+            .when(move == 0, float("nan"))
+        )
         return self
 
     def pre_event(self, short: int = 5, long: int = 30, min_bars: int = 5) -> Study:

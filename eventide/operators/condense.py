@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventide.functions import scalars
+
 # Fixed value: sentences kept per document.
 TOP_SENTENCES = 5
 
@@ -46,10 +48,10 @@ def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", ma
     per = words.groupBy(key, "sent", "w").agg(F.count(F.lit(1)).alias("c"))
     per = per.withColumn("d", F.sum("c").over(W.partitionBy(key, "w")))
     sums = per.groupBy(key, "sent").agg(
-        F.sum(F.col("c") * F.col("d")).alias("dot"), F.sum(F.col("c") * F.col("c")).alias("ss"), F.sum(F.col("c") * F.col("d")).alias("dd")
+        F.sum(F.col("c") * F.col("d")).alias("dot"), F.sum(F.col("c") * F.col("c")).alias("ss")
     )
     # The squared length of the document vector is the sum of count * document count over its sentences.
-    whole = F.sum("dd").over(W.partitionBy(key))
+    whole = F.sum("dot").over(W.partitionBy(key))
     return sums.select(
         key, "sent", (F.col("dot") / (F.sqrt(F.col("ss").cast("double")) * F.sqrt(whole.cast("double")))).alias("score")
     )
@@ -67,14 +69,13 @@ def top_sentences(
         .groupBy(key)
         .agg(F.sort_array(F.collect_list("sent")).alias("picked"))
     )
-    parts = sentences(F.col(text))
-    chosen = F.array_join(F.transform("picked", lambda i: F.get(parts, i)), " ")
-    short = F.size(parts) <= k
-    return (
-        docs.join(picked, key, "left")
-        .withColumn("condensed_text", F.when(short | F.col("picked").isNull(), F.col(text)).otherwise(chosen))
-        .drop("picked")
-    )
+
+    def chosen(parts: Column) -> Column:
+        best_parts = F.array_join(F.transform("picked", lambda i: F.get(parts, i)), " ")
+        return F.when((F.size(parts) <= k) | F.col("picked").isNull(), F.col(text)).otherwise(best_parts)
+
+    short_text = scalars.once([sentences(F.col(text))], chosen)
+    return docs.join(picked, key, "left").withColumn("condensed_text", short_text).drop("picked")
 
 
 def encoded_top_sentences(

@@ -16,8 +16,8 @@ MIN_CONFIDENCE = 0.40
 
 
 def label_return(ret: Column, threshold: float = LIVE_THRESHOLD, minutes: int = 15) -> dict[str, Column]:
-    """Label, strength and reason of a return in percent; thresholds are inclusive."""
-    up, down = ret >= threshold, ret <= -threshold
+    """Label, strength and reason of a return in percent; thresholds are inclusive, NaN is flat."""
+    up, down = (ret >= threshold) & ~F.isnan(ret), ret <= -threshold
     return {
         "label": F.when(up, "BUY").when(down, "SELL").otherwise("HOLD"),
         "label_strength": F.round(F.coalesce(F.abs(ret), F.lit(0.0)), 4),

@@ -9,12 +9,13 @@ built-in array functions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions import fixed
+from eventide.functions.scalars import once
 
 WORDS = r"(?U)(\w+)"
 MARK = "\x01"
@@ -24,17 +25,6 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORDS), F.lit(1))
 
 
-def once(values: Sequence[Column], use: Callable[..., Column]) -> Column:
-    """``use(*values)`` with each value computed once per row.
-
-    The optimizer may move a column that is named once into the lambda that uses it, where
-    it would be computed again for every array element; a lambda variable cannot move.
-    """
-    names = [f"v{i}" for i in range(len(values))]
-    packed = F.array(F.struct(*[v.alias(n) for v, n in zip(values, names)]))
-    return F.get(F.transform(packed, lambda v: use(*[v[n] for n in names])), F.lit(0))
-
-
 def _neighbours(words: Column) -> Column:
     """Adjacent word pairs."""
     pairs = F.zip_with(words, F.slice(words, 2, 2_000_000_000), lambda a, b: F.concat(a, F.lit(MARK), b))

@@ -22,14 +22,18 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = tune(spark)
         self.folder = folder
+        self._read: dict[str, DataFrame] = {}
 
     def path(self, name: str) -> str:
         return os.path.join(self.folder, f"{name}.parquet")
 
     def __getattr__(self, name: str) -> DataFrame:
-        if name in TABLES:
-            return self.spark.read.parquet(self.path(name))
-        raise AttributeError(name)
+        if name not in TABLES:
+            raise AttributeError(name)
+        # Reading a table infers its schema from a footer; once per query is enough.
+        if name not in self._read:
+            self._read[name] = self.spark.read.parquet(self.path(name))
+        return self._read[name]
 
 
 @dataclass(frozen=True)

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from eventide.operators import asof, bars as bar_ops, labels
 from eventide.plans import Tables, query
 from eventide.plans.roles import (
-    ANCHORS_SQL,
     BARS_SQL,
     FORWARDS,
     LOOKBACKS,
@@ -61,7 +60,8 @@ def _lookback_sql() -> str:
             cols += [
                 f"b{k}.close AS pre_close_{k}m",
                 f"b{k}.volume AS pre_volume_{k}m",
-                f"round((b{k}.high - b{k}.low) / b{k}.open, 4) AS pre_volatility_{k}m",
+                f"round(CASE WHEN b{k}.open > 0 THEN (b{k}.high - b{k}.low) / b{k}.open WHEN b{k}.open IS NOT NULL THEN 0 END, 4) "
+                f"AS pre_volatility_{k}m",
             ]
     return f"WITH {STUDY_SQL} SELECT {', '.join(cols)} FROM anchors a {' '.join(joins)}"
 
@@ -174,10 +174,12 @@ feats AS (
 
 @query(
     f"""WITH {PRE_SQL}
-    SELECT a.event_id, round((last_close - open5) / open5 * 100, 4) AS pre_news_momentum_5m,
-           round(CASE WHEN n >= 30 THEN (last_close - open30) / open30 * 100
-                      ELSE (last_close - open5) / open5 * 100 END, 4) AS pre_news_momentum_30m
-    FROM anchors a LEFT JOIN feats f ON a.event_id = f.event_id"""
+    , moves AS (
+      SELECT event_id, n, CASE WHEN open5 > 0 THEN (last_close - open5) / open5 * 100 ELSE 0 END AS m5,
+             CASE WHEN open30 > 0 THEN (last_close - open30) / open30 * 100 ELSE 0 END AS m30 FROM feats)
+    SELECT a.event_id, round(m5, 4) AS pre_news_momentum_5m,
+           round(CASE WHEN n >= 30 THEN m30 ELSE m5 END, 4) AS pre_news_momentum_30m
+    FROM anchors a LEFT JOIN moves m ON a.event_id = m.event_id"""
 )
 def pre_event_momentum(t: Tables) -> DataFrame:
     out = asof.Study(bars(t), anchors(t)).pre_event().run()
@@ -189,7 +191,8 @@ def pre_event_momentum(t: Tables) -> DataFrame:
     SELECT a.event_id,
            round(CASE WHEN avg_volume > 0 THEN last_volume / avg_volume
                       WHEN n IS NOT NULL THEN 1.0 END, 4) AS pre_news_volume_ratio,
-           round((hi - lo) / first_open * 100, 4) AS intraday_volatility,
+           round(CASE WHEN first_open > 0 THEN (hi - lo) / first_open * 100 WHEN n IS NOT NULL THEN 0 END, 4)
+             AS intraday_volatility,
            round(last_close, 2) AS pre_news_price
     FROM anchors a LEFT JOIN feats f ON a.event_id = f.event_id"""
 )
@@ -228,8 +231,9 @@ HV_SQL = f"""{TICKS_SQL}, steps AS (
          ln(price / lag(price) OVER (PARTITION BY symbol, CAST(ts AS DATE) ORDER BY ts, event_id)) AS r
   FROM ticks),
 hvs AS (
-  SELECT *, coalesce(stddev_pop(r) OVER (PARTITION BY symbol, trade_date ORDER BY ts, event_id
-           ROWS BETWEEN 58 PRECEDING AND CURRENT ROW), 0) * sqrt(252 * 390) AS hv FROM steps)"""
+  SELECT * EXCLUDE (dev), CASE WHEN isfinite(dev) THEN dev * sqrt(252 * 390) ELSE 0 END AS hv
+  FROM (SELECT *, stddev_pop(r) OVER (PARTITION BY symbol, trade_date ORDER BY ts, event_id
+          ROWS BETWEEN 58 PRECEDING AND CURRENT ROW) AS dev FROM steps))"""
 
 
 @query(f"WITH {HV_SQL} SELECT event_id, symbol, trade_date, round(hv, 4) AS hv FROM hvs")
@@ -254,7 +258,7 @@ def candle_hv(t: Tables) -> DataFrame:
 def _label_sql(threshold: float) -> str:
     return f"""SELECT CAST({threshold} AS DOUBLE) AS threshold, label, count(*) AS n,
       round(count(*) * 100.0 / sum(count(*)) OVER (), 2) AS pct
-    FROM (SELECT CASE WHEN ret >= {threshold} THEN 'BUY' WHEN ret <= -{threshold} THEN 'SELL' ELSE 'HOLD' END AS label
+    FROM (SELECT CASE WHEN ret >= {threshold} AND NOT isnan(ret) THEN 'BUY' WHEN ret <= -{threshold} THEN 'SELL' ELSE 'HOLD' END AS label
           FROM returns) GROUP BY label"""
 
 
@@ -282,7 +286,7 @@ def next_bar_anchor(t: Tables) -> DataFrame:
     return asof.next_bar(bars(t), anchors(t).drop("trade_date")).select("event_id", "symbol", "ts", "anchor_ts")
 
 
-_FLAGSHIP_LABEL = "CASE WHEN ret >= 0.15 THEN 'BUY' WHEN ret <= -0.15 THEN 'SELL' ELSE 'HOLD' END"
+_FLAGSHIP_LABEL = "CASE WHEN ret >= 0.15 AND NOT isnan(ret) THEN 'BUY' WHEN ret <= -0.15 THEN 'SELL' ELSE 'HOLD' END"
 
 
 @query(

@@ -35,6 +35,8 @@ def local_session(cores: int | str = "*", app: str = "eventide", **conf: str) ->
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", "8")
+        # Call-site capture costs about a millisecond per column expression.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for name, value in {**RUNTIME, **conf}.items():
         builder = builder.config(name, value)

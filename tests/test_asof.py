@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.operators import asof
+from eventide.operators import asof, labels
 
 DAY = dt.datetime(2024, 1, 3)
 BAR = "symbol string, trade_date date, ts timestamp_ntz, open double, high double, low double, close double, volume bigint"
@@ -127,6 +127,11 @@ def test_window_edges_and_nulls(spark):
 def test_zero_open_and_zero_volume(spark):
     bars = [bar_row("A", 600 + i, close=5.0, open_=0.0, volume=0) for i in range(6)]
     r = asof.Study(spark.createDataFrame(bars, BAR), spark.createDataFrame([event(1, "A", 610)], EVENT)).pre_event().lookbacks((5,)).run().first()
+    ahead = asof.Study(spark.createDataFrame(bars, BAR), spark.createDataFrame([event(1, "A", 600)], EVENT)).reaction().run()
+    row = ahead.withColumns(labels.label_return(F.col("return_15m"))).first()
+    assert row.return_15m == float("inf") and row.label == "BUY"
+    flat = spark.range(1).select(*[c.alias(n) for n, c in labels.label_return(F.lit(float("nan"))).items()]).first()
+    assert (flat.label, flat.label_reason) == ("HOLD", "flat_move")
     assert (r.pre_news_momentum_5m, r.pre_news_volume_ratio, r.intraday_volatility) == (0.0, 1.0, 0.0)
     assert r.pre_volatility_5m == 0.0
 
