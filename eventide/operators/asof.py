@@ -77,6 +77,16 @@ def timeline(
     return rows.unionByName(slots).repartition(*key, session)
 
 
+def on_dates(bars: DataFrame, dates: DataFrame, session: str) -> DataFrame:
+    """Bars of the given dates only.
+
+    The broadcast side has at most one row per calendar day; against a table partitioned by
+    ``session`` the join prunes partitions at run time.
+    """
+    wanted = dates.filter(F.col(session).isNotNull()).distinct()
+    return bars.join(F.broadcast(wanted), session, "left_semi")
+
+
 def attach(events: DataFrame, answers: DataFrame, key: Sequence[str], session: str) -> DataFrame:
     """Bring per-point answers back to the events (one answer row per point).
 
@@ -100,8 +110,15 @@ class Study:
         session: str = "trade_date",
         ts: str = "ts",
         point: str | None = None,
+        prune: bool = False,
     ):
-        """``point`` names a ready axis column for events that were moved to an earlier session."""
+        """``point`` names a ready axis column for events that were moved to an earlier session.
+
+        ``prune`` reads only the bar dates the events need, for a batch of events against a
+        long history of bars partitioned by session date.
+        """
+        if prune:
+            bars = on_dates(bars, events.select(session), session)
         self.bars, self.key, self.session = bars, list(key), session
         self.events = events.withColumn(AXIS, F.col(point) if point else clock.axis(F.col(ts)))
         self.line = Timeline(self.key, session)
@@ -284,12 +301,18 @@ def resolve_session(
     date: str = "event_date",
     session: str = "trade_date",
     last_bar: str | None = None,
+    prune: bool = False,
 ) -> DataFrame:
     """Latest session on or before the event date, at most ``max_days`` back (else null).
 
     Works on distinct (key, date) pairs; the window is one row per key and calendar day.
-    ``last_bar`` also adds the time of that session's last bar under this name.
+    ``last_bar`` also adds the time of that session's last bar under this name; ``prune``
+    reads only the bar dates within reach of the events.
     """
+    if prune:
+        reach = F.explode(F.sequence(F.date_sub(date, max_days), F.col(date)))
+        days = events.select(date).filter(F.col(date).isNotNull()).distinct()
+        bars = on_dates(bars, days.select(reach.alias(session)), session)
     held = bars.groupBy(*key, F.col(session).alias("__d"))
     held = held.agg(F.max("ts").alias("__last")) if last_bar else held.agg(F.lit(None).cast("timestamp_ntz").alias("__last"))
     asked = events.select(*key, F.col(date).alias("__d")).distinct()

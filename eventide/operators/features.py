@@ -62,14 +62,14 @@ def with_market(
     Rows without a company or a readable time are dropped. The session is the event's date
     or the latest one within five days; on an earlier session the look-backs count from its
     last bar, the features use the whole session and there is no reaction window. All
-    questions share one timeline.
+    questions share one timeline, which holds only the bar dates the rows need.
     """
     dated = rows.filter(F.col("company_name").isNotNull() & F.col(ts).isNotNull())
     dated = dated.withColumn("event_date", F.to_date(ts))
-    placed = asof.resolve_session(dated, bars, key=[key], last_bar="last_ts")
+    placed = asof.resolve_session(dated, bars, key=[key], last_bar="last_ts", prune=True)
     moved = F.col("trade_date") < F.col("event_date")
     # Half a minute after the last bar: every bar of the earlier session lies before it.
     point = F.when(moved, clock.axis(F.col("last_ts")) + 1).otherwise(clock.axis(F.col(ts)))
     placed = placed.withColumn("__point", point).drop("last_ts")
-    study = asof.Study(bars, placed, [key], point="__point").pre_event().lookbacks(lookbacks)
+    study = asof.Study(bars, placed, [key], point="__point", prune=True).pre_event().lookbacks(lookbacks)
     return study.reaction(reaction).run().drop("__point")

@@ -23,8 +23,8 @@ def page_links(
     """Anchors with absolute link and title, the first one per link and page, in page order.
 
     ``keep`` is a predicate on ``link`` and ``title``. ``limit`` is the articles-per-page
-    feature of an index page; without it every link is returned. All ranking is inside one
-    page, so it stays in the row: nothing is shuffled.
+    feature of an index page; without it every link is returned. The exchange carries
+    links and titles, never the page.
     """
     hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
     titles = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2))

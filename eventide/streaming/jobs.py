@@ -124,6 +124,7 @@ def hv_into(
     keys = [key, session]
 
     def step(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
         rows = batch.withColumn("__old", F.lit(False))
         if batch_id > 0:
             held = spark.read.schema(batch.schema).parquet(f"{tail}/batch={batch_id - 1}")
@@ -134,6 +135,7 @@ def hv_into(
         last = state.top_per_key(rows, keys, [F.col(ts).desc(), F.col(seq).desc()], prices - 1)
         kept = last.join(current, keys, "left_semi").drop("__old")
         kept.write.mode("overwrite").parquet(f"{tail}/batch={batch_id}")
+        batch.unpersist()
 
     return step
 

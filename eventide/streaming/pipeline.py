@@ -19,7 +19,8 @@ class NewsPipeline:
     """Articles are deduplicated, tagged, condensed, scored, joined to bars and labelled.
 
     ``scorer`` adds sentiment, confidence and the three probabilities from
-    ``condensed_text``. ``predictor`` (optional) turns labelled rows into signals. Every
+    ``condensed_text``. ``predictor`` (optional) turns labelled rows into signals. ``bars``
+    may be a function that reads the bar table, so that each batch sees new bars. Every
     stage stores its rows under the batch number, so a replayed batch changes nothing, and
     the next stage reads the stored rows: lineage stays short and a lost executor costs
     one stage at most.
@@ -28,7 +29,7 @@ class NewsPipeline:
     spark: SparkSession
     root: str
     mapping: DataFrame
-    bars: DataFrame
+    bars: DataFrame | Callable[[], DataFrame]
     scorer: Scorer
     predictor: Scorer | None = None
     as_of: Column = field(default_factory=lambda: F.from_utc_timestamp(F.current_timestamp(), "Asia/Kolkata").cast("timestamp_ntz"))
@@ -56,7 +57,8 @@ class NewsPipeline:
         keys = ("article_id", "symbol")
         stored = self.table("sentiment", *keys).append_unseen(sentiment, batch_id)
         rows = features.text_features(stored, self.as_of)
-        enriched = features.with_market(rows, self.bars, lookbacks=self.lookbacks)
+        bars = self.bars() if callable(self.bars) else self.bars
+        enriched = features.with_market(rows, bars, lookbacks=self.lookbacks)
         tag = labels.label_return(F.col("return_15m"))
         labelled = self.table("labels", *keys).append_unseen(enriched.withColumns(tag), batch_id)
         if self.predictor is not None:

@@ -176,3 +176,18 @@ def test_plan_has_one_timeline_and_no_nested_loop(spark, market):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert plan.count("REPARTITION_BY_COL") == 1
+
+
+def test_enrichment_prunes_bar_partitions(spark, market, tmp_path):
+    from eventide.operators import features
+
+    bars, events = market
+    spark.createDataFrame(bars, BAR).write.partitionBy("trade_date").parquet(str(tmp_path / "bars"))
+    stored = spark.read.parquet(str(tmp_path / "bars"))
+    rows = spark.createDataFrame(events, EVENT).filter(f"trade_date = date'{DAY.date()}'").drop("trade_date")
+    rows = rows.withColumnRenamed("ts", "event_ts").withColumn("company_name", F.lit("c"))
+    out = features.with_market(rows, stored)
+    assert "dynamicpruning" in out._jdf.queryExecution().executedPlan().toString()
+    plain = asof.Study(stored, rows.withColumn("trade_date", F.to_date("event_ts")), ts="event_ts").lookbacks().pre_event().reaction().run()
+    cols = ["event_id", "pre_close_5m", "close_at_signal", "return_15m", "pre_news_momentum_30m"]
+    assert sorted(map(repr, out.select(cols).collect())) == sorted(map(repr, plain.select(cols).collect()))

@@ -177,3 +177,12 @@ def test_text_features(spark):
     assert len(row) == 1
     r = row[0]
     assert (r.sentiment_score, r.neutral_prob, r.news_source_score, r.is_regulatory_news, r.is_negative_event, r.company_mention_strength, r.time_decay_15m) == (-0.6, 0.0, 0.7, 1, 1, 3, 0.3679)
+
+
+def test_view_columns_and_day_filter(spark):
+    df = spark.createDataFrame([("2026-01-17 10:05:00", "positive", 0.91234), (None, "neutral", 0.5)], "t string, s string, c double")
+    df = df.withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    view = df.withColumns(scalars.display_columns(F.col("ts"), F.col("s"), F.col("c"))).collect()
+    assert (view[0].formatted_date, view[0].time, view[0].sentiment_label, view[0].confidence_pct) == ("17 Jan 2026", "10:05", "POSITIVE", 91.23)
+    assert (view[1].formatted_date, view[1].time) == ("Date N/A", "--:--")
+    assert pages.published_on(df, F.col("ts"), "2026-01-17").count() == 1
