@@ -1,19 +1,20 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-A text is the set of its word shingles, 64-bit hashes. Equal sets are one class. Linked classes
-must share a shingle among the first few of a common order (prefix filter); the order puts
-shingles from crowded hash buckets last, so passages that many documents share make no
-candidates. Classes that share such shingles, directly or through others, form a block.
-
-Inside a block, shingles are hashed into ``GROUPS`` groups, and a class is the point of its group
-counts. An R-tree over the points keeps coordinate maxima and size ranges per node; the overlap
-of a set with anything below a node is at most the sum of the coordinate minima, and a branch
-that cannot reach the needed overlap is cut. Surviving pairs are verified on the sets. Pairs
-whose ends are already connected are not needed for components and are passed over, so a group
-of near copies costs about one verification per member.
-
-Large blocks are cut into chunks by size band and hash, and every pair of chunks that can hold
-a link is one bounded task, so no block is gathered whole and no link is lost.
+A text is the set of its word shingles, 64-bit hashes. Equal sets are one class. Shingles are
+hashed into groups; the counts of a set's groups are its point. The overlap of two sets is at
+most the sum of the coordinate minima of their points, and an R-tree whose nodes keep coordinate
+maxima and size ranges cuts every branch whose bound cannot reach the needed overlap.
+
+1. Linked sets must share one of their first shingles in a common order (prefix filter). The
+   order puts shingles from crowded hash buckets last, so passages that very many documents share
+   make no candidates. Rows of one shingle form a run; runs with equal members are one run.
+2. Each run is searched with an R-tree over its points. What survives the bound joins a block.
+3. The sets of a block are searched with an R-tree again and surviving pairs are verified.
+   Pairs whose ends are connected already are passed over, so a group of near copies costs
+   about one verification per member.
+
+Large blocks are cut into chunks by size band and hash; every pair of chunks that can hold a
+link is one bounded task, so no block is gathered whole and no link is lost.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from eventide.llm.common import as_bytes, fresh, key_runs, partitions, written
 from eventide.llm.components import components
 
-GROUPS = 32
+GROUPS = 128
+FINE_GROUPS = 1024  # for sets of so many shingles; folded to GROUPS inside the tree
 LEAF = 16
 BUCKETS = 1 << 20  # hash buckets whose crowding orders the shingles
 CHUNK_SHINGLES = 1_000_000  # shingles of a chunk; a longer set is a chunk of its own
@@ -39,32 +41,25 @@ BROADCAST_ROWS = 500_000  # narrow rows; above it the join is left to the optimi
 MULTIPLIERS = np.array([int(xxhash.xxh64_intdigest(f"shingle {i}".encode()) | 1) for i in range(64)], dtype=np.uint64)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
 
 
-def shingles(text: bytes | None, k: int, words: WordHashes) -> np.ndarray:
+def shingles(text: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of all runs of ``k`` words; of the whole sequence if it is shorter."""
     found = text.lower().split() if text else []
     n = len(found)
     if not n:
         return np.zeros(0, dtype=np.uint64)
-    h = np.fromiter(map(words.__getitem__, found), dtype=np.uint64, count=n)
+    h = np.array(list(map(xxhash.xxh3_64_intdigest, found)), dtype=np.uint64)
     width = min(k, n)
     total = np.full(n - width + 1, width, dtype=np.uint64)
     for i in range(width):
         total += h[i : n - width + 1 + i] * MULTIPLIERS[i]
-    return np.unique(mixed(total))
+    h = np.sort(mixed(total))
+    return h[np.concatenate([[True], h[1:] != h[:-1]])]
 
 
 def set_digest(s: np.ndarray) -> tuple[int, int]:
@@ -72,6 +67,18 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(d[:8], "big", signed=True), int.from_bytes(d[8:], "big", signed=True)
 
 
+def point(s: np.ndarray) -> bytes:
+    """Group counts as bytes: one per count, or two if a count needs it."""
+    groups = FINE_GROUPS if len(s) >= FINE_GROUPS else GROUPS
+    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
+    return counts.astype(np.uint8 if counts.max() < 256 else np.uint16).tobytes()
+
+
+def counts_of(data: bytes, n: int) -> np.ndarray:
+    groups = FINE_GROUPS if n >= FINE_GROUPS else GROUPS
+    return np.frombuffer(data, dtype=np.uint8 if len(data) == groups else np.uint16)
+
+
 def prefix_length(n: int, percent: int) -> int:
     """Shingles of which one must be shared: all but the needed overlap of the smallest partner, plus one."""
     return n - -(-percent * n // 100) + 1
@@ -81,32 +88,33 @@ def _scan(k: int, percent: int):
     """First pass: digests of the sets, and by how much the crowded buckets of the task stand out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, counts, rows = WordHashes(), set(), np.zeros(BUCKETS, dtype=np.int64), 0
+        seen, counts = set(), np.zeros(BUCKETS, dtype=np.int64)
         for batch in batches:
-            n, one, two = [], [], []
+            n, one, two, new, points = [], [], [], [], []
             for text in as_bytes(batch.column(1)):
-                s = shingles(text, k, words)
+                s = shingles(text, k)
                 a, b = set_digest(s)
                 n.append(len(s))
                 one.append(a)
                 two.append(b)
+                points.append(point(s) if len(s) else None)
                 if len(s) and (a, b) not in seen:
                     seen.add((a, b))
-                    counts += np.bincount((s % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS) if len(s) > BUCKETS // 8 else 0
-                    if len(s) <= BUCKETS // 8:
-                        np.add.at(counts, (s % np.uint64(BUCKETS)).astype(np.int64), 1)
-            rows += batch.num_rows
+                    new.append(s)
+            if new:
+                counts += np.bincount((np.concatenate(new) % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS)
             nil = pa.nulls(batch.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), nil, nil],
-                names=["id", "n", "h1", "h2", "bucket", "crowd"],
+                [batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(points, pa.binary()), nil, nil],
+                names=["id", "n", "h1", "h2", "point", "bucket", "crowd"],
             )
         mean = counts.mean()
         at = np.flatnonzero(counts > mean + 4 * np.sqrt(mean) + 4)
         if len(at):
             nil = pa.nulls(len(at), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [nil, nil, nil, nil, pa.array(at), pa.array(counts[at] - int(mean))], names=["id", "n", "h1", "h2", "bucket", "crowd"]
+                [nil, nil, nil, nil, pa.nulls(len(at), pa.binary()), pa.array(at), pa.array(counts[at] - int(mean))],
+                names=["id", "n", "h1", "h2", "point", "bucket", "crowd"],
             )
 
     return run
@@ -125,11 +133,11 @@ def _prefixes(k: int, percent: int, levels_of):
     """Second pass: (token, salt, class) for the prefix of every set; equal sets once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, seen, levels = WordHashes(), set(), levels_of.value
+        seen, levels = set(), levels_of.value
         for batch in batches:
             tokens, owners, lengths, salts = [], [], [], []
             for text in as_bytes(batch.column(0)):
-                s = shingles(text, k, words)
+                s = shingles(text, k)
                 if not len(s):
                     continue
                 key = set_digest(s)
@@ -157,39 +165,67 @@ def _prefixes(k: int, percent: int, levels_of):
     return run
 
 
-def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, salt, class): each further class with the first one of its run.
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (token, salt, class): (run, class) for every run of two classes and more.
 
-    The leads of a token that was dealt out come with the token, to be joined to each other.
+    A run is named by a hash of its members, so equal runs of several tokens fall together. A
+    token that was dealt out gives (class, lead) of each part instead, and the leads with the token.
     """
-    last, lead = (None, None), None
-    for batch in batches:
-        n = batch.num_rows
-        if not n:
-            continue
-        token, salt, owner = (batch.column(i).to_numpy() for i in range(3))
-        new = np.ones(n, dtype=bool)
+    seen: set[int] = set()
+
+    def done(token, salt, owner):
+        new = np.ones(len(token), dtype=bool)
         new[1:] = (token[1:] != token[:-1]) | (salt[1:] != salt[:-1])
-        new[0] = (token[0], salt[0]) != last
+        again = np.zeros(len(token), dtype=bool)
+        again[1:] = ~new[1:] & (owner[1:] == owner[:-1])
+        token, salt, owner, new = (x[~again] for x in (token, salt, owner, new))
         begins = np.flatnonzero(new)
-        firsts = owner[begins]
-        run = np.cumsum(new) - 1
-        leads = np.where(run >= 0, firsts[np.maximum(run, 0)] if len(firsts) else lead, lead) if lead is not None else firsts[run]
-        other = owner != leads
-        pairs = np.unique(np.stack([owner[other], leads[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), dtype=np.int64)
-        dealt = begins[salt[begins] > 0]
-        u = np.concatenate([pairs[:, 0], owner[dealt]])
-        v = pa.array(np.concatenate([pairs[:, 1], np.zeros(len(dealt), dtype=np.int64)]), mask=np.arange(len(u)) >= len(pairs))
-        t = pa.array(np.concatenate([np.zeros(len(pairs), dtype=np.int64), token[dealt]]), mask=np.arange(len(u)) < len(pairs))
-        if len(u):
-            yield pa.RecordBatch.from_arrays([pa.array(u), v, t], names=["u", "v", "token"])
-        last, lead = (token[-1], salt[-1]), leads[-1]
+        sizes = np.diff(np.append(begins, len(token)))
+        names = np.add.reduceat(mixed(owner.view(np.uint64)), begins) + sizes.astype(np.uint64)
+        keep = (sizes > 1) & (salt[begins] == 0)
+        fresh_run = np.zeros(len(begins), dtype=bool)
+        for i in np.flatnonzero(keep).tolist():
+            if (name := int(names[i])) not in seen:
+                seen.add(name)
+                fresh_run[i] = True
+        if len(seen) > 1_000_000:
+            seen.clear()
+        rows = np.repeat(fresh_run, sizes)
+        if rows.any():
+            run = np.repeat(names.view(np.int64), sizes)[rows]
+            nil = pa.nulls(len(run), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(owner[rows]), nil, nil], names=["run", "class", "lead", "token"])
+        dealt = salt > 0
+        if dealt.any():
+            lead = np.repeat(owner[begins], sizes)[dealt]
+            nil = pa.nulls(len(lead), pa.int64())
+            first = new[dealt]
+            yield pa.RecordBatch.from_arrays(
+                [nil, pa.array(owner[dealt]), pa.array(lead), pa.array(token[dealt], mask=~first)], names=["run", "class", "lead", "token"]
+            )
+
+    held = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        now = [batch.column(i).to_numpy() for i in range(3)]
+        if held:
+            now = [np.concatenate(x) for x in zip(held, now)]
+        token, salt, _ = now
+        differs = np.flatnonzero((token != token[-1]) | (salt != salt[-1]))
+        cut = int(differs[-1]) + 1 if len(differs) else 0  # the last run may go on in the next batch
+        if cut:
+            yield from done(*(x[:cut] for x in now))
+        held = [x[cut:] for x in now]
+    if held:
+        yield from done(*held)
 
 
 class RTree:
     """Points of group counts, packed by size; nodes hold coordinate maxima and size ranges."""
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray):
+    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
+        self.percent = percent
         self.order = np.lexsort((points.argmax(axis=1), sizes))
         self.points, self.sizes = points[self.order], sizes[self.order]
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -200,24 +236,70 @@ class RTree:
             low, top = np.minimum.reduceat(low, at), np.maximum.reduceat(top, at)
             self.levels.append((high, low, top))
 
-    def search(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Numbers (in the order given) of the points whose bound reaches the needed overlap."""
-        def survives(high, low, top):
-            # overlap >= t / (1 + t) * (both sizes), and sizes within the ratio t
-            bound = np.minimum(high, point).sum(axis=1)
-            return ((100 + percent) * bound >= percent * (size + low)) & (100 * low <= 100 * size * 100 // percent) & (100 * top >= percent * size)
+    def survives(self, high, low, top, point: np.ndarray, size: int) -> np.ndarray:
+        """Sizes in the ratio, and a bound that reaches t / (1 + t) of both sizes together."""
+        bound = np.minimum(high, point).sum(axis=1, dtype=np.int64)
+        t = self.percent
+        return ((100 + t) * bound >= t * (size + low)) & (t * low <= 100 * size) & (100 * top >= t * size)
 
+    def search(self, point: np.ndarray, size: int, wanted: np.ndarray) -> np.ndarray:
+        """Numbers (in the order given) of the ``wanted`` points whose bound reaches the needed overlap."""
         alive = np.arange(len(self.levels[-1][0]))
         for depth in range(len(self.levels) - 1, -1, -1):
             high, low, top = self.levels[depth]
-            alive = alive[survives(high[alive], low[alive], top[alive])]
+            alive = alive[self.survives(high[alive], low[alive], top[alive], point, size)]
             below = len(self.levels[depth - 1][0]) if depth else len(self.points)
             alive = (alive[:, None] * LEAF + np.arange(LEAF)).ravel()
             alive = alive[alive < below]
-        alive = alive[survives(self.points[alive], self.sizes[alive], self.sizes[alive])]
+        alive = alive[wanted[self.order[alive]]]
+        alive = alive[self.survives(self.points[alive], self.sizes[alive], self.sizes[alive], point, size)]
         return self.order[alive]
 
 
+def spanning(counts: list[np.ndarray], sizes: np.ndarray, percent: int, confirm) -> list[tuple[int, int]]:
+    """Pairs that survive the bound and ``confirm``, as many as connect what such pairs connect.
+
+    Members are added one by one. A new one is first held against the first member of each group
+    found so far; the tree is then asked only for members of the groups it has not joined.
+    """
+    n = len(sizes)
+    points = np.stack([c if len(c) == GROUPS else c.reshape(-1, GROUPS).sum(axis=0) for c in counts]).astype(np.int32)
+    tree = RTree(points, sizes, percent)
+    group = np.full(n, -1, dtype=np.int64)  # by its first member
+    firsts: list[int] = []
+    out = []
+
+    def fine(i: int, j: int) -> bool:
+        a, b = counts[i], counts[j]
+        if len(a) == len(b) == FINE_GROUPS:
+            return (100 + percent) * int(np.minimum(a, b).sum(dtype=np.int64)) >= percent * int(sizes[i] + sizes[j])
+        return True
+
+    for i in range(n):
+        joined: list[int] = []
+        if firsts:
+            at = np.array(firsts)
+            for f in at[tree.survives(points[at], sizes[at], sizes[at], points[i], int(sizes[i]))].tolist():
+                if fine(i, f) and confirm(i, f):
+                    joined.append(f)
+                    out.append((i, f))
+        if len(joined) < len(firsts):
+            wanted = (group >= 0) & ~np.isin(group, joined)
+            for j in tree.search(points[i], int(sizes[i]), wanted).tolist():
+                if group[j] not in joined and fine(i, j) and confirm(i, j):
+                    joined.append(int(group[j]))
+                    out.append((i, j))
+        if not joined:
+            firsts.append(i)
+            group[i] = i
+            continue
+        group[i] = least = min(joined)
+        if len(joined) > 1:
+            group[np.isin(group, joined)] = least
+            firsts = [f for f in firsts if f == least or f not in joined]
+    return out
+
+
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     if len(a) > len(b):
         a, b = b, a
@@ -226,43 +308,29 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(a) + len(b) - common)
 
 
-def spanning_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Verified links that connect what is connected within the chunk or pair of chunks."""
-    n = len(sets)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    points = np.stack([np.bincount((s >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS) for s in sets])
-    tree = RTree(points, sizes)
-    root = list(range(n))
+def _search_runs(percent: int):
+    """Candidate links of each run of points; spanning ones, nothing is verified yet."""
 
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    out = []
-    for i in range(n):
-        near = tree.search(points[i], int(sizes[i]), percent)
-        near = near[near < i]
-        by_root: dict[int, list[int]] = {}
-        for j in near.tolist():
-            by_root.setdefault(find(j), []).append(j)
-        for r, members in by_root.items():
-            if find(i) == find(r):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        u, v = [], []
+        for rows in key_runs(batches, ["run"]):
+            if rows.num_rows < 2:
                 continue
-            for j in members:
-                if linked(sets[i], sets[j], percent):
-                    root[find(i)] = find(j)
-                    out.append((int(ids[i]), int(ids[j])))
-                    break
-    return out
+            sizes = rows.column("n").to_numpy()
+            counts = [counts_of(p, n) for p, n in zip(rows.column("point").to_pylist(), sizes.tolist())]
+            ids = rows.column("class").to_numpy()
+            for i, j in spanning(counts, sizes, percent, lambda i, j: True):
+                u.append(int(ids[i]))
+                v.append(int(ids[j]))
+        yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    return run
 
 
 def _sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = WordHashes()
         for batch in batches:
-            own = [shingles(t, k, words).tobytes() for t in as_bytes(batch.column(3))]
+            own = [shingles(t, k).tobytes() for t in as_bytes(batch.column(3))]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(own, pa.binary())], names=["id", "pair", "side", "shingles"])
 
     return run
@@ -275,10 +343,12 @@ def _join_chunks(percent: int):
             if len(ids) < 2:
                 continue
             sets = [np.frombuffer(b, dtype=np.uint64) for b in group.column("shingles").to_pylist()]
-            found = spanning_links(ids, sets, group.column("side").to_numpy(), percent)
+            sizes = np.array([len(x) for x in sets], dtype=np.int64)
+            counts = [counts_of(point(x), len(x)) for x in sets]
+            found = spanning(counts, sizes, percent, lambda i, j: linked(sets[i], sets[j], percent))  # noqa: B023
             if found:
-                u, v = zip(*found)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+                at = np.array(found)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["u", "v"])
 
     return run
 
@@ -324,20 +394,26 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext
-    scan = written(rows.mapInArrow(_scan(k, percent), "id long, n long, h1 long, h2 long, bucket long, crowd long"), "jaccard-scan")
+    scan = written(rows.mapInArrow(_scan(k, percent), "id long, n long, h1 long, h2 long, point binary, bucket long, crowd long"), "jaccard-scan")
     own = scan.where("bucket is null")
     full = own.where("id is not null and n > 0")
-    classes = full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.max("n").alias("n"))
+    classes = full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"))
 
     levels = shared.broadcast(crowded(scan))  # BUCKETS bytes
     n = partitions(docs)
     known = rows.where("id is not null")
     tokens = known.select("text").mapInArrow(_prefixes(k, percent, levels), "token long, salt long, class long")
-    runs = tokens.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "class")
-    leads = written(runs.mapInArrow(_leads, "u long, v long, token long"), "jaccard-leads")
-    dealt = leads.where("token is not null").select("u", "token")
-    first = dealt.groupBy("token").agg(F.min("u").alias("v"))
-    shares = leads.where("token is null").select("u", "v").unionByName(dealt.join(first, "token").select("u", "v"))
+    sorted_tokens = tokens.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "class")
+    runs = written(sorted_tokens.mapInArrow(_runs, "run long, class long, lead long, token long"), "jaccard-runs")
+    placed_runs = runs.where("run is not null").select("run", "class").distinct()
+    points = placed_runs.join(classes.select(F.col("h1").alias("class"), "n", "point"), "class")
+    points = points.repartition(n, "run").sortWithinPartitions("run", "n", "class")
+    shares = points.mapInArrow(_search_runs(percent), "u long, v long")
+    # Parts of a token that was dealt out belong to one block, whatever their points say.
+    dealt = runs.where("token is not null").select("lead", "token")
+    first = dealt.groupBy("token").agg(F.min("lead").alias("v"))
+    shares = shares.unionByName(runs.where("lead <> class").select(F.col("class").alias("u"), F.col("lead").alias("v")))
+    shares = written(shares.unionByName(dealt.join(first, "token").select(F.col("lead").alias("u"), "v")), "jaccard-shares")
     blocks = components(shares, "jaccard-blocks").select(F.col("node").alias("h1"), F.col("component").alias("block"))
 
     members = classes.join(blocks, "h1").select(F.col("rep").alias("id"), "n", "block")
