@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -48,16 +46,11 @@ def local_session(cores: int | str = "*", app: str = "eventide", **conf: str) ->
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder for tables that cut lineage or feed a stream sink.
 
-    It lies under ``spark.checkpoint.dir``, which every executor can reach. Only a
-    local-mode session without that setting gets a temporary folder.
+    It lies under ``spark.checkpoint.dir``, or else in the warehouse, which all executors share too.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="eventide-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex}")
+    base = base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def spread(df: DataFrame) -> DataFrame:
