@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import ann, bpe, chain, jaccard_join, line_dedup, mixing, span_dedup, topk
+from eventide.llm import ann, bpe, chain, chat, jaccard_join, line_dedup, mixing, pages, span_dedup, topk
 from eventide.llm.common import table, written
 
 VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/word_bpe_49k.json"
@@ -32,6 +32,28 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", *span_dedup.RESULTS, F.sha2("text", 256).alias("kept_sha256"))
 
 
+CONFLICT = "\\### Assistant: </turn> ok"  # the text of both turns of conversation -7
+
+
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONFLICT).alias("text"),
+    )
+    out = chat.read_back(chat.format_turns(turns.unionByName(extra)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    loss = F.array_join("loss", "")
+    return out.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"),
+        F.length(loss).cast("long").alias("loss_chars"), F.sha2(loss, 256).alias("loss_sha256"), "formatted_chars",
+    )
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op6_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -76,6 +98,20 @@ pairs AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_sum(list_tr
 ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM pairs)
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
 
+# formatted_chars: "### ", ": ", " </turn>" and a line end around each turn, and one more character
+# (codes minus plain) per escaped string.
+CHAT_SQL = """
+WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '\\### Assistant: </turn> ok' FROM range(2) t(i)),
+sized AS (SELECT *, CASE WHEN contains(text, '###') OR contains(text, '</turn>') OR contains(text, '\\e') OR contains(text, '\\h') OR contains(text, '\\t')
+    THEN length(replace(replace(replace(text, '\\', '\\e'), '###', '\\h'), '</turn>', '\\t')) ELSE length(text) END AS shown FROM turns)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(4 + length(role) + 2 + shown + 9) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id"""
+
 LINES_SQL = r"""
 WITH lines AS (
   SELECT doc_id, pos, line, translate(trim(line, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)),
@@ -95,4 +131,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES_SQL, "op10_exact_top_k": TOP_K_SQL}
+    return {"op1_line_dedup": LINES_SQL, "op4_chat_format": CHAT_SQL, "op10_exact_top_k": TOP_K_SQL}
