@@ -108,13 +108,13 @@ def joined_paragraphs(html: Column) -> Column:
 
 def ld_article_body(html: Column) -> Column:
     """``articleBody`` of the first JSON-LD script, if any."""
-    script = F.regexp_extract(html, r'(?is)<script[^>]*type="application/ld\+json"[^>]*>(.*?)</script>', 1)
+    script = F.regexp_extract(html, r"""(?is)<script[^>]*\btype\s*=\s*["']?application/ld\+json["']?[^>]*>(.*?)</script>""", 1)
     return F.nullif(F.trim(F.get_json_object(F.nullif(script, F.lit("")), "$.articleBody")), F.lit(""))
 
 
 def meta_content(html: Column, attribute: str, value: str) -> Column:
-    tag = rf'(?is)<meta\b[^>]*{attribute}="{value}"[^>]*>'
-    return F.nullif(F.regexp_extract(F.regexp_extract(html, tag, 0), r'(?is)content="([^"]*)"', 1), F.lit(""))
+    tag = rf"""(?is)<meta\b[^>]*\b{attribute}\s*=\s*["']?{value}["']?(?=[\s/>])[^>]*>"""
+    return F.nullif(F.regexp_extract(F.regexp_extract(html, tag, 0), r"""(?is)\bcontent\s*=\s*(["']?)(.*?)\1(?=[\s/>])""", 2), F.lit(""))
 
 
 def looks_like_article(html: Column, text: Column) -> Column:
@@ -143,7 +143,7 @@ def published_text(html: Column, scraped_at: Column | None = None) -> Column:
     steps = [
         stamp(meta_content(clean, "property", "article:published_time")),
         stamp(meta_content(clean, "name", "publication_date")),
-        stamp(F.nullif(F.regexp_extract(time_tag, r'(?is)datetime="([^"]*)"', 1), F.lit(""))),
+        stamp(F.nullif(F.regexp_extract(time_tag, r"""(?is)\bdatetime\s*=\s*(["']?)(.*?)\1(?=[\s>])""", 2), F.lit(""))),
         F.nullif(plain_text(time_tag), F.lit("")),
         F.nullif(visible, F.lit("")),
         meta_content(clean, "name", "pubdate"),
@@ -184,8 +184,12 @@ def strip_lines(text: Column, patterns: Sequence[str]) -> Column:
     return F.array_join(F.filter(trimmed_lines(text), lambda x: ~x.rlike(rx)), "\n")
 
 
-def cleaned_body(text: Column) -> Column:
-    return strip_lines(text, fixed.DISCLAIMER_LINES + fixed.BOILERPLATE_LINES)
+def cleaned_body(text: Column, source: Column) -> Column:
+    """The text without the lines that its own site adds; texts of other sites keep all lines."""
+    out = F.when(source == fixed.AD_SITE, without_ad_lines(text))
+    for site, patterns in fixed.SITE_LINES.items():
+        out = out.when(source == site, strip_lines(text, patterns))
+    return out.otherwise(text)
 
 
 def is_ad_line(line: Column, phrases: Sequence[str] = fixed.AD_PHRASES) -> Column:

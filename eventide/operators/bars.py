@@ -110,9 +110,15 @@ def position_in_group(
     offsets = counts.withColumn("__base", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     order = [F.col(ts)] + ([F.col(seq)] if seq else [])
     inside = W.partitionBy(*keys, "__b").orderBy(*order)
+    # Null keys and times are groups like any other.
+    named = offsets.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate([*keys, "__b"])], "__base")
+    same = F.lit(True)
+    for i, k in enumerate([*keys, "__b"]):
+        same = same & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     return (
         rows.withColumn("__i", F.row_number().over(inside))
-        .join(offsets, [*keys, "__b"])
+        .join(named, same)
+        .drop(*[c for c in named.columns if c != "__base"])
         .withColumn(name, (F.col("__base") + F.col("__i")).cast("long"))
         .drop("__b", "__i", "__base")
     )

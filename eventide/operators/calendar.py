@@ -66,9 +66,33 @@ def calendar_table(
     )
 
 
-def with_sessions(df: DataFrame, table: DataFrame, date: str = "event_date") -> DataFrame:
-    """Add the calendar columns for a date column; dates outside the table get nulls."""
-    return df.join(table.withColumnRenamed("d", date), date, "left")
+def day_columns(day: Column, holidays: Sequence[str] = HOLIDAYS_2026, reach: int = REACH_DAYS) -> dict[str, Column]:
+    """The calendar columns of any date, computed in the row."""
+
+    def opens(d: Column) -> Column:
+        closed = F.date_format(d, "yyyy-MM-dd").isin(*holidays) if holidays else F.lit(False)
+        return (F.weekday(d) < 5) & ~closed
+
+    def nearest(sign: int) -> Column:
+        days = F.transform(F.sequence(F.lit(1), F.lit(reach)), lambda i: F.date_add(day, i * sign))
+        return F.get(F.filter(days, opens), F.lit(0))
+
+    reason = (
+        F.when(F.weekday(day) >= 5, F.format_string("Weekend (%s)", F.date_format(day, "EEEE")))
+        .when(~opens(day), F.format_string("NSE Holiday (%s)", F.date_format(day, "yyyy-MM-dd")))
+        .when(day.isNotNull(), "Trading Day")
+    )
+    return {"is_trading": opens(day), "reason": reason, "prev_session": nearest(-1), "next_session": nearest(1)}
+
+
+def with_sessions(
+    df: DataFrame, table: DataFrame, date: str = "event_date", holidays: Sequence[str] = HOLIDAYS_2026, reach: int = REACH_DAYS
+) -> DataFrame:
+    """Add the calendar columns for a date column; dates outside the table are computed."""
+    joined = df.join(table.withColumnRenamed("d", date), date, "left")
+    inside = F.col("reason").isNotNull()
+    own = day_columns(F.col(date), holidays, reach)
+    return joined.withColumns({c: F.when(inside, F.col(c)).otherwise(v) for c, v in own.items()})
 
 
 def market_status(ts: Column, is_trading: Column, reason: Column) -> Column:

@@ -86,7 +86,8 @@ def encoded_top_sentences(
     k: int = TOP_SENTENCES,
 ) -> DataFrame:
     """The same with an encoder: a function (for instance a ``pandas_udf``) from text to a vector column."""
-    rows = docs.withColumn("__doc", encoder(F.col(text)))
+    parts = sentences(F.col(text))
+    rows = docs.filter(F.size(parts) > k).withColumn("__doc", encoder(F.col(text)))
     split = rows.select(key, "__doc", F.posexplode(sentences(F.col(text))).alias("sent", "sentence"))
     scored = split.withColumn("score", cosine(F.col("__doc"), encoder(F.col("sentence"))))
     best = W.partitionBy(key).orderBy(F.col("score").desc(), "sent")
@@ -96,7 +97,9 @@ def encoded_top_sentences(
         .groupBy(key)
         .agg(F.array_sort(F.collect_list(F.struct("sent", "sentence"))).alias("p"))
     )
-    return picked.select(key, F.array_join(F.transform("p", lambda s: s["sentence"]), " ").alias("condensed_text"))
+    chosen = picked.select(key, F.array_join(F.transform("p", lambda s: s["sentence"]), " ").alias("__c"))
+    # Texts of up to ``k`` sentences, and those without any, stay as they are.
+    return docs.join(chosen, key, "left").select(key, F.coalesce("__c", F.col(text)).alias("condensed_text"))
 
 
 def closest_to_centre(

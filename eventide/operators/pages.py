@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from eventide.functions import pagetext as P
 
-ANCHOR = r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
+# The value of href with or without quotes (group 2), and the content (group 3).
+ANCHOR = r"""(?is)<a\b[^>]*?\bhref\s*=\s*(["']?)(.*?)\1(?=[\s>])[^>]*>(.*?)</a>"""
 
 
 def page_links(
@@ -26,8 +27,8 @@ def page_links(
     feature of an index page; without it every link is returned. The exchange carries
     links and titles, never the page.
     """
-    hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(1))
-    titles = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2))
+    hrefs = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(2))
+    titles = F.regexp_extract_all(html, F.lit(ANCHOR), F.lit(3))
     rows = pages.select(
         key,
         F.posexplode(
@@ -100,7 +101,7 @@ def articles(
     return rows.select(
         P.article_id_by_source(F.col(url), F.col("source")).alias("article_id"),
         "headline",
-        P.cleaned_body(F.col("content")).alias("content"),
+        P.cleaned_body(F.col("content"), F.col("source")).alias("content"),
         F.col(url),
         P.published_text(page, scraped).alias("published_time"),
         scraped.alias("scraped_at"),

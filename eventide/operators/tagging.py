@@ -213,4 +213,6 @@ def tag_articles(
     """One row per (article, company)."""
     found = resolved(scored(candidates(articles, keywords, key, headline), headline, content))
     kept = [c for c in articles.columns]
-    return found.select(*kept, F.inline("matches")).drop("start", "stop")
+    # A plain ``inline`` would send a filter with the whole scoring expression into the join condition.
+    rows = found.select(*kept, F.inline_outer("matches"))
+    return rows.filter(F.col("keyword").isNotNull()).drop("start", "stop")

@@ -23,7 +23,7 @@ def labelled(t: Tables) -> DataFrame:
     study = asof.Study(bars(t), anchors(t)).pre_event().lookbacks(LOOKBACKS).reaction(REACTION)
     rows = study.run()
     tag = labels.label_return(F.col(f"return_{REACTION}m"))
-    return rows.withColumns({**tag, "has_return": F.col(f"return_{REACTION}m").isNotNull()}).filter("has_return")
+    return rows.withColumns({**tag, "has_return": F.col(f"return_{REACTION}m").isNotNull()})
 
 
 def model_columns() -> list[str]:
@@ -36,18 +36,24 @@ def model_columns() -> list[str]:
 @query()
 def reaction_model(t: Tables) -> DataFrame:
     """Weighted forest on pre-event features: time split, fit, hold-out metrics."""
-    rows = spread(materialised(ml.chronological_split(labelled(t), "ts", ["event_id"]), "reactions"))
+    rows = ml.chronological_split(materialised(labelled(t).filter("has_return"), "reactions"), "ts", ["event_id"])
+    rows = materialised(rows, "reaction-split")
     model = ml.train_reaction_model(rows.filter("is_train"), model_columns())
     return ml.holdout_metrics(model, rows.filter("not is_train"), model_columns())
 
 
 @query()
 def reaction_scores(t: Tables) -> DataFrame:
-    """Scoring with the validity filter and the confidence gate over all anchors."""
-    rows = spread(materialised(labelled(t), "reactions"))
-    model = ml.train_reaction_model(rows, model_columns(), trees=20)
-    out = ml.score_reaction(model, rows, model_columns())
-    return out.select("event_id", "symbol", "predicted_signal", "signal_confidence", "buy_prob", "sell_prob", "hold_prob")
+    """Scoring over all anchors; one whose features are not all valid keeps its row with the reason.
+
+    The fit reads the first part of the time split, so that later anchors are scored unseen.
+    """
+    rows = materialised(labelled(t), "reactions")
+    fit = materialised(ml.chronological_split(rows.filter("has_return"), "ts", ["event_id"]).filter("is_train"), "reaction-fit")
+    out = ml.score_reaction(ml.train_reaction_model(fit, model_columns(), trees=20), rows, model_columns())
+    said = ("predicted_signal", "signal_confidence", "buy_prob", "sell_prob", "hold_prob")
+    all_rows = rows.select("event_id", "symbol").join(out.select("event_id", *said), "event_id", "left")
+    return all_rows.withColumn("skip_reason", F.when(F.col("buy_prob").isNull(), "missing_features"))
 
 
 @query()

@@ -19,6 +19,8 @@ def sql_text(s: str) -> str:
 
 # --- urls ----------------------------------------------------------------------------------
 
+# Written apart from the implementation: the driver's pages quote every link with double quotes.
+_LINK_RX = r'(?is)<a\b[^>]*href="([^"]*)"[^>]*>(.*?)</a>'
 _CATS = "|".join(c.replace("-", r"\-") for c in fixed.HEADLINE_CATEGORIES)
 _ID_PATTERNS = (r"/(\d{3,})\.html", r"/(\d+)")
 _SECTIONS = (*fixed.SECTION_PREFIXES, r"/en/?", r"/de/?")
@@ -89,8 +91,8 @@ def _paragraph_sql(x: str) -> str:
 @query(
     f"""WITH a AS (
       SELECT page_id, url, generate_subscripts(hs, 1) - 1 AS pos, trim(unnest(hs)) AS href, unnest(ts) AS raw
-      FROM (SELECT page_id, url, regexp_extract_all(html, {sql_text(pages.ANCHOR)}, 1) AS hs,
-                   regexp_extract_all(html, {sql_text(pages.ANCHOR)}, 2) AS ts FROM pages)),
+      FROM (SELECT page_id, url, regexp_extract_all(html, {sql_text(_LINK_RX)}, 1) AS hs,
+                   regexp_extract_all(html, {sql_text(_LINK_RX)}, 2) AS ts FROM pages)),
     b AS (SELECT page_id, pos, {_plain_sql("raw")} AS title,
         CASE WHEN starts_with(href, 'http') THEN href
              WHEN starts_with(href, '/') THEN regexp_extract(url, '^(https?://[^/]+)', 1) || href END AS link FROM a)
@@ -138,7 +140,7 @@ _EXTRA_LINES = (r"(?i)^licensed under\b.*", r"(?i)^released under\b.*")
 _EXTRA_PHRASES = ("The and attion to thanedble",)
 _TRIM_SQL = "regexp_replace(x, '^[ \\t\\r\\f]+|[ \\t\\r\\f]+$', '', 'g')"
 _LINES_SQL = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {_TRIM_SQL}), lambda x: x <> '')"
-_DROP_RX = P.alternation(fixed.DISCLAIMER_LINES + fixed.BOILERPLATE_LINES + _EXTRA_LINES)
+_DROP_RX = P.alternation(fixed.ALL_SITE_LINES + _EXTRA_LINES)
 _AD_RX = P.alternation((*fixed.AD_LINES, fixed.AD_LISTING_LINE))
 _AD_SQL = (
     "(" + " OR ".join(f"contains(x, {sql_text(p)})" for p in (*fixed.AD_PHRASES, *_EXTRA_PHRASES)) + ")"
@@ -165,7 +167,7 @@ def clean_lines(t: Tables) -> DataFrame:
         F.pmod("doc_id", F.lit(3)).cast("int"),
     )
     text = F.col("text")
-    drop = fixed.DISCLAIMER_LINES + fixed.BOILERPLATE_LINES + _EXTRA_LINES
+    drop = fixed.ALL_SITE_LINES + _EXTRA_LINES
     return spread(t.documents.select("doc_id", "text")).select(
         "doc_id",
         F.md5(P.strip_lines(text, drop)).alias("body_id"),
@@ -188,7 +190,7 @@ def mapping(t: Tables) -> DataFrame:
     words = F.regexp_extract_all(F.lower("text"), F.lit(r"([\p{L}]+)"), F.lit(1))
     rows = t.benchmark.select("item_id", words.alias("w"))
     pairs = F.transform(
-        F.slice("w", 2, 1_000_000), lambda x, i: F.concat(F.get(F.col("w"), i), F.lit(" "), x)
+        F.slice("w", F.lit(2), F.size("w")), lambda x, i: F.concat(F.get(F.col("w"), i), F.lit(" "), x)
     )
     return rows.select(
         "item_id",
@@ -341,5 +343,6 @@ def top_sentences(t: Tables) -> DataFrame:
 )
 def embedding_topk(t: Tables) -> DataFrame:
     """The five vectors of each label closest to its mean vector."""
-    out = condense.closest_to_centre(t.embeddings, "label", "vec_id", "embedding", 64)
+    size = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+    out = condense.closest_to_centre(t.embeddings, "label", "vec_id", "embedding", size)
     return out.select("label", "vec_id", "rank", F.round("score", 6).alias("score"))

@@ -110,10 +110,10 @@ def dedup_and_or_rules(t: Tables) -> DataFrame:
       SELECT o_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS o_orderkey,
         arg_max(o_totalprice, (o_orderdate, o_orderkey)) AS o_totalprice,
         arg_max(o_orderpriority, (o_orderdate, o_orderkey)) AS o_orderpriority
-      FROM orders WHERE o_orderdate < TIMESTAMP '1995-01-01' GROUP BY o_custkey),
+      FROM orders WHERE o_orderdate < TIMESTAMP '1998-01-01' GROUP BY o_custkey),
     new AS (
       SELECT o_custkey, max((o_orderdate, o_orderkey)) AS top FROM orders
-      WHERE o_orderdate >= TIMESTAMP '2000-06-01' GROUP BY o_custkey),
+      WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY o_custkey),
     picked AS (
       SELECT n.o_custkey, o.o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS o_totalprice, o_orderstatus
       FROM new n JOIN orders o ON o.o_orderkey = n.top[2])
@@ -125,16 +125,16 @@ def dedup_and_or_rules(t: Tables) -> DataFrame:
     FROM old FULL JOIN picked p ON old.o_custkey = p.o_custkey"""
 )
 def upsert_merge(t: Tables) -> DataFrame:
-    """Last order per customer before 1995, updated by the last one since mid-2000.
+    """Last order per customer before 1998, updated by the last one since; every order is on one side.
 
     The batch has no priority column (kept), a new status column (added) and null prices
     (which overwrite).
     """
     newest = [F.col("o_orderdate").desc(), F.col("o_orderkey").desc()]
     old = state.first_per_key(
-        t.orders.filter(F.col("o_orderdate") < F.lit("1995-01-01").cast("timestamp_ntz")), ["o_custkey"], newest
+        t.orders.filter(F.col("o_orderdate") < F.lit("1998-01-01").cast("timestamp_ntz")), ["o_custkey"], newest
     ).select("o_custkey", "o_orderkey", "o_totalprice", "o_orderpriority")
-    batch = t.orders.filter(F.col("o_orderdate") >= F.lit("2000-06-01").cast("timestamp_ntz")).select(
+    batch = t.orders.filter(F.col("o_orderdate") >= F.lit("1998-01-01").cast("timestamp_ntz")).select(
         "o_custkey",
         "o_orderkey",
         F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("o_totalprice"),
@@ -156,7 +156,7 @@ _RAW_SQL = """raw AS (
 @query(
     f"""WITH {_RAW_SQL}, signals AS (
       SELECT doc_id, md5(text) AS text_id, CASE WHEN quality = 1 THEN source WHEN toxic = 1 THEN 'Unknown' END AS source,
-        CASE WHEN toxic = 0 THEN substr(text, 1, 40) ELSE '' END AS full_content, substr(text, 1, 40) AS condensed_text,
+        CASE WHEN toxic = 0 THEN text ELSE '' END AS full_content, split_part(text, chr(10), 1) AS condensed_text,
         CASE WHEN doc_id % 2 = 1 THEN 'http://x/' || doc_id END AS url
       FROM documents JOIN labels USING (doc_id))
     SELECT s.doc_id,
@@ -186,13 +186,13 @@ def priority_lookup_repair(t: Tables) -> DataFrame:
         "text_id",
         "doc_id",
     )
-    short = F.substring("text", 1, 40)
+    headline = F.substring_index("text", "\n", 1)
     signals = docs.join(t.labels, "doc_id").select(
         "doc_id",
         "text_id",
         F.when(F.col("quality") == 1, F.col("source")).when(F.col("toxic") == 1, "Unknown").alias("source"),
-        F.when(F.col("toxic") == 0, short).otherwise("").alias("full_content"),
-        short.alias("condensed_text"),
+        F.when(F.col("toxic") == 0, F.col("text")).otherwise("").alias("full_content"),
+        headline.alias("condensed_text"),
         F.when(F.pmod("doc_id", F.lit(2)) == 1, F.concat(F.lit("http://x/"), F.col("doc_id").cast("string"))).alias("url"),
     )
     out = state.repair(signals, raw, "text_id")

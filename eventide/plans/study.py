@@ -248,7 +248,7 @@ around AS (
 
 def dated(t: Tables) -> DataFrame:
     rows = t.events.withColumn("event_date", F.to_date("ts"))
-    return calendar.with_sessions(rows, calendar.calendar_table(t.spark, HOLIDAYS))
+    return calendar.with_sessions(rows, calendar.calendar_table(t.spark, HOLIDAYS), holidays=HOLIDAYS)
 
 
 @query(

@@ -30,6 +30,9 @@ def write_bars(bars: DataFrame, path: str, mode: str = "append") -> None:
     out.write.mode(mode).partitionBy("trade_date").parquet(path)
 
 
+COLUMNS = "__columns"
+
+
 class KeyedTable:
     """An append or upsert table of batches keyed by ``keys``."""
 
@@ -39,7 +42,7 @@ class KeyedTable:
     def read(self, before: int | None = None) -> DataFrame | None:
         """All batches (below ``before``), or None while nothing is stored."""
         try:
-            rows = self.spark.read.parquet(self.path)
+            rows = self.spark.read.option("mergeSchema", "true").parquet(self.path)
         except AnalysisException as e:
             if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
                 raise
@@ -61,11 +64,22 @@ class KeyedTable:
         return self._write(rows, batch)
 
     def upsert(self, rows: DataFrame, batch: int, order: Sequence | None = None) -> DataFrame:
-        """Store the batch's last row per key; ``latest`` merges batches on read."""
+        """Store the batch's last row per key; ``latest`` merges batches on read.
+
+        The batch keeps the names of its columns, so that a column it lacks is told from a null.
+        """
         if order is not None:
             rows = state.first_per_key(rows, self.keys, order)
-        return self._write(rows, batch)
+        return self._write(rows.withColumn(COLUMNS, F.array(*[F.lit(c) for c in rows.columns])), batch).drop(COLUMNS)
 
     def latest(self) -> DataFrame | None:
+        """One row per key: each column from the newest batch that has the column, null or not."""
         rows = self.read()
-        return None if rows is None else state.first_per_key(rows, self.keys, [F.col("batch").desc()])
+        if rows is None or COLUMNS not in rows.columns:
+            return None if rows is None else state.first_per_key(rows, self.keys, [F.col("batch").desc()])
+        rest = [c for c in rows.columns if c not in (*self.keys, COLUMNS, "batch")]
+        newest = [
+            F.max_by(F.struct(c), F.when(F.array_contains(COLUMNS, c), F.col("batch"))).alias(c) for c in rest
+        ]
+        merged = rows.groupBy(*self.keys).agg(*newest, F.max("batch").alias("batch"))
+        return merged.select(*self.keys, *[F.col(c)[c].alias(c) for c in rest], "batch")

@@ -85,3 +85,10 @@ def test_candle_hv_is_zero_for_one_tick(spark):
     frame = tick_frame(spark, rows).withColumn("trade_date", F.to_date("ts"))
     candles = bars.tick_bars(bars.rolling_hv(frame, seq="seq"), seq="seq", hv="hv").orderBy("ts").collect()
     assert candles[0].hv == 0.0 and candles[1].hv == 0.0  # two equal returns have no variance
+
+
+def test_volatility_keeps_ticks_with_null_keys(spark):
+    from eventide.operators import bars
+
+    rows = spark.sql("SELECT * FROM VALUES ('A', timestamp_ntz'2024-01-01 10:00:00', 1.0), (NULL, timestamp_ntz'2024-01-01 10:00:00', 2.0), ('A', NULL, 3.0) t(symbol, ts, price)")
+    assert bars.rolling_hv(rows.selectExpr("*", "to_date(ts) AS trade_date")).count() == 3

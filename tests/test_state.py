@@ -110,3 +110,12 @@ def test_class_weights(spark):
     df = spark.createDataFrame([("BUY",)] * 1 + [("SELL",)] * 2 + [("HOLD",)] * 6 + [("?",)], "label string")
     got = {r.label: r.weight for r in labels.class_weights(df, "label").collect()}
     assert got == {"BUY": 9 / 3 * 1.5, "SELL": 9 / 6 * 1.5, "HOLD": 0.5}
+
+
+def test_upsert_keeps_what_a_batch_lacks_and_takes_its_nulls(spark, tmp_path):
+    table = KeyedTable(spark, str(tmp_path / "merge"), ["id"])
+    table.upsert(spark.createDataFrame([("a", "u", "BUY"), ("b", "v", "SELL")], "id string, url string, signal string"), 0)
+    table.upsert(spark.createDataFrame([("a", "HOLD", 1)], "id string, signal string, extra int"), 1)
+    table.upsert(spark.createDataFrame([("b", None)], "id string, url string"), 2)
+    got = {r.id: (r.url, r.signal, r.extra) for r in table.latest().collect()}
+    assert got == {"a": ("u", "HOLD", 1), "b": (None, "SELL", None)}

@@ -130,7 +130,8 @@ def test_page_job(spark):
     a = out[0]
     assert (a.article_id, a.headline, a.published_time) == ("12345678", "Big & bold", "2026-01-17 10:00:00")
     lines = a.content.split("\n")
-    assert len(lines) == 2 and lines[0].startswith("First part word") and lines[1].startswith("Second part")
+    # This site has no line patterns of its own, so the disclaimer stays.
+    assert len(lines) == 3 and lines[0].startswith("First part word") and lines[1].startswith("Second part")
     links = pages.page_links(df, keep=pagetext.link_title_ok(F.col("title"))).collect()
     assert [(r.link, r.title) for r in links] == [("https://h.com/story/1", "A headline that is long enough")]
     assert pages.page_links(df, limit=1).filter("page_id = 1").count() == 1
@@ -156,7 +157,7 @@ def test_url_rules(spark):
 def test_lines(spark):
     text = "Keep me\n  Disclaimer: x\n\n1,234.50 points\nGet with us\nCatch all the Business News here\nlast"
     ads = "Body text\nSubscribe to us\nTop 5 funds to buy\n" + "x" * 201 + "\nby John Smith\nEnd"
-    row = spark.range(1).select(pagetext.cleaned_body(F.lit(text)).alias("a"), pagetext.without_ad_lines(F.lit(ads)).alias("b"), pagetext.cleaned_synopsis(F.lit("a  b\nREAD MORE c")).alias("c")).first()
+    row = spark.range(1).select(pagetext.cleaned_body(F.lit(text), F.lit("The Hindu Business Line")).alias("a"), pagetext.without_ad_lines(F.lit(ads)).alias("b"), pagetext.cleaned_synopsis(F.lit("a  b\nREAD MORE c")).alias("c")).first()
     assert (row.a, row.b, row.c) == ("Keep me\nlast", "Body text\nEnd", "a b")
 
 
@@ -186,3 +187,27 @@ def test_view_columns_and_day_filter(spark):
     assert (view[0].formatted_date, view[0].time, view[0].sentiment_label, view[0].confidence_pct) == ("17 Jan 2026", "10:05", "POSITIVE", 91.23)
     assert (view[1].formatted_date, view[1].time) == ("Date N/A", "--:--")
     assert pages.published_on(df, F.col("ts"), "2026-01-17").count() == 1
+
+
+def test_lines_are_judged_by_their_own_site_only(spark):
+    body = "2 units of the company will be sold\n" + "A long paragraph about the company and its plans for the year. " * 4
+    html = "<article><h1>Head</h1>" + "".join(f"<p>{x}</p>" for x in body.split("\n")) + "</article>"
+    rows = [(i, f"http://x.example/{1000 + i}.html", html, s) for i, s in enumerate(("Moneycontrol", "LiveMint", "The Hindu Business Line"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, site string")
+    out = pages.articles(df, F.col("site"), F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    got = {r.source: r.content.startswith("2 units") for r in out.collect()}
+    assert got == {"Moneycontrol": True, "LiveMint": True, "The Hindu Business Line": False}
+
+
+def test_links_and_marks_in_any_quotes(spark):
+    html = "<a class=x href='/one?a=1'>first link</a><a href=/two>second</a><a href=\"/three\">third</a><meta property='article:published_time' content='2024-01-02T03:04:05Z'>"
+    df = spark.createDataFrame([(1, "http://h.example/p", html)], "page_id long, url string, html string")
+    assert [r.link for r in pages.page_links(df).orderBy("pos").collect()] == [f"http://h.example/{x}" for x in ("one?a=1", "two", "three")]
+    assert df.select(pagetext.published_text(F.col("html")).alias("p")).first().p == "2024-01-02 03:04:05"
+
+
+def test_encoded_condensation_keeps_all_documents(spark):
+    few = "One. Two."
+    df = spark.createDataFrame([(1, few), (2, ""), (3, None), (4, "A. B. C. D. E. F.")], "doc_id long, text string")
+    got = dict(condense.encoded_top_sentences(df, lambda c: F.array(F.length(c).cast("double"), F.lit(1.0))).collect())
+    assert got[1] == few and got[2] == "" and got[3] is None and len(got[4].split()) == 5

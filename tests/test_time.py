@@ -156,3 +156,10 @@ def test_accuracy_and_confusion(spark):
     m = evaluate.confusion_metrics(pairs).first()
     assert m.accuracy == 0.6667 and m.sell_recall == 0.0 and m.buy_recall == 1.0 and m.sell_as_buy == 1
     assert m.macro_f1 == round((2 / 3 + 0 + 1) / 3, 4)
+
+
+def test_dates_outside_the_table_are_computed(spark):
+    df = spark.sql("SELECT * FROM VALUES (date'1985-01-06'), (date'1985-01-07'), (date'2100-01-04') t(event_date)")
+    got = {str(r.event_date): r for r in calendar.with_sessions(df, calendar.calendar_table(spark)).collect()}
+    assert got["1985-01-06"].reason == "Weekend (Sunday)" and str(got["1985-01-06"].prev_session) == "1985-01-04"
+    assert got["1985-01-07"].is_trading and str(got["2100-01-04"].next_session) == "2100-01-05"
