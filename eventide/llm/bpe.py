@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from eventide.llm.common import fresh, with_column
 
 RESULTS = ("ids", "decoded")
-BLOCK_CHARS = 8_000_000  # texts whose new words are merged together
-CACHE_WORDS = 1_000_000  # remembered words of a task; beyond that it starts anew
+BLOCK_CHARS = 2_000_000  # texts whose new words are merged together
+CACHE_WORDS = 300_000  # remembered words of a task; beyond that it starts anew
 
 # White space as the normaliser of the vocabulary understands it (the Unicode property).
 SPACE = regex.compile(r"[\t-\r\x20\x85\xa0  -     　]+")
