@@ -159,7 +159,7 @@ def shards_for(taken: int, shard_words: int) -> int:
 
 def draws(
     docs: DataFrame, size: Column, id_col: str = "doc_id", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: int = 3,
-    seed: int = 17, shard_words: int = 16_000_000,
+    seed: int = 17, shard_words: int = 2_000_000,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix as two tables.
 
@@ -216,7 +216,7 @@ def _slices(text_col: str):
     return run
 
 
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, shard_words: int = 16_000_000) -> DataFrame:
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, shard_words: int = 2_000_000) -> DataFrame:
     """The mixed texts in the columns of ``docs``, dealt to shards and shuffled inside each.
 
     A document stands once for every pass that takes it whole; where a pass takes a part of it,
