@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import key_runs, partitions, written
+from eventide.llm.common import in_batches, key_runs, partitions, written
 from eventide.llm.vectors import best, matrix, query_blocks, smallest_ids, usable
 
 SHARD_ROWS = 8192
@@ -233,7 +233,7 @@ def nearest(
     shards = max(1, -(-kept.count() // SHARD_ROWS))
     dealt = kept.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
     n = max(partitions(vectors), shards)
-    index = written(dealt.repartition(n, "shard").sortWithinPartitions("shard", "id").mapInArrow(_build, INDEX), "ann-index")
+    index = written(in_batches(dealt.repartition(n, "shard").sortWithinPartitions("shard", "id"), _build, INDEX), "ann-index")
     tasks = query_blocks(queries, shards).join(index, "shard")
-    found = tasks.repartition(max(1, min(n, shards * 4)), "shard", "block").mapInArrow(_search(k, beam), "query_id long, vec_id long, score double")
+    found = in_batches(tasks.repartition(max(1, min(n, shards * 4)), "shard", "block"), _search(k, beam), "query_id long, vec_id long, score double")
     return best(found, k)

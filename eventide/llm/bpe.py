@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from eventide.llm.common import fresh, with_column
+from eventide.llm.common import fresh, in_batches, with_column
 
 RESULTS = ("ids", "decoded")
 BLOCK_CHARS = 2_000_000  # texts whose new words are merged together
@@ -308,4 +308,4 @@ def bpe(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
                 yield with_column(out, "decoded", pa.array(decoded, pa.string()))
 
     added = [T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return in_batches(docs, run, T.StructType([*docs.schema.fields, *added]))

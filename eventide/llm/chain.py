@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.llm.common import fresh, partitions, with_column, written
+from eventide.llm.common import fresh, in_batches, partitions, with_column, written
 
 WORD = re.compile(r"[^\W\d_]+")
 STEM = 5
@@ -199,7 +199,7 @@ def train_chain(labelled: DataFrame, categories: list[str], id_col: str, text_co
     schema = T.StructType(
         [T.StructField("order", T.LongType()), *[T.StructField(n, T.DoubleType()) for n in names], T.StructField("terms", T.ArrayType(T.StringType()))]
     )
-    rows = written(picked.repartition(partitions(labelled), "order").mapInArrow(_terms_of, schema), "chain-rows")
+    rows = written(in_batches(picked.repartition(partitions(labelled), "order"), _terms_of, schema), "chain-rows")
     vocabulary = tuple(choose_terms(rows, tuple(names), s))
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,7 +209,7 @@ def train_chain(labelled: DataFrame, categories: list[str], id_col: str, text_co
             yield with_column(batch.drop_columns(["terms"]), "at", pa.array(own, pa.list_(pa.int32())))
 
     kinds = T.StructType([*schema.fields[:-1], T.StructField("at", T.ArrayType(T.IntegerType()))])
-    small = rows.mapInArrow(numbered, kinds).withColumn("fold", F.pmod(F.shiftright("order", 8), F.lit(s.folds)).cast("int"))
+    small = in_batches(rows, numbered, kinds).withColumn("fold", F.pmod(F.shiftright("order", 8), F.lit(s.folds)).cast("int"))
     small = written(small, "chain-features")
     width = len(vocabulary)
     fits: list[list[tuple[np.ndarray, float]]] = []
@@ -242,7 +242,7 @@ def score_chain(docs: DataFrame, chain: Chain, text_col: str = "text") -> DataFr
             yield with_column(batch, "rejected", pa.array(p[:, -1] >= chain.threshold))
 
     added = [*[T.StructField(n, T.DoubleType()) for n in results[:-1]], T.StructField("rejected", T.BooleanType())]
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *added]))
+    return in_batches(docs, run, T.StructType([*docs.schema.fields, *added]))
 
 
 CATEGORIES = ["toxic_junk", "toxic_prose", "toxic"]

@@ -14,6 +14,7 @@ from eventide.session import scratch
 
 # White space of the contracts: blank, tab to carriage return.
 BLANKS = b" \t\n\x0b\x0c\r"
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -69,6 +70,22 @@ def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``BATCH_BYTES`` (a longer row stands alone).
+
+    The default bound counts in tens of megabytes of text, which a Python worker and the Arrow
+    buffers of its executor hold several times over. This sets the session's bound; a task hands
+    back what its Arrow pool kept before its worker idles.
+    """
+    df.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(bounded, schema)
+
+
 def fresh(df: DataFrame, *names: str) -> DataFrame:
     """Without the columns whose names an operator gives to its own results."""
     low = {n.lower() for n in names}

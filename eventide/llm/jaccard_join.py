@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import as_bytes, fresh, key_runs, partitions, written
+from eventide.llm.common import as_bytes, fresh, in_batches, key_runs, partitions, written
 from eventide.llm.components import components
 
 GROUPS = 128
@@ -394,7 +394,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     shared = docs.sparkSession.sparkContext
-    scan = written(rows.mapInArrow(_scan(k, percent), "id long, n long, h1 long, h2 long, point binary, bucket long, crowd long"), "jaccard-scan")
+    scan = written(in_batches(rows, _scan(k, percent), "id long, n long, h1 long, h2 long, point binary, bucket long, crowd long"), "jaccard-scan")
     own = scan.where("bucket is null")
     full = own.where("id is not null and n > 0")
     classes = full.groupBy("h1", "h2").agg(F.min("id").alias("rep"), F.first("n").alias("n"), F.first("point").alias("point"))
@@ -402,13 +402,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     levels = shared.broadcast(crowded(scan))  # BUCKETS bytes
     n = partitions(docs)
     known = rows.where("id is not null")
-    tokens = known.select("text").mapInArrow(_prefixes(k, percent, levels), "token long, salt long, class long")
+    tokens = in_batches(known.select("text"), _prefixes(k, percent, levels), "token long, salt long, class long")
     sorted_tokens = tokens.repartition(n, "token", "salt").sortWithinPartitions("token", "salt", "class")
-    runs = written(sorted_tokens.mapInArrow(_runs, "run long, class long, lead long, token long"), "jaccard-runs")
+    runs = written(in_batches(sorted_tokens, _runs, "run long, class long, lead long, token long"), "jaccard-runs")
     placed_runs = runs.where("run is not null").select("run", "class").distinct()
     points = placed_runs.join(classes.select(F.col("h1").alias("class"), "n", "point"), "class")
     points = points.repartition(n, "run").sortWithinPartitions("run", "n", "class")
-    shares = points.mapInArrow(_search_runs(percent), "u long, v long")
+    shares = in_batches(points, _search_runs(percent), "u long, v long")
     # Parts of a token that was dealt out belong to one block, whatever their points say.
     dealt = runs.where("token is not null").select("lead", "token")
     first = dealt.groupBy("token").agg(F.min("lead").alias("v"))
@@ -421,9 +421,9 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     few = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = placed.select("id", "pair", "side")
     texts = known.join(F.broadcast(wanted) if few else wanted, "id").select("id", "pair", "side", "text")
-    sets = texts.mapInArrow(_sets(k), "id long, pair long, side int, shingles binary")
+    sets = in_batches(texts, _sets(k), "id long, pair long, side int, shingles binary")
     dealt_sets = sets.repartition(n, "pair").sortWithinPartitions("pair", "id")
-    links = dealt_sets.mapInArrow(_join_chunks(percent), "u long, v long")
+    links = in_batches(dealt_sets, _join_chunks(percent), "u long, v long")
 
     # All ids of a class are linked to its representative; so are the classes of a repeated id.
     reps = written(links, "jaccard-links").unionByName(_repeated_ids(full, classes))

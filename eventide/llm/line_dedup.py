@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.llm.common import BLANKS, as_bytes, digests, fresh, with_column
+from eventide.llm.common import BLANKS, as_bytes, digests, fresh, in_batches, with_column
 
 RESULTS = ("n_lines", "n_dropped")
 
@@ -57,7 +57,7 @@ def line_hashes(docs: DataFrame, id_col: str, text_col: str, min_chars: int) ->
     kind = docs.schema[id_col].dataType
     schema = T.StructType([T.StructField("_id", kind), T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())])
     rows = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
-    return rows.mapInArrow(_hash_lines(min_chars), schema)
+    return in_batches(rows, _hash_lines(min_chars), schema)
 
 
 def repeated_lines(lines: DataFrame, min_docs: int) -> DataFrame:
@@ -112,4 +112,4 @@ def dedup_lines(
     joined = docs.join(drops, F.col(id_col) == F.col("_id"), "left").drop("_id")
     fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema]
     schema = T.StructType([*fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
-    return joined.mapInArrow(_reassemble(text_col), schema)
+    return in_batches(joined, _reassemble(text_col), schema)

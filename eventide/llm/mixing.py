@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from eventide.llm.common import BLANKS, as_bytes, fresh, with_column, written
+from eventide.llm.common import BLANKS, as_bytes, fresh, in_batches, with_column, written
 
 BLOCK_WORDS = 1024
 MOST_BLOCKS = 500_000_000  # blocks of all sources; blocks grow beyond it
@@ -94,7 +94,7 @@ def shard_ranges(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
     if not names:
         return spark.createDataFrame([], "_src string, shard long, _lo long, _hi long, _part long")
-    leaves = spark.range(shards).mapInArrow(run, "_src string, shard long, _n long")
+    leaves = in_batches(spark.range(shards), run, "_src string, shard long, _n long")
     hi = F.sum("_n").over(Window.partitionBy("_src").orderBy("shard"))
     ranges = leaves.withColumn("_hi", hi).withColumn("_lo", F.col("_hi") - F.col("_n")).where("_n > 0").drop("_n")
     return ranges.withColumn("_part", F.explode(F.sequence(F.expr(f"_lo div {DRAWS}"), F.expr(f"(_hi - 1) div {DRAWS}"))))
@@ -229,7 +229,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.select(*columns, "_src", "_pieces")
     fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema]
     schema = T.StructType([*fields, T.StructField("_src", T.StringType()), T.StructField("_draw", T.LongType())])
-    texts = rows.mapInArrow(_slices(text_col), schema).withColumn("_part", F.expr(f"_draw div {DRAWS}"))
+    texts = in_batches(rows, _slices(text_col), schema).withColumn("_part", F.expr(f"_draw div {DRAWS}"))
     ranges = shard_ranges(quotas, shards, seed)
     placed = texts.join(ranges, ["_src", "_part"]).where("_draw >= _lo and _draw < _hi")
     local = F.xxhash64(F.lit(seed + 1), "_src", "_draw", F.col(id_col))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from eventide.llm.common import fresh, with_column
+from eventide.llm.common import fresh, in_batches, with_column
 
 # Comments, raw-text elements whole, declarations, tags (quoted values may hold >), broken tags.
 TOKEN = re.compile(
@@ -244,4 +244,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
             batch = with_column(batch, "text", pa.array(found, pa.string()))
             yield with_column(batch, "n_chars", pa.array(map(len, found), pa.int64()))
 
-    return pages.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))
+    return in_batches(pages, run, T.StructType([*pages.schema.fields, T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())]))

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.llm.common import digests, fresh, with_column
+from eventide.llm.common import digests, fresh, in_batches, with_column
 
 RESULTS = ("n_sentences", "n_removed", "n_removed_words")
 
@@ -128,7 +128,7 @@ def dedup_spans(
     docs = fresh(docs, *RESULTS, "_drop", "_id")
     kind = docs.schema[id_col].dataType
     rows = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
-    found = rows.mapInArrow(_hash_spans(min_sentences, min_words), T.StructType([T.StructField("_id", kind), *SPAN.fields]))
+    found = in_batches(rows, _hash_spans(min_sentences, min_words), T.StructType([T.StructField("_id", kind), *SPAN.fields]))
     place = F.struct("_id", "_pos")
     both = found.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     hits = found.join(both.where("_first < _last").drop("_last"), ["_h1", "_h2"]).where(place != F.col("_first"))
@@ -136,4 +136,4 @@ def dedup_spans(
     joined = docs.join(drops, F.col(id_col) == F.col("_id"), "left").drop("_id")
     fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema]
     schema = T.StructType([*fields, *[T.StructField(n, T.LongType()) for n in RESULTS]])
-    return joined.mapInArrow(_cut(text_col, min_sentences, min_words), schema)
+    return in_batches(joined, _cut(text_col, min_sentences, min_words), schema)

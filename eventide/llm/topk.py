@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from eventide.llm.common import key_runs, partitions, written
+from eventide.llm.common import in_batches, key_runs, partitions, written
 from eventide.llm.vectors import best, matrix, query_blocks, smallest_ids, usable
 
 SHARD_ROWS = 8192
@@ -135,9 +135,9 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 25
     shards = max(1, -(-kept.count() // SHARD_ROWS))
     dealt = kept.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
     n = max(partitions(vectors), shards)
-    packed = dealt.repartition(n, "shard").sortWithinPartitions("shard", "id").mapInArrow(_pack, "shard int, own binary, width int, data binary")
+    packed = in_batches(dealt.repartition(n, "shard").sortWithinPartitions("shard", "id"), _pack, "shard int, own binary, width int, data binary")
     packed = written(packed, "topk-shards")
     # A row per shard and query block: dealt out evenly, each task holds one pair at a time.
     tasks = query_blocks(queries, shards).join(packed, "shard")
-    found = tasks.repartition(max(1, min(n, shards * 4)), "shard", "block").mapInArrow(_search(k), "query_id long, vec_id long, score long")
+    found = in_batches(tasks.repartition(max(1, min(n, shards * 4)), "shard", "block"), _search(k), "query_id long, vec_id long, score long")
     return best(found, k)
