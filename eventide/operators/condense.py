@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventide.functions import scalars
 
@@ -33,49 +36,59 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def sentence_scores(docs: DataFrame, key: str = "doc_id", text: str = "text", max_sentences: int | None = None) -> DataFrame:
-    """Cosine between the word-count vectors of each sentence and of its document.
+def _central(words: pa.Array, k: int) -> pa.Array:
+    """Per document (a list of sentences, each a list of words) the places of its ``k`` best sentences, ascending.
 
-    The text is hash-partitioned by document once; all later groupings contain the
-    document key, so they run without another exchange. Every sentence is considered
-    unless ``max_sentences`` is given.
+    A sentence is scored by the cosine between its word counts and those of the whole document.
     """
-    rows = docs.select(key, text).repartition(F.col(key))
-    split = rows.select(key, F.posexplode(sentences(F.col(text))).alias("sent", "sentence"))
-    if max_sentences is not None:
-        split = split.filter(F.col("sent") < max_sentences)
-    words = split.select(key, "sent", F.explode(tokens(F.col("sentence"))).alias("w"))
-    per = words.groupBy(key, "sent", "w").agg(F.count(F.lit(1)).alias("c"))
-    per = per.withColumn("d", F.sum("c").over(W.partitionBy(key, "w")))
-    sums = per.groupBy(key, "sent").agg(
-        F.sum(F.col("c") * F.col("d")).alias("dot"), F.sum(F.col("c") * F.col("c")).alias("ss")
-    )
+    per_doc = words.value_lengths().fill_null(0).to_numpy()
+    lists = words.flatten()
+    per_sentence = lists.value_lengths().fill_null(0).to_numpy()
+    coded = lists.flatten().dictionary_encode()
+    n_docs, n_sentences, width = len(per_doc), len(per_sentence), max(1, len(coded.dictionary))
+    doc = np.repeat(np.arange(n_docs), per_doc)
+    place = np.arange(n_sentences) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
+    said = np.repeat(np.arange(n_sentences), per_sentence) * width + coded.indices.to_numpy()
+    cells, c = np.unique(said, return_counts=True)
+    sentence, word = cells // width, cells % width
+    _, pair = np.unique(doc[sentence] * width + word, return_inverse=True)
+    d = np.bincount(pair, c)[pair] if len(pair) else np.zeros(0)
+    dot = np.bincount(sentence, c * d, n_sentences)
     # The squared length of the document vector is the sum of count * document count over its sentences.
-    whole = F.sum("dot").over(W.partitionBy(key))
-    return sums.select(
-        key, "sent", (F.col("dot") / (F.sqrt(F.col("ss").cast("double")) * F.sqrt(whole.cast("double")))).alias("score")
-    )
+    whole = np.bincount(doc, dot, n_docs)[doc]
+    length = np.sqrt(np.bincount(sentence, c * c, n_sentences)) * np.sqrt(whole)
+    score = np.round(np.divide(dot, length, out=np.full(n_sentences, -1.0), where=length > 0), 9)
+    best = np.lexsort((place, -score, doc))  # sentences without words come last in their document
+    rank = np.arange(n_sentences) - (np.cumsum(per_doc) - per_doc)[doc[best]]
+    kept = np.sort(best[(rank < k) & (score[best] >= 0)])
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(doc[kept], minlength=n_docs))])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(place[kept], pa.int32()))
 
 
 def top_sentences(
     docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = TOP_SENTENCES, max_sentences: int | None = None
 ) -> DataFrame:
-    """``condensed_text``: the ``k`` best sentences in text order; short texts stay unchanged."""
-    scores = sentence_scores(docs, key, text, max_sentences)
-    best = W.partitionBy(key).orderBy(F.round("score", 9).desc(), "sent")
-    picked = (
-        scores.withColumn("rn", F.row_number().over(best))
-        .filter(F.col("rn") <= k)
-        .groupBy(key)
-        .agg(F.sort_array(F.collect_list("sent")).alias("picked"))
-    )
+    """``condensed_text``: the ``k`` best sentences in text order; short texts stay unchanged.
+
+    A document's scores depend on its own words alone, so nothing is shuffled: the words of the
+    longer texts go to an Arrow function, which counts them batch by batch and answers with the
+    places of the sentences. Every sentence is considered unless ``max_sentences`` is given.
+    """
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def central(words: pa.Array) -> pa.Array:
+        return _central(words, k)
+
+    parts = sentences(F.col(text))
+    scored = parts if max_sentences is None else F.slice(parts, 1, max_sentences)
+    rows = docs.withColumn("__words", F.when(F.size(parts) > k, F.transform(scored, tokens)))
+    rows = rows.withColumn("__picked", central("__words"))
 
     def chosen(parts: Column) -> Column:
-        best_parts = F.array_join(F.transform("picked", lambda i: F.get(parts, i)), " ")
-        return F.when((F.size(parts) <= k) | F.col("picked").isNull(), F.col(text)).otherwise(best_parts)
+        best_parts = F.array_join(F.transform("__picked", lambda i: F.get(parts, i)), " ")
+        return F.when((F.size(parts) <= k) | (F.size("__picked") == 0), F.col(text)).otherwise(best_parts)
 
-    short_text = scalars.once([sentences(F.col(text))], chosen)
-    return docs.join(picked, key, "left").withColumn("condensed_text", short_text).drop("picked")
+    return rows.withColumn("condensed_text", scalars.once([parts], chosen)).drop("__words", "__picked")
 
 
 def encoded_top_sentences(

@@ -210,8 +210,8 @@ def tag_articles(
     headline: str = "headline",
     content: str = "content",
 ) -> DataFrame:
-    """One row per (article, company)."""
-    found = resolved(scored(candidates(articles, keywords, key, headline), headline, content))
+    """One row per (article, company). Generic keywords never tag, so they do not enter the join."""
+    found = resolved(scored(candidates(articles, keywords.filter(~F.col("is_generic")), key, headline), headline, content))
     kept = [c for c in articles.columns]
     # A plain ``inline`` would send a filter with the whole scoring expression into the join condition.
     rows = found.select(*kept, F.inline_outer("matches"))

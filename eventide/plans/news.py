@@ -269,7 +269,7 @@ def keyword_match(t: Tables) -> DataFrame:
 
 @query(f"WITH {_SCORE_SQL} SELECT article_id, kw AS keyword, symbol, company, confidence FROM kept")
 def keyword_confidence(t: Tables) -> DataFrame:
-    found = tagging.scored(tagging.candidates(news(t), keywords(t)))
+    found = tagging.scored(tagging.candidates(news(t), keywords(t).filter("not is_generic")))
     return found.select("article_id", F.explode("matches").alias("m")).select(
         "article_id",
         "m.keyword",
@@ -325,7 +325,7 @@ scores AS (SELECT doc_id, sent, sum(c * d) / (sqrt(sum(c * c)) * any_value(len))
     FROM documents LEFT JOIN joined USING (doc_id) LEFT JOIN sizes USING (doc_id)"""
 )
 def top_sentences(t: Tables) -> DataFrame:
-    out = condense.top_sentences(t.documents.select("doc_id", "text"))
+    out = condense.top_sentences(spread(t.documents.select("doc_id", "text")))
     return out.select(
         "doc_id", F.length("condensed_text").cast("long").alias("n_chars"), F.md5("condensed_text").alias("condensed_id")
     )

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
-from eventide.functions import timeparse
+from eventide.functions import clock, timeparse
 from eventide.plans import Tables, query
 from eventide.plans.market import HV_SQL
 from eventide.plans.roles import BARS_SQL, symbol
@@ -15,12 +18,26 @@ from eventide.sources.tables import KeyedTable
 from eventide.streaming import jobs
 
 
-def stream(t: Tables, name: str) -> DataFrame:
-    return jobs.file_stream(t.spark, t.folder, f"{name}.parquet", getattr(t, name).schema)
+SLICES = 3
+
+
+def arriving(t: Tables, name: str, order: Column, run: Callable[[DataFrame], StreamingQuery], slices: int = SLICES) -> None:
+    """Let a table arrive in slices of ``order``: each is stored and met by a run that goes on from the last one.
+
+    Every slice is at least one micro-batch. The cuts are approximate quantiles.
+    """
+    rows = getattr(t, name)
+    path = scratch(t.spark, f"{name}-arriving")
+    shares = [i / slices for i in range(1, slices)]
+    cuts = rows.agg(F.percentile_approx(order, F.array(*[F.lit(s) for s in shares]))).first()[0] or []
+    part = sum((F.coalesce((order > c).cast("int"), F.lit(0)) for c in cuts), F.lit(0))
+    for i in range(slices):
+        rows.filter(part == i).write.parquet(f"{path}/{i}")
+        run(t.spark.readStream.schema(rows.schema).parquet(f"{path}/*")).awaitTermination()
 
 
-def tick_stream(t: Tables) -> DataFrame:
-    return stream(t, "events").filter(F.col("event_type") != "signup").select(
+def ticks_of(events: DataFrame) -> DataFrame:
+    return events.filter(F.col("event_type") != "signup").select(
         "event_id",
         symbol(),
         "ts",
@@ -29,15 +46,16 @@ def tick_stream(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    f"""WITH {BARS_SQL} SELECT * FROM bars
-    WHERE ts + INTERVAL 1 MINUTE <= (SELECT max(ts) FROM ticks) - INTERVAL 2 SECOND"""
-)
+@query(f"WITH {BARS_SQL} SELECT * FROM bars")
 def stream_bars(t: Tables) -> DataFrame:
-    """Candles closed by the final watermark."""
+    """Candles closed by the watermark of two micro-batches, and the open ones flushed at the end."""
     path = scratch(t.spark, "candles")
-    jobs.run_available(jobs.candles(tick_stream(t), seq="event_id"), f"{path}/out", f"{path}/log").awaitTermination()
-    return t.spark.read.parquet(f"{path}/out")
+
+    def run(events: DataFrame) -> StreamingQuery:
+        return jobs.run_available(jobs.candles(ticks_of(events), seq="event_id"), f"{path}/out", f"{path}/log")
+
+    arriving(t, "events", clock.micros(F.col("ts")), run, slices=2)
+    return t.spark.read.parquet(f"{path}/out").unionByName(jobs.open_candles(ticks_of(t.events), seq="event_id"))
 
 
 @query("SELECT md5(text) AS text_id, min(doc_id) AS doc_id FROM documents GROUP BY 1")
@@ -45,8 +63,12 @@ def stream_dedup(t: Tables) -> DataFrame:
     """First document of every text across micro-batches."""
     path = scratch(t.spark, "dedup")
     table = KeyedTable(t.spark, f"{path}/out", ["text_id"])
-    rows = stream(t, "documents").select("doc_id", F.md5("text").alias("text_id"))
-    jobs.run_batches(rows, jobs.dedup_into(table, ["doc_id"]), f"{path}/log").awaitTermination()
+
+    def run(docs: DataFrame) -> StreamingQuery:
+        rows = docs.select("doc_id", F.md5("text").alias("text_id"))
+        return jobs.run_batches(rows, jobs.dedup_into(table, ["doc_id"]), f"{path}/log")
+
+    arriving(t, "documents", F.col("doc_id"), run)
     return table.read().select("text_id", "doc_id")
 
 
@@ -54,8 +76,12 @@ def stream_dedup(t: Tables) -> DataFrame:
 def stream_hv_state(t: Tables) -> DataFrame:
     """Rolling volatility carried across micro-batches by a state table."""
     path = scratch(t.spark, "hv")
-    rows = tick_stream(t).withColumn("trade_date", F.to_date("ts"))
-    jobs.run_batches(rows, jobs.hv_into(t.spark, path), f"{path}/log").awaitTermination()
+
+    def run(events: DataFrame) -> StreamingQuery:
+        rows = ticks_of(events).withColumn("trade_date", F.to_date("ts"))
+        return jobs.run_batches(rows, jobs.hv_into(t.spark, path), f"{path}/log")
+
+    arriving(t, "events", clock.micros(F.col("ts")), run)
     done = t.spark.read.parquet(f"{path}/hv")
     return done.select("event_id", "symbol", "trade_date", F.round("hv", 4).alias("hv"))
 
@@ -67,15 +93,17 @@ def stream_accuracy(t: Tables) -> DataFrame:
     said = F.when(F.col("n_chars") > 2000, "BUY").when(F.col("lang") != "en", "SELL").otherwise("HOLD")
     real = F.when(F.col("toxic") == 1, "SELL").when(F.col("quality") == 1, "BUY").otherwise("HOLD")
     predictions = t.documents.select("doc_id", said.alias("signal"))
-    counts = jobs.live_confusion(
-        stream(t, "labels").select("doc_id", real.alias("label")), predictions, "doc_id", "signal", "label"
-    )
 
     def keep(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/out")
 
-    writer = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/log")
-    writer.trigger(availableNow=True).start().awaitTermination()
+    def run(rows: DataFrame) -> StreamingQuery:
+        told = rows.select("doc_id", real.alias("label"))
+        counts = jobs.live_confusion(told, predictions, "doc_id", "signal", "label")
+        writer = counts.writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{path}/log")
+        return writer.trigger(availableNow=True).start()
+
+    arriving(t, "labels", F.col("doc_id"), run)
     return t.spark.read.parquet(f"{path}/out")
 
 

@@ -78,6 +78,17 @@ def candles(
     )
 
 
+def open_candles(ticks: DataFrame, ts: str = "ts", seq: str | None = None, minutes: int = 1, lateness: int = GRACE_SECONDS) -> DataFrame:
+    """The candles that ``candles`` still holds open after all of ``ticks``: the flush at the end of a session.
+
+    Only the stored ticks after the last watermark's candle are read, found by one maximum.
+    """
+    last = ticks.agg(F.max(clock.micros(F.col(ts))) - lateness * 1_000_000).scalar()
+    size = minutes * clock.MINUTE_US
+    end = (F.floor(clock.micros(F.col(ts)) / size) + 1) * size
+    return bar_ops.tick_bars(ticks.filter(end > last), ts=ts, seq=seq, minutes=minutes)
+
+
 def tick_accepted(ts: Column, arrived: Column, grace: int = GRACE_SECONDS) -> Column:
     """Wall-clock rule: the running minute, or the one before during the first seconds."""
     behind = clock.minute_no(arrived) - clock.minute_no(ts)
