@@ -30,6 +30,7 @@ MOST_BLOCKS = 500_000_000  # blocks of all sources; blocks grow beyond it
 BUCKET_ROWS = 10_000
 STEP = 2_147_483_629  # a prime above any number of blocks of a source: coprime to all of them
 DRAWS = 64  # draws per lookup bucket
+MOST_PARTITIONS = 20_000  # of the output; with more shards than that a partition holds several, one after the other
 OWN = ("_src", "_h", "_bits", "_bucket", "_before", "_start", "_size", "_total", "_target", "_full", "_blocks", "_passes", "_rest", "_pieces")
 
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -233,4 +234,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ranges = shard_ranges(quotas, shards, seed)
     placed = texts.join(ranges, ["_src", "_part"]).where("_draw >= _lo and _draw < _hi")
     local = F.xxhash64(F.lit(seed + 1), "_src", "_draw", F.col(id_col))
-    return placed.repartition(shards, "shard").sortWithinPartitions("shard", local).select(*columns)
+    # By number, not by hash: each partition gets equally many shards, none stays empty.
+    n = min(shards, MOST_PARTITIONS)
+    return placed.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard", local).select(*columns)
