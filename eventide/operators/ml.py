@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -64,8 +64,14 @@ def approximate_split(df: DataFrame, ts: str, share: float = TRAIN_SHARE, out: s
 
 
 def stratified_split(df: DataFrame, key: str, label: str, share: float = TRAIN_SHARE, seed: int = SEED, out: str = "is_train") -> DataFrame:
-    """Random split that is a function of key, class and seed: no shuffle, same result on every run."""
-    draw = F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(1_000_000)) / 1_000_000
+    """Random split that is a function of key, class and seed: no shuffle, same result on every run.
+
+    The draw is the first 32 bits of the MD5 of the three, which any other engine can repeat. A
+    null key or class counts as empty text.
+    """
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (key, label)]
+    digest = F.md5(F.concat_ws("|", *parts, F.lit(str(seed))).cast("binary"))
+    draw = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / float(1 << 32)
     return df.withColumn(out, draw < share)
 
 
@@ -126,6 +132,14 @@ def should_deploy(current: dict, previous: dict | None, force: bool = False) ->
     return current["accuracy"] >= previous["accuracy"] or current["macro_f1"] >= previous["macro_f1"]
 
 
+def deployable(runs: DataFrame, keys: Sequence[str], order: str, out: str = "deployed") -> DataFrame:
+    """``should_deploy`` for every run of a table against the run before it (per ``keys``, by ``order``)."""
+    line = W.partitionBy(*keys).orderBy(order)
+    first = F.lag(F.lit(1)).over(line).isNull()
+    better = [F.coalesce(F.col(c) >= F.lag(c).over(line), F.lit(False)) for c in ("accuracy", "macro_f1")]
+    return runs.withColumn(out, first | better[0] | better[1])
+
+
 def model_run(metrics: DataFrame, rows: DataFrame, version: str, source: str, previous: dict | None = None, force: bool = False) -> DataFrame:
     """One row for the ``model_runs`` table: version, counts, class mix, metrics, deploy flag."""
     spark = metrics.sparkSession
@@ -178,7 +192,15 @@ def save_run(model: PipelineModel, run: DataFrame, model_folder: str, runs_path:
 
 
 def latest_run(runs: DataFrame) -> DataFrame:
-    return runs.filter("deployed").orderBy(F.col("model_version").desc()).limit(1)
+    """The last deployed run: by time of training, then by the numbers in the version (v10 after v9)."""
+    numbers = F.transform(F.regexp_extract_all("model_version", F.lit(r"\d+"), 0), lambda x: x.cast("decimal(38,0)"))
+    return runs.filter("deployed").orderBy(F.col("trained_at").desc(), numbers.desc(), F.col("model_version").desc()).limit(1)
+
+
+def deployed_model(spark: SparkSession, model_folder: str, runs_path: str) -> tuple[str, PipelineModel] | None:
+    """Version and model of the last deployed run; None when no run was deployed."""
+    run = latest_run(spark.read.parquet(runs_path)).first()
+    return run and (run.model_version, PipelineModel.load(f"{model_folder}/{run.model_version}"))
 
 
 # --- text classifier -------------------------------------------------------------------------

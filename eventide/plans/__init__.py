@@ -57,6 +57,6 @@ def query(sql: str | None = None):
 
 
 def load_all() -> dict[str, Query]:
-    from eventide.plans import learning, market, news, states, streams, study  # noqa: F401
+    from eventide.plans import decisions, learning, market, news, states, streams, study  # noqa: F401
 
     return REGISTRY

@@ -64,6 +64,8 @@ def test_train_score_and_run(spark, tmp_path):
     better = ml.model_run(m, df, "20260102_0000", "live", previous=None)
     ml.save_run(model, better, str(tmp_path / "m"), str(tmp_path / "runs"), "20260102_0000")
     last = ml.latest_run(spark.read.parquet(str(tmp_path / "runs"))).first()
+    version, loaded = ml.deployed_model(spark, str(tmp_path / "m"), str(tmp_path / "runs"))
+    assert version == "20260102_0000" and ml.score_reaction(loaded, df, cols).count() == 588
     assert last.model_version == "20260102_0000" and len(last.validation_metrics.confusion_matrix) == 3
 
 
@@ -74,6 +76,14 @@ def test_deploy_gate():
     assert ml.should_deploy(now, {"accuracy": 0.7, "macro_f1": 0.6}, force=True)
 
 
+def test_latest_run_reads_numbers_in_versions(spark):
+    same = "timestamp'2026-01-01 00:00:00' as trained_at"
+    runs = spark.createDataFrame([("v9", True), ("v10", True), ("v11", False)], "model_version string, deployed boolean").selectExpr("*", same)
+    assert ml.latest_run(runs).first().model_version == "v10"
+    later = runs.unionByName(spark.sql("select 'v2' as model_version, true as deployed, timestamp'2026-02-01 00:00:00' as trained_at"))
+    assert ml.latest_run(later).first().model_version == "v2"
+
+
 def test_sentiment_model(spark):
     rows = [("up gain profit strong", "positive"), ("loss fraud fall weak", "negative"), ("meeting held monday plain", "neutral")] * 10
     df = spark.createDataFrame(rows, "condensed_text string, sentiment string")
