@@ -17,8 +17,13 @@ EXCHANGE_ZONE = "Asia/Kolkata"
 
 
 def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of the wall-clock value."""
-    return F.unix_micros(ts.cast("timestamp"))
+    """Microseconds since 1970 of the wall-clock value, whatever the session's zone.
+
+    A cast to an instant would go through that zone, where an hour is missing or doubled twice a year.
+    """
+    at = ts.cast("timestamp_ntz")
+    clock = F.hour(at) * F.lit(3_600_000_000) + F.minute(at).cast("long") * F.lit(60_000_000)
+    return F.unix_date(at.cast("date")) * F.lit(86_400_000_000) + clock + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
 
 
 def minute_no(ts: Column) -> Column:
@@ -26,7 +31,7 @@ def minute_no(ts: Column) -> Column:
 
 
 def minute_ts(minute: Column) -> Column:
-    return F.timestamp_seconds(minute * 60).cast("timestamp_ntz")
+    return F.expr("timestamp_ntz'1970-01-01 00:00:00'") + F.make_dt_interval(mins=minute.cast("int"))
 
 
 def floor_minute(ts: Column) -> Column:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import clock
 from eventide.operators import asof, labels, state
+from eventide.operators.bars import canonical_bars
 
 # Session hours, scoring gate and default horizon of the event study.
 MARKET_OPEN = "09:15"
@@ -37,6 +38,21 @@ def horizon_minutes(text: str | int, default: int = HORIZON) -> int:
     return int(t) if t.isdigit() else default
 
 
+def with_plain_key(df: DataFrame, key: str) -> DataFrame:
+    """Text keys trimmed and in upper case; other keys as they are."""
+    return df.withColumn(key, F.upper(F.trim(key))) if dict(df.dtypes)[key] == "string" else df
+
+
+def minute_bars(rows: DataFrame, keys: Sequence[str], ts: str = "ts", seq: str | None = None) -> DataFrame:
+    """One bar a minute; without ``seq`` rows of one time go by their prices, so reruns agree."""
+    if seq is None:
+        rows = rows.groupBy(*keys, ts).agg(
+            F.min_by("open", F.struct("low", "high", "open", "close")).alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+            F.max_by("close", F.struct("low", "high", "open", "close")).alias("close"), F.sum("volume").alias("volume"),
+        )
+    return canonical_bars(rows, keys, ts, seq)
+
+
 def event_study(
     signals: DataFrame,
     bars: DataFrame,
@@ -47,20 +63,29 @@ def event_study(
     fallback: int = asof.FALLBACK,
     key: str = "symbol",
     ts: str = "ts",
+    seq: str | None = None,
+    canonical: bool = False,
+    prune: bool = True,
 ) -> DataFrame:
     """Every signal with either its measured prices and verdict or a ``skip_reason``.
 
     Signals carry ``symbol``, ``sentiment`` and the parsed event time ``ts`` (floored to
-    the minute here). ``mapping`` lists the known symbols. The first failing test names
-    the reason; rows that fail a cheap test never reach the bars.
+    the minute here). ``mapping`` lists the known symbols. Text symbols are compared trimmed
+    and in upper case on all three sides. The first failing test names the reason; rows that
+    fail a cheap test have no session, so they ask nothing of the bars.
+
+    Raw bars are folded to one bar a minute first (``seq`` orders rows of one time; without
+    it such rows are ordered by their prices, so that repeated runs agree), unless they are
+    ``canonical``. ``prune`` reads only the bar dates the signals need.
     """
+    signals, bars = with_plain_key(signals, key), with_plain_key(bars, key)
     minutes = horizon_minutes(horizon)
     forwards = sorted({*forwards, minutes})
     at = clock.floor_minute(F.col(ts))
     rows = signals.withColumns({ts: at, "side": labels.side_of(F.col("sentiment"))})
     mapped = F.lit(True)
     if mapping is not None:
-        rows = rows.join(mapping.select(key).distinct().withColumn("__mapped", F.lit(True)), key, "left")
+        rows = rows.join(with_plain_key(mapping.select(key), key).distinct().withColumn("__mapped", F.lit(True)), key, "left")
         mapped = F.col("__mapped").isNotNull()
     reason = (
         F.when(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == "", "NO_SYMBOL")
@@ -70,11 +95,14 @@ def event_study(
         .when(~mapped, "NO_MAPPING")
     )
     rows = rows.withColumn("skip_reason", reason).drop("__mapped")
-    rejected = rows.filter(F.col("skip_reason").isNotNull())
-    passed = rows.filter(F.col("skip_reason").isNull()).withColumn("trade_date", F.to_date(ts))
+    rows = rows.withColumn("trade_date", F.when(F.col("skip_reason").isNull(), F.to_date(ts)))
+    if prune:
+        bars = asof.on_dates(bars, rows.select("trade_date"), "trade_date")
+    if not canonical:
+        bars = minute_bars(bars, [key], ts="ts", seq=seq)
 
     seen = (
-        asof.Study(bars, passed, [key], "trade_date", ts)
+        asof.Study(bars, rows, [key], "trade_date", ts)
         .has_session("has_bars")
         .price_at_signal(fallback, places=None)
         .price_range(max(forwards))
@@ -82,17 +110,18 @@ def event_study(
         .run()
     )
     p0, p1 = F.col("price_at_signal"), F.col(f"price_after_{minutes}min")
-    seen = seen.withColumns(
+    return seen.withColumns(
         {
-            "skip_reason": F.when(~F.col("has_bars"), "NO_BARS")
+            "skip_reason": F.when(F.col("skip_reason").isNotNull(), F.col("skip_reason"))
+            .when(~F.col("has_bars"), "NO_BARS")
             .when(p0.isNull(), "MISSING_PRICE_T")
             .when(p1.isNull(), "MISSING_PRICE_AT_HORIZON"),
             "percent_change": F.when(p0.isNotNull() & p1.isNotNull(), labels.percent_change(p0, p1)),
             "result": F.when(p0.isNotNull() & p1.isNotNull(), labels.verdict(F.col("side"), p0, p1)),
             "price_at_signal": F.round(p0, 2),
+            "price_at_signal_is_fallback": F.when(F.col("skip_reason").isNull(), F.col("price_at_signal_is_fallback")),
         }
     ).drop("has_bars", "trade_date")
-    return seen.unionByName(rejected, allowMissingColumns=True)
 
 
 def written(study: DataFrame) -> DataFrame:

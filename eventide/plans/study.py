@@ -67,8 +67,9 @@ judged AS (
 
 
 def studied(t: Tables) -> DataFrame:
+    # The bars are made of ticks here, one a minute and for every date, so neither folding nor pruning helps.
     return evaluate.event_study(
-        signals(t), bars(t), listed(t), horizon="1h", forwards=FORWARDS, tolerance=TOLERANCE, fallback=60
+        signals(t), bars(t), listed(t), horizon="1h", forwards=FORWARDS, tolerance=TOLERANCE, fallback=60, canonical=True, prune=False
     )
 
 

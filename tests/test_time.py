@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from eventide.functions import scalars, timeparse
+from eventide.functions import clock, scalars, timeparse
 from eventide.operators import calendar, evaluate, labels
 
 D = dt.datetime
@@ -146,6 +146,36 @@ def test_event_study_reasons_in_order(spark):
     assert (total.sample_size, total.written, total.skipped) == (10, 2, 8)
 
 
+def test_event_study_of_raw_bars(spark):
+    """Rows of one minute are one bar, and symbols compare trimmed and in upper case."""
+    day, t = dt.date(2026, 1, 23), D(2026, 1, 23, 10)
+    hour = dt.timedelta(hours=1)
+    raw = [(" a", day, t, 9.0, 9.5, 8.0, 9.0, 1), ("A", day, t, 9.0, 12.0, 9.0, 10.0, 1), ("a ", day, t + hour, 11.0, 11.0, 11.0, 11.0, 1)]
+    other = [("A", dt.date(2026, 1, 24), t + 24 * hour, 1.0, 1.0, 1.0, 1.0, 1)]
+    signals = spark.createDataFrame([(1, "a", "positive", t), (2, "a", "junk", t)], "event_id int, symbol string, sentiment string, ts timestamp_ntz")
+    listed = spark.createDataFrame([("A ",)], "symbol string")
+    for rows in (raw, raw[::-1]):
+        out = evaluate.event_study(signals, spark.createDataFrame(rows + other, BAR), listed)
+        got = {r.event_id: r for r in out.collect()}
+        one = got[1]
+        assert (one.symbol, one.price_at_signal, one.price_after_60min, one.highest_price, one.lowest_price, one.result) == ("A", 10.0, 11.0, 12.0, 8.0, "Correct")
+        assert got[2].skip_reason == "INVALID_SENTIMENT" and got[2].price_at_signal_is_fallback is None
+
+
+def test_clock_does_not_depend_on_the_session_zone(spark):
+    df = spark.createDataFrame([(D(2024, 3, 10, 2, 30),), (D(2024, 3, 10, 3, 30),), (D(1969, 12, 31, 23, 59, 58, 250_000),), (None,)], "t timestamp_ntz")
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        got = df.select(clock.micros(F.col("t")).alias("m"), clock.floor_minute(F.col("t")).alias("f"), clock.axis(F.col("t")).alias("x")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    epoch = D(1970, 1, 1)
+    assert [r.m for r in got] == [(v - epoch) // dt.timedelta(microseconds=1) if v else None for v in (D(2024, 3, 10, 2, 30), D(2024, 3, 10, 3, 30), D(1969, 12, 31, 23, 59, 58, 250_000), None)]
+    assert [r.f for r in got] == [D(2024, 3, 10, 2, 30), D(2024, 3, 10, 3, 30), D(1969, 12, 31, 23, 59), None]
+    assert got[1].x - got[0].x == 120 and got[2].x == -1
+
+
 def test_accuracy_and_confusion(spark):
     preds = spark.createDataFrame([("1", "BUY"), ("2", "BUY"), ("3", "HOLD"), ("9", "SELL")], "article_id string, signal string")
     real = spark.createDataFrame([("1", 1, "SELL"), ("1", 2, "BUY"), ("2", 1, "SELL"), ("3", 1, "HOLD")], "article_id string, seq int, label string")
