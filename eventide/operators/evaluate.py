@@ -72,7 +72,7 @@ def event_study(
     Signals carry ``symbol``, ``sentiment`` and the parsed event time ``ts`` (floored to
     the minute here). ``mapping`` lists the known symbols. Text symbols are compared trimmed
     and in upper case on all three sides. The first failing test names the reason; rows that
-    fail a cheap test have no session, so they ask nothing of the bars.
+    fail a cheap test never reach the bars.
 
     Raw bars are folded to one bar a minute first (``seq`` orders rows of one time; without
     it such rows are ordered by their prices, so that repeated runs agree), unless they are
@@ -95,14 +95,15 @@ def event_study(
         .when(~mapped, "NO_MAPPING")
     )
     rows = rows.withColumn("skip_reason", reason).drop("__mapped")
-    rows = rows.withColumn("trade_date", F.when(F.col("skip_reason").isNull(), F.to_date(ts)))
+    rejected = rows.filter(F.col("skip_reason").isNotNull())
+    passed = rows.filter(F.col("skip_reason").isNull()).withColumn("trade_date", F.to_date(ts))
     if prune:
-        bars = asof.on_dates(bars, rows.select("trade_date"), "trade_date")
+        bars = asof.on_dates(bars, passed.select("trade_date"), "trade_date")
     if not canonical:
         bars = minute_bars(bars, [key], ts="ts", seq=seq)
 
     seen = (
-        asof.Study(bars, rows, [key], "trade_date", ts)
+        asof.Study(bars, passed, [key], "trade_date", ts)
         .has_session("has_bars")
         .price_at_signal(fallback, places=None)
         .price_range(max(forwards))
@@ -110,18 +111,17 @@ def event_study(
         .run()
     )
     p0, p1 = F.col("price_at_signal"), F.col(f"price_after_{minutes}min")
-    return seen.withColumns(
+    seen = seen.withColumns(
         {
-            "skip_reason": F.when(F.col("skip_reason").isNotNull(), F.col("skip_reason"))
-            .when(~F.col("has_bars"), "NO_BARS")
+            "skip_reason": F.when(~F.col("has_bars"), "NO_BARS")
             .when(p0.isNull(), "MISSING_PRICE_T")
             .when(p1.isNull(), "MISSING_PRICE_AT_HORIZON"),
             "percent_change": F.when(p0.isNotNull() & p1.isNotNull(), labels.percent_change(p0, p1)),
             "result": F.when(p0.isNotNull() & p1.isNotNull(), labels.verdict(F.col("side"), p0, p1)),
             "price_at_signal": F.round(p0, 2),
-            "price_at_signal_is_fallback": F.when(F.col("skip_reason").isNull(), F.col("price_at_signal_is_fallback")),
         }
     ).drop("has_bars", "trade_date")
+    return seen.unionByName(rejected, allowMissingColumns=True)
 
 
 def written(study: DataFrame) -> DataFrame:
