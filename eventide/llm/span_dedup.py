@@ -1,10 +1,13 @@
-"""Substring dedup by sliding sentence spans.
+"""Substring dedup by sliding sentence spans and word windows.
 
 Every sentence begins one span: as many consecutive sentences as it takes to reach
-``min_sentences`` and ``min_words``. Where a span ends depends on its own content alone, so a
-passage copied into another text has the same spans there. Spans are hashed and joined
-globally; only hashes, ids and positions are shuffled. Sentences that a non-first copy of a
-repeated span covers are removed.
+``min_sentences`` and ``min_words``. A sentence that has ``min_words`` alone is a span too. Where
+a span ends depends on its own content alone, so a passage copied into another text has the same
+spans there. Where ``RUN`` words hold no such span, a window of ``WINDOW`` of them is one: the
+window with the least hash, so that any copy of those words chooses it too. Two texts that share
+``RUN`` consecutive words, whatever their sentences and lines, thus share a span within them.
+Spans are hashed and joined globally; only hashes, ids and positions are shuffled. What a
+non-first copy of a repeated span covers is removed.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,85 +28,172 @@ RESULTS = ("n_sentences", "n_removed", "n_removed_words")
 
 # A sentence ends behind closing punctuation that white space follows, or at a line end.
 BOUNDARY = re.compile(r"[.!?。！？…]+[\"'”’)\]]*\s+|\n\s*")
+WORD = re.compile(r"\S+")
+CLOSERS = "\"'”’)]"
+ENDS = tuple(".!?。！？…")
+RUN, WINDOW = 50, 26  # a window is longer than the step to the next one, at most RUN - WINDOW + 1
+MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
+
+
+def _split(text: str) -> list[int]:
+    """Where sentences end."""
+    out = [m.end() for m in BOUNDARY.finditer(text)]
+    if text and (not out or out[-1] < len(text)):
+        out.append(len(text))
+    return out
+
+
+def _spans(begin: list[int], end: int, min_sentences: int, min_words: int) -> list[tuple[int, int]]:
+    """Spans as word positions, of sentences that begin at the word positions ``begin``, the last one ending at ``end``."""
+    edges, out = [*begin, end], []
+    to, n = 0, len(begin)
+    for i in range(n):
+        if edges[i + 1] == edges[i]:
+            continue
+        if edges[i + 1] - edges[i] >= min_words and min_sentences > 1:
+            out.append((edges[i], edges[i + 1]))
+        to = max(to, i + min_sentences)
+        while to <= n and edges[to] - edges[i] < min_words:
+            to += 1
+        if to <= n:
+            out.append((edges[i], edges[to]))
+    return out
+
+
+def _windows(words: list[str], found: list[tuple[int, int]], closed: bool) -> list[int]:
+    """Where windows begin: those that runs of ``RUN`` words without a span of ``found`` in them choose.
+
+    A span that begins with the run does not count, nor one that the end of the text ends: the
+    words before and behind the run decide on these.
+    """
+    n = len(words)
+    if n < RUN:
+        return []
+    bare = np.ones(n - RUN + 1, dtype=bool)
+    for a, b in found:
+        if a and (b < n or closed):
+            bare[max(b - RUN, 0) : a] = False
+    if not bare.any():
+        return []
+    at = np.flatnonzero(bare)
+    lo, hi = int(at[0]), int(at[-1]) + RUN
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words[lo:hi]), np.uint64, hi - lo)
+    m = len(h) - WINDOW + 1
+    order = h[:m] * MIX[0] + h[1 : m + 1] * MIX[1] + h[2 : m + 2] * MIX[2]
+    order = (order ^ (order >> np.uint64(31))) * MIX[3]
+    least = np.lib.stride_tricks.sliding_window_view(order, RUN - WINDOW + 1)[at - lo].argmin(axis=1)
+    return np.unique(least + at).tolist()
+
+
+def placed(text: str, min_sentences: int, min_words: int) -> tuple[list[int], list[str], list[int], list[tuple[int, int]]]:
+    """Where sentences end, the words, the word positions at which sentences begin, and the spans as word positions."""
+    ends = _split(text)
+    words: list[str] = []
+    begin, plain, at = [], [], 0  # plain: sentences that do not begin by a line end
+    closed = True
+    for e in ends:
+        begin.append(len(words))
+        if closed:
+            plain.append(len(words))
+        own = text[at:e].lower().split()
+        words += own
+        closed = bool(own) and own[-1].rstrip(CLOSERS).endswith(ENDS)
+        at = e
+    found = _spans(begin, len(words), min_sentences, min_words)
+    # Line ends are white space: a copy may have others.
+    whole = found if len(plain) == len(begin) else _spans(plain, len(words), min_sentences, min_words)
+    windows = _windows(words, whole, closed)
+    return ends, words, begin, sorted({*found, *whole, *[(a, a + WINDOW) for a in windows]})
+
+
+def _keys(words: list[str], ranges: list[tuple[int, int]]) -> list[bytes]:
+    return [" ".join(words[a:b]).encode() for a, b in ranges]
+
+
+def _pieces(text: str, ends: list[int], begin: list[int], n: int, ranges: list[tuple[int, int]]) -> tuple[list[str], dict[int, int]]:
+    """Pieces that joined give the text again, sentences cut where a range begins or ends, and which piece begins at a word."""
+    places = dict(zip([0, *ends], begin))  # word positions of the marks
+    inner = {w for r in ranges for w in r} - {*begin, n}
+    if inner:
+        starts = [m.start() for m in WORD.finditer(text)]
+        places.update((starts[w], w) for w in inner)
+    marks = sorted(places)
+    pieces = [text[a:b] for a, b in zip(marks, [*marks[1:], len(text)])]
+    return pieces, {places[c]: i for i, c in enumerate(marks)} | {n: len(pieces)}
+
+
+def outline(text: str, min_sentences: int = 2, min_words: int = 20) -> tuple[list[str], list[int], list[int], list[bytes]]:
+    """Pieces of the text, and starts, ends (in pieces) and normalised contents of the spans."""
+    ends, words, begin, ranges = placed(text, min_sentences, min_words)
+    pieces, at = _pieces(text, ends, begin, len(words), ranges)
+    return pieces, [at[a] for a, _ in ranges], [at[b] for _, b in ranges], _keys(words, ranges)
 
 
 def sentences(text: str) -> list[str]:
     """Pieces that joined give the text again; each carries the white space behind it."""
-    out, at = [], 0
-    for m in BOUNDARY.finditer(text):
-        if m.end() > at:
-            out.append(text[at : m.end()])
-            at = m.end()
-    if at < len(text):
-        out.append(text[at:])
-    return out
+    return outline(text)[0]
 
 
 def spans(pieces: list[str], min_sentences: int, min_words: int) -> tuple[list[int], list[int], list[bytes]]:
     """Starts, ends and normalised contents of the spans."""
-    words = [p.lower().split() for p in pieces]
-    count = [len(w) for w in words]
-    said = [" ".join(w) for w in words]
-    total = np.concatenate([[0], np.cumsum(count)]).tolist()
-    starts, ends, keys = [], [], []
-    end, n = 0, len(pieces)
-    for i in range(n):
-        if not count[i]:
-            continue
-        end = max(end, i + min_sentences)
-        while end <= n and total[end] - total[i] < min_words:
-            end += 1
-        if end > n:
-            break
-        starts.append(i)
-        ends.append(end)
-        keys.append(" ".join(said[i:end]).encode())
-    return starts, ends, keys
+    return outline("".join(pieces), min_sentences, min_words)[1:]
 
 
-SPAN = T.StructType([T.StructField("_pos", T.IntegerType()), T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())])
+SPAN = T.StructType([T.StructField("_pos", T.IntegerType()), T.StructField("_n", T.IntegerType()), T.StructField("_h1", T.LongType()), T.StructField("_h2", T.LongType())])
 
 
 def _hash_spans(min_sentences: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys: list[bytes] = []
-            pos: list[int] = []
+            pos: list[tuple[int, int]] = []
             counts = np.zeros(batch.num_rows, dtype=np.int64)
             for i, text in enumerate(batch.column(1).to_pylist()):
                 if text:
-                    starts, _, own = spans(sentences(text), min_sentences, min_words)
+                    _, words, _, ranges = placed(text, min_sentences, min_words)
+                    own = _keys(words, ranges)
                     keys += own
-                    pos += starts
+                    pos += ranges
                     counts[i] = len(own)
             if keys:
                 h = digests(keys)
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
+                at = np.array(pos, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(pos, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["_id", "_pos", "_h1", "_h2"]
+                    [ids, pa.array(at[:, 0]), pa.array(at[:, 1] - at[:, 0]), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["_id", "_pos", "_n", "_h1", "_h2"]
                 )
 
     return run
 
 
-def _cut(text_col: str, min_sentences: int, min_words: int):
+def _cut(text_col: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, n_all, n_cut, w_cut = [], [], [], []
             column = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             for text, drop in zip(column, batch.column(batch.schema.get_field_index("_drop")).to_pylist()):
-                pieces = sentences(text or "")
+                text = text or ""
+                n_cut.append(0)
+                w_cut.append(0)
+                if not drop:
+                    texts.append(text)
+                    n_all.append(len(_split(text)))
+                    continue
+                ranges = [(d["_pos"], d["_pos"] + d["_n"]) for d in drop]
+                ends, begin, n = _split(text), [], 0
+                for c, e in zip([0, *ends], ends):
+                    begin.append(n)
+                    n += len(text[c:e].split())
+                pieces, at = _pieces(text, ends, begin, n, ranges)
                 gone: set[int] = set()
-                if drop:
-                    hit = {(d["_pos"], d["_h1"], d["_h2"]) for d in drop}
-                    starts, ends, keys = spans(pieces, min_sentences, min_words)
-                    for a, b, (h1, h2) in zip(starts, ends, digests(keys).tolist() if keys else []):
-                        if (a, h1, h2) in hit:
-                            gone.update(range(a, b))
+                lost = np.zeros(n + 1, dtype=bool)
+                for a, b in ranges:
+                    gone.update(range(at[a], at[b]))
+                    lost[a:b] = True
                 texts.append("".join(p for i, p in enumerate(pieces) if i not in gone))
-                n_all.append(len(pieces))
-                n_cut.append(len(gone))
-                w_cut.append(sum(len(pieces[i].split()) for i in gone))
+                n_all.append(len(ends))
+                n_cut[-1] = sum(bool(lost[a:b].any()) for a, b in zip(begin, [*begin[1:], n]))
+                w_cut[-1] = int(lost.sum())
             out = with_column(batch.drop_columns(["_drop"]), text_col, pa.array(texts, pa.string()))
             for name, values in zip(RESULTS, (n_all, n_cut, w_cut)):
                 out = with_column(out, name, pa.array(values, pa.int64()))
@@ -114,16 +205,17 @@ def _cut(text_col: str, min_sentences: int, min_words: int):
 def dedup_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20
 ) -> DataFrame:
-    """The documents without the sentences that a non-first repeated span covers.
+    """The documents without what a non-first repeated span covers.
 
-    Adds ``n_sentences`` (before), ``n_removed`` and ``n_removed_words``. Spans compare without
+    Of ``RUN`` consecutive words that an earlier document holds, some always go. Adds
+    ``n_sentences`` (before), ``n_removed`` (those that lost words) and ``n_removed_words``. Spans compare without
     case and with white space as one blank. The first copy of a span is the one with the
-    smallest (id, sentence number); all others go, also within one document.
+    smallest (id, word number); all others go, also within one document.
 
     Null text counts as empty and comes back empty. Rows with a null id take no part and stay as
     they are. Rows that repeat an id are one document: what only they share stays. Other columns
-    pass through; columns with the names of the results are replaced. A text with fewer sentences
-    or words than a span has no spans. An empty table gives an empty table.
+    pass through; columns with the names of the results are replaced. A text with fewer
+    words than a span has no spans. An empty table gives an empty table.
     """
     docs = fresh(docs, *RESULTS, "_drop", "_id")
     kind = docs.schema[id_col].dataType
@@ -132,8 +224,8 @@ def dedup_spans(
     place = F.struct("_id", "_pos")
     both = found.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
     hits = found.join(both.where("_first < _last").drop("_last"), ["_h1", "_h2"]).where(place != F.col("_first"))
-    drops = hits.groupBy("_id").agg(F.collect_list(F.struct("_pos", "_h1", "_h2")).alias("_drop"))
+    drops = hits.groupBy("_id").agg(F.collect_list(F.struct("_pos", "_n")).alias("_drop"))
     joined = docs.join(drops, F.col(id_col) == F.col("_id"), "left").drop("_id")
     fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema]
     schema = T.StructType([*fields, *[T.StructField(n, T.LongType()) for n in RESULTS]])
-    return in_batches(joined, _cut(text_col, min_sentences, min_words), schema)
+    return in_batches(joined, _cut(text_col), schema)

@@ -106,6 +106,46 @@ def test_span_query_equals_plain(spark):
     assert {r.doc_id: r.kept_sha256 for r in queries.op3_substring_dedup(spark, FOLDER).collect()} == want
 
 
+def runs(text, n=50):
+    w = (text or "").lower().split()
+    return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+
+
+def test_no_run_of_fifty_words_stays_twice(spark):
+    """A word-level search: of 50 words in a row that a smaller id holds, some go."""
+    rng = random.Random(8)
+    say = lambda n, low=10**6: [f"w{rng.randrange(low)}" for _ in range(n)]
+    ended = lambda w, every: [x + "." if rng.random() < every else x for x in w]
+    rows = []
+    for i in range(0, 120, 2):
+        passage = ended(say(rng.choice([50, 51, 60, 90, 300])), rng.choice([0, 0, 0.02, 0.06, 0.2]))
+        around = [ended(say(rng.randrange(40)), rng.choice([0, 0.1])) for _ in range(4)]
+        wrap = [x + rng.choice("   \n") for x in passage]
+        rows += [(i, " ".join(around[0] + passage + around[1]), "a"), (i + 1, " ".join(around[2]) + " " + "".join(wrap).title() + " ".join(around[3]), "a")]
+    whole = " ".join(say(60)) + "."
+    rows += [(500, f"Before it. {whole} Behind it.", "a"), (501, f"Other words. {whole} More words.", "a"), (502, "own " + "same " * 400, "a"), (503, "same " * 400, "a")]
+    assert sum(bool(runs(a[1]) & runs(b[1])) for a, b in zip(rows[::2], rows[1::2])) == len(rows) // 2
+    got = {r.doc_id: r.text for r in span_dedup.dedup_spans(docs(spark, rows)).collect()}
+    seen = set()
+    for i, t, _ in rows:
+        assert not runs(got[i]) & seen, (i, t)
+        seen |= runs(t)
+    assert all(got[i] == t for i, t, _ in rows[:120:2]) and got[501] == "Other words. More words."
+    assert "same" in got[502]
+
+
+def test_long_runs_leave_little():
+    """Windows leave less than RUN - WINDOW + 1 words at either end of a long passage without sentences."""
+    rng = random.Random(9)
+    passage = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    one, two = (span_dedup.outline(" ".join(f"{s}{k}" for k in range(70)) + " " + " ".join(passage) + f" {s} " * 60) for s in "ab")
+    known, gone = set(one[3]), set()
+    for a, b, k in zip(*two[1:]):
+        gone |= set(range(a, b)) if k in known else set()
+    kept = "".join(p for i, p in enumerate(two[0]) if i not in gone).split()
+    assert gone and len(set(kept) & set(passage)) <= 2 * (span_dedup.RUN - span_dedup.WINDOW)
+
+
 # ---- toxicity
 
 def test_chain_on_held_out_rows(spark):
