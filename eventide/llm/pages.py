@@ -2,8 +2,9 @@
 
 A page is read into a tree. Paragraphs earn points for length and commas and pass them to their
 ancestors, less with each step up; an ancestor's points are discounted by its link density and
-weighed by what its tag and its class say. The best container and those of its siblings that
-score or read like text are kept. Pages are independent rows, so the work is row-local.
+weighed by what its tag and its class say. The article or main element around the best container
+is kept whole; where there is none, the container and, at every level up to the body, those of
+its siblings that score or read like text, with their headings. Pages are independent rows, so the work is row-local.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hr html li main nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 TEXT_TAGS = frozenset("p pre blockquote td li dd h1 h2 h3 h4 h5 h6 figcaption".split())
 # What an opening tag closes if it is open.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
@@ -214,18 +216,46 @@ def main_text(page: str | None) -> str:
             best, top = node, s
     if best is None:
         return "\n\n".join(t for t in texts(root))
-    keep = [best]
-    if best.up is not None:
-        keep = []
-        for k in best.up.kids:
-            if k is best:
-                keep.append(k)
-            elif isinstance(k, Node) and not k.bad and k.chars and k.tag not in ("header",):
-                density = k.links / k.chars
-                reads = k.tag == "p" and density < 0.25 and (k.chars > 80 or any(b.endswith((".", "!", "?")) for b in k.blocks) and not k.links)
-                if score(k) >= max(10.0, 0.2 * top) or reads:
-                    keep.append(k)
-    return "\n\n".join(t for k in keep for t in texts(k))
+    # An article or main element is kept whole: its best part decides only where to look.
+    node, whole = best, None
+    while node is not None:
+        whole = node if node.tag in ("article", "main") else whole
+        node = node.up
+    found = list(texts(whole or best))
+    node = whole or best
+    while node.up is not None:
+        found = around(node, found, top, whole is None)
+        node = node.up
+        if whole is not None or node.tag in ("body", "html"):
+            break
+    return "\n\n".join(found)
+
+
+def around(node: Node, own: list[str], top: float, wide: bool) -> list[str]:
+    """The texts of a container with those of its siblings that score or read like text, and the headings before any of them.
+
+    ``wide``: also siblings in which some paragraph reads like text.
+    """
+    out: list[list[str]] = []
+    later = False
+    for k in reversed(node.up.kids):
+        if k is node:
+            out.append(own)
+            later = True
+        elif isinstance(k, Node) and not k.bad and k.chars and k.tag != "header":
+            density = k.links / k.chars
+            heading = k.tag in HEADINGS and later and density < 0.25
+            if score(k) >= max(10.0, 0.2 * top) or heading or reads(k) or wide and density < 0.25 and any(map(reads, containers(k))):
+                out.append(list(texts(k)))
+                later = True
+    return [t for part in reversed(out) for t in part]
+
+
+def reads(k: Node) -> bool:
+    """A paragraph with few links that is long or a sentence."""
+    if k.tag != "p" or not k.chars or k.links >= 0.25 * k.chars:
+        return False
+    return k.chars > 80 or any(b.endswith((".", "!", "?")) for b in k.blocks) and not k.links
 
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:

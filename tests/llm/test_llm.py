@@ -458,6 +458,20 @@ def test_main_text(spark):
     assert pages.main_text(long) == ("word, " * 50_000).strip()
 
 
+@pytest.mark.parametrize("tag", ["<article>", "<main>", "<div>", "<div><div>"])
+def test_sectioned_pages_stay_whole(tag):
+    end = "".join(f"</{t}>" for t in reversed(tag.strip("<>").split("><")))
+    part = "section" if tag in ("<article>", "<main>") else "div"
+    long = [f"Paragraph {i}, with commas, and more commas, " + "and words that go on and on " * 9 + "to its end." for i in range(10)]
+    last = "One paragraph of the last part, which is short but has a hundred and twenty characters or some more, as prose often has."
+    page = (
+        f"<html><body><nav><a href=x>Home</a></nav>{tag}<h1>Title</h1><{part}>{''.join(f'<p>{p}</p>' for p in long)}</{part}>"
+        f"<{part}><h2>End</h2><p>{last}</p></{part}><{part} class='share'><p>Share this text, with friends, and all the others you know.</p></{part}>"
+        f"<{part}><ul><li><a href=a>Another story of this site</a><li><a href=b>And yet another one</a></ul></{part}>{end}<footer><p>Copyright</p></footer>"
+    )
+    assert pages.main_text(page).split("\n\n") == ["Title", *long, "End", last]
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark):
