@@ -7,6 +7,8 @@ it by the factor ``ALPHA`` (relaxed), which leaves long edges between diverse re
 runs a beam search in every shard. Searches run in lockstep over a batch, one numpy step for all.
 
 Largest inner product is searched as smallest distance after the usual lift by one coordinate.
+Rounding of the lift grows with the longest vector, so a shard has one graph for each band of
+lengths: from the longest vector left down to an eighth of it, scaled to at most length one.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ BEAM = 64
 ALPHA = 1.2
 ENTRIES = 16
 BATCH = 256
+BAND = 3.0  # binary logarithm of the ratio of lengths in a graph
 
 
 def lifted(x: np.ndarray) -> np.ndarray:
@@ -36,10 +39,34 @@ def lifted(x: np.ndarray) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(sq.max(initial=0) - sq, 0))[:, None]], axis=1).astype(np.float32)
 
 
-def beam_search(x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and squared distances of the beam of each query, nearest first; -1 fills up."""
+def log_lengths(x: np.ndarray) -> np.ndarray:
+    """Binary logarithms of the lengths of nonzero vectors; no square overflows or vanishes."""
+    m = np.abs(x).max(axis=1)
+    return np.log2(m) + 0.5 * np.log2(((x / m[:, None]) ** 2).sum(axis=1))
+
+
+def bands(x: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions of the vectors of each band of lengths, ascending, and the vectors scaled to at most length one."""
+    size = log_lengths(x)
+    order = np.argsort(-size, kind="stable")
+    falling = -size[order]
+    at = 0
+    while at < len(order):
+        end = int(np.searchsorted(falling, falling[at] + BAND, side="right"))
+        own = np.sort(order[at:end])
+        yield own, np.ldexp(x[own], -int(np.ceil(size[order[at]])))
+        at = end
+
+
+def beam_search(
+    x: np.ndarray, graph: np.ndarray, entries: np.ndarray, q: np.ndarray, beam: int, product: bool = False
+) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and squared distances of the beam of each query, nearest first; -1 fills up.
+
+    ``product``: largest inner product first, whatever the lengths.
+    """
     n = len(q)
-    norms = (x**2).sum(axis=1)
+    norms = np.zeros(len(x), dtype=x.dtype) if product else (x**2).sum(axis=1)
 
     def far(ids: np.ndarray) -> np.ndarray:
         d = norms[ids] - 2 * np.einsum("bkd,bd->bk", x[ids], q)
@@ -159,26 +186,29 @@ class Graph:
             edges[p, : len(both)] = both
 
     def search(self, q: np.ndarray, beam: int) -> np.ndarray:
-        parts = [beam_search(self.x, self.edges, self.entries, q[i : i + BATCH], beam)[0] for i in range(0, len(q), BATCH)]
+        parts = [beam_search(self.x, self.edges, self.entries, q[i : i + BATCH], beam, product=True)[0] for i in range(0, len(q), BATCH)]
         return np.concatenate(parts) if parts else np.zeros((0, beam), dtype=np.int32)
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per shard: original vectors and ids in the order of the distinct vectors, and the graph."""
+    """One row per shard and band: original vectors and ids in the order of the distinct vectors, and the graph."""
     for rows in key_runs(batches, ["shard"]):
         lists = rows.column("v").to_pylist()
         full = matrix(lists, max(map(len, lists)), np.float64)
         ids = rows.column("id").to_numpy()
         distinct, which = np.unique(full, axis=0, return_inverse=True)
         which = which.ravel()
-        g = Graph.build(lifted(distinct))
-        order = np.lexsort((ids, which))
-        parts = (full[order], ids[order], which[order].astype(np.int64), g.x, g.edges, g.entries)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([rows.column("shard")[0].as_py()], pa.int32()), pa.array([full.shape[1]], pa.int32())]
-            + [pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts],
-            names=["shard", "width", "full", "own", "which", "x", "edges", "entries"],
-        )
+        for own, scaled in bands(distinct):
+            g = Graph.build(lifted(scaled))
+            mine = np.flatnonzero(np.isin(which, own))
+            place = np.searchsorted(own, which[mine])
+            order = np.lexsort((ids[mine], place))
+            parts = (full[mine[order]], ids[mine[order]], place[order].astype(np.int64), g.x, g.edges, g.entries)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([rows.column("shard")[0].as_py()], pa.int32()), pa.array([full.shape[1]], pa.int32())]
+                + [pa.array([np.ascontiguousarray(p).tobytes()], pa.binary()) for p in parts],
+                names=["shard", "width", "full", "own", "which", "x", "edges", "entries"],
+            )
 
 
 INDEX = "shard int, width int, full binary, own binary, which binary, x binary, edges binary, entries binary"
@@ -198,7 +228,10 @@ def _search(k: int, beam: int):
                 )
                 begins = np.searchsorted(which, np.arange(len(g.x) + 1))
                 queries = matrix(row["vectors"], w, np.float64)
-                hits = g.search(np.concatenate([queries, np.zeros((len(queries), 1))], axis=1).astype(np.float32), beam)
+                # The length of a query does not change the order; zero in the width of this shard stays zero.
+                top = np.abs(queries).max(axis=1, keepdims=True)
+                unit = queries / np.where(top > 0, top, 1)
+                hits = g.search(np.concatenate([unit, np.zeros((len(queries), 1))], axis=1).astype(np.float32), beam)
                 q, v, s = [], [], []
                 for own, query, near in zip(row["ids"], queries, hits):
                     at = np.concatenate([np.arange(begins[i], begins[i + 1]) for i in near[near >= 0]] or [np.zeros(0, np.int64)])

@@ -404,6 +404,34 @@ def test_nearest_recall_and_edges(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("length", [3000.0, 1e20, 1e200])
+def test_one_long_vector_leaves_the_neighbours_of_others(spark, length):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(2000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    x[7] *= length
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in ann.nearest(df, every=40).collect():
+        got[r.query_id].add(r.vec_id)
+    hits = 0
+    for q in range(0, 2000, 40):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += len(got[q] & set(np.argsort(-s)[:20].tolist()))
+    assert hits >= 0.9 * 20 * 50, hits / 1000
+
+
+def test_bands_hold_every_vector_once():
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 4)) * 10.0 ** rng.integers(-300, 300, size=(300, 1))
+    parts = list(ann.bands(x))
+    assert sorted(np.concatenate([own for own, _ in parts]).tolist()) == list(range(300))
+    for _, scaled in parts:
+        n = np.linalg.norm(scaled, axis=1)
+        assert n.max() <= 1 + 1e-9 and n.min() * 8 >= n.max() * (1 - 1e-9)
+
+
 # ---- chat
 
 def test_chat_round_trip(spark):
