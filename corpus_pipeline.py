@@ -40,9 +40,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text, with how many there are."""
+    """Token ids of every text, how many there are, and the hash of what they decode to."""
     out = bpe.bpe(docs.select("doc_id", "source", "text"), VOCABULARY)
-    return out.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"))
+    return out.select("doc_id", "source", "ids", F.size("ids").cast("long").alias("n_tokens"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES = [("toxicity", toxicity), ("line_dedup", lines), ("ngram_jaccard_join", near_copies), ("source_mix", mix), ("bpe", encode)]

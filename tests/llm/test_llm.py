@@ -519,3 +519,13 @@ def test_pipeline_stages(spark):
     empty = d.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, FOLDER).count() == 0
+
+
+def test_pipeline_keeps_a_trace_of_decoding(spark):
+    lib = Tokenizer.from_file(queries.VOCABULARY)
+    texts = ["Plain words, then more.", "", "<|endoftext|>hi \u00e9\U0001f600", None]
+    got = corpus_pipeline.encode(spark, docs(spark, [(i, t, "a") for i, t in enumerate(texts)]), FOLDER).collect()
+    for r in got:
+        want = lib.decode(r.ids, skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.n_tokens == len(r.ids)
+    assert len(got) == len(texts)
