@@ -353,14 +353,15 @@ def _join_chunks(percent: int):
     return run
 
 
-def chunk_pairs(members: DataFrame) -> DataFrame:
+def chunk_pairs(members: DataFrame, percent: int = 80) -> DataFrame:
     """(id, n, pair, side) for every task in which a member of a block must stand.
 
-    A block of up to ``CHUNK_SHINGLES`` is one task. A larger one is cut by size band (ratio 5/4,
-    so that links join neighbouring bands at most) and hash; each pair of chunks of the same or of
+    A block of up to ``CHUNK_SHINGLES`` is one task. A larger one is cut by size band (ratio 5/4, or
+    a little over 100 / ``percent`` below 80, so that links join neighbouring bands at most) and hash; each pair of chunks of the same or of
     neighbouring bands is a task.
     """
-    band = F.floor(F.log("n") / F.lit(float(np.log(1.25)))).cast("int")
+    ratio = 1.25 if percent >= 80 else 100.1 / percent  # over the ratio: logarithms are rounded
+    band = F.floor(F.log("n") / F.lit(float(np.log(ratio)))).cast("int")
     rows = members.withColumn("band", band)
     weigh = rows.groupBy("block", "band").agg(F.sum("n").alias("w"))
     total = weigh.groupBy("block").agg(F.sum("w").alias("all"), F.map_from_entries(F.collect_list(F.struct("band", F.ceil(F.col("w") / CHUNK_SHINGLES).cast("int")))).alias("parts"))
@@ -417,7 +418,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     blocks = components(shares, "jaccard-blocks").select(F.col("node").alias("h1"), F.col("component").alias("block"))
 
     members = classes.join(blocks, "h1").select(F.col("rep").alias("id"), "n", "block")
-    placed = written(chunk_pairs(members), "jaccard-members")
+    placed = written(chunk_pairs(members, percent), "jaccard-members")
     few = placed.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     wanted = placed.select("id", "pair", "side")
     texts = known.join(F.broadcast(wanted) if few else wanted, "id").select("id", "pair", "side", "text")

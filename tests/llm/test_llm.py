@@ -266,6 +266,25 @@ def test_jaccard_join_edges(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(want) and "lang" in kept.columns
 
 
+@pytest.mark.parametrize("percent", [10, 50, 80, 100])
+def test_chunk_pairs_hold_every_size_that_can_link(spark, monkeypatch, percent):
+    monkeypatch.setattr(jaccard_join, "CHUNK_SHINGLES", 60)
+    sizes = [*range(1, 60), 100, 190, 200, 1000, 1900]
+    members = spark.createDataFrame([(i, n, 1) for i, n in enumerate(sizes)], "id long, n long, block long")
+    tasks = collections.defaultdict(set)
+    for r in jaccard_join.chunk_pairs(members, percent).collect():
+        tasks[r.id].add(r.pair)
+    lost = [(a, b) for i, a in enumerate(sizes) for j, b in enumerate(sizes) if a <= b and 100 * a >= percent * b and not tasks[i] & tasks[j]]
+    assert not lost
+
+
+def test_jaccard_join_at_half(spark, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "CHUNK_SHINGLES", 60)
+    long = [f"w{i}" for i in range(194)]
+    rows = [(1, " ".join(long[:104]), "a"), (2, " ".join(long), "a")]  # 100 of 190 shingles
+    assert [r[2] for r in jaccard_join.jaccard_components(docs(spark, rows), percent=50).collect()] == [1, 1]
+
+
 def test_many_near_copies_take_few_verifications():
     rng = np.random.default_rng(1)
     base = np.sort(rng.integers(0, 2**63, 300).astype(np.uint64))
