@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.llm import ann, bpe, chain, chat, jaccard_join, line_dedup, mixing, pages, span_dedup, topk
+from eventide.llm import ann, bpe, chain, chat, collocations, jaccard_join, line_dedup, mixing, pages, span_dedup, topk
 from eventide.llm.common import table, written
 
 VOCABULARY = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers") + "/word_bpe_49k.json"
@@ -89,6 +89,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.exact_top_k(table(spark, sf_dir, "embeddings"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(embedding) > 0
@@ -125,10 +129,35 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM marked GROUP BY doc_id"""
 
 
+# Phrases as lists of words; the parts of a candidate reach the threshold as often as it does.
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (SELECT lang, list_filter(string_split(piece, ' '), lambda x: x <> '') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(string_split(translate(coalesce(text, ''),
+      'ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?' || chr(11) || chr(12) || chr(13) || chr(9),
+      'abcdefghijklmnopqrstuvwxyz' || repeat(chr(10), 9) || ' '), chr(10))) AS piece FROM documents)),
+grams AS (SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM pieces, (SELECT unnest([1, 2, 3, 4]) AS m) WHERE len(w) >= m)),
+f AS (SELECT lang, m, phrase, count(*) AS a FROM grams GROUP BY ALL),
+n AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE m = 1 GROUP BY lang),
+cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND a >= 30),
+cuts AS (SELECT c.lang, c.m, c.phrase, c.a, k, array_to_string(c.w[1 : k], ' ') AS first, array_to_string(c.w[k + 1 : c.m], ' ') AS rest
+  FROM cand c, (SELECT unnest([1, 2, 3]) AS k) WHERE k < c.m),
+scored AS (SELECT c.lang, c.m, c.phrase, c.a, c.k, x.a AS l, y.a AS r, CAST(CAST(2000000 AS HUGEINT) * c.a // (x.a + y.a) AS BIGINT) AS score
+  FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.first AND x.m = c.k JOIN f y ON y.lang = c.lang AND y.phrase = c.rest AND y.m = c.m - c.k),
+least AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (SELECT lang, part, max(a) AS longer FROM (SELECT lang, a, unnest(list_concat(
+    [array_to_string(w[i : i + 1], ' ') for i in range(1, m)],
+    CASE WHEN m = 4 THEN [array_to_string(w[i : i + 2], ' ') for i in range(1, 3)] ELSE [] END)) AS part FROM cand WHERE m > 2) GROUP BY lang, part),
+kept AS (SELECT s.* FROM least s LEFT JOIN inside i ON i.lang = s.lang AND i.part = s.phrase
+  WHERE i.part IS NULL OR 100 * CAST(i.longer AS HUGEINT) < 80 * CAST(s.a AS HUGEINT)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked JOIN n USING (lang) WHERE rank <= 2000"""
+
+
 def queries() -> dict:
     found = {k: v for k, v in globals().items() if k.startswith("op") and k[2:3].isdigit()}
     return dict(sorted(found.items(), key=lambda kv: int(kv[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": LINES_SQL, "op4_chat_format": CHAT_SQL, "op10_exact_top_k": TOP_K_SQL}
+    return {"op1_line_dedup": LINES_SQL, "op4_chat_format": CHAT_SQL, "op10_exact_top_k": TOP_K_SQL, "op13_collocations": COLLOCATIONS_SQL}
