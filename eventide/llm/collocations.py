@@ -1,11 +1,11 @@
 """Phrase collocations by stripes: each prefix keys a counter of the words that come next.
 
 Level n counts prefixes of n - 1 words. A task numbers the words of the texts it has read and makes,
-for every prefix, one stripe: next words and how often they came, and one unnamed entry for all
-occurrences where nothing countable came next. Stripes are dealt by prefix and merged elementwise
-where they land. The merged level holds everything that is asked later: an entry is the count of
-prefix + next, the sum of a stripe is the count of its prefix, and the largest entry of the stripes
-that share all but the first or the last word decides whether a phrase is part of a longer one.
+for every prefix, one stripe: next words and how often they came. Stripes are dealt by prefix and
+merged elementwise where they land. The merged stripes hold everything that is asked later: an entry
+is the count of prefix + next and so the total of the prefix that goes on one level below, the empty
+prefix has the number of all words, and the largest entry of the stripes that share all but the first
+or the last word decides whether a phrase is part of a longer one.
 
 A phrase of n words counts only if both of its parts of n - 1 words reach the threshold, so from the
 second level on a task drops other words from its stripes. It asks a Bloom filter of fixed size built
@@ -32,26 +32,17 @@ from eventide.llm.common import as_bytes, in_batches, written
 
 HELD_WORDS = 3_000_000  # occurrences that a task counts together before it hands stripes on
 HOT, SEGMENTS = 4096, 64
-END = b"\xff"  # a byte that UTF-8 never has: marks the end of a piece
+END = "."  # stands for the end of a piece; no word holds one
 
 # A-Z become a-z, the marks that end a piece become line ends, tabs become blanks.
 PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ.,;:!?\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz" + b"\n" * 9 + b" ")
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """Words of a text in order, with ``END`` between pieces."""
-    return text.translate(PLAIN).replace(b"\n", b" \xff ").split()
-
-
-class Numbers(dict):
-    """Numbers words in the order in which they are met; 0 is ``END``."""
-
-    def __init__(self) -> None:
-        super().__init__({END: 0})
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
+def words_of(texts: list[bytes]) -> pa.Array:
+    """The words of texts in order, with ``END`` around their pieces."""
+    joined = b"\n".join([b"", *texts, b""]).translate(PLAIN).replace(b"\n", b" . ")
+    words = pc.ascii_split_whitespace(pa.array([joined], pa.large_binary()).cast(pa.large_string())).flatten()
+    return words.filter(pc.not_equal(words, "")).cast(pa.string())
 
 
 def phrase_hashes(lang: pa.Array, phrase: pa.Array) -> np.ndarray:
@@ -69,45 +60,65 @@ class Block:
     """The words of one language in a block, and which of their phrases may count."""
 
     def __init__(self, lang: str, codes: np.ndarray, hashes: np.ndarray, filters: list[bytes]):
-        self.codes, n = codes, len(codes)
-        self.grams = np.zeros(n, dtype=np.int64)  # numbers of the phrases that begin at each place
+        self.codes = codes
+        self.grams = codes  # numbers of the phrases that begin at each place
         self.valid = codes > 0
-        h = np.full(n, bits.word_hashes([lang.encode()])[0], dtype=np.uint64)
-        for k, known in enumerate(filters):
+        if not filters:
+            return
+        h = bits.longer(bits.word_hashes([lang.encode()]), hashes)
+        fits = bits.holds(filters[0], h)
+        fits[0] = False
+        self.valid = fits[codes]
+        h = h[codes] if len(filters) > 1 else h
+        for k, known in enumerate(filters[1:], start=1):
             # A phrase of k + 1 words: the phrase of k words here, that at the next place, and its own filter.
-            if k:
-                self.valid = self.valid & np.append(self.valid[1:], False)
-            at = np.flatnonzero(self.valid)
+            at = np.flatnonzero(self.valid[:-1] & self.valid[1:])
             h[at] = bits.longer(h[at], hashes[codes[at + k]])
-            keys, first, back = np.unique(self.grams[at] << 32 | codes[at + k], return_index=True, return_inverse=True)
+            keys, first, back = distinct(self.grams[at] << 32 | codes[at + k])
             fits = bits.holds(known, h[at[first]])
+            self.grams, self.valid = np.zeros(len(codes), dtype=np.int64), np.zeros(len(codes), dtype=bool)
             self.grams[at] = back
             self.valid[at] = fits[back]
 
     def stripes(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Where a prefix of n - 1 words begins, its number, the next word's code or 0, and the count."""
-        at = np.flatnonzero(self.valid)
+        """Where a prefix of n - 1 words begins, its number, the next word's code, and the count."""
         if n == 1:
-            following = self.codes[at]
-        else:
-            follows = np.append(self.valid[1:], False)[at]
-            following = np.where(follows, np.append(self.codes, np.zeros(n, np.int64))[at + n - 1], 0)
-        keys, first, count = np.unique(self.grams[at] << 32 | following, return_index=True, return_counts=True)
-        return at[first], keys >> 32, keys & 0xFFFFFFFF, count
+            count = np.bincount(self.codes)
+            count[0] = 0
+            following = np.flatnonzero(count)
+            return np.zeros(len(following), np.int64), np.zeros(len(following), np.int64), following, count[following]
+        at = np.flatnonzero(self.valid[:-1] & self.valid[1:])
+        keys = self.grams[at] << 32 | self.codes[at + n - 1]
+        order = np.argsort(keys)
+        keys = keys[order]
+        cuts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+        return at[order[cuts]], keys[cuts] >> 32, keys[cuts] & 0xFFFFFFFF, np.diff(np.append(cuts, len(keys)))
+
+
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct keys, a place of each, and the number of every key among them."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    new = np.append(True, keys[1:] != keys[:-1])[: len(keys)]
+    back = np.empty(len(keys), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return keys[new], order[new], back
 
 
 def level(docs: DataFrame, n: int, filters: list[bytes], hot: set[tuple[str, str]], text_col: str, lang_col: str) -> DataFrame:
-    """Merged stripes of prefixes of n - 1 words: lang, prefix, seg, next, count; null next is the rest."""
+    """Merged stripes of prefixes of n - 1 words: lang, prefix, seg, next, count."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast((filters, hot))  # filters of a fixed size, at most HOT prefixes
 
-    def emit(held: dict[str, list[np.ndarray]], numbers: Numbers) -> Iterator[pa.RecordBatch]:
+    def emit(held: dict[str, list[pa.Array]]) -> Iterator[pa.RecordBatch]:
         known, busy = shared.value
-        words = list(numbers)
-        hashes = bits.word_hashes(words)
-        names = pa.array([None, *words[1:]], pa.binary()).cast(pa.string())
+        # One numbering for the block; END is 0.
+        numbered = pa.concat_arrays([pa.array([END]), *(p for parts in held.values() for p in parts)]).dictionary_encode()
+        names, codes = numbered.dictionary, numbered.indices.to_numpy()[1:].astype(np.int64)
+        hashes = bits.word_hashes(as_bytes(names))
         for lang, parts in held.items():
-            block = Block(lang, np.concatenate(parts), hashes, known)
+            own, codes = np.split(codes, [sum(map(len, parts))])
+            block = Block(lang, own, hashes, known)
             begin, prefix, following, count = block.stripes(n)
             if not len(begin):
                 continue
@@ -116,58 +127,76 @@ def level(docs: DataFrame, n: int, filters: list[bytes], hot: set[tuple[str, str
             start = begin[change]
             columns = [names.take(pa.array(block.codes[start + k])) for k in range(n - 1)]
             said = pc.binary_join_element_wise(*columns, " ") if columns else pa.array([""] * len(start), pa.string())
-            split = np.fromiter((n == 1 or (lang, p) in busy for p in said.to_pylist()), dtype=bool, count=len(start))
-            seg = np.where(split[number], (hashes[following] % np.uint64(SEGMENTS)).astype(np.int64), 0)
-            order = np.lexsort((seg, number))
-            number, seg, following, count = number[order], seg[order], following[order], count[order]
+            large = pa.array([p for code, p in busy if code == lang], pa.string())
+            split = pc.is_in(said, large).to_numpy(zero_copy_only=False) if columns else np.ones(1, dtype=bool)
+            cut = split[number]
+            seg = np.where(cut, (hashes[following] % np.uint64(SEGMENTS)).astype(np.int64), 0)
+            if cut.any():
+                order = np.lexsort((seg, number))
+                number, seg, following, count = number[order], seg[order], following[order], count[order]
             cuts = np.flatnonzero(np.append(True, (number[1:] != number[:-1]) | (seg[1:] != seg[:-1])))
-            offsets = np.append(cuts, len(number)).astype(np.int32)
-            entries = pa.StructArray.from_arrays([names.take(pa.array(following)), pa.array(count)], ["next", "count"])
+            offsets = pa.array(np.append(cuts, len(number)).astype(np.int32))
+            once = np.maximum.reduceat(count, cuts) == 1
+            counts = pa.ListArray.from_arrays(offsets, pa.array(count).cast(pa.string()))
             out = pa.RecordBatch.from_arrays(
                 [pa.array([lang] * len(cuts), pa.string()), said.take(pa.array(number[cuts])), pa.array(seg[cuts].astype(np.int32)),
-                 pa.ListArray.from_arrays(pa.array(offsets), entries)],
-                ["lang", "prefix", "seg", "stripe"],
+                 pc.binary_join(pa.ListArray.from_arrays(offsets, names.take(pa.array(following))), " "),
+                 pc.if_else(pa.array(once), None, pc.binary_join(counts, " "))],
+                ["lang", "prefix", "seg", "words", "counts"],
             )
             for a in range(0, out.num_rows, 20_000):
                 yield out.slice(a, 20_000)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, held, size = Numbers(), defaultdict(list), 0
+        held, size = defaultdict(list), 0
         for batch in batches:
+            texts = defaultdict(list)
             for lang, text in zip(batch.column(1).to_pylist(), as_bytes(batch.column(0))):
-                words = [*words_of(text or b""), END]
-                held["und" if lang is None else lang].append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
+                texts["und" if lang is None else lang].append(text or b"")
+            for lang, some in texts.items():
+                words = words_of(some)
+                held[lang].append(words)
                 size += len(words)
-                if size >= HELD_WORDS:
-                    yield from emit(held, numbers)
-                    numbers, held, size = Numbers(), defaultdict(list), 0
+            if size >= HELD_WORDS:
+                yield from emit(held)
+                held, size = defaultdict(list), 0
         if size:
-            yield from emit(held, numbers)
+            yield from emit(held)
 
     texts = docs.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    found = in_batches(texts, run, "lang string, prefix string, seg int, stripe array<struct<next: string, count: bigint>>")
+    found = in_batches(texts, run, "lang string, prefix string, seg int, words string, counts string")
     place = ["lang", "prefix", "seg"]
-    # Dealt as whole stripes; both sums keep that dealing.
-    return found.repartition(*place).select(*place, F.inline("stripe")).groupBy(*place, "next").agg(F.sum("count").alias("count"))
+    # A stripe travels as two short texts, words and counts (null: each once); the sums keep the dealing by stripe.
+    found = found.repartition(*place).withColumn("words", F.split("words", " ")).withColumn("counts", F.split("counts", " "))
+    found = found.select(*place, "counts", F.posexplode("words").alias("i", "next"))
+    count = F.coalesce(F.get("counts", F.col("i")).cast("long"), F.lit(1))
+    return found.select(*place, "next", count.alias("count")).groupBy(*place, "next").agg(F.sum("count").alias("count"))
 
 
-def merged_levels(docs: DataFrame, min_count: int, longest: int, text_col: str, lang_col: str) -> list[DataFrame]:
-    """Level by level, rows (lang, prefix, seg, next, count): entries that reach ``min_count`` and the rest of each stripe."""
+def merged_levels(docs: DataFrame, min_count: int, longest: int, text_col: str, lang_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """Words of each lang, and by length of phrases rows (lang, prefix, next, count) that reach ``min_count``."""
     filters: list[bytes] = []
     hot: set[tuple[str, str]] = set()  # the empty prefix is always cut
     levels = []
     for n in range(1, longest + 1):
         found = level(docs, n, list(filters), hot, text_col, lang_col)
-        kept = F.when(F.col("count") >= min_count, F.col("next")).alias("next")
-        found = found.select("lang", "prefix", "seg", kept, "count").groupBy("lang", "prefix", "seg", "next").agg(F.sum("count").alias("count"))
-        levels.append(written(found, f"stripes-{n}"))
+        if n == 1:
+            # The empty prefix keeps its total: rarer words stay as the rest of each segment.
+            found = found.withColumn("next", F.when(F.col("count") >= min_count, F.col("next")))
+            found = found.groupBy("lang", "prefix", "seg", "next").agg(F.sum("count").alias("count"))
+        else:
+            found = found.where(F.col("count") >= min_count)
+        found = written(found.drop("seg"), f"stripes-{n}")
+        if n == 1:
+            size = found.groupBy("lang").agg(F.sum("count").alias("n"))
+            words = found.agg(F.sum("count")).first()[0] or 0
+            found = found.where("next is not null")
+        levels.append(found)
         if n < longest:
-            named = levels[-1].where("next is not null").select("lang", F.concat_ws(" ", F.expr("nullif(prefix, '')"), "next").alias("phrase"), "count")
+            named = found.select("lang", F.concat_ws(" ", F.expr("nullif(prefix, '')"), "next").alias("phrase"), "count")
             filters.append(bits.build(named.select("lang", "phrase"), lambda b: phrase_hashes(b.column(0), b.column(1))))
-            if n == 1:
-                words = levels[0].agg(F.sum("count")).first()[0] or 0
             hot = {(r["lang"], r["phrase"]) for r in named.where(F.col("count") * HOT >= F.lit(words)).select("lang", "phrase").collect()}
-    return levels
+    return size, levels
 
 
 def collocations(
@@ -188,20 +217,18 @@ def collocations(
     their ids are; other columns are not read, so their names do not matter. An empty table, and one
     whose texts have no words, gives no rows.
     """
-    levels = merged_levels(docs, min_count, longest, text_col, lang_col)
-    totals = [x.groupBy("lang", "prefix").agg(F.sum("count").alias("f")) for x in levels]
-    size = totals[0].select("lang", F.col("f").alias("n"))
-    parts = totals[1].select("lang", F.col("prefix").alias("part"), "f") if longest > 1 else None
-    for x in totals[2:]:
-        parts = parts.unionByName(x.select("lang", F.col("prefix").alias("part"), "f"))
+    size, levels = merged_levels(docs, min_count, longest, text_col, lang_col)
     found = None
-    for m, x in enumerate(levels[1:], start=2):
-        rows = x.where("next is not null").select(
-            "lang", F.split(F.concat_ws(" ", "prefix", "next"), " ").alias("words"), F.col("count").alias("a"), F.lit(m).alias("m")
-        )
+    for m, x in enumerate(levels, start=1):
+        # The prefix of a word is empty, and a word holds no blank.
+        words = F.split(F.concat_ws(" ", "prefix", "next"), " ") if m > 1 else F.array("next")
+        rows = x.select("lang", words.alias("words"), F.col("count").alias("a"), F.lit(m).alias("m"))
         found = rows if found is None else found.unionByName(rows)
     found = found.withColumn("phrase", F.array_join("words", " "))
 
+    parts = found.where(F.col("m") < longest).select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))
+    found = found.where("m > 1")
+
     around = found.where("m > 2").select("lang", F.explode(F.array(F.expr("slice(words, 1, m - 1)"), F.expr("slice(words, 2, m - 1)"))).alias("w"), "a")
     around = around.groupBy("lang", F.array_join("w", " ").alias("phrase")).agg(F.max("a").alias("longer"))
 
