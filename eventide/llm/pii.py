@@ -2,17 +2,18 @@
 
 Protected entities are the values of e-mail addresses, IP addresses, payment cards and phone numbers.
 The corpus says how strongly a term reveals one of them. Of an entity c and a term t that stands
-within WINDOW words of it,
+within ``window`` words of it,
 
-    pmi(c, t) = log2(p(c, t) / (p(c) p(t)))        ic(c) = -log2 p(c)
+    pmi(c, t) = log2(p(t | c) / p(t))        ic(c) = -log2 p(c)
 
 pmi / ic is the part of the entity's information that the term gives away. Terms that reach the
 threshold are spans like the entities, wherever they stand, and ``sanitise`` generalises or removes them.
 
-Evidence is counted in distinct windows and distinct texts, so copies of a passage are one piece of it,
-and a pair needs several. The pairs come from texts with entities; how often their terms occur is
-counted over all texts. A Bloom filter of fixed size (``bits``) says which words of a text may be such
-terms; exact joins decide.
+What goes with an entity is counted in distinct windows, so copies of a passage are one piece of
+evidence, and a pair needs several. p(t) is the share of all documents that hold the term. The
+documents whose windows hold it are a lower bound of them, which drops common words before the corpus
+is searched. A Bloom filter of fixed size (``bits``) says which words of a text may be among the rest;
+exact counts and joins decide.
 """
 
 from __future__ import annotations
@@ -136,11 +137,15 @@ def windows(text: str, window: int) -> Iterator[tuple[str, int, list[str]]]:
 
 
 def evidence(docs: DataFrame, text_col: str, window: int) -> DataFrame:
-    """One row for every entity and window that it stands in: entity, place, terms."""
+    """A row for every entity and window that it stands in: entity, place, terms. A null entity has all terms of a document's windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [w for t in batch.column(0).to_pylist() if t for w in windows(t, window)]
+            rows = []
+            for text in batch.column(0).to_pylist():
+                found = list(windows(text or "", window))
+                if found:
+                    rows += [*found, (None, None, sorted({t for *_, terms in found for t in terms}))]
             if rows:
                 columns = [pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.string())))]
                 yield pa.RecordBatch.from_arrays(columns, ["entity", "place", "terms"])
@@ -173,13 +178,13 @@ def scanned(docs: DataFrame, filled: bytes, text_col: str) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(filled)  # of a fixed size
     span = "array<struct<start: int, kind: int, end: int>>"
     rows = docs.select("row", F.col(text_col).alias("text"))
-    added = T._parse_datatype_string(f"id long, body long, base {span}, base_sha256 string, words array<struct<term: string, start: int, end: int>>")
+    added = T._parse_datatype_string(f"id long, base {span}, base_sha256 string, words array<struct<term: string, start: int, end: int>>")
     schema = T.StructType([rows.schema["row"], *added.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         asked, row = Asked(shared.value), TaskContext.get().partitionId() << 40
         for batch in batches:
-            base, digest, words, body = [], [], [], []
+            base, digest, words = [], [], []
             for text in batch.column(1).to_pylist():
                 text = text or ""
                 found = entities(text)
@@ -191,9 +196,8 @@ def scanned(docs: DataFrame, filled: bytes, text_col: str) -> DataFrame:
                 base.append([(a, k, b) for a, k, b, _ in found])
                 digest.append(hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b, _ in found).encode()).hexdigest())
                 words.append(hits)
-                body.append(xxhash.xxh3_64_intdigest(text.encode()) - (1 << 63))
             n = batch.num_rows
-            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + n)), pa.array(body, pa.int64())], ["row", "id", "body"])
+            out = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + n))], ["row", "id"])
             out = with_column(out, "base", structs(base, [("start", pa.int32()), ("kind", pa.int32()), ("end", pa.int32())]))
             out = with_column(out, "base_sha256", pa.array(digest, pa.string()))
             yield with_column(out, "words", structs(words, [("term", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -206,12 +210,11 @@ def structs(rows: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> p
     return pa.array([[dict(zip([f for f, _ in fields], x)) for x in r] for r in rows], pa.list_(pa.struct(fields)))
 
 
-def disclosing(pairs: DataFrame, common: DataFrame, seen: DataFrame, texts: int, threshold: float) -> DataFrame:
-    """Pairs (entity, term) with the part of the entity's information that the term gives away, where it is too much."""
-    found = pairs.join(seen, "entity").join(common, "term")
-    ic = F.log2(F.lit(float(texts)) / F.col("n_entity"))
-    pmi = F.log2(F.lit(float(texts)) * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term")))
-    return found.withColumn("part", F.when(ic > 0, pmi / F.when(ic > 0, ic))).where(F.col("part") >= threshold)
+def disclosing(pairs: DataFrame, common: DataFrame, documents: int, threshold: float) -> DataFrame:
+    """The pairs (entity, term) whose term gives away too much of the entity, if ``common`` says how many documents hold a term."""
+    ic = F.log2(F.lit(float(documents)) / F.col("n_entity"))
+    pmi = F.log2(F.lit(float(documents)) * F.col("n_both") / (F.col("n_entity").cast("double") * F.col("n_term")))
+    return pairs.join(common, "term").where((ic > 0) & (pmi >= ic * threshold)).select("entity", "term", "n_both", "n_entity")
 
 
 def find(docs: DataFrame, settings: Settings = Settings(), keep: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
@@ -225,27 +228,30 @@ def find(docs: DataFrame, settings: Settings = Settings(), keep: tuple[str, ...]
     revealing.
 
     A null text is empty and has no spans. Whole texts are searched. Rows are told apart by place, so
-    repeated rows and ids and null ids do not matter; copies of a text count once as evidence. Names of
-    ``keep`` that are results are left out, other columns are not read. An empty table gives an empty table.
+    repeated rows and ids and null ids do not matter; every row is a document. Names of ``keep`` that are
+    results are left out, other columns are not read. An empty table gives an empty table.
     """
     keep = [c for c in keep if c.lower() not in ("base", "terms", "base_sha256", "spans")]
     rows = docs.select(F.struct(F.lit(0).alias("c"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(keep)]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    documents = rows.count()
     said = evidence(rows, "text", settings.window)
-    seen = said.select("entity", "place").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = said.select("entity", "place", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    pairs = written(pairs.where(F.col("n_both") >= settings.evidence), "pii-pairs")
+    named = said.where("entity is not null")
+    seen = named.select("entity", "place").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = named.select("entity", "place", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    pairs = pairs.where(F.col("n_both") >= settings.evidence).join(seen, "entity")
+    least = said.where("entity is null").select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    pairs = written(disclosing(pairs, least, documents, settings.threshold), "pii-pairs")
 
     every = scanned(rows, bits.build(pairs.select("term"), term_hashes), "text")
-    met = every.where(F.size("words") > 0).select("id", "body", F.inline("words"))
-    common = met.select("term", "body").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    texts = every.select("body").distinct().count()
-    terms = disclosing(pairs, common, seen, texts, settings.threshold).select("term").distinct()
+    met = every.where(F.size("words") > 0).select("id", "words")
+    common = met.select(F.explode(F.array_distinct("words.term")).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
+    terms = disclosing(pairs, common, documents, settings.threshold).select("term").distinct()
     terms = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    met = met.withColumn("salt", F.expr(f"cast(pmod(id, {SALTS}) as int)")).join(terms, ["term", "salt"])
+    met = met.select("id", F.inline("words")).withColumn("salt", F.expr(f"cast(pmod(id, {SALTS}) as int)")).join(terms, ["term", "salt"])
     span = F.struct("start", F.lit(TERM).alias("kind"), "end")
     met = met.groupBy("id").agg(F.array_sort(F.collect_list(span)).alias("terms"))
 
-    out = every.drop("words", "body").join(met, "id", "left")
+    out = every.drop("words").join(met, "id", "left")
     none = F.array().cast("array<struct<start: int, kind: int, end: int>>")
     out = out.withColumn("terms", F.coalesce("terms", none))
     names = F.array(*map(F.lit, KINDS))
