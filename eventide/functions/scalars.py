@@ -109,6 +109,11 @@ def all_valid(values: Sequence[Column]) -> Column:
     return reduce(and_, [as_number(v).isNotNull() for v in values])
 
 
+def invalid_names(values: dict[str, Column]) -> Column:
+    """The names of the values that are missing, no numbers or not finite, in order."""
+    return F.array_compact(F.array(*[F.when(as_number(v).isNull(), n) for n, v in values.items()]))
+
+
 def imputed(value: Column) -> Column:
     return F.coalesce(as_number(value), F.lit(0.0))
 

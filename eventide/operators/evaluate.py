@@ -151,6 +151,11 @@ def matched(
     return predictions.withColumnRenamed(pred, "predicted").join(last, list(keys))
 
 
+def recent_matches(pairs: DataFrame, order: Sequence[str | Column], n: int = 10) -> DataFrame:
+    """The ``n`` last matches by ``order`` (latest first), with whether the prediction held."""
+    return pairs.withColumn("hit", F.coalesce(F.col("predicted") == F.col("actual"), F.lit(False))).orderBy(*order).limit(n)
+
+
 def accuracy_report(pairs: DataFrame, classes: Sequence[str] = labels.CLASSES) -> DataFrame:
     """Accuracy and per-class precision in one aggregate; a class never predicted has null."""
     p, a = F.col("predicted"), F.col("actual")

@@ -128,6 +128,38 @@ def repair(signals: DataFrame, raw: DataFrame, key: str = "article_id") -> DataF
     return joined.withColumns(filled).drop("__s", "__c", "__u", "__hit")
 
 
+def enriched(
+    signals: DataFrame, sentiments: Sequence[DataFrame], articles: Sequence[DataFrame], key: str = "article_id", seq: str = "batch"
+) -> DataFrame:
+    """Signals with the texts of their articles: headline, source, condensed_text, full_content and url.
+
+    ``sentiments`` (headline, source, condensed_text) and ``articles`` (source, content, url) are lists of tables
+    by priority, from which each key takes one whole row (``priority_lookup``). The headline is that of
+    the scored text, or else the signal's; the source that of the scored text, else of the article, else
+    Unknown; the content that of the article, else the condensed text. A row that is found counts even where its
+    value is null; only a signal without any row falls back. Keys compare as text; a null key finds nothing.
+    """
+    def picked(tables: Sequence[DataFrame], mark: str, columns: dict[str, str]) -> DataFrame:
+        rows = [t.select(F.col(key).cast("string").alias("__key"), *[F.col(c).alias(n) for n, c in columns.items()], F.col(seq).alias("__seq")) for t in tables]
+        return priority_lookup(rows, "__key", "__seq").drop("__seq").withColumn(mark, F.lit(True))
+
+    scored = picked(sentiments, "__s", {"__headline": "headline", "__source": "source", "__condensed": "condensed_text"})
+    raw = picked(articles, "__r", {"__raw_source": "source", "__content": "content", "__url": "url"})
+    keyed = signals.withColumn("__key", F.col(key).cast("string"))
+    both = keyed.join(scored, "__key", "left").join(raw, "__key", "left")
+    has_text, has_raw = F.col("__s").isNotNull(), F.col("__r").isNotNull()
+    own = F.col("headline") if "headline" in signals.columns else F.lit(None).cast("string")
+    short = F.when(has_text, F.col("__condensed")).otherwise("")
+    filled = {
+        "headline": F.when(has_text, F.col("__headline")).otherwise(own),
+        "source": F.when(has_text, F.col("__source")).when(has_raw, F.col("__raw_source")).otherwise("Unknown"),
+        "condensed_text": short,
+        "full_content": F.when(has_raw, F.col("__content")).otherwise(short),
+        "url": F.when(has_raw, F.col("__url")).otherwise(""),
+    }
+    return both.withColumns(filled).drop("__key", "__s", "__r", "__headline", "__source", "__condensed", "__raw_source", "__content", "__url")
+
+
 def buffer_or_release(
     features: DataFrame, buffer: DataFrame, is_open: bool, keys: Sequence[str] = ("article_id", "symbol")
 ) -> tuple[DataFrame, DataFrame]:

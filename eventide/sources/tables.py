@@ -83,3 +83,38 @@ class KeyedTable:
         ]
         merged = rows.groupBy(*self.keys).agg(*newest, F.max("batch").alias("batch"))
         return merged.select(*self.keys, *[F.col(c)[c].alias(c) for c in rest], "batch")
+
+
+class KeySet:
+    """Keys seen so far, by a prefix of their hash: a batch reads the prefixes of its own keys and no others."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], prefixes: int = 256):
+        self.table, self.path, self.keys, self.prefixes = KeyedTable(spark, path, keys), path, list(keys), prefixes
+
+    def _placed(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("prefix", F.pmod(F.xxhash64(*self.keys), F.lit(self.prefixes)).cast("int"))
+
+    def known(self, prefixes: Sequence[int], before: int | None = None) -> DataFrame | None:
+        """The keys under some prefixes; other folders are not opened."""
+        held = self.table.read(before)
+        return None if held is None or "prefix" not in held.columns else held.filter(F.col("prefix").isin(list(prefixes)))
+
+    def add_unseen(self, rows: DataFrame, batch: int, order: Sequence | None = None) -> DataFrame:
+        """Rows with unknown keys, whose keys are stored under ``batch``; a replayed batch gives the same rows."""
+        if order is not None:
+            rows = state.first_per_key(rows, self.keys, order)
+        placed = self._placed(rows)
+        wanted = [r.prefix for r in placed.select("prefix").distinct().collect()]  # at most ``prefixes`` numbers
+        held = self.known(wanted, batch)
+        fresh = placed if held is None else state.unseen(placed, held, ["prefix", *self.keys])
+        keys = fresh.select("prefix", *self.keys).distinct().repartition("prefix")
+        keys.write.mode("overwrite").partitionBy("prefix").parquet(f"{self.path}/batch={batch}")
+        return fresh.drop("prefix")
+
+    def compact(self, path: str) -> KeySet:
+        """The same keys in one batch at another path, one file a prefix: for a set of many small batches."""
+        held = self.table.read()
+        last = held.agg(F.max("batch")).first()[0]
+        kept = held.select("prefix", *self.keys).distinct().repartition("prefix")
+        kept.write.mode("overwrite").partitionBy("prefix").parquet(f"{path}/batch={last}")
+        return KeySet(self.table.spark, path, self.keys, self.prefixes)

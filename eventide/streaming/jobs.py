@@ -11,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from eventide.functions import clock
 from eventide.operators import bars as bar_ops
 from eventide.operators import evaluate, state
-from eventide.sources.tables import KeyedTable
+from eventide.sources.tables import KeyedTable, KeySet
+from eventide.streaming.ordered import InOrder
 
 # Fixed value: seconds a tick of the previous minute is still accepted.
 GRACE_SECONDS = 2
@@ -114,40 +115,102 @@ def dedup_within(df: DataFrame, keys: Sequence[str], ts: str, horizon: str) -> D
     return zoned.withWatermark(ts, horizon).dropDuplicatesWithinWatermark(list(keys))
 
 
-def hv_into(
-    spark: SparkSession,
-    path: str,
-    key: str = "symbol",
-    session: str = "trade_date",
-    ts: str = "ts",
-    price: str = "price",
-    seq: str = "event_id",
-    prices: int = bar_ops.HV_PRICES,
-) -> Callable[[DataFrame, int], None]:
-    """Batch step for rolling volatility across micro-batches.
-
-    State is a table: the last ``prices - 1`` ticks of each running (symbol, session). A
-    batch runs the block-wise batch operator over state and batch together, so a busy
-    symbol is spread over tasks in the stream as well, and a replayed batch reads the same
-    earlier state.
+class HvStream:
+    """Rolling volatility across micro-batches, of ticks that may come late and in any order.
+
+    Ticks wait in ``InOrder`` until the watermark passes them. State is a table: the last ``prices - 1``
+    ticks of each running (symbol, session). A batch runs the block-wise batch operator over state and due
+    ticks together, so a busy symbol is spread over tasks in the stream as well, and a replayed
+    batch reads the same earlier state. Ticks behind the watermark are put aside in ``order.late()``.
     """
-    out, tail = f"{path}/hv", f"{path}/tail"
-    keys = [key, session]
 
-    def step(batch: DataFrame, batch_id: int) -> None:
+    def __init__(
+        self, spark: SparkSession, path: str, key: str = "symbol", session: str = "trade_date", ts: str = "ts", price: str = "price",
+        seq: str = "event_id", prices: int = bar_ops.HV_PRICES, lateness: int = 0,
+    ):
+        self.spark, self.path, self.keys, self.ts, self.price, self.seq, self.prices = spark, path, [key, session], ts, price, seq, prices
+        self.order = InOrder(spark, f"{path}/order", ts, lateness)
+
+    def step(self, batch: DataFrame, batch_id: int) -> None:
         batch.persist()
-        rows = batch.withColumn("__old", F.lit(False))
+        self._advance(self.order.step(batch, batch_id), batch_id)
+        batch.unpersist()
+
+    def flush(self, like: DataFrame, batch_id: int) -> None:
+        """The ticks that still wait, as a last batch of its own."""
+        self._advance(self.order.rest(like), batch_id)
+
+    def _advance(self, due: DataFrame, batch_id: int) -> None:
+        rows = due.withColumn("__old", F.lit(False))
         if batch_id > 0:
-            held = spark.read.schema(batch.schema).parquet(f"{tail}/batch={batch_id - 1}")
+            held = self.spark.read.schema(due.schema).parquet(f"{self.path}/tail/batch={batch_id - 1}")
             rows = rows.unionByName(held.withColumn("__old", F.lit(True)))
-        done = bar_ops.rolling_hv(rows, keys, ts, price, seq, prices)
-        done.filter(~F.col("__old")).drop("__old").write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        done = bar_ops.rolling_hv(rows, self.keys, self.ts, self.price, self.seq, self.prices)
+        done.filter(~F.col("__old")).drop("__old").write.mode("overwrite").parquet(f"{self.path}/hv/batch={batch_id}")
+        key, session = self.keys
         current = rows.groupBy(key).agg(F.max(session).alias(session))
-        last = state.top_per_key(rows, keys, [F.col(ts).desc(), F.col(seq).desc()], prices - 1)
-        kept = last.join(current, keys, "left_semi").drop("__old")
-        kept.write.mode("overwrite").parquet(f"{tail}/batch={batch_id}")
+        last = state.top_per_key(rows, self.keys, [F.col(self.ts).desc(), F.col(self.seq).desc()], self.prices - 1)
+        last.join(current, self.keys, "left_semi").drop("__old").write.mode("overwrite").parquet(f"{self.path}/tail/batch={batch_id}")
+
+
+def hv_into(spark: SparkSession, path: str, **how) -> Callable[[DataFrame, int], None]:
+    """Batch step of ``HvStream``."""
+    return HvStream(spark, path, **how).step
+
+
+class CandleStream:
+    """Candles with an exact account of the ticks that come for a minute already closed.
+
+    A minute closes when the watermark passes its end; its ticks are folded once, then. ``late`` holds
+    every tick that was left out, in contrast to the counter of ``candles``, which counts after folding.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, ts: str = "ts", seq: str | None = None, minutes: int = 1, lateness: int = GRACE_SECONDS):
+        size = minutes * clock.MINUTE_US
+        end = (F.floor(clock.micros(F.col(ts)) / size) + 1) * size
+        self.order = InOrder(spark, f"{path}/order", ts, lateness, end)
+        self.path, self.how = path, {"ts": ts, "seq": seq, "minutes": minutes}
+
+    def step(self, batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        due = self.order.step(batch, batch_id)
+        bar_ops.tick_bars(due, **self.how).write.mode("overwrite").parquet(f"{self.path}/out/batch={batch_id}")
         batch.unpersist()
 
+    def open_candles(self, like: DataFrame) -> DataFrame:
+        """The candles of the minutes that are still open."""
+        return bar_ops.tick_bars(self.order.rest(like), **self.how)
+
+
+def dedup_by_prefix(known: KeySet, path: str, order: Sequence) -> Callable[[DataFrame, int], None]:
+    """Batch step that stores rows with keys never stored before; only the hash prefixes of the batch are read."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        known.add_unseen(batch, batch_id, order).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return step
+
+
+def live_pairs(
+    predictions: DataFrame, labels: DataFrame, key: str, pred: str, actual: str, ts: str = "ts", horizon: str = "1 hour", lateness: str = "1 minute"
+) -> DataFrame:
+    """Both sides as streams: every label with the prediction of its key made within ``horizon`` before it.
+
+    Both watermarks and the interval bound what Spark keeps: a prediction is dropped once no label in time can come.
+    """
+    p = predictions.select(F.col(key), F.col(pred).alias("predicted"), F.col(ts).cast("timestamp").alias("__made")).withWatermark("__made", lateness)
+    a = labels.select(F.col(key).alias("__key"), F.col(actual).alias("actual"), F.col(ts).cast("timestamp").alias("__told")).withWatermark("__told", lateness)
+    near = F.expr(f"__key = {key} AND __told >= __made AND __told <= __made + INTERVAL {horizon}")
+    return p.join(a, near).select(key, "predicted", "actual")
+
+
+def counts_into(path: str) -> Callable[[DataFrame, int], None]:
+    """Batch step: the (predicted, actual) counts of a batch of pairs under its number; their sum is the running state."""
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        counted = batch.groupBy("predicted", "actual").agg(F.count(F.lit(1)).alias("n"))
+        counted.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
     return step
 
 
