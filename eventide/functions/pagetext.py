@@ -5,6 +5,7 @@ Patterns avoid look-around so that any RE2 engine gives the same answer.
 
 from __future__ import annotations
 
+import html.entities
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -62,18 +63,27 @@ def absolute_url(href: Column, base: Column) -> Column:
     return F.when(href.startswith("http"), href).when(href.startswith("/"), F.concat(root, href))
 
 
-# Entities that occur in running text, unescaped after the tags are gone; ``&amp;`` last.
-ENTITIES = (
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-    ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"),
-)
 JUNK_BLOCKS = ("script", "style", "nav", "footer", "noscript")
+# Named characters by the standard's table; a hard space becomes a plain one.
+NAMED = {**{name: chr(code) for name, code in html.entities.name2codepoint.items()}, "apos": "'", "nbsp": " "}
 
 
 def unescaped(text: Column) -> Column:
-    for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return text
+    """Named, decimal and hexadecimal character references, each decoded once; unknown ones stay."""
+    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+
+    def decoded(piece: Column) -> Column:
+        name = F.regexp_extract(piece, r"^&(#?\w+);", 1)
+        number = F.when(name.rlike(r"^#[0-9]{1,7}$"), F.substring(name, 2, 9).cast("long")).when(
+            name.rlike(r"^#[xX][0-9a-fA-F]{1,6}$"), F.conv(F.substring(name, 3, 9), 16, 10).cast("long")
+        )
+        fits = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        char = F.when(number == 160, " ").when(fits, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32"))
+        said = F.coalesce(char, F.try_element_at(names, name))
+        return F.when(said.isNotNull(), F.concat(said, F.substr(piece, F.length(name) + 3))).otherwise(piece)
+
+    pieces = F.split(text, "(?=&)")
+    return F.when(text.contains("&"), F.array_join(F.transform(pieces, decoded), "")).otherwise(text)
 
 
 def without_junk(html: Column) -> Column:

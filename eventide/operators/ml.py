@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, VectorAssembler
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer, SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import clock, scalars
 from eventide.operators import evaluate, labels
+from eventide.session import materialised
 
 # Model shape, row gates and split share.
 TREES, DEPTH, ROW_SHARE, SEED = 200, 5, 0.8, 42
@@ -25,12 +27,32 @@ TRAIN_SHARE = 0.8
 # --- splits --------------------------------------------------------------------------------
 
 
-def _reach(rows: DataFrame, bucket: Column, base: Column, cut: Column) -> DataFrame:
-    """The bucket in which the running count (from ``base``) first reaches ``cut``: one row (b, base)."""
+def _reach(rows: DataFrame, bucket: Column, base: int, cut: int | None, share: float = TRAIN_SHARE) -> tuple[int, int, int] | None:
+    """(bucket, rows before it, cut): the bucket in which the running count from ``base`` reaches the cut.
+
+    Without a cut it is ``floor(share * n)``. Only counts by bucket are sorted; one row comes back.
+    """
     counts = rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    line = W.partitionBy(F.lit(1)).orderBy("b").rowsBetween(W.unboundedPreceding, 0)
-    seen = counts.withColumn("seen", base + F.sum("n").over(line))
-    return seen.filter(F.col("seen") >= cut).agg(F.min("b").alias("b"), F.min(F.col("seen") - F.col("n")).alias("base"))
+    whole = W.partitionBy(F.lit(1))
+    seen = F.sum("n").over(whole.orderBy("b").rowsBetween(W.unboundedPreceding, 0)) + base
+    goal = F.floor(F.sum("n").over(whole) * share).cast("long") if cut is None else F.lit(cut)
+    found = counts.withColumns({"seen": seen, "goal": goal}).filter(F.col("seen") >= F.col("goal")).orderBy("b").first()
+    return found and (found.b, found.seen - found.n, found.goal)
+
+
+def _literal(value, kind) -> Column:
+    """A collected value as a literal of its column's type; times go as text, free of any zone."""
+    return F.lit(str(value) if isinstance(value, dt.datetime) else value).cast(kind)
+
+
+def _kth(ties: DataFrame, order: Sequence[str], k: int) -> list[Column]:
+    """The ``order`` values of the k-th row: sorted over all tasks, then found by the counts of the sorted parts."""
+    parts = ties.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
+    inside = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_ = materialised(parts.select("*", F.spark_partition_id().alias("__part"), inside.alias("__i")), "split-ties")
+    part, before, _ = _reach(sorted_, F.col("__part"), 0, k)
+    row = sorted_.filter((F.col("__part") == part) & (F.col("__i") == k - before - 1)).select(*order).first()
+    return [_literal(row[c], ties.schema[c].dataType) for c in order]
 
 
 def chronological_split(
@@ -38,23 +60,26 @@ def chronological_split(
 ) -> DataFrame:
     """Flag the first ``floor(share * n)`` rows in time order, exactly.
 
-    Counts per hour, then per second of the hour that holds the cut, locate the cut as two
-    single values; only the rows of that one second are ranked, all others are decided by
-    comparing their time. Rows without a time are left out.
+    Counts by hour, by second of the hour that holds the cut, and by microsecond of that second select the time
+    of the cut; if several rows have it, they alone are sorted by ``order``, over all tasks. The result is
+    one scan that compares each row with the cut. Rows equal in time and ``order`` stay on one side. Rows
+    without a time are left out. The cut is found when this is called.
     """
     rows = df.filter(F.col(ts).isNotNull())
-    second = F.floor(clock.micros(F.col(ts)) / 1_000_000).cast("long")
-    hour = F.floor(second / 3600).cast("long")
-    cut = rows.agg(F.floor(F.count(F.lit(1)) * share).cast("long")).scalar()
-    by_hour = _reach(rows, hour, F.lit(0), cut)
-    edge_hour = rows.filter(hour == by_hour.select("b").scalar())
-    by_second = _reach(edge_hour, second, by_hour.select("base").scalar(), cut)
-    edge, base = by_second.select("b").scalar(), by_second.select("base").scalar()
-    rank = F.row_number().over(W.partitionBy(F.lit(1)).orderBy(ts, *order))
-    # No row reaches a cut of zero rows before the first one: everything then lies after it.
-    clear = rows.filter(F.coalesce(second != edge, F.lit(True))).withColumn(out, F.coalesce(second < edge, F.lit(False)))
-    tie = rows.filter(second == edge).withColumn(out, base + rank <= cut)
-    return clear.unionByName(tie)
+    at = clock.micros(F.col(ts))
+    hour, second = F.floor(at / 3_600_000_000).cast("long"), F.floor(at / 1_000_000).cast("long")
+    edge = _reach(rows, hour, 0, None, share)
+    if edge is None or edge[2] == 0:
+        return rows.withColumn(out, F.lit(False))
+    b, base, cut = edge
+    b, base, _ = _reach(rows.filter(hour == b), second, base, cut)
+    edge, base, _ = _reach(rows.filter(second == b), at, base, cut)
+    ties = rows.filter(at == edge)
+    if ties.count() == cut - base:
+        return rows.withColumn(out, at <= edge)
+    last = _kth(ties, order, cut - base)
+    upto = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(order)]) <= F.struct(*[v.alias(f"c{i}") for i, v in enumerate(last)])
+    return rows.withColumn(out, (at < edge) | (at == edge) & upto)
 
 
 def approximate_split(df: DataFrame, ts: str, share: float = TRAIN_SHARE, out: str = "is_train") -> DataFrame:
@@ -106,15 +131,53 @@ def train_reaction_model(rows: DataFrame, features: Sequence[str], trees: int =
     return Pipeline(stages=[forest]).fit(feature_vector(weighted, features))
 
 
-def score_reaction(model: PipelineModel, rows: DataFrame, features: Sequence[str], null_policy: str = "drop") -> DataFrame:
+def train_boosted_model(rows: DataFrame, features: Sequence[str], rounds: int = TREES, depth: int = DEPTH, rate: float = 0.1) -> PipelineModel:
+    """Weighted boosted trees for three classes: one model a class against the others.
+
+    Spark's boosted trees take two classes, so there are as many as classes, each a stage of one pipeline.
+    """
+    known = rows.filter(F.col("label").isin(*labels.CLASSES))
+    weighted = labels.class_weights(known, "label")
+    weighted = weighted.withColumns({f"__is_{c}": (F.col("label") == c).cast("double") for c in labels.CLASSES})
+    stages = [
+        GBTClassifier(
+            labelCol=f"__is_{c}", weightCol="weight", predictionCol=f"__said_{c}",
+            maxIter=rounds, maxDepth=depth, stepSize=rate, subsamplingRate=ROW_SHARE, seed=SEED,
+        ).setRawPredictionCol(f"__raw_{c}").setProbabilityCol(f"__p_{c}")
+        for c in labels.CLASSES
+    ]
+    return Pipeline(stages=stages).fit(feature_vector(weighted, features))
+
+
+def _signals(out: DataFrame, probs: dict[str, Column]) -> DataFrame:
     """Class probabilities, the gated signal and its confidence."""
-    out = model.transform(feature_vector(rows, features, null_policy))
-    p = vector_to_array("probability")
-    probs = {f"{c.lower()}_prob": F.get(p, F.lit(i)) for i, c in enumerate(labels.CLASSES)}
     raw = out.withColumns(probs)
     signal = labels.gated_signal([F.col(c) for c in probs])
-    named = {**signal, **{c: F.round(c, 4) for c in probs}}
-    return raw.withColumns(named).drop("features", "rawPrediction", "probability", "prediction")
+    return raw.withColumns({**signal, **{c: F.round(c, 4) for c in probs}})
+
+
+def score_boosted(model: PipelineModel, rows: DataFrame, features: Sequence[str], null_policy: str = "drop") -> DataFrame:
+    """As ``score_reaction``; the probabilities of the one-against-others models are divided by their sum."""
+    out = model.transform(feature_vector(rows, features, null_policy))
+    one = {c: F.get(vector_to_array(f"__p_{c}"), F.lit(1)) for c in labels.CLASSES}
+    out = out.withColumns({f"__one_{c}": p for c, p in one.items()})
+    total = sum([F.col(f"__one_{c}") for c in labels.CLASSES], F.lit(0.0))
+    scored = _signals(out, {f"{c.lower()}_prob": F.col(f"__one_{c}") / total for c in labels.CLASSES})
+    return scored.drop("features", *[f"__{kind}_{c}" for kind in ("said", "raw", "p", "one") for c in labels.CLASSES])
+
+
+def score_reaction(model: PipelineModel, rows: DataFrame, features: Sequence[str], null_policy: str = "drop") -> DataFrame:
+    """Class probabilities, the gated signal and its confidence. A class that was never trained has probability 0."""
+    out = model.transform(feature_vector(rows, features, null_policy))
+    p = vector_to_array("probability")
+    probs = {f"{c.lower()}_prob": F.coalesce(F.get(p, F.lit(i)), F.lit(0.0)) for i, c in enumerate(labels.CLASSES)}
+    return _signals(out, probs).drop("features", "rawPrediction", "probability", "prediction")
+
+
+def skip_reasons(rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """``missing``: the features that are missing, no numbers or not finite; ``skip_reason``: missing_features if there are any."""
+    found = rows.withColumn("missing", scalars.invalid_names({f: F.col(f) for f in features}))
+    return found.withColumn("skip_reason", F.when(F.size("missing") > 0, "missing_features"))
 
 
 def holdout_metrics(model: PipelineModel, rows: DataFrame, features: Sequence[str]) -> DataFrame:
@@ -279,3 +342,40 @@ def historic_rows(raw: DataFrame) -> DataFrame:
         *[F.round(c, 4).alias(n) for n, c in moved.items()],
         *[c.alias(n) for n, c in tagged.items()],
     )
+
+
+def feature_stages(features: Sequence[str]) -> list:
+    """The feature map as stages of a pipeline, so that a stored model carries it: invalid values become 0."""
+    number = "try_cast({0} as double)"
+    clean = ", ".join(
+        f"coalesce(if(isnan({number}) or abs({number}) = double('inf'), null, {number}), 0.0d) as __f{i}".format(f"`{f}`") for i, f in enumerate(features)
+    )
+    assemble = VectorAssembler(inputCols=[f"__f{i}" for i in range(len(features))], outputCol="features")
+    return [SQLTransformer(statement=f"SELECT *, {clean} FROM __THIS__"), assemble]
+
+
+def train_historic(
+    raw: DataFrame, features: Sequence[str], version: str, model_folder: str, runs_path: str, min_rows: int = MIN_HISTORIC_ROWS,
+    trees: int = TREES, depth: int = DEPTH, force: bool = False, previous: dict | None = None,
+) -> tuple[bool, str]:
+    """The historic job: records to rows, row gate, stratified split, fit, hold-out metrics, stored run: (trained, reason).
+
+    The stored model is a pipeline that begins with the feature map, so it scores plain rows. Features that the
+    records do not have are 0 for every row.
+    """
+    rows = materialised(historic_rows(raw), "historic-rows")
+    if rows.limit(min_rows).count() < min_rows:
+        return False, "insufficient_data"
+    wide = rows.withColumns({f: F.lit(None).cast("double") for f in features if f not in rows.columns})
+    split = stratified_split(wide, "article_id", "label")
+    train = labels.class_weights(split.filter("is_train"), "label").withColumn("y", class_index(F.col("label")))
+    forest = RandomForestClassifier(
+        labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, subsamplingRate=ROW_SHARE, featureSubsetStrategy="0.8", seed=SEED,
+    )
+    model = Pipeline(stages=[*feature_stages(features), forest]).fit(train)
+    names = F.array(*[F.lit(c) for c in labels.CLASSES])
+    out = model.transform(split.filter("not is_train"))
+    pairs = out.select(F.get(names, F.col("prediction").cast("int")).alias("predicted"), F.col("label").alias("actual"))
+    run = model_run(evaluate.confusion_metrics(pairs), rows, version, "historic", previous, force)
+    save_run(model, run, model_folder, runs_path, version)
+    return True, "success"

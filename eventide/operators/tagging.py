@@ -1,48 +1,28 @@
 """Company tagging: keywords in headlines, context rules, confidence and greedy resolution.
 
-Headlines are never paired with all keywords. The words of a keyword that occurs in a headline
-are adjacent whole words there, so an equi-join of the headline's words and word pairs with the
-keyword's only word or longest pair yields every possible match and few others; the exact
-word-boundary match, the context rules and the resolution then run inside the article row on
-built-in array functions.
+Headlines are never paired with keywords, nor with the keywords that share a word with them. The distinct
+phrases of the keywords are cut into shards of bounded size; a shard travels to the tasks as an
+automaton (a trie with failure links) that finds all of its phrases in one walk over a headline,
+at word boundaries marked by the engine. Only true matches leave the tasks, as (article, phrase, place).
+The context rules and the resolution run inside the article row on built-in array functions.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from eventide.functions import fixed
 from eventide.functions.scalars import once
 
 WORDS = r"(?U)(\w+)"
 MARK = "\x01"
-
-
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORDS), F.lit(1))
-
-
-def _neighbours(words: Column) -> Column:
-    """Adjacent word pairs."""
-    pairs = F.zip_with(words, F.slice(words, 2, 2_000_000_000), lambda a, b: F.concat(a, F.lit(MARK), b))
-    return F.array_compact(pairs)
-
-
-def _anchors(text: Column) -> Column:
-    """Words and adjacent word pairs of a headline."""
-    return once([_words(text)], lambda w: F.array_distinct(F.concat(w, _neighbours(w))))
-
-
-def _anchor(phrase: Column) -> Column:
-    """The longest word pair of a phrase, or its only word."""
-
-    def longest(parts: Column) -> Column:
-        return F.array_max(F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))))["p"]
-
-    return once([_words(phrase)], lambda w: F.when(F.size(w) > 1, longest(_neighbours(w))).otherwise(longest(w)))
+SHARD_PHRASES = 100_000  # phrases of one automaton; more make further walks over the headlines
 
 
 def marked(text: Column) -> Column:
@@ -103,7 +83,6 @@ def keyword_table(
     return parts.withColumns(
         {
             "neg_length": -F.length(kw),
-            "anchor": _anchor(kw),
             "phrase": marked_phrase(kw),
             "excluded_by": F.when(
                 suffixes != "", F.concat(F.lit(r"(?U)\b"), quoted, F.lit(r"\s+(?:"), suffixes, F.lit(r")\b"))
@@ -113,7 +92,64 @@ def keyword_table(
             "base_score": F.when(F.coalesce(full_name, F.lit(False)), 2).otherwise(0)
             + F.when(F.upper(kw) == F.col("Symbol"), 3).otherwise(0),
         }
-    ).filter(F.col("anchor").isNotNull())
+    ).filter(kw.rlike(WORDS))
+
+
+FIELDS = (
+    "neg_length", "row", "pos", "keyword", "CompanyName", "Symbol", "Sector", "Index",
+    "phrase", "excluded_by", "context", "is_generic", "base_score",
+)
+
+
+_AUTOMATA: dict[int, ahocorasick.Automaton] = {}
+
+
+def _automaton(number: int, phrases: Sequence[str]) -> ahocorasick.Automaton:
+    """The automaton of a shard, built once a worker."""
+    if number not in _AUTOMATA:
+        made = ahocorasick.Automaton()
+        for p in phrases:
+            made.add_word(p, p)
+        made.make_automaton()
+        if len(_AUTOMATA) > 3:
+            _AUTOMATA.clear()
+        _AUTOMATA[number] = made
+    return _AUTOMATA[number]
+
+
+def phrase_matches(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+    """(key, phrase, start) for every phrase that occurs in a marked text; start is the first place, without marks.
+
+    ``texts`` has the columns key and text, ``phrases`` one column of distinct marked phrases. Each shard of about
+    ``SHARD_PHRASES`` of them is collected, broadcast and walked in one pass over the texts, which are not shuffled.
+    """
+    spark = texts.sparkSession
+    shards = -(-phrases.count() // SHARD_PHRASES)
+    name = phrases.columns[0]
+    schema = T.StructType([texts.schema["key"], T.StructField("phrase", T.StringType()), T.StructField("start", T.IntegerType())])
+    found = spark.createDataFrame([], schema)
+    for shard in range(shards):
+        part = phrases.filter(F.pmod(F.xxhash64(name), F.lit(shards)) == shard)
+        shared = spark.sparkContext.broadcast([r[0] for r in part.collect()])
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, number=shared._jbroadcast.id()) -> Iterator[pa.RecordBatch]:
+            automaton = _automaton(number, shared.value) if shared.value else None
+            for batch in batches:
+                at, said, starts = [], [], []
+                for i, text in enumerate(batch.column(1).to_pylist()):
+                    first: dict[str, int] = {}
+                    for end, phrase in automaton.iter(text) if automaton else ():
+                        first.setdefault(phrase, end + 1 - len(phrase))
+                    for phrase, begin in first.items():
+                        at.append(i)
+                        said.append(phrase)
+                        starts.append(begin - text.count(MARK, 0, begin))
+                columns = [batch.column(0).take(pa.array(at, pa.int64())), pa.array(said, pa.string()), pa.array(starts, pa.int32())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "phrase", "start"])
+
+        out = texts.select("key", "text").mapInArrow(run, schema)
+        found = out if shards == 1 else found.unionByName(out)
+    return found
 
 
 FIELDS = (
@@ -131,25 +167,17 @@ def candidates(
 ) -> DataFrame:
     """Articles whose headline holds a keyword, with ``matches`` in keyword rank order.
 
-    Only (key, word or word pair) rows travel through the join; the article row joins back once.
     ``key`` is unique. Headlines of macro news are skipped.
     """
     head = F.lower(headline)
     scanned = articles.filter((F.coalesce(F.col(headline), F.lit("")) != "") & ~head.rlike("|".join(skip)))
-    words = scanned.select(key, F.explode(_anchors(head)).alias("anchor"))
-    table = keywords.select("anchor", F.struct(*FIELDS).alias("k"))
-    found = words.join(table, "anchor").groupBy(key).agg(F.collect_list("k").alias("__k"))
-
-    def located(k: Column, text: Column) -> Column:
-        before = F.call_function("substring_index", text, k["phrase"], F.lit(1))
-        start = F.when(text.contains(k["phrase"]), F.length(F.replace(before, F.lit(MARK), F.lit(""))))
-        return F.struct(*[k[f].alias(f) for f in FIELDS], start.alias("start"), (start + F.length(k["keyword"])).alias("stop"))
-
-    def hits(text: Column) -> Column:
-        found = F.transform(F.sort_array("__k"), lambda k: located(k, text))
-        return F.filter(found, lambda k: k["start"].isNotNull())
-
-    return articles.join(found, key).withColumn("matches", once([marked(head)], hits)).drop("__k")
+    texts = scanned.select(F.col(key).alias("key"), marked(head).alias("text"))
+    found = phrase_matches(texts, keywords.select("phrase").distinct())
+    fields = [f for f in FIELDS if f != "phrase"]
+    named = found.join(keywords.select("phrase", *fields), "phrase")
+    match = F.struct(*FIELDS, "start", (F.col("start") + F.length("keyword")).alias("stop"))
+    grouped = named.groupBy("key").agg(F.sort_array(F.collect_list(match)).alias("matches"))
+    return articles.join(grouped.withColumnRenamed("key", key), key)
 
 
 def scored(

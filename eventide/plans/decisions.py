@@ -8,9 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from eventide.functions import scalars
-from eventide.operators import labels, ml, state
+from eventide.operators import evaluate, labels, ml, state
 from eventide.plans import Tables, query
-from eventide.plans.roles import TICKS_SQL, ticks
 from eventide.sources import readers
 
 
@@ -95,17 +94,51 @@ def view_times(t: Tables) -> DataFrame:
 
 
 @query(
-    f"""WITH {TICKS_SQL}, named AS (SELECT c_custkey, any_value(c_name) AS c_name FROM customer WHERE c_custkey % 2 = 0 GROUP BY 1)
-    SELECT event_id, coalesce(c_name, CAST(t.symbol AS VARCHAR)) AS symbol, price
-    FROM ticks t LEFT JOIN named n ON t.symbol = n.c_custkey"""
+    """SELECT event_id, coalesce(c_name, CAST(user_id * 11 AS VARCHAR)) AS symbol, value AS price
+    FROM events LEFT JOIN customer ON user_id * 11 = c_custkey"""
 )
 def security_names(t: Tables) -> DataFrame:
-    """Company names of security ids; the odd ids have no mapping and stand for themselves."""
-    rows = ticks(t).select("event_id", F.col("symbol").cast("string").alias("secid"), "price")
-    names = t.customer.filter("c_custkey % 2 = 0").select(F.col("c_custkey").alias("SECURITY_ID"), F.col("c_name").alias("CompanyName"))
+    """Company names of security ids; ids beyond the mapping stand for themselves."""
+    rows = t.events.select("event_id", (F.col("user_id") * 11).cast("string").alias("secid"), F.col("value").alias("price"))
+    names = t.customer.select(F.col("c_custkey").alias("SECURITY_ID"), F.col("c_name").alias("CompanyName"))
     return readers.security_names(rows, names).select("event_id", "symbol", "price")
 
 
+@query(
+    """WITH f AS (SELECT o_orderkey, CASE WHEN o_orderstatus <> 'P' THEN o_totalprice END AS price,
+      CASE WHEN o_orderkey % 7 = 0 THEN CAST('nan' AS DOUBLE) WHEN o_orderkey % 11 = 0 THEN CAST('inf' AS DOUBLE) ELSE o_totalprice / 3 END AS part,
+      o_orderpriority AS said FROM orders),
+    m AS (SELECT o_orderkey, concat_ws(',', CASE WHEN price IS NULL THEN 'price' END, CASE WHEN isnan(part) OR isinf(part) THEN 'part' END, 'said') AS missing,
+      concat_ws(',', CASE WHEN price IS NULL THEN 'price' END, CASE WHEN isnan(part) OR isinf(part) THEN 'part' END) AS numbers FROM f)
+    SELECT o_orderkey, missing, CASE WHEN numbers <> '' THEN 'missing_features' END AS skip_reason FROM m"""
+)
+def feature_skip_reasons(t: Tables) -> DataFrame:
+    """Which features keep a row from being scored: null prices, NaN and infinite parts; a text column never is a number."""
+    key = F.col("o_orderkey")
+    part = F.when(key % 7 == 0, float("nan")).when(key % 11 == 0, float("inf")).otherwise(F.col("o_totalprice") / 3)
+    rows = t.orders.select(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_totalprice")).alias("price"), part.alias("part"), F.col("o_orderpriority").alias("said")
+    )
+    every = ml.skip_reasons(rows, ["price", "part", "said"]).withColumn("all_missing", F.array_join("missing", ",")).select("o_orderkey", "price", "part", "all_missing")
+    out = ml.skip_reasons(every, ["price", "part"])
+    return out.select("o_orderkey", F.col("all_missing").alias("missing"), "skip_reason")
+
+
+@query(
+    """WITH p AS (SELECT d.doc_id, CASE WHEN n_chars > 2000 THEN 'BUY' WHEN lang <> 'en' THEN 'SELL' ELSE 'HOLD' END AS predicted,
+      CASE WHEN toxic = 1 THEN 'SELL' WHEN quality = 1 THEN 'BUY' ELSE 'HOLD' END AS actual FROM documents d JOIN labels USING (doc_id))
+    SELECT doc_id, predicted, actual, predicted = actual AS hit FROM p ORDER BY doc_id DESC LIMIT 10"""
+)
+def recent_matches(t: Tables) -> DataFrame:
+    """The ten most recent predictions that have a label."""
+    said = F.when(F.col("n_chars") > 2000, "BUY").when(F.col("lang") != "en", "SELL").otherwise("HOLD")
+    real = F.when(F.col("toxic") == 1, "SELL").when(F.col("quality") == 1, "BUY").otherwise("HOLD")
+    predictions = t.documents.select("doc_id", said.alias("signal"))
+    actuals = t.labels.select("doc_id", real.alias("label"), F.col("doc_id").alias("seq"))
+    pairs = evaluate.matched(predictions, actuals, ["doc_id"], "seq", "signal", "label")
+    return evaluate.recent_matches(pairs, [F.col("doc_id").desc()]).select("doc_id", "predicted", "actual", "hit")
+
+
 # The buffer holds the last order of each customer before 1996, the batch the last one since.
 @query(
     """WITH o AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderdate < TIMESTAMP '1996-01-01' AS early, o_orderdate FROM orders),

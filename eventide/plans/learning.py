@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from eventide.operators import asof, labels, ml
 from eventide.plans import Tables, query
-from eventide.session import materialised, spread
+from eventide.session import materialised
 from eventide.plans.roles import LOOKBACKS, REACTION, anchors, bars
 
 
@@ -56,11 +56,32 @@ def reaction_scores(t: Tables) -> DataFrame:
     return all_rows.withColumn("skip_reason", F.when(F.col("buy_prob").isNull(), "missing_features"))
 
 
+@query(
+    """SELECT event_id, user_id % 5 AS symbol, true AS sums_to_one, true AS gate_holds, 'BUY,SELL,HOLD' AS classes
+    FROM events WHERE event_type = 'signup'"""
+)
+def boosted_scores(t: Tables) -> DataFrame:
+    """Boosted trees of three classes over all anchors: what must hold of every score, whatever the fit."""
+    rows = materialised(labelled(t), "reactions")
+    fit = materialised(ml.chronological_split(rows.filter("has_return"), "ts", ["event_id"]).filter("is_train"), "boosted-fit")
+    names = [f for f in model_columns() if "volatility_" not in f]
+    out = ml.score_boosted(ml.train_boosted_model(fit, names, rounds=4, depth=3), rows, names, null_policy="impute")
+    probs = [F.col(f"{c.lower()}_prob") for c in labels.CLASSES]
+    top = F.greatest(*probs)
+    said = F.get(F.array(*[F.lit(c) for c in labels.CLASSES]), (F.array_position(F.array(*probs), top) - 1).cast("int"))
+    near = F.abs(top - labels.MIN_CONFIDENCE) < 0.001  # probabilities are shown rounded, the gate is not
+    tie = F.size(F.filter(F.array(*probs), lambda p: F.abs(p - top) < 0.001)) > 1
+    holds = (F.col("predicted_signal") == F.when(top < labels.MIN_CONFIDENCE, "HOLD").otherwise(said)) | near | tie
+    sums = F.abs(sum(probs, F.lit(0.0)) - 1) < 0.001
+    known = F.lit(",".join(labels.CLASSES)).alias("classes")
+    return out.select("event_id", "symbol", sums.alias("sums_to_one"), (holds & (F.abs(F.col("signal_confidence") - top) < 0.001)).alias("gate_holds"), known)
+
+
 @query()
 def text_classifier(t: Tables) -> DataFrame:
     """Sentiment model fitted on labelled documents and applied to all of them."""
     mood = F.when(F.col("toxic") == 1, "negative").when(F.col("quality") == 1, "positive").otherwise("neutral")
-    docs = spread(t.documents.select("doc_id", "text"))
+    docs = t.documents.select("doc_id", "text")
     train = docs.join(t.labels, "doc_id").select("doc_id", "text", mood.alias("sentiment"))
     model = ml.train_sentiment(train, "text")
     out = ml.score_sentiment(model, docs, "text")

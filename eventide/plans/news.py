@@ -66,16 +66,21 @@ def url_ids(t: Tables) -> DataFrame:
 # --- html ----------------------------------------------------------------------------------
 
 
+# Written apart from the implementation: the references of the driver's pages, and blocks that hold no text.
+_REFERENCES = (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "), ("&amp;", "&"))
+_BLOCKS = ("script", "style", "nav", "footer", "noscript")
+
+
 def _plain_sql(x: str) -> str:
     out = f"regexp_replace({x}, '(?s)<[^>]*>', ' ', 'g')"
-    for name, char in P.ENTITIES:
+    for name, char in _REFERENCES:
         out = f"replace({out}, {sql_text(name)}, {sql_text(char)})"
     return f"trim(regexp_replace({out}, '[ \\t\\n\\r\\f]+', ' ', 'g'))"
 
 
 def _junk_sql(x: str) -> str:
     out = f"regexp_replace({x}, '(?is)<!--.*?-->', ' ', 'g')"
-    for tag in P.JUNK_BLOCKS:
+    for tag in _BLOCKS:
         out = f"regexp_replace({out}, '(?is)<{tag}\\b[^>]*>.*?</{tag}\\s*>', ' ', 'g')"
     return out
 

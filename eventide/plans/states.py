@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from eventide.operators import labels, state
 from eventide.plans import Tables, query
+from eventide.session import scratch
+from eventide.sources.tables import KeyedTable
 
 
 @query(
@@ -226,3 +228,61 @@ def articles_per_source(t: Tables) -> DataFrame:
 )
 def class_share(t: Tables) -> DataFrame:
     return labels.class_share(t.events, "event_type")
+
+
+_ENRICHED_SQL = """d AS (SELECT doc_id, md5(text) AS id, split_part(text, chr(10), 1) AS headline, CASE WHEN doc_id % 5 > 0 THEN source END AS source,
+    lang, n_chars, text FROM documents),
+s AS (SELECT * FROM d WHERE lang <> 'es' QUALIFY row_number() OVER (PARTITION BY id ORDER BY lang <> 'en', doc_id DESC) = 1),
+r AS (SELECT * FROM d WHERE n_chars > 500 QUALIFY row_number() OVER (PARTITION BY id ORDER BY n_chars <= 2000, doc_id DESC) = 1)"""
+
+
+@query(
+    f"""WITH {_ENRICHED_SQL}
+    SELECT l.doc_id, CASE WHEN s.id IS NOT NULL THEN md5(s.headline) ELSE md5('own ' || l.doc_id) END AS headline_id,
+      CASE WHEN s.id IS NOT NULL THEN s.source WHEN r.id IS NOT NULL THEN r.source ELSE 'Unknown' END AS source,
+      CASE WHEN s.id IS NOT NULL THEN s.lang ELSE '' END AS condensed_text,
+      md5(CASE WHEN r.id IS NOT NULL THEN r.text WHEN s.id IS NOT NULL THEN s.lang ELSE '' END) AS content_id,
+      CASE WHEN r.id IS NOT NULL THEN 'http://raw/' || r.doc_id ELSE '' END AS url
+    FROM labels l JOIN d USING (doc_id) LEFT JOIN s ON s.id = d.id LEFT JOIN r ON r.id = d.id"""
+)
+def enriched_signals(t: Tables) -> DataFrame:
+    """Signals with the texts of their articles: scored texts first in English, articles first the long ones."""
+    docs = t.documents.select(
+        "doc_id", F.md5("text").alias("article_id"), F.substring_index("text", "\n", 1).alias("headline"),
+        F.when(F.col("doc_id") % 5 > 0, F.col("source")).alias("source"), F.col("lang").alias("condensed_text"),
+        F.col("text").alias("content"), F.concat(F.lit("http://raw/"), F.col("doc_id").cast("string")).alias("url"), "n_chars",
+    )
+    sentiments = [docs.filter("condensed_text = 'en'"), docs.filter("condensed_text not in ('en', 'es')")]
+    articles = [docs.filter("n_chars > 2000"), docs.filter("n_chars between 501 and 2000")]
+    own = F.concat(F.lit("own "), F.col("doc_id").cast("string")).alias("headline")
+    signals = docs.join(t.labels.select("doc_id"), "doc_id").select("doc_id", "article_id", own)
+    out = state.enriched(signals, sentiments, articles, seq="doc_id")
+    return out.select("doc_id", F.md5("headline").alias("headline_id"), "source", "condensed_text", F.md5("full_content").alias("content_id"), "url")
+
+
+@query(
+    """WITH o AS (SELECT *, CASE WHEN o_orderdate < TIMESTAMP '1995-01-01' THEN 0 WHEN o_orderdate < TIMESTAMP '1997-01-01' THEN 1 ELSE 2 END AS b FROM orders),
+    l AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY b, o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1)
+    SELECT o_custkey,
+      CASE WHEN bool_or(b = 1) THEN max(CASE WHEN b = 1 AND o_orderstatus <> 'P' THEN o_totalprice END) ELSE max(CASE WHEN b = 0 THEN o_totalprice END) END AS price,
+      CASE WHEN bool_or(b = 2) THEN max(CASE WHEN b = 2 THEN o_orderpriority END) ELSE max(CASE WHEN b = 0 THEN o_orderpriority END) END AS priority,
+      max(CASE WHEN b = 1 THEN o_orderstatus END) AS status, max(b) AS batch
+    FROM l GROUP BY o_custkey"""
+)
+def keyed_upsert_batches(t: Tables) -> DataFrame:
+    """Three stored batches with different columns, a snapshot after two of them: each column from the newest batch that has it."""
+    table = KeyedTable(t.spark, scratch(t.spark, "upserts"), ["o_custkey"])
+    when = [F.lit(f"{y}-01-01").cast("timestamp_ntz") for y in (1995, 1997)]
+    day, price, status = F.col("o_orderdate"), F.col("o_totalprice"), F.col("o_orderstatus")
+    newest = [day.desc(), F.col("o_orderkey").desc()]
+    batches = [
+        (day < when[0], [price.alias("price"), F.col("o_orderpriority").alias("priority")]),
+        ((day >= when[0]) & (day < when[1]), [F.when(status != "P", price).alias("price"), status.alias("status")]),
+        (day >= when[1], [F.col("o_orderpriority").alias("priority")]),
+    ]
+    for i, (test, columns) in enumerate(batches):
+        last = state.first_per_key(t.orders.filter(test), ["o_custkey"], newest)
+        table.upsert(last.select("o_custkey", *columns), i)
+        if i == 1:
+            table.snapshot()
+    return table.latest().select("o_custkey", "price", "priority", "status", "batch")

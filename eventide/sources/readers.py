@@ -14,16 +14,22 @@ from pyspark.sql import types as T
 from eventide.functions.scalars import loose_name
 
 
+CORRUPT = "__corrupt"
+
+
 def json_arrays(spark: SparkSession, path: str, schema: T.StructType) -> tuple[DataFrame, DataFrame]:
     """(rows, unreadable) of a folder of JSON files holding an array or one object each.
 
     An empty array gives no rows. A file that cannot be read gives no rows either; it is
-    listed by path in ``unreadable`` and never stops the others.
+    listed by path in ``unreadable`` and never stops the others. Files are parsed as streams, record by record.
     """
-    texts = spark.read.option("wholetext", True).text(path).select("value", F.col("_metadata.file_path").alias("file"))
-    parsed = texts.select("file", F.from_json("value", T.ArrayType(schema)).alias("records"))
-    rows = parsed.select(F.inline("records"))
-    return rows, parsed.filter(F.col("records").isNull()).select("file")
+    held = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+    read = spark.read.schema(held).option("multiLine", True).option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    # A record with a field of another type keeps its other fields; a file that is no JSON has none.
+    blank = F.coalesce(*[F.col(f"`{f}`").cast("string") for f in schema.fieldNames()]).isNull()
+    broken = F.col(CORRUPT).isNotNull() & blank
+    file = F.col("_metadata.file_path").alias("file")
+    return read.filter(~broken).drop(CORRUPT), read.filter(broken).select(file).distinct()
 
 
 def table_or_empty(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:

@@ -73,16 +73,43 @@ class KeyedTable:
         return self._write(rows.withColumn(COLUMNS, F.array(*[F.lit(c) for c in rows.columns])), batch).drop(COLUMNS)
 
     def latest(self) -> DataFrame | None:
-        """One row per key: each column from the newest batch that has the column, null or not."""
+        """One row per key: each column from the newest batch that has the column, null or not.
+
+        Batches up to the last snapshot are not read.
+        """
+        upto, base = self._snapshot()
         rows = self.read()
-        if rows is None or COLUMNS not in rows.columns:
-            return None if rows is None else state.first_per_key(rows, self.keys, [F.col("batch").desc()])
+        if rows is None:
+            return None
+        rows = rows.filter(F.col("batch") > upto) if base is not None else rows
+        if COLUMNS not in rows.columns:
+            every = rows if base is None else base.unionByName(rows, allowMissingColumns=True)
+            return state.first_per_key(every, self.keys, [F.col("batch").desc()])
+        if base is not None:
+            held = [c for c in base.columns if c != "batch"]
+            rows = base.withColumn(COLUMNS, F.array(*[F.lit(c) for c in held])).unionByName(rows, allowMissingColumns=True)
         rest = [c for c in rows.columns if c not in (*self.keys, COLUMNS, "batch")]
-        newest = [
-            F.max_by(F.struct(c), F.when(F.array_contains(COLUMNS, c), F.col("batch"))).alias(c) for c in rest
-        ]
-        merged = rows.groupBy(*self.keys).agg(*newest, F.max("batch").alias("batch"))
-        return merged.select(*self.keys, *[F.col(c)[c].alias(c) for c in rest], "batch")
+        # The newest batch may hold a null: max_by takes it as it is, only batches without the column are passed over.
+        newest = [F.max_by(c, F.when(F.array_contains(COLUMNS, c), F.col("batch"))).alias(c) for c in rest]
+        return rows.groupBy(*self.keys).agg(*newest, F.max("batch").alias("batch")).select(*self.keys, *rest, "batch")
+
+    def _snapshot(self) -> tuple[int, DataFrame | None]:
+        try:
+            held = self.spark.read.parquet(f"{self.path}_snapshots")
+        except AnalysisException as e:
+            if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+                raise
+            return -1, None
+        upto = held.agg(F.max("upto")).first()[0]
+        return (-1, None) if upto is None else (upto, self.spark.read.parquet(f"{self.path}_snapshots/upto={upto}"))
+
+    def snapshot(self) -> int:
+        """Store what ``latest`` gives, so that later reads fold only newer batches; returns the last batch in it."""
+        rows = self.latest()
+        upto = -1 if rows is None else rows.agg(F.max("batch")).first()[0]
+        if upto is not None and upto >= 0:
+            rows.write.mode("overwrite").parquet(f"{self.path}_snapshots/upto={upto}")
+        return -1 if upto is None else upto
 
 
 class KeySet:

@@ -32,6 +32,60 @@ def test_chronological_split_with_one_hot_second(spark):
     assert [r.is_train for r in one] == [False]
 
 
+def test_chronological_split_of_a_hot_second_is_one_scan(spark, tmp_path):
+    """A third of all rows in one second, most of them in one microsecond, nulls among the order columns."""
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(secs=F.when(F.col("id") % 3 == 0, 5000).otherwise(F.col("id") * 5).cast("decimal(18,6)"))
+    rows = spark.range(3000).select("id", F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).alias("name"), at.cast("timestamp_ntz").alias("ts"))
+    rows.repartition(6).write.parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    want = {r.id for r in sorted(df.collect(), key=lambda r: (r.ts, r.name is not None, r.name or "", r.id))[: int(3000 * 0.4)]}
+    out = ml.chronological_split(df, "ts", ["name", "id"], share=0.4)
+    assert {r.id for r in out.collect() if r.is_train} == want
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Join" not in plan
+    assert {r.is_train for r in ml.chronological_split(df.limit(0), "ts", ["id"]).collect()} == set()
+
+
+def test_boosted_trees_learn_three_classes(spark, tmp_path):
+    rows = spark.range(300).select("id", (F.col("id") % 3).cast("double").alias("a"), F.rand(1).alias("b"), F.get(F.array(*[F.lit(c) for c in ("BUY", "SELL", "HOLD")]), (F.col("id") % 3).cast("int")).alias("label"))
+    model = ml.train_boosted_model(rows, ["a", "b"], rounds=3, depth=2)
+    model.write().overwrite().save(str(tmp_path / "m"))
+    out = ml.score_boosted(ml.PipelineModel.load(str(tmp_path / "m")), rows, ["a", "b"]).collect()
+    assert all(r.predicted_signal == r.label for r in out)
+    assert all(abs(r.buy_prob + r.sell_prob + r.hold_prob - 1) < 0.001 for r in out)
+
+
+def test_historic_job_from_files_to_a_stored_run(spark, tmp_path):
+    import json
+
+    from pyspark.sql import types as T
+
+    from eventide.sources import readers
+
+    schema = T.StructType()
+    for name, kind in {"article_id": "string", "symbols": "string", "headline": "string", "published_time": "string", "is_regulatory_news": "integer", "is_negative_event": "integer",
+                       "company_mentioned_count": "integer", "open_at_signal": "double", "close_15min": "double", "high_15min": "double", "low_15min": "double", "close_-15min": "double"}.items():
+        schema = schema.add(name, kind)
+    moves = (101.0, 99.0, 100.1)
+    made = [{"article_id": str(i), "symbols": "A", "headline": "h", "published_time": "t", "company_mentioned_count": i % 3, "open_at_signal": 100.0,
+             "close_15min": moves[i % 3], "close_-15min": moves[i % 3]} for i in range(150)]
+    (tmp_path / "in").mkdir()
+    for i in range(3):
+        (tmp_path / "in" / f"{i}.json").write_text(json.dumps(made[i * 50 : i * 50 + 50]))
+    (tmp_path / "in" / "bad.json").write_text("[{")
+    raw, bad = readers.json_arrays(spark, str(tmp_path / "in"), schema)
+    assert bad.count() == 1
+    names, where = ["company_mention_strength", "pre_close_15m", "confidence"], (str(tmp_path / "models"), str(tmp_path / "runs"))
+    assert ml.train_historic(raw.limit(99), names, "v0", *where) == (False, "insufficient_data")
+    assert ml.train_historic(raw, names, "v1", *where, trees=5, depth=3) == (True, "success")
+    version, model = ml.deployed_model(spark, *where)
+    run = spark.read.parquet(where[1]).first()
+    assert (version, run.data_source, run.training_rows) == ("v1", "historic", 150) and run.validation_metrics.accuracy > 0.9
+    # The stored pipeline takes plain rows: text, NaN and null features are its own business.
+    rows = spark.createDataFrame([("2", 99.0, None), ("x", float("nan"), "y")], "company_mention_strength string, pre_close_15m double, confidence string")
+    assert [r.prediction for r in model.transform(rows).collect()][0] == 1.0
+
+
 def test_retrain_gate(spark):
     few = spark.range(10).select(F.lit("BUY").alias("label"))
     assert ml.retrain(few, [], "ts", [], "v")[2] == "insufficient_data"

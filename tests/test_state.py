@@ -119,3 +119,24 @@ def test_upsert_keeps_what_a_batch_lacks_and_takes_its_nulls(spark, tmp_path):
     table.upsert(spark.createDataFrame([("b", None)], "id string, url string"), 2)
     got = {r.id: (r.url, r.signal, r.extra) for r in table.latest().collect()}
     assert got == {"a": ("u", "HOLD", 1), "b": (None, "SELL", None)}
+
+
+def test_snapshots_bound_what_is_read(spark, tmp_path):
+    table = tables_of(spark, tmp_path)
+    for i in range(4):
+        table.upsert(spark.createDataFrame([("a", f"u{i}"), (f"k{i}", "v")], "id string, url string"), i)
+    table.upsert(spark.createDataFrame([("a", 4)], "id string, n int"), 4)
+    whole = sorted(map(repr, table.latest().collect()))
+    assert table.snapshot() == 4
+    assert sorted(map(repr, table.latest().collect())) == whole
+    plan = table.latest()._jdf.queryExecution().optimizedPlan().toString()
+    assert "batch" in plan and "> 4" in plan  # folders up to the snapshot are pruned
+    table.upsert(spark.createDataFrame([("k1", None), ("z", "w")], "id string, url string"), 5)
+    got = {r.id: (r.url, r.n, r.batch) for r in table.latest().collect()}
+    assert got["a"] == ("u3", 4, 4) and got["k1"] == (None, None, 5) and got["z"] == ("w", None, 5) and len(got) == 6
+
+
+def tables_of(spark, tmp_path):
+    from eventide.sources.tables import KeyedTable
+
+    return KeyedTable(spark, str(tmp_path / "t"), ["id"])

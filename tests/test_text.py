@@ -211,3 +211,27 @@ def test_encoded_condensation_keeps_all_documents(spark):
     df = spark.createDataFrame([(1, few), (2, ""), (3, None), (4, "A. B. C. D. E. F.")], "doc_id long, text string")
     got = dict(condense.encoded_top_sentences(df, lambda c: F.array(F.length(c).cast("double"), F.lit(1.0))).collect())
     assert got[1] == few and got[2] == "" and got[3] is None and len(got[4].split()) == 5
+
+
+def test_hot_words_and_many_keywords_take_one_walk(spark, monkeypatch):
+    """One word in every third headline and 10,000 keywords that begin with it: only true matches leave the walk."""
+    names = [f"acme part{i}" for i in range(10_000)]
+    mapping = spark.createDataFrame([(i, f"Acme {i}", f"S{i}", "", "", k) for i, k in enumerate(names)], "row int, CompanyName string, Symbol string, Sector string, Index string, Keyword string")
+    heads = [(i, f"acme part{i * 7} wins" if i % 3 == 0 else f"other news {i}", "") for i in range(3000)]
+    arts = spark.createDataFrame(heads, "article_id int, headline string, content string").repartition(6)
+    keywords = tagging.keyword_table(mapping, "row")
+    want = {i: f"acme part{i * 7}" for i, *_ in heads if i % 3 == 0 and i * 7 < 10_000}
+    for shard in (100_000, 3_000):  # one automaton, and four
+        monkeypatch.setattr(tagging, "SHARD_PHRASES", shard)
+        texts = arts.select(F.col("article_id").alias("key"), tagging.marked(F.lower("headline")).alias("text"))
+        found = tagging.phrase_matches(texts, keywords.select("phrase").distinct())
+        assert found.count() == len(want)
+        got = {r.article_id: [m.keyword for m in r.matches] for r in tagging.candidates(arts, keywords).collect()}
+        assert got == {i: [k] for i, k in want.items()}
+
+
+def test_references_are_decoded_once(spark):
+    texts = ["a &rsquo;b&#8212;c&#x1F600; &nbsp;d", "&amp;lt; &lt;&amp;&gt;", "&unknown; &#0; &#xD800; &#99999999; & &; &amp", "plain", None, "&apos;&quot;&eacute;"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r[0] for r in df.orderBy("i").select(pagetext.unescaped(F.col("t"))).collect()]
+    assert got == ["a \u2019b\u2014c\U0001F600  d", "&lt; <&>", "&unknown; &#0; &#xD800; &#99999999; & &; &amp", "plain", None, "'\"\u00e9"]
