@@ -82,7 +82,7 @@ def test_historic_job_from_files_to_a_stored_run(spark, tmp_path):
     run = spark.read.parquet(where[1]).first()
     assert (version, run.data_source, run.training_rows) == ("v1", "historic", 150) and run.validation_metrics.accuracy > 0.9
     # The stored pipeline takes plain rows: text, NaN and null features are its own business.
-    rows = spark.createDataFrame([("2", 99.0, None), ("x", float("nan"), "y")], "company_mention_strength string, pre_close_15m double, confidence string")
+    rows = spark.createDataFrame([("1", 99.0, None), ("x", float("nan"), "y")], "company_mention_strength string, pre_close_15m double, confidence string")
     assert [r.prediction for r in model.transform(rows).collect()][0] == 1.0
 
 
