@@ -51,6 +51,13 @@ BAD = frozenset(
     "share sharing social related recommended newsletter subscribe signup login widget pagination pager toolbar skip search rail complementary "
     "contentinfo".split()
 )
+# Words that speak against main text alone or beside a word of the page's furniture, not in a name like "related-work".
+WEAK = frozenset("ad ads foot notice promo rail recommended related search share side skip widget".split())
+FURNITURE = BAD | frozenset(
+    "area article articles bar block body box button buttons card cards col column container content form grid header icon icons item items label "
+    "link links list main more news page panel posts results section slot stories tags text title to top unit video videos wrap wrapper zone".split()
+)
+MUTED = frozenset("button label".split())  # inside a paragraph: what they say goes, up to their end or the end of the block
 GOOD = frozenset("article body content entry main post story text blog page column".split())
 
 
@@ -73,16 +80,17 @@ def described(tag: str, attrs: str, inside: bool) -> tuple[bool, bool]:
         return False, False
     if HIDDEN.search(attrs):
         return True, False
-    said = {w.lower() for m in NAMES.findall(attrs) for v in m if v for w in WORDS.findall(v)}
-    good = bool(said & GOOD)
-    bad = bool(said & BAD) and tag not in ("body", "html", "article", "main")
+    names = [[w.lower() for w in WORDS.findall(name)] for m in NAMES.findall(attrs) for v in m for name in v.split()]
+    good = any(GOOD & set(name) for name in names)
+    found = {w for name in names for w in name if w in BAD and not (w in WEAK and any(o not in FURNITURE and not o.isdigit() for o in name))}
+    bad = bool(found) and tag not in ("body", "html", "article", "main")
     # A container may name both ("content-sidebar-wrap"): then its own contents decide.
-    return bad and not (good and tag in ("div", "section")) or bool(said & {"comment", "comments", "sidebar", "ad", "ads"}) and bad, good
+    return bad and not (good and tag in ("div", "section")) or bool(found & {"comment", "comments", "sidebar", "ad", "ads"}) and bad, good
 
 
 def read(page: str) -> Node:
     root = Node("html", None, False, False)
-    at, open_links, text, linked = root, 0, [], 0
+    at, open_links, text, linked, muted = root, 0, [], 0, 0
 
     def flush() -> None:
         nonlocal linked
@@ -112,7 +120,7 @@ def read(page: str) -> Node:
 
     def say(raw: str) -> None:
         nonlocal linked
-        if raw:
+        if raw and not muted:
             said = html.unescape(raw) if "&" in raw else raw
             text.append(said)
             if open_links:
@@ -125,6 +133,12 @@ def read(page: str) -> Node:
         tag = (m["tag"] or m["tag2"] or "").lower()
         if not tag:
             continue
+        if tag in MUTED:
+            text.append(" ")
+            muted = max(0, muted - 1) if m["end"] or m["end2"] else muted + 1
+            continue
+        if tag in BLOCKS:
+            muted = 0
         if m["end"] or m["end2"]:
             if tag == "a":
                 open_links = 0
@@ -245,7 +259,8 @@ def around(node: Node, own: list[str], top: float, wide: bool) -> list[str]:
         elif isinstance(k, Node) and not k.bad and k.chars and k.tag != "header":
             density = k.links / k.chars
             heading = k.tag in HEADINGS and later and density < 0.25
-            if score(k) >= max(10.0, 0.2 * top) or heading or reads(k) or wide and density < 0.25 and any(map(reads, containers(k))):
+            told = wide and density < 0.25 and any(reads(x) or lists(x) for x in containers(k))
+            if score(k) >= max(10.0, 0.2 * top) or heading or reads(k) or told:
                 out.append(list(texts(k)))
                 later = True
     return [t for part in reversed(out) for t in part]
@@ -258,6 +273,11 @@ def reads(k: Node) -> bool:
     return k.chars > 80 or any(b.endswith((".", "!", "?")) for b in k.blocks) and not k.links
 
 
+def lists(k: Node) -> bool:
+    """A list or table without links that says more than a few words."""
+    return k.tag in ("ul", "ol", "dl", "table") and not k.links and k.chars > 40
+
+
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds ``text``, the main text of each page, and ``n_chars``, its code points.
 
