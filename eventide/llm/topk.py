@@ -126,10 +126,17 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 25
     take no part; zero vectors do. Vectors of different lengths are compared as if the shorter one
     ended in zeros. Rows that repeat an id with another vector are candidates of their own, rows
     repeated whole count once. Extra columns are not read. An empty table gives an empty table.
+    Scores are 64-bit integers: if the largest component and the longest vector allow a product beyond them, a
+    ``ValueError`` says so before anything is searched; no score is ever cut off.
     """
     whole = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("long"))
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("raw"), whole.alias("v"))
-    rows = rows.where(F.col("id").isNotNull() & usable(F.col("raw"), nonzero=False)).drop("raw")
+    rows = rows.where(F.col("id").isNotNull() & usable(F.col("raw"), nonzero=False))
+    sizes = F.transform(F.col("raw"), lambda x: F.abs(F.floor(x.cast("double") * scale).cast("double")))
+    top, width = rows.select(F.max(F.array_max(sizes)), F.max(F.size("raw"))).first()
+    if top is not None and int(min(top, 1e300)) ** 2 * width >= 1 << 63:
+        raise ValueError(f"products of vectors of {width} components up to {top / scale:g} do not fit 64-bit scores")
+    rows = rows.drop("raw")
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     kept = written(smallest_ids(rows.dropDuplicates(["id", "v"]), k + 1), "topk-rows")
     shards = max(1, -(-kept.count() // SHARD_ROWS))
