@@ -222,18 +222,21 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A document stands once for every pass that takes it whole; where a pass takes a part of it,
     the part stands alone (from word to word, inner white space as it was). Texts without words
-    are not taken. See ``draws`` for everything else.
+    are not taken. See ``draws`` for everything else. The caller's columns travel in one struct, so their
+    names do not matter.
     """
-    columns = docs.columns
-    rows, quotas, taken = plan(docs, word_count(F.col(text_col)), id_col, source_col, (1, 2, 3), 3, seed)
+    columns, others = docs.columns, [c for c in docs.columns if c != text_col]
+    held = F.struct(F.lit(0).alias("c"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)]).alias("_row")
+    packed = docs.select(held, F.col(id_col).alias("_doc"), F.col(source_col).alias("_from"), F.col(text_col).cast("string").alias("_text"))
+    rows, quotas, taken = plan(packed, word_count(F.col("_text")), "_doc", "_from", (1, 2, 3), 3, seed)
     shards = shards_for(taken, shard_words)
-    rows = rows.select(*columns, "_src", "_pieces")
-    fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema]
-    schema = T.StructType([*fields, T.StructField("_src", T.StringType()), T.StructField("_draw", T.LongType())])
-    texts = in_batches(rows, _slices(text_col), schema).withColumn("_part", F.expr(f"_draw div {DRAWS}"))
+    rows = rows.select("_row", "_doc", "_text", "_src", "_pieces")
+    schema = T.StructType([*[f for f in rows.schema if f.name != "_pieces"], T.StructField("_draw", T.LongType())])
+    texts = in_batches(rows, _slices("_text"), schema).withColumn("_part", F.expr(f"_draw div {DRAWS}"))
     ranges = shard_ranges(quotas, shards, seed)
     placed = texts.join(ranges, ["_src", "_part"]).where("_draw >= _lo and _draw < _hi")
-    local = F.xxhash64(F.lit(seed + 1), "_src", "_draw", F.col(id_col))
+    local = F.xxhash64(F.lit(seed + 1), "_src", "_draw", F.col("_doc"))
+    back = [F.col("_text").alias(c) if c == text_col else F.col("_row")[f"c{others.index(c)}"].alias(c) for c in columns]
     # By number, not by hash: each partition gets equally many shards, none stays empty.
     n = min(shards, MOST_PARTITIONS)
-    return placed.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard", local).select(*columns)
+    return placed.repartitionById(n, F.pmod("shard", F.lit(n)).cast("int")).sortWithinPartitions("shard", local).select(*back)
