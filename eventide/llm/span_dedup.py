@@ -22,7 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from eventide.llm.common import digests, fresh, in_batches, with_column
+from eventide.llm import bits
+from eventide.llm.common import digests, fresh, in_batches, with_column, written
 
 RESULTS = ("n_sentences", "n_removed", "n_removed_words")
 
@@ -32,6 +33,7 @@ WORD = re.compile(r"\S+")
 CLOSERS = "\"'”’)]"
 ENDS = tuple(".!?。！？…")
 RUN, WINDOW = 50, 26  # a window is longer than the step to the next one, at most RUN - WINDOW + 1
+HOT = 1000
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
@@ -202,6 +204,38 @@ def _cut(text_col: str):
     return run
 
 
+def _place(kind: T.DataType):
+    """(id, position) as one value in their order: a number where the id is one, so that aggregation hashes."""
+    if isinstance(kind, T.IntegralType):
+        return (F.col("_id").cast("decimal(19,0)") * F.expr("cast(4294967296 as decimal(10,0))") + F.col("_pos")).cast("decimal(38,0)")
+    return F.struct("_id", "_pos")
+
+
+def _repeated(found: DataFrame, again: DataFrame) -> DataFrame:
+    """The spans whose hash is in ``again``, with its columns.
+
+    A Bloom filter of fixed size drops most others where they lie. Hashes that make up 1 / HOT of all spans
+    are at most HOT: they are met by a broadcast and never shuffled; the rest is joined.
+    """
+    spark = found.sparkSession
+    share = found.count() / HOT
+    hot = again.where(F.col("_times") >= share)
+    first = lambda b: b.column(0).to_numpy().view(np.uint64)
+    shared = spark.sparkContext.broadcast(bits.build(again.select("_h1"), first))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = bits.holds(shared.value, batch.column(3).to_numpy().view(np.uint64))
+            if keep.any():
+                yield batch.filter(pa.array(keep))
+
+    some = in_batches(found, run, found.schema).select(*found.columns)
+    keys = ["_h1", "_h2"]
+    met = some.join(F.broadcast(hot), keys)
+    rest = some.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(again.where(F.col("_times") < share), keys)
+    return met.unionByName(rest)
+
+
 def dedup_spans(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_sentences: int = 2, min_words: int = 20
 ) -> DataFrame:
@@ -220,10 +254,12 @@ def dedup_spans(
     docs = fresh(docs, *RESULTS, "_drop", "_id")
     kind = docs.schema[id_col].dataType
     rows = docs.select(id_col, text_col).where(F.col(id_col).isNotNull())
-    found = in_batches(rows, _hash_spans(min_sentences, min_words), T.StructType([T.StructField("_id", kind), *SPAN.fields]))
-    place = F.struct("_id", "_pos")
-    both = found.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"))
-    hits = found.join(both.where("_first < _last").drop("_last"), ["_h1", "_h2"]).where(place != F.col("_first"))
+    # Hashed once: both passes over the spans read the narrow table.
+    found = written(in_batches(rows, _hash_spans(min_sentences, min_words), T.StructType([T.StructField("_id", kind), *SPAN.fields])), "spans")
+    place = _place(kind)
+    both = found.groupBy("_h1", "_h2").agg(F.min(place).alias("_first"), F.max(place).alias("_last"), F.count("*").alias("_times"))
+    again = written(both.where("_first < _last").drop("_last"), "spans-again")
+    hits = _repeated(found, again).where(place != F.col("_first"))
     drops = hits.groupBy("_id").agg(F.collect_list(F.struct("_pos", "_n")).alias("_drop"))
     joined = docs.join(drops, F.col(id_col) == F.col("_id"), "left").drop("_id")
     fields = [T.StructField(f.name, T.StringType() if f.name == text_col else f.dataType) for f in docs.schema]

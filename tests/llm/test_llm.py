@@ -111,6 +111,17 @@ def runs(text, n=50):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
+def test_hot_spans_and_ids_of_any_kind_give_the_same(spark, monkeypatch):
+    rows = [(i, f"{PASSAGE} Own sentence number {i} stands here alone. {PASSAGE if i % 2 else ''}", "s") for i in range(-3, 40)]
+    df = docs(spark, rows)
+    want = sorted(map(repr, span_dedup.dedup_spans(df).collect()))
+    monkeypatch.setattr(span_dedup, "HOT", 1)  # no hash is hot
+    assert sorted(map(repr, span_dedup.dedup_spans(df).collect())) == want
+    named = df.withColumn("doc_id", F.format_string("%03d", F.col("doc_id") + 3))
+    texts = {r.doc_id: r.text for r in span_dedup.dedup_spans(named).collect()}
+    assert texts == {f"{r.doc_id + 3:03d}": r.text for r in span_dedup.dedup_spans(df).collect()}
+
+
 def test_no_run_of_fifty_words_stays_twice(spark):
     """A word-level search: of 50 words in a row that a smaller id holds, some go."""
     rng = random.Random(8)
@@ -353,6 +364,17 @@ def test_mixing(spark):
     assert mixing.mixed_documents(blank(spark)).count() == 0
 
 
+def test_mixed_columns_may_have_any_name(spark):
+    rows = [(i, f"w{i} " * (i % 40), "ab"[i % 2]) for i in range(200)]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    clash = plain
+    for name in ("shard", "_src", "_size", "_lo", "_hi", "_draw", "_part", "_pieces", "_row", "_text", "_doc", "c0", "draw"):
+        clash = clash.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    out = mixing.mixed_documents(clash).collect()
+    assert sorted((r.doc_id, r.text) for r in out) == sorted((r.doc_id, r.text) for r in mixing.mixed_documents(plain).collect())
+    assert out and all(r[name] == f"{name}{r.doc_id}" for r in out for name in clash.columns[3:])
+
+
 def test_split_quotas_are_exact():
     q = np.array([100, 3, 0, 57])
     leaves = [mixing.split_quotas(q, 7, i, 1) for i in range(7)]
@@ -396,6 +418,15 @@ def test_exact_top_k(spark):
     assert topk.exact_top_k(df.where("vec_id in (50, 51)")).count() == 1
 
 
+def test_products_beyond_64_bits_are_refused(spark):
+    for big in (1e300, 4e15, 1e9):
+        df = spark.createDataFrame([(50, [1.0, 1.0]), (51, [big, 0.0])], "vec_id long, embedding array<double>")
+        with pytest.raises(ValueError, match="64-bit"):
+            topk.exact_top_k(df)
+    near = spark.createDataFrame([(50, [5e6, -5e6]), (51, [5e6, 5e6]), (52, [5e6, -5e6])], "vec_id long, embedding array<double>")
+    assert [(r.vec_id, r.score) for r in topk.exact_top_k(near).orderBy("rank").collect()] == [(52, 2 * 1_280_000_000**2), (51, 0)]
+
+
 def test_norm_buckets_prune_and_stay_exact():
     rng = np.random.default_rng(0)
     x = (rng.normal(size=(4000, 12)) * rng.gamma(2, 2, (4000, 1)) * 50).astype(np.int64)
@@ -519,6 +550,22 @@ def test_sectioned_pages_stay_whole(tag):
     assert pages.main_text(page).split("\n\n") == ["Title", *long, "End", last]
 
 
+def test_names_that_only_hold_a_word_of_furniture():
+    text = "This is a paragraph of the article, with commas, and it is long enough to be read as one by anyone who looks at it."
+    more = "Another paragraph stands here, also with commas, and also long enough, so that it counts as text in its own right."
+    assert pages.main_text(f"<body><div class='post ad-free'><p>{text}</p></div></body>") == text
+    assert pages.main_text(f"<article><p>{text}</p><section class='related-work'><p>{more}</p></section></article>") == f"{text}\n\n{more}"
+    assert pages.main_text(f"<article><p class='skip-intro'>{more}</p><p>{text}</p></article>") == f"{more}\n\n{text}"
+    listed = "<div class='col'><ul><li>the first point of a plain list</li><li>the second point of it</li></ul></div>"
+    page = f"<body><div><div class='col'><p>{text}</p><p>{more}</p></div>{listed}</div></body>"
+    assert pages.main_text(page).split("\n\n") == [text, more, "the first point of a plain list", "the second point of it"]
+    inline = f"<article><p>{text} <button>Buy</button> <label for=x>Name <b>it</b></label>tail.</p><p>{more}</p></article>"
+    assert pages.main_text(inline) == f"{text} tail.\n\n{more}"
+    for name in ("ad", "ad-slot", "related-posts", "skip-link", "search-form", "share", "ads top"):
+        assert pages.main_text(f"<article><p>{text}</p><div class='{name}'><p>{more}</p></div></article>") == text
+    assert pages.main_text(f"<article><p>{text}<button>Buy</p><p>{more}</p></article>") == f"{text}\n\n{more}"
+
+
 # ---- pipeline
 
 def test_pipeline_stages(spark):
