@@ -12,7 +12,6 @@ non-first copy of a repeated span covers is removed.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,26 +22,50 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from eventide.llm import bits
-from eventide.llm.common import digests, fresh, in_batches, with_column, written
+from eventide.llm.common import as_bytes, fresh, in_batches, with_column, written
 
 RESULTS = ("n_sentences", "n_removed", "n_removed_words")
 
-# A sentence ends behind closing punctuation that white space follows, or at a line end.
-BOUNDARY = re.compile(r"[.!?。！？…]+[\"'”’)\]]*\s+|\n\s*")
-WORD = re.compile(r"\S+")
-CLOSERS = "\"'”’)]"
-ENDS = tuple(".!?。！？…")
+# A sentence ends with the white space behind closing punctuation, or with white space that holds a line end.
+CLOSERS, ENDS = "\"'”’)]", ".!?。！？…"
+BLANK, CLOSER, POINT, LINE = 1, 2, 4, 8
+KINDS = np.zeros(0xFF21, dtype=np.uint8)  # the last place stands for all characters beyond
+KINDS[[c for c in range(len(KINDS) - 1) if chr(c).isspace()]] = BLANK
+KINDS[[ord(c) for c in CLOSERS]] = CLOSER
+KINDS[[ord(c) for c in ENDS]] = POINT
+KINDS[10] |= LINE
 RUN, WINDOW = 50, 26  # a window is longer than the step to the next one, at most RUN - WINDOW + 1
 HOT = 1000
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], dtype=np.uint64)
 
 
-def _split(text: str) -> list[int]:
-    """Where sentences end."""
-    out = [m.end() for m in BOUNDARY.finditer(text)]
-    if text and (not out or out[-1] < len(text)):
-        out.append(len(text))
-    return out
+def marks(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where sentences end, whether each is closed by punctuation, and where words begin."""
+    code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+    n = len(code)
+    if not n:
+        return np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.int64)
+    kind = KINDS[np.minimum(code, len(KINDS) - 1)]
+    blank = (kind & BLANK).astype(bool)
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    begins = np.concatenate([np.zeros(1 if blank[0] else 0, np.int64), edge[blank[edge]]])  # of white space
+    stops = np.concatenate([edge[~blank[edge]], np.full(1 if blank[-1] else 0, n, np.int64)])
+    words = np.concatenate([np.zeros(0 if blank[0] else 1, np.int64), edge[~blank[edge]]])
+    # The last character before that closes nothing: punctuation or not.
+    solid = np.maximum.accumulate(np.where(kind & CLOSER, -1, np.arange(n)))
+
+    def closes(at: np.ndarray) -> np.ndarray:
+        before = np.where(at > 0, solid[at - 1], -1)
+        return (before >= 0) & (kind[before] & POINT).astype(bool)
+
+    points = closes(begins)
+    lines = np.concatenate([[0], np.cumsum(kind & LINE != 0)])
+    ends = points | (lines[stops] > lines[begins])
+    out, closed = stops[ends], points[ends]
+    if not len(out) or out[-1] < n:
+        out = np.append(out, n)
+        closed = np.append(closed, not blank[-1] and bool(closes(np.array([n]))[0]))
+    return out, closed, words
 
 
 def _spans(begin: list[int], end: int, min_sentences: int, min_words: int) -> list[tuple[int, int]]:
@@ -62,13 +85,19 @@ def _spans(begin: list[int], end: int, min_sentences: int, min_words: int) -> li
     return out
 
 
-def _windows(words: list[str], found: list[tuple[int, int]], closed: bool) -> list[int]:
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A hash of every word; each distinct one is hashed once."""
+    coded = pa.array(words, pa.string()).dictionary_encode()
+    return bits.word_hashes(as_bytes(coded.dictionary))[coded.indices.to_numpy()] if words else np.zeros(0, np.uint64)
+
+
+def _windows(hashes: np.ndarray, found: list[tuple[int, int]], closed: bool) -> list[int]:
     """Where windows begin: those that runs of ``RUN`` words without a span of ``found`` in them choose.
 
     A span that begins with the run does not count, nor one that the end of the text ends: the
     words before and behind the run decide on these.
     """
-    n = len(words)
+    n = len(hashes)
     if n < RUN:
         return []
     bare = np.ones(n - RUN + 1, dtype=bool)
@@ -79,7 +108,7 @@ def _windows(words: list[str], found: list[tuple[int, int]], closed: bool) -> li
         return []
     at = np.flatnonzero(bare)
     lo, hi = int(at[0]), int(at[-1]) + RUN
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words[lo:hi]), np.uint64, hi - lo)
+    h = hashes[lo:hi]
     m = len(h) - WINDOW + 1
     order = h[:m] * MIX[0] + h[1 : m + 1] * MIX[1] + h[2 : m + 2] * MIX[2]
     order = (order ^ (order >> np.uint64(31))) * MIX[3]
@@ -87,48 +116,74 @@ def _windows(words: list[str], found: list[tuple[int, int]], closed: bool) -> li
     return np.unique(least + at).tolist()
 
 
-def placed(text: str, min_sentences: int, min_words: int) -> tuple[list[int], list[str], list[int], list[tuple[int, int]]]:
-    """Where sentences end, the words, the word positions at which sentences begin, and the spans as word positions."""
-    ends = _split(text)
-    words: list[str] = []
-    begin, plain, at = [], [], 0  # plain: sentences that do not begin by a line end
-    closed = True
-    for e in ends:
-        begin.append(len(words))
-        if closed:
-            plain.append(len(words))
-        own = text[at:e].lower().split()
-        words += own
-        closed = bool(own) and own[-1].rstrip(CLOSERS).endswith(ENDS)
-        at = e
-    found = _spans(begin, len(words), min_sentences, min_words)
-    # Line ends are white space: a copy may have others.
-    whole = found if len(plain) == len(begin) else _spans(plain, len(words), min_sentences, min_words)
-    windows = _windows(words, whole, closed)
-    return ends, words, begin, sorted({*found, *whole, *[(a, a + WINDOW) for a in windows]})
+def split_words(text: str) -> list[str]:
+    return text.lower().split()
+
+
+class Outline:
+    """A text's sentences, words and spans, the latter as word positions."""
+
+    def __init__(self, text: str, hashes: np.ndarray, min_sentences: int, min_words: int):
+        ends, closed, self.starts = marks(text)
+        self.hashes, n = hashes, len(hashes)
+        self.ends = ends.tolist()
+        begins = np.searchsorted(self.starts, np.concatenate([[0], ends[:-1]])) if len(ends) else ends
+        self.begin = begins.tolist()
+        found = _spans(self.begin, n, min_sentences, min_words)
+        # Line ends are white space: a copy may have others.
+        whole = found
+        if not closed[:-1].all():
+            whole = _spans(begins[np.concatenate([[True], closed[:-1]])].tolist(), n, min_sentences, min_words)
+        windows = _windows(self.hashes, whole, bool(len(closed)) and bool(closed[-1]))
+        self.ranges = sorted({*found, *whole, *[(a, a + WINDOW) for a in windows]})
+
+
+# Odd bases, their inverses modulo 2 ** 64, and the powers used so far.
+BASES = [int(m) | 1 for m in MIX[:2]]
+POWERS = {b: np.ones(1, dtype=np.uint64) for b in [*BASES, *(pow(b, -1, 1 << 64) for b in BASES)]}
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    if len(POWERS[base]) < n:
+        steps = np.full(2 * n, base, dtype=np.uint64)
+        steps[0] = 1
+        POWERS[base] = np.cumprod(steps, dtype=np.uint64)
+    return POWERS[base][:n]
+
+
+def span_hashes(hashes: np.ndarray, ranges: np.ndarray) -> np.ndarray:
+    """128 bits of every run of words, from running sums over the words' hashes: (n, 2) signed halves."""
+    out = np.empty((len(ranges), 2), dtype=np.int64)
+    for side, base in enumerate(BASES):
+        h = bits.mixed(hashes + np.uint64(side))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(h * _powers(base, len(h)), dtype=np.uint64)])
+        a, b = ranges[:, 0], ranges[:, 1]
+        moved = (sums[b] - sums[a]) * _powers(pow(base, -1, 1 << 64), len(h))[a]
+        out[:, side] = bits.mixed(moved + (b - a).astype(np.uint64)).view(np.int64)
+    return out
 
 
 def _keys(words: list[str], ranges: list[tuple[int, int]]) -> list[bytes]:
     return [" ".join(words[a:b]).encode() for a, b in ranges]
 
 
-def _pieces(text: str, ends: list[int], begin: list[int], n: int, ranges: list[tuple[int, int]]) -> tuple[list[str], dict[int, int]]:
+def _pieces(text: str, ends: list[int], begin: list[int], starts: np.ndarray, ranges: list[tuple[int, int]]) -> tuple[list[str], dict[int, int]]:
     """Pieces that joined give the text again, sentences cut where a range begins or ends, and which piece begins at a word."""
+    n = len(starts)
     places = dict(zip([0, *ends], begin))  # word positions of the marks
-    inner = {w for r in ranges for w in r} - {*begin, n}
-    if inner:
-        starts = [m.start() for m in WORD.finditer(text)]
-        places.update((starts[w], w) for w in inner)
-    marks = sorted(places)
-    pieces = [text[a:b] for a, b in zip(marks, [*marks[1:], len(text)])]
-    return pieces, {places[c]: i for i, c in enumerate(marks)} | {n: len(pieces)}
+    for w in {w for r in ranges for w in r} - {*begin, n}:
+        places[int(starts[w])] = w
+    cuts = sorted(places)
+    pieces = [text[a:b] for a, b in zip(cuts, [*cuts[1:], len(text)])]
+    return pieces, {places[c]: i for i, c in enumerate(cuts)} | {n: len(pieces)}
 
 
 def outline(text: str, min_sentences: int = 2, min_words: int = 20) -> tuple[list[str], list[int], list[int], list[bytes]]:
     """Pieces of the text, and starts, ends (in pieces) and normalised contents of the spans."""
-    ends, words, begin, ranges = placed(text, min_sentences, min_words)
-    pieces, at = _pieces(text, ends, begin, len(words), ranges)
-    return pieces, [at[a] for a, _ in ranges], [at[b] for _, b in ranges], _keys(words, ranges)
+    words = split_words(text)
+    o = Outline(text, word_hashes(words), min_sentences, min_words)
+    pieces, at = _pieces(text, o.ends, o.begin, o.starts, o.ranges)
+    return pieces, [at[a] for a, _ in o.ranges], [at[b] for _, b in o.ranges], _keys(words, o.ranges)
 
 
 def sentences(text: str) -> list[str]:
@@ -147,20 +202,23 @@ SPAN = T.StructType([T.StructField("_pos", T.IntegerType()), T.StructField("_n",
 def _hash_spans(min_sentences: int, min_words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys: list[bytes] = []
-            pos: list[tuple[int, int]] = []
+            found, pos = [], []
             counts = np.zeros(batch.num_rows, dtype=np.int64)
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                if text:
-                    _, words, _, ranges = placed(text, min_sentences, min_words)
-                    own = _keys(words, ranges)
-                    keys += own
-                    pos += ranges
-                    counts[i] = len(own)
-            if keys:
-                h = digests(keys)
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            words = [split_words(t) for t in texts]
+            hashes = np.split(word_hashes([w for own in words for w in own]), np.cumsum([len(own) for own in words])[:-1])
+            del words
+            for i, (text, own) in enumerate(zip(texts, hashes)):
+                if len(own):
+                    o = Outline(text, own, min_sentences, min_words)
+                    if o.ranges:
+                        at = np.array(o.ranges, dtype=np.int64)
+                        found.append(span_hashes(o.hashes, at))
+                        pos.append(at)
+                        counts[i] = len(at)
+            if found:
+                h, at = np.concatenate(found), np.concatenate(pos).astype(np.int32)
                 ids = batch.column(0).take(pa.array(np.repeat(np.arange(batch.num_rows), counts)))
-                at = np.array(pos, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array(at[:, 0]), pa.array(at[:, 1] - at[:, 0]), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["_id", "_pos", "_n", "_h1", "_h2"]
                 )
@@ -175,26 +233,24 @@ def _cut(text_col: str):
             column = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
             for text, drop in zip(column, batch.column(batch.schema.get_field_index("_drop")).to_pylist()):
                 text = text or ""
+                ends, _, starts = marks(text)
+                n_all.append(len(ends))
                 n_cut.append(0)
                 w_cut.append(0)
                 if not drop:
                     texts.append(text)
-                    n_all.append(len(_split(text)))
                     continue
                 ranges = [(d["_pos"], d["_pos"] + d["_n"]) for d in drop]
-                ends, begin, n = _split(text), [], 0
-                for c, e in zip([0, *ends], ends):
-                    begin.append(n)
-                    n += len(text[c:e].split())
-                pieces, at = _pieces(text, ends, begin, n, ranges)
+                begin = np.searchsorted(starts, np.concatenate([[0], ends[:-1]]))
+                pieces, at = _pieces(text, ends.tolist(), begin.tolist(), starts, ranges)
                 gone: set[int] = set()
-                lost = np.zeros(n + 1, dtype=bool)
+                lost = np.zeros(len(starts) + 1, dtype=np.int64)
                 for a, b in ranges:
                     gone.update(range(at[a], at[b]))
-                    lost[a:b] = True
+                    lost[a:b] = 1
                 texts.append("".join(p for i, p in enumerate(pieces) if i not in gone))
-                n_all.append(len(ends))
-                n_cut[-1] = sum(bool(lost[a:b].any()) for a, b in zip(begin, [*begin[1:], n]))
+                sums = np.concatenate([[0], np.cumsum(lost)])
+                n_cut[-1] = int((sums[np.append(begin[1:], len(starts))] > sums[begin]).sum())
                 w_cut[-1] = int(lost.sum())
             out = with_column(batch.drop_columns(["_drop"]), text_col, pa.array(texts, pa.string()))
             for name, values in zip(RESULTS, (n_all, n_cut, w_cut)):

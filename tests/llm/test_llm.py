@@ -4,10 +4,13 @@ import collections
 import hashlib
 import json
 import random
+import re
 
 import duckdb
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -111,6 +114,34 @@ def runs(text, n=50):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
 
 
+BOUNDARY = re.compile(r"[.!?。！？…]+[\"'”’)\]]*\s+|\n\s*")
+BITS_OF_TEXT = st.sampled_from(["a", "Bc", "İ", "日本", "🙂", ".", "!?", "…", "。", ")", "\"", "”", " ", "  ", "\n", "\t", "\x1c", "\x85", "\u3000", "\xa0", "e.g. x", "\ud83d"])
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(BITS_OF_TEXT, max_size=25).map("".join))
+def test_marks_equal_the_pattern(text):
+    ends = [m.end() for m in BOUNDARY.finditer(text)]
+    if text and (not ends or ends[-1] < len(text)):
+        ends.append(len(text))
+    got, closed, words = span_dedup.marks(text)
+    assert got.tolist() == ends and words.tolist() == [m.start() for m in re.finditer(r"\S+", text)]
+    for a, b, c in zip([0, *ends], ends, closed.tolist()):
+        own = text[a:b].split()
+        assert c == (bool(own) and own[-1].rstrip("\"'”’)]").endswith(tuple(".!?。！？…")))
+
+
+def test_span_hashes_follow_the_words():
+    rng = np.random.default_rng(3)
+    words = rng.integers(0, 50, 400)
+    h = span_dedup.word_hashes([f"w{w}" for w in words])
+    ranges = np.array([(a, b) for a in range(0, 390, 3) for b in (a + 1, a + 2, a + 9)])
+    got: dict = {}
+    for (a, b), x in zip(ranges.tolist(), span_dedup.span_hashes(h, ranges).tolist()):
+        assert got.setdefault(tuple(words[a:b]), tuple(x)) == tuple(x)
+    assert len(set(got.values())) == len(got)
+
+
 def test_hot_spans_and_ids_of_any_kind_give_the_same(spark, monkeypatch):
     rows = [(i, f"{PASSAGE} Own sentence number {i} stands here alone. {PASSAGE if i % 2 else ''}", "s") for i in range(-3, 40)]
     df = docs(spark, rows)
