@@ -3,7 +3,8 @@
 A text is the set of its word shingles, 64-bit hashes. Equal sets are one class. Shingles are
 hashed into groups; the counts of a set's groups are its point. The overlap of two sets is at
 most the sum of the coordinate minima of their points, and an R-tree whose nodes keep coordinate
-maxima and size ranges cuts every branch whose bound cannot reach the needed overlap.
+maxima and size ranges cuts every branch whose bound cannot reach the needed overlap. Points are
+kept sparse: there must be more groups than shingles under a node, or its maxima reach every query.
 
 1. Linked sets must share one of their first shingles in a common order (prefix filter). The
    order puts shingles from crowded hash buckets last, so passages that very many documents share
@@ -20,6 +21,7 @@ link is one bounded task, so no block is gathered whole and no link is lost.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,9 +32,10 @@ from pyspark.sql import functions as F
 from eventide.llm.common import as_bytes, fresh, in_batches, key_runs, partitions, written
 from eventide.llm.components import components
 
-GROUPS = 128
-FINE_GROUPS = 1024  # for sets of so many shingles; folded to GROUPS inside the tree
-LEAF = 16
+GROUPS = 1 << 16
+COARSE = 1 << 10  # groups, in the points that travel, of sets with so many shingles
+LEAF = 64
+NO_GROUP, SEVERAL = -1, -2  # of the members under a node
 BUCKETS = 1 << 20  # hash buckets whose crowding orders the shingles
 CHUNK_SHINGLES = 1_000_000  # shingles of a chunk; a longer set is a chunk of its own
 SALT_ROWS = 1 << 15  # rows of one shingle in one task
@@ -68,15 +71,27 @@ def set_digest(s: np.ndarray) -> tuple[int, int]:
 
 
 def point(s: np.ndarray) -> bytes:
-    """Group counts as bytes: one per count, or two if a count needs it."""
-    groups = FINE_GROUPS if len(s) >= FINE_GROUPS else GROUPS
-    counts = np.bincount((s >> np.uint64(40)).astype(np.int64) % groups, minlength=groups)
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint16).tobytes()
+    """The group of every shingle, sorted; counts of ``COARSE`` groups from so many shingles on."""
+    group = (s >> np.uint64(40)).astype(np.int64)
+    if len(s) < COARSE:
+        return np.sort((group % GROUPS).astype(np.uint16)).tobytes()
+    counts = np.bincount(group % COARSE, minlength=COARSE)
+    return counts.astype(np.min_scalar_type(int(counts.max()))).tobytes()
 
 
-def counts_of(data: bytes, n: int) -> np.ndarray:
-    groups = FINE_GROUPS if n >= FINE_GROUPS else GROUPS
-    return np.frombuffer(data, dtype=np.uint8 if len(data) == groups else np.uint16)
+def grouped(groups: np.ndarray) -> tuple[int, np.ndarray, np.ndarray]:
+    groups = np.sort(groups)
+    at = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+    return GROUPS, groups[at].astype(np.int64), np.diff(at, append=len(groups))
+
+
+def counts_of(data: bytes, n: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Resolution of a point, its groups that are not empty and their counts."""
+    if n < COARSE:
+        return grouped(np.frombuffer(data, dtype=np.uint16))
+    counts = np.frombuffer(data, dtype=f"u{len(data) // COARSE}")
+    ids = np.flatnonzero(counts)
+    return COARSE, ids, counts[ids].astype(np.int64)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -221,82 +236,209 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from done(*held)
 
 
+def reaches(bound: np.ndarray, low: np.ndarray, top: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Sizes in the ratio, and a bound that reaches t / (1 + t) of both sizes together."""
+    return ((100 + percent) * bound >= percent * (size + low)) & (percent * low <= 100 * size) & (100 * top >= percent * size)
+
+
 class RTree:
-    """Points of group counts, packed by size; nodes hold coordinate maxima and size ranges."""
+    """Count vectors of one resolution; nodes hold coordinate maxima and size ranges.
 
-    def __init__(self, points: np.ndarray, sizes: np.ndarray, percent: int):
-        self.percent = percent
-        self.order = np.lexsort((points.argmax(axis=1), sizes))
-        self.points, self.sizes = points[self.order], sizes[self.order]
+    A level has about four groups per shingle under one of its nodes (``GROUPS`` at most), so that
+    maxima of sets with nothing in common leave most of a query's coordinates empty. A node counts
+    the firsts under it and knows the one group, if there is one, of its other members: a search
+    walks only below nodes that can hold what it wants.
+    """
+
+    def __init__(self, members: np.ndarray, points: list[tuple[np.ndarray, np.ndarray]], sizes: np.ndarray, groups: int, percent: int):
+        self.members, self.sizes, self.groups, self.percent = members, sizes, groups, percent
+        self.place = {int(m): at for at, m in enumerate(members.tolist())}
+        lengths = np.array([len(ids) for ids, _ in points], dtype=np.int64)
+        self.ends = np.cumsum(lengths)
+        self.begins = self.ends - lengths
+        self.ids = np.concatenate([ids for ids, _ in points])
+        self.counts = np.concatenate([counts for _, counts in points])
         self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        high, low, top = self.points, self.sizes, self.sizes
-        while len(high) > LEAF or not self.levels:
-            at = np.arange(0, len(high), LEAF)
-            high = np.maximum.reduceat(high, at, axis=0)
-            low, top = np.minimum.reduceat(low, at), np.maximum.reduceat(top, at)
-            self.levels.append((high, low, top))
-
-    def survives(self, high, low, top, point: np.ndarray, size: int) -> np.ndarray:
-        """Sizes in the ratio, and a bound that reaches t / (1 + t) of both sizes together."""
-        bound = np.minimum(high, point).sum(axis=1, dtype=np.int64)
-        t = self.percent
-        return ((100 + t) * bound >= t * (size + low)) & (t * low <= 100 * size) & (100 * top >= t * size)
-
-    def search(self, point: np.ndarray, size: int, wanted: np.ndarray) -> np.ndarray:
-        """Numbers (in the order given) of the ``wanted`` points whose bound reaches the needed overlap."""
-        alive = np.arange(len(self.levels[-1][0]))
+        self.firsts: list[np.ndarray] = []
+        self.labels: list[np.ndarray] = []
+        self.checks = 0
+        self._dense = empty_counts(groups)
+        owner, width = np.repeat(np.arange(len(members)), lengths), LEAF
+        while True:
+            self._level(owner, width)
+            if width >= len(members):
+                break
+            width *= LEAF
+
+    def _level(self, owner: np.ndarray, width: int) -> None:
+        at = np.arange(0, len(self.members), width)
+        wanted = 4 * int(self.sizes.sum()) // len(at)
+        groups = min(self.groups, 1 << max(wanted - 1, 1).bit_length())
+        key, counts = owner * groups + (self.ids & (groups - 1)), self.counts
+        if groups < self.groups:
+            key, where = np.unique(key, return_inverse=True)
+            counts = np.bincount(where, weights=counts).astype(np.int64)
+        high = np.zeros(len(at) * groups, dtype=np.min_scalar_type(int(counts.max())))
+        np.maximum.at(high, key // groups // width * groups + key % groups, counts.astype(high.dtype))
+        self.levels.append((high.reshape(len(at), groups), np.minimum.reduceat(self.sizes, at), np.maximum.reduceat(self.sizes, at)))
+        self.firsts.append(np.zeros(len(at), dtype=np.int64))
+        self.labels.append(np.full(len(at), NO_GROUP, dtype=np.int64))
+
+    def added(self, member: int, group: int, first: bool) -> None:
+        at = self.place.get(member, -1)
+        for firsts, labels in zip(self.firsts, self.labels) if at >= 0 else ():
+            at //= LEAF
+            if first:
+                firsts[at] += 1
+            else:
+                labels[at] = group if labels[at] in (NO_GROUP, group) else SEVERAL
+
+    def merged(self, joined: list[int], least: int) -> None:
+        """Groups become one; their firsts are members like others from now on, but for ``least``."""
+        for labels in self.labels:
+            labels[np.isin(labels, joined)] = least
+        for f in joined:
+            at = self.place.get(f, -1)
+            for firsts in self.firsts if at >= 0 and f != least else ():
+                at //= LEAF
+                firsts[at] -= 1
+            if f != least:
+                self.added(f, least, False)
+
+    def reaches(self, bound: np.ndarray, low: np.ndarray, top: np.ndarray, size: int) -> np.ndarray:
+        self.checks += len(bound)
+        return reaches(bound, low, top, size, self.percent)
+
+    def search(self, ids: np.ndarray, counts: np.ndarray, size: int, joined: list[int] | None, wanted) -> np.ndarray:
+        """Members in ``wanted`` whose bound reaches the needed overlap: firsts, or others not in ``joined``."""
+        at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
+            if joined is None:
+                at = at[self.firsts[depth][at] > 0]
+            else:
+                at = at[~np.isin(self.labels[depth][at], [NO_GROUP, *joined])]
+            if not len(at):
+                return at
             high, low, top = self.levels[depth]
-            alive = alive[self.survives(high[alive], low[alive], top[alive], point, size)]
-            below = len(self.levels[depth - 1][0]) if depth else len(self.points)
-            alive = (alive[:, None] * LEAF + np.arange(LEAF)).ravel()
-            alive = alive[alive < below]
-        alive = alive[wanted[self.order[alive]]]
-        alive = alive[self.survives(self.points[alive], self.sizes[alive], self.sizes[alive], point, size)]
-        return self.order[alive]
+            groups = high.shape[1]
+            own, much = folded(ids, counts, groups) if groups < self.groups else (ids, counts)
+            bound = np.minimum(high[at[:, None], own], much).sum(axis=1, dtype=np.int64)
+            at = at[self.reaches(bound, low[at], top[at], size)]
+            below = len(self.levels[depth - 1][1]) if depth else len(self.members)
+            at = (at[:, None] * LEAF + np.arange(LEAF)).ravel()
+            at = at[at < below]
+        at = at[wanted(self.members[at])]
+        if not len(at):
+            return at
+        lengths = self.ends[at] - self.begins[at]
+        ends = np.cumsum(lengths)
+        rows = np.repeat(self.begins[at] - (ends - lengths), lengths) + np.arange(ends[-1])
+        self._dense[ids] = counts
+        bound = np.add.reduceat(np.minimum(self._dense[self.ids[rows]], self.counts[rows]), ends - lengths)
+        self._dense[ids] = 0
+        return self.members[at[self.reaches(bound, self.sizes[at], self.sizes[at], size)]]
+
+
+@lru_cache(maxsize=2)
+def empty_counts(groups: int) -> np.ndarray:
+    """Counts of a query while it is held against points; zero before and after, so all trees share them."""
+    return np.zeros(groups, dtype=np.int64)
+
+
+def folded(ids: np.ndarray, counts: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """A point by fewer groups."""
+    own, where = np.unique(ids & (groups - 1), return_inverse=True)
+    return own, np.bincount(where, weights=counts).astype(np.int64)
+
+
+def in_leaf(points: list[tuple[int, np.ndarray, np.ndarray]], sizes: np.ndarray, percent: int, confirm) -> list[tuple[int, int]]:
+    """``spanning`` for the points of a tree of one leaf, held against each other directly."""
+    dense = empty_counts(points[0][0])
+    ids, counts = (np.concatenate([p[k] for p in points]) for k in (1, 2))
+    begins = np.cumsum([0, *(len(p[1]) for p in points)])
+    group, out = list(range(len(points))), []
+    for i in range(1, len(points)):
+        before, after = begins[i], begins[i + 1]
+        dense[ids[before:after]] = counts[before:after]
+        bound = np.add.reduceat(np.minimum(dense[ids[:before]], counts[:before]), begins[:i])
+        dense[ids[before:after]] = 0
+        joined: set[int] = set()
+        for j in np.flatnonzero(reaches(bound, sizes[:i], sizes[:i], int(sizes[i]), percent)).tolist():
+            if group[j] not in joined and confirm(i, j):
+                joined.add(group[j])
+                out.append((i, j))
+        if joined:
+            least = min(joined)
+            group = [least if g in joined else g for g in group]
+            group[i] = least
+    return out
 
 
-def spanning(counts: list[np.ndarray], sizes: np.ndarray, percent: int, confirm) -> list[tuple[int, int]]:
+def trees_of(points: list[tuple[int, np.ndarray, np.ndarray]], sizes: np.ndarray, percent: int) -> tuple[np.ndarray, list[RTree]]:
+    """The order in which to add the sets, and a tree for each resolution.
+
+    Sets are packed by size band and by their lowest group, a min-hash: near copies lie together.
+    Fine points that are large enough to link with a coarse one stand in the coarse tree as well.
+    """
+    band = np.floor(np.log(sizes) / np.log(1.25))
+    lowest = np.array([ids[0] if groups == GROUPS else ids[counts.argmax()] for groups, ids, counts in points])
+    order = np.lexsort((sizes, lowest, band))
+    coarse = np.array([groups < GROUPS for groups, _, _ in points])
+    trees = []
+    if not coarse.all():
+        at = order[~coarse[order]]
+        trees.append(RTree(at, [points[i][1:] for i in at], sizes[at], GROUPS, percent))
+    if coarse.any():
+        at = order[(coarse | (100 * sizes >= percent * COARSE))[order]]
+        trees.append(RTree(at, [points[i][1:] if coarse[i] else folded(*points[i][1:], COARSE) for i in at], sizes[at], COARSE, percent))
+    return order, trees
+
+
+def spanning(points: list[tuple[int, np.ndarray, np.ndarray]], sizes: np.ndarray, percent: int, confirm, trees=None) -> list[tuple[int, int]]:
     """Pairs that survive the bound and ``confirm``, as many as connect what such pairs connect.
 
-    Members are added one by one. A new one is first held against the first member of each group
-    found so far; the tree is then asked only for members of the groups it has not joined.
+    Members are added one by one. The trees are asked for the first member of each group found so
+    far that the new one may link with, then for other members of the groups it has not joined.
     """
     n = len(sizes)
-    points = np.stack([c if len(c) == GROUPS else c.reshape(-1, GROUPS).sum(axis=0) for c in counts]).astype(np.int32)
-    tree = RTree(points, sizes, percent)
-    group = np.full(n, -1, dtype=np.int64)  # by its first member
-    firsts: list[int] = []
+    if not trees and n <= LEAF and len({groups for groups, _, _ in points}) == 1:
+        return in_leaf(points, sizes, percent, confirm)
+    order, trees = trees or trees_of(points, sizes, percent)
+    group = np.full(n, NO_GROUP, dtype=np.int64)  # by its first member
+    is_first = np.zeros(n, dtype=bool)
     out = []
-
-    def fine(i: int, j: int) -> bool:
-        a, b = counts[i], counts[j]
-        if len(a) == len(b) == FINE_GROUPS:
-            return (100 + percent) * int(np.minimum(a, b).sum(dtype=np.int64)) >= percent * int(sizes[i] + sizes[j])
-        return True
-
-    for i in range(n):
+    for i in order.tolist():
+        groups, ids, counts = points[i]
+        asked = []
+        for tree in trees:
+            if tree.groups == groups:
+                asked.append((tree, ids, counts))
+            elif tree.groups < groups and 100 * sizes[i] >= percent * COARSE:
+                asked.append((tree, *folded(ids, counts, tree.groups)))
         joined: list[int] = []
-        if firsts:
-            at = np.array(firsts)
-            for f in at[tree.survives(points[at], sizes[at], sizes[at], points[i], int(sizes[i]))].tolist():
-                if fine(i, f) and confirm(i, f):
+        for tree, own, much in asked:
+            for f in tree.search(own, much, int(sizes[i]), None, lambda m: is_first[m]).tolist():
+                if f not in joined and confirm(i, f):
                     joined.append(f)
                     out.append((i, f))
-        if len(joined) < len(firsts):
-            wanted = (group >= 0) & ~np.isin(group, joined)
-            for j in tree.search(points[i], int(sizes[i]), wanted).tolist():
-                if group[j] not in joined and fine(i, j) and confirm(i, j):
+        for tree, own, much in asked:
+
+            def others(m):
+                return (group[m] != NO_GROUP) & ~is_first[m] & ~np.isin(group[m], joined)  # noqa: B023
+
+            for j in tree.search(own, much, int(sizes[i]), joined, others).tolist():
+                if group[j] not in joined and confirm(i, j):
                     joined.append(int(group[j]))
                     out.append((i, j))
-        if not joined:
-            firsts.append(i)
-            group[i] = i
-            continue
-        group[i] = least = min(joined)
+        least = min(joined, default=i)
+        group[i], is_first[i] = least, not joined
         if len(joined) > 1:
             group[np.isin(group, joined)] = least
-            firsts = [f for f in firsts if f == least or f not in joined]
+            is_first[[f for f in joined if f != least]] = False
+            for tree in trees:
+                tree.merged(joined, least)
+        for tree in trees:
+            tree.added(i, least, not joined)
     return out
 
 
@@ -317,9 +459,9 @@ def _search_runs(percent: int):
             if rows.num_rows < 2:
                 continue
             sizes = rows.column("n").to_numpy()
-            counts = [counts_of(p, n) for p, n in zip(rows.column("point").to_pylist(), sizes.tolist())]
+            points = [counts_of(p, n) for p, n in zip(rows.column("point").to_pylist(), sizes.tolist())]
             ids = rows.column("class").to_numpy()
-            for i, j in spanning(counts, sizes, percent, lambda i, j: True):
+            for i, j in spanning(points, sizes, percent, lambda i, j: True):
                 u.append(int(ids[i]))
                 v.append(int(ids[j]))
         yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
@@ -344,8 +486,8 @@ def _join_chunks(percent: int):
                 continue
             sets = [np.frombuffer(b, dtype=np.uint64) for b in group.column("shingles").to_pylist()]
             sizes = np.array([len(x) for x in sets], dtype=np.int64)
-            counts = [counts_of(point(x), len(x)) for x in sets]
-            found = spanning(counts, sizes, percent, lambda i, j: linked(sets[i], sets[j], percent))  # noqa: B023
+            points = [grouped((x >> np.uint64(40)).astype(np.int64) % GROUPS) for x in sets]
+            found = spanning(points, sizes, percent, lambda i, j: linked(sets[i], sets[j], percent))  # noqa: B023
             if found:
                 at = np.array(found)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[at[:, 0]]), pa.array(ids[at[:, 1]])], names=["u", "v"])

@@ -341,6 +341,61 @@ def test_many_near_copies_take_few_verifications():
     assert len(found) == 399 and len(asked) < 800
 
 
+def links_of(sets, percent=80, decode=None):
+    """Found links, the plain components and the number of bound checks."""
+    decode = decode or (lambda s: jaccard_join.counts_of(jaccard_join.point(s), len(s)))
+    sizes, points = np.array([len(s) for s in sets]), [decode(s) for s in sets]
+    order, trees = jaccard_join.trees_of(points, sizes, percent)
+    found = jaccard_join.spanning(points, sizes, percent, lambda i, j: jaccard_join.linked(sets[i], sets[j], percent), (order, trees))
+    return found, sum(t.checks for t in trees)
+
+
+def roots(n, pairs):
+    root = list(range(n))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in pairs:
+        p, q = sorted((find(a), find(b)))
+        root[q] = p
+    return [find(i) for i in range(n)]
+
+
+@pytest.mark.parametrize("size", [60, 600])
+def test_the_tree_cuts_sets_without_links(size):
+    rng = np.random.default_rng(2)
+    n = 4000
+    sets = [np.unique(rng.integers(0, 2**63, size).astype(np.uint64)) for _ in range(n)]
+    found, checks = links_of(sets)
+    assert not found and checks < n * (n - 1) // 2 // 10
+
+
+@pytest.mark.parametrize("percent", [50, 80, 100])
+@pytest.mark.parametrize("seed", range(4))
+def test_the_tree_loses_no_link(percent, seed):
+    """Sizes on both sides of the coarse points, copies of several depths, merged groups."""
+    rng = np.random.default_rng(seed)
+    sets = []
+    for size in [1, 2, 7, 60, 300, 950, 1100, 2500]:
+        base = np.unique(rng.integers(0, 2**63, size).astype(np.uint64))
+        for _ in range(12):
+            keep = base[rng.random(len(base)) >= rng.choice([0, 0.02, 0.08, 0.12, 0.3])]
+            new = rng.integers(0, 2**63, rng.integers(0, 2 + len(base) // 8)).astype(np.uint64)
+            sets.append(np.unique(np.concatenate([keep, new])) if len(keep) + len(new) else base)
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    plain = [(i, j) for i in range(len(sets)) for j in range(i) if jaccard_join.linked(sets[i], sets[j], percent)]
+    whole = lambda s: jaccard_join.grouped((s >> np.uint64(40)).astype(np.int64) % jaccard_join.GROUPS)
+    for decode in (None, whole):
+        found, _ = links_of(sets, percent, decode)
+        assert roots(len(sets), found) == roots(len(sets), plain)
+    few = [whole(s) for s in sets[:60]]
+    found = jaccard_join.spanning(few, np.array([len(s) for s in sets[:60]]), percent, lambda i, j: jaccard_join.linked(sets[i], sets[j], percent))
+    assert roots(60, found) == roots(60, [(i, j) for i, j in plain if i < 60])
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (700, 600), (600, 700)], "u long, v long")
     got = dict(components.components(edges).collect())
