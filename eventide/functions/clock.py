@@ -16,18 +16,27 @@ MINUTE_US = 60_000_000
 EXCHANGE_ZONE = "Asia/Kolkata"
 
 
-def micros(ts: Column) -> Column:
-    """Microseconds since 1970 of the wall-clock value, whatever the session's zone.
+# Minutes from the first day of year 1, where the calendar begins, to 1970.
+MINUTES_TO_1970 = 719_162 * 1_440
+
+
+def since_year_one(ts: Column) -> Column:
+    """Interval from the first wall-clock value, never negative.
 
-    A cast to an instant would go through that zone, where an hour is missing or doubled twice a year.
+    It names its argument once and knows no zone; a cast to an instant would go through the session's zone,
+    where an hour is missing or doubled twice a year.
     """
-    at = ts.cast("timestamp_ntz")
-    clock = F.hour(at) * F.lit(3_600_000_000) + F.minute(at).cast("long") * F.lit(60_000_000)
-    return F.unix_date(at.cast("date")) * F.lit(86_400_000_000) + clock + (F.extract(F.lit("SECOND"), at) * 1_000_000).cast("long")
+    return ts.cast("timestamp_ntz") - F.expr("timestamp_ntz'0001-01-01 00:00:00'")
+
+
+def micros(ts: Column) -> Column:
+    """Microseconds since 1970 of the wall-clock value, whatever the session's zone."""
+    return minute_no(ts) * MINUTE_US + (F.extract(F.lit("SECOND"), since_year_one(ts)) * 1_000_000).cast("long")
 
 
 def minute_no(ts: Column) -> Column:
-    return F.floor(micros(ts) / F.lit(MINUTE_US)).cast("long")
+    """Whole minutes since 1970, downward."""
+    return since_year_one(ts).cast("interval minute").cast("long") - F.lit(MINUTES_TO_1970)
 
 
 def minute_ts(minute: Column) -> Column:
@@ -40,7 +49,7 @@ def floor_minute(ts: Column) -> Column:
 
 def axis(ts: Column) -> Column:
     """Position on the half-minute axis."""
-    inside = F.pmod(micros(ts), F.lit(MINUTE_US)) != 0
+    inside = F.extract(F.lit("SECOND"), since_year_one(ts)) != 0
     return minute_no(ts) * 2 + inside.cast("long")
 
 

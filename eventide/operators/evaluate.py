@@ -24,8 +24,10 @@ def in_clock(ts: Column, start: str = MARKET_OPEN, end: str = MARKET_CLOSE, plus
     return sec.between(clock.clock_seconds(start), clock.clock_seconds(end))
 
 
-def in_window(ts: Column, horizon: int = HORIZON) -> Column:
-    return in_clock(ts) & in_clock(ts, plus_minutes=horizon)
+def in_window(minute: Column, horizon: int = HORIZON) -> Column:
+    """A minute number whose clock time, and the one ``horizon`` minutes later, lie in the session."""
+    first, last = (clock.clock_seconds(c) // 60 for c in (MARKET_OPEN, MARKET_CLOSE))
+    return F.pmod(minute, F.lit(1_440)).between(first, last) & F.pmod(minute + horizon, F.lit(1_440)).between(first, last)
 
 
 def horizon_minutes(text: str | int, default: int = HORIZON) -> int:
@@ -81,8 +83,10 @@ def event_study(
     signals, bars = with_plain_key(signals, key), with_plain_key(bars, key)
     minutes = horizon_minutes(horizon)
     forwards = sorted({*forwards, minutes})
-    at = clock.floor_minute(F.col(ts))
-    rows = signals.withColumns({ts: at, "side": labels.side_of(F.col("sentiment"))})
+    # All that follows is made of the minute number, which names the time once.
+    rows = signals.withColumn("__minute", clock.minute_no(F.col(ts))).withColumns(
+        {ts: clock.minute_ts(F.col("__minute")), "side": labels.side_of(F.col("sentiment"))}
+    )
     mapped = F.lit(True)
     if mapping is not None:
         rows = rows.join(with_plain_key(mapping.select(key), key).distinct().withColumn("__mapped", F.lit(True)), key, "left")
@@ -90,20 +94,21 @@ def event_study(
     reason = (
         F.when(F.coalesce(F.trim(F.col(key).cast("string")), F.lit("")) == "", "NO_SYMBOL")
         .when(F.col("side").isNull(), "INVALID_SENTIMENT")
-        .when(F.col(ts).isNull(), "TIME_PARSE_FAIL")
-        .when(~in_window(F.col(ts), minutes), "OUT_OF_MARKET")
+        .when(F.col("__minute").isNull(), "TIME_PARSE_FAIL")
+        .when(~in_window(F.col("__minute"), minutes), "OUT_OF_MARKET")
         .when(~mapped, "NO_MAPPING")
     )
     rows = rows.withColumn("skip_reason", reason).drop("__mapped")
-    rejected = rows.filter(F.col("skip_reason").isNotNull())
-    passed = rows.filter(F.col("skip_reason").isNull()).withColumn("trade_date", F.to_date(ts))
+    rejected = rows.filter(F.col("skip_reason").isNotNull()).drop("__minute")
+    day = F.date_add(F.lit("1970-01-01").cast("date"), F.floor(F.col("__minute") / 1_440).cast("int"))
+    passed = rows.filter(F.col("skip_reason").isNull()).withColumns({"trade_date": day, "__point": F.col("__minute") * 2})
     if prune:
         bars = asof.on_dates(bars, passed.select("trade_date"), "trade_date")
     if not canonical:
         bars = minute_bars(bars, [key], ts="ts", seq=seq)
 
     seen = (
-        asof.Study(bars, passed, [key], "trade_date", ts)
+        asof.Study(bars, passed.drop("__minute"), [key], "trade_date", ts, point="__point")
         .has_session("has_bars")
         .price_at_signal(fallback, places=None)
         .price_range(max(forwards))
@@ -120,7 +125,7 @@ def event_study(
             "result": F.when(p0.isNotNull() & p1.isNotNull(), labels.verdict(F.col("side"), p0, p1)),
             "price_at_signal": F.round(p0, 2),
         }
-    ).drop("has_bars", "trade_date")
+    ).drop("has_bars", "trade_date", "__point")
     return seen.unionByName(rejected, allowMissingColumns=True)
 
 

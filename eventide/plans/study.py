@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from eventide.functions import clock, fixed, scalars, timeparse
 from eventide.operators import calendar, evaluate, labels
 from eventide.plans import Tables, query
-from eventide.plans.roles import BARS_SQL, FORWARDS, TOLERANCE, bars
+from eventide.plans.roles import BARS_SQL, FORWARDS, TOLERANCE, bars, ticks
 from eventide.session import spread
 
 # --- event study ---------------------------------------------------------------------------
@@ -73,8 +73,11 @@ def studied(t: Tables) -> DataFrame:
     )
 
 
-@query(
-    f"""WITH {STUDY_CTES}
+_SHOWN = (
+    "event_id", "side", "skip_reason", "price_at_signal", "price_at_signal_is_fallback", *[f"price_after_{k}min" for k in FORWARDS],
+    "highest_price", "lowest_price", "percent_change", "result",
+)
+_STUDY_ROWS_SQL = f"""WITH {STUDY_CTES}
     SELECT event_id, side, skip_reason, round(p0, 2) AS price_at_signal,
       CASE WHEN gate IS NULL THEN back IS NULL AND ahead IS NOT NULL END AS price_at_signal_is_fallback,
       price_after_30min, price_after_60min, price_after_120min, price_after_240min, highest_price, lowest_price,
@@ -83,20 +86,20 @@ def studied(t: Tables) -> DataFrame:
       CASE WHEN p0 IS NULL OR p1 IS NULL THEN NULL WHEN side = 'HOLD' THEN 'Neutral'
            WHEN (side = 'BUY' AND p1 > p0) OR (side = 'SELL' AND p1 < p0) THEN 'Correct' ELSE 'Wrong' END AS result
     FROM judged"""
-)
+
+
+@query(_STUDY_ROWS_SQL)
 def event_study(t: Tables) -> DataFrame:
-    return studied(t).select(
-        "event_id",
-        "side",
-        "skip_reason",
-        "price_at_signal",
-        "price_at_signal_is_fallback",
-        *[f"price_after_{k}min" for k in FORWARDS],
-        "highest_price",
-        "lowest_price",
-        "percent_change",
-        "result",
-    )
+    return studied(t).select(*_SHOWN)
+
+
+@query(_STUDY_ROWS_SQL)
+def event_study_raw(t: Tables) -> DataFrame:
+    """The same study on raw rows, many a minute and out of order: folded first, read for the signals' dates only."""
+    one = [F.col("price").alias(c) for c in ("open", "high", "low", "close")]
+    raw = ticks(t).select("event_id", "symbol", "ts", F.to_date("ts").alias("trade_date"), *one, F.col("qty").cast("long").alias("volume"))
+    out = evaluate.event_study(signals(t), raw, listed(t), horizon="1h", forwards=FORWARDS, tolerance=TOLERANCE, fallback=60, seq="event_id")
+    return out.select(*_SHOWN)
 
 
 @query(
