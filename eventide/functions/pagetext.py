@@ -70,7 +70,7 @@ NAMED = {**{name: chr(code) for name, code in html.entities.name2codepoint.items
 
 def unescaped(text: Column) -> Column:
     """Named, decimal and hexadecimal character references, each decoded once; unknown ones stay."""
-    names = F.create_map(*[F.lit(x) for pair in NAMED.items() for x in pair])
+    names = F.str_to_map(F.lit("\n".join(f"{name}\t{char}" for name, char in NAMED.items())), F.lit("\n"), F.lit("\t"))
 
     def decoded(piece: Column) -> Column:
         name = F.regexp_extract(piece, r"^&(#?\w+);", 1)

@@ -94,7 +94,12 @@ def articles(
     ``verify`` also drops listing pages.
     """
     page = F.col(html)
-    rows = with_text(pages.withColumn("source", source), html, min_length).filter(F.col("content").isNotNull())
+    rows = with_text(pages.withColumn("source", source), html, min_length)
+    # A generator of one row keeps the filters below from being pushed into the texts' expressions, which
+    # would strip every page again for each of them.
+    other = [c for c in rows.columns if c not in ("headline", "content")]
+    rows = rows.select(*other, F.stack(F.lit(1), "headline", "content").alias("headline", "content"))
+    rows = rows.filter(F.col("content").isNotNull())
     if verify:
         rows = rows.filter(P.looks_like_article(page, F.col("content")))
     scraped = F.date_format(scraped_at, "yyyy-MM-dd HH:mm:ss")
