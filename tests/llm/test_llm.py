@@ -209,6 +209,73 @@ def test_chain_edges(spark):
     assert chain.judge(blank(spark), labels).count() == 0
 
 
+def dense_logistic(x, y, reg):
+    """The ridge optimum by exact Newton steps; one class only gives its smoothed rate."""
+    n, width = x.shape
+    if y.sum() in (0, n):
+        rate = (y.sum() + 0.5) / (n + 1)
+        return np.append(np.zeros(width), np.log(rate / (1 - rate)))
+    full, ridge, v = np.hstack([x, np.ones((n, 1))]), np.diag(np.append(np.full(width, reg * n), 0.0)), np.zeros(width + 1)
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-full @ v))
+        v = v - np.linalg.solve(full.T @ (full * (p * (1 - p))[:, None]) + ridge + 1e-12 * np.eye(width + 1), full.T @ (p - y) + ridge @ v)
+    return v
+
+
+def plain_chain(texts, marks, fold, folds, s):
+    """Probabilities of every text: words by a 2 x 2 chi-square, then category after category with out-of-fold columns."""
+    held = [{w for w in re.split(r"[\W\d_]+", t.lower()) if w} for t in texts]
+    held = [ws | {w[:5] + "-" for w in ws if len(w) >= 6} for ws in held]
+
+    def chi2(term, y):
+        has = np.array([term in ws for ws in held])
+        cells = [(a, b) for a in (0, 1) for b in (0, 1)]
+        seen = {(a, b): float(((has == a) & (y == b)).sum()) for a, b in cells}
+        hoped = {(a, b): (has == a).sum() * (y == b).sum() / len(y) for a, b in cells}
+        return sum((seen[c] - hoped[c]) ** 2 / hoped[c] for c in cells) if all(hoped.values()) else 0.0
+
+    known = [t for t in sorted(set().union(*held)) if sum(t in ws for ws in held) >= s.min_docs and max(chi2(t, y) for y in marks.T) >= s.min_chi2]
+    x = np.array([[float(t in ws) for t in known] for ws in held])
+    out_of_fold, final = np.zeros((len(texts), 0)), np.zeros((len(texts), 0))
+    said = lambda v, e: 1 / (1 + np.exp(-(np.hstack([x, e]) @ v[:-1] + v[-1])))
+    for y in marks.T:
+        column, inputs = np.zeros(len(texts)), np.hstack([x, out_of_fold])
+        for f in range(folds):
+            column[fold == f] = said(dense_logistic(inputs[fold != f], y[fold != f], s.reg), out_of_fold)[fold == f]
+        p = said(dense_logistic(inputs, y, s.reg), final)
+        out_of_fold, final = np.column_stack([out_of_fold, column]), np.column_stack([final, p])
+    return known, final
+
+
+def test_chain_equals_a_plain_one(spark):
+    """Chosen words, folds, chained columns and scores against dense algebra written apart."""
+    rng = random.Random(11)
+    neutral, vile = [f"neutral{chr(97 + k)}" for k in range(12)], ["scum", "vermin", "worthless", "filthier"]
+    rows, marks = [], []
+    for i in range(300):
+        toxic, junk = rng.random() < 0.3, rng.random() < 0.4
+        words = rng.choices(neutral, k=8) + (rng.choices(vile, k=1) if rng.random() < (0.8 if toxic else 0.1) else []) + (["click"] if rng.random() < (0.7 if junk else 0.2) else [])
+        rows.append((i, " ".join(rng.sample(words, len(words))), "a"))
+        marks.append((i, int(not junk), int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    s = chain.Settings(min_chi2=3.0, reg=1e-2)
+    d = docs(spark, rows)
+    got = {r.doc_id: r for r in chain.judge(d, labels, s=s).collect()}
+    order = {r.doc_id: r.h for r in d.select("doc_id", F.xxhash64(F.lit("chain"), "doc_id").alias("h")).collect()}
+    fold = np.array([(order[i] >> 8) % s.folds for i in range(300)])
+    y = np.array([(t * (1 - q), t * q, t) for _, q, t in marks], dtype=float)
+    known, want = plain_chain([t for _, t, _ in rows], y, fold, s.folds, s)
+    model = chain.train_chain(chain.labelled_documents(d, labels, s), chain.CATEGORIES, "doc_id", "text", s)
+    assert list(model.vocabulary) == known and {"scum", "click"} <= set(known)
+    have = np.array([[got[i].p_toxic_junk, got[i].p_toxic_prose, got[i].p_toxic] for i in range(300)])
+    assert np.abs(have - want).max() < 5e-3, np.abs(have - want).max()
+    clear = np.abs(want[:, 2] - s.threshold) > 5e-3
+    assert all(got[i].rejected == (want[i, 2] >= s.threshold) for i in range(300) if clear[i]) and clear.sum() > 250
+    # Without the earlier columns the result would be another one.
+    alone = plain_chain([t for _, t, _ in rows], y[:, 2:], fold, s.folds, s)[1]
+    assert np.abs(alone[:, 0] - want[:, 2]).max() > 2e-2
+
+
 def test_logistic_finds_the_optimum():
     rng = np.random.default_rng(0)
     x = rng.random((200, 5)) < 0.4
