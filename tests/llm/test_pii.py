@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from eventide.llm import pii
+from eventide.llm import pii, queries
 
 PATTERNS = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -127,3 +127,15 @@ def test_empty_and_clashing(spark):
     assert out["spans"] == "email:0:5" and out["row"] == out["id"] == out["salt"] == "v"
     clean = pii.sanitise(df).collect()[0]
     assert clean["text"] == "[EMAIL]" and clean["terms"] == clean["spans"] == clean["packed"] == "v"
+
+
+def test_query_counts_each_kind(spark, tmp_path):
+    """Several spans of every kind, so that a kind's number and a span's place in the list do not agree."""
+    texts = ["a@b.co c@d.ef g@h.ij 10.0.0.1 10.0.0.2", "+1 (555) 123-4567 then 4111 1111 1111 1111 and x@y.zw", "10.0.0.256 none 4111 1111 1111 1112",
+             "4111-1111-1111-1111, 55500000000004, 1.2.3.4, +44.20.7946.0958, +1 555 010 9999", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in queries.op12_pii(spark, str(tmp_path)).collect()}
+    for i, text in enumerate(texts):
+        base = plain_base(text or "")
+        assert [got[i][f"n_{kind}"] for kind in PATTERNS] == [sum(k == kind for _, k, _ in base) for kind in range(4)]
+        assert got[i]["base_sha256"] == hashlib.sha256(",".join(f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in base).encode()).hexdigest()
