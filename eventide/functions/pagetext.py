@@ -6,7 +6,7 @@ Patterns avoid look-around so that any RE2 engine gives the same answer.
 from __future__ import annotations
 
 import html.entities
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -194,12 +194,19 @@ def strip_lines(text: Column, patterns: Sequence[str]) -> Column:
     return F.array_join(F.filter(trimmed_lines(text), lambda x: ~x.rlike(rx)), "\n")
 
 
-def cleaned_body(text: Column, source: Column) -> Column:
-    """The text without the lines that its own site adds; texts of other sites keep all lines."""
-    out = F.when(source == fixed.AD_SITE, without_ad_lines(text))
-    for site, patterns in fixed.SITE_LINES.items():
-        out = out.when(source == site, strip_lines(text, patterns))
-    return out.otherwise(text)
+def cleaned_body(text: Column, source: Column, lines: Mapping[str, Sequence[str]] | None = None) -> Column:
+    """The text without the lines that its own site adds; texts of other sites keep all lines.
+
+    ``lines``: patterns by site that stand in place of the known sites' own rules.
+    """
+    if lines is None:
+        cleaned = {fixed.AD_SITE: without_ad_lines(text)} | {s: strip_lines(text, p) for s, p in fixed.SITE_LINES.items()}
+    else:
+        cleaned = {s: strip_lines(text, p) for s, p in lines.items()}
+    out = text
+    for site, own in cleaned.items():
+        out = F.when(source == site, own).otherwise(out)
+    return out
 
 
 def is_ad_line(line: Column, phrases: Sequence[str] = fixed.AD_PHRASES) -> Column:

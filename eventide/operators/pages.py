@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -88,10 +90,11 @@ def articles(
     verify: bool = False,
     url: str = "url",
     html: str = "html",
+    lines: Mapping[str, Sequence[str]] | None = None,
 ) -> DataFrame:
     """Pages to article rows; a page without enough text gives no row.
 
-    ``verify`` also drops listing pages.
+    ``verify`` also drops listing pages. ``lines``: as in ``cleaned_body``.
     """
     page = F.col(html)
     rows = with_text(pages.withColumn("source", source), html, min_length)
@@ -106,7 +109,7 @@ def articles(
     return rows.select(
         P.article_id_by_source(F.col(url), F.col("source")).alias("article_id"),
         "headline",
-        P.cleaned_body(F.col("content"), F.col("source")).alias("content"),
+        P.cleaned_body(F.col("content"), F.col("source"), lines).alias("content"),
         F.col(url),
         P.published_text(page, scraped).alias("published_time"),
         scraped.alias("scraped_at"),
