@@ -28,17 +28,25 @@ def _read(text: Column, form: str) -> Column:
     return F.try_to_timestamp(text, F.lit(form)).cast("timestamp_ntz")
 
 
+def _count(text: Column, char: str) -> Column:
+    return F.length(text) - F.length(F.replace(text, F.lit(char), F.lit("")))
+
+
+def _iso_start(text: Column) -> Column:
+    """The form has a blank, so a text without one (a ``T`` in its place) needs no failed parse."""
+    start = F.substring(text, 1, 19)
+    return F.when(start.contains(" "), _read(start, ISO_FORM))
+
+
 def _pipe(text: Column, seconds: bool = True) -> Column:
     """``time | date``; more than one bar is not a time."""
-    parts = F.split(text, r"\|")
-    clock, day = F.trim(F.get(parts, F.lit(0))), F.trim(F.get(parts, F.lit(1)))
+    clock, day = (F.trim(F.substring_index(text, "|", side)) for side in (1, -1))
     joined = F.concat_ws(" ", day, clock)
-    short = _read(joined, PIPE_MINUTES)
-    pieces = F.size(F.split(clock, ":"))
-    read = F.when(pieces == 2, short)
+    colons = _count(clock, ":")
+    read = F.when(colons == 1, _read(joined, PIPE_MINUTES))
     if seconds:
-        read = F.when(pieces == 3, _read(joined, PIPE_SECONDS)).otherwise(read)
-    return F.when(F.size(parts) == 2, read)
+        read = read.when(colons == 2, _read(joined, PIPE_SECONDS))
+    return F.when(_count(text, "|") == 1, read)
 
 
 def _slash(text: Column, gap: str = "") -> Column:
@@ -67,7 +75,7 @@ def published_local(text: Column) -> Column:
     return (
         F.when(has(text, "|"), _pipe(text))
         .when(has(text, "/", "IST"), _slash(text))
-        .when(has(text, "-", ":"), _read(F.substring(text, 1, 19), ISO_FORM))
+        .when(has(text, "-", ":"), _iso_start(text))
         .when(has(text, " at "), _read(text, AT_FORM))
     )
 
@@ -100,7 +108,7 @@ def flexible_local(text: Column) -> Column:
     t = F.trim(text)
     return F.coalesce(
         _iso_any(t),
-        F.when(has(t, "-", ":"), _read(F.substring(t, 1, 19), ISO_FORM)),
+        F.when(has(t, "-", ":"), _iso_start(t)),
         F.when(has(t, "|"), _pipe(t)),
         F.when(has(t, "/", "IST"), _slash(t)),
         F.when(has(t, " at "), _read(t, AT_FORM)),

@@ -9,7 +9,7 @@ from eventide.functions import clock, fixed, scalars, timeparse
 from eventide.operators import calendar, evaluate, labels
 from eventide.plans import Tables, query
 from eventide.plans.roles import BARS_SQL, FORWARDS, TOLERANCE, bars, ticks
-from eventide.session import spread
+from eventide.session import dealt, spread
 
 # --- event study ---------------------------------------------------------------------------
 
@@ -218,7 +218,7 @@ FROM cut"""
 def parse_times(t: Tables) -> DataFrame:
     """Every event time written in every published form and read back by each parser."""
     forms = F.array(*[F.struct(F.lit(n).alias("style"), F.date_format("ts", f).alias("text")) for n, (f, _) in STYLES.items()])
-    rows = spread(t.events.select("event_id", "ts")).select("event_id", F.explode(forms).alias("s")).select(
+    rows = dealt(t.events.select("event_id", "ts"), "event_id", "ts").select("event_id", F.explode(forms).alias("s")).select(
         "event_id", "s.style", F.col("s.text").alias("published_time")
     )
     text = F.col("published_time")

@@ -13,6 +13,8 @@ RUNTIME = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # The JVM never compiles a method of more than 8,000 bytes; Spark then had better not fuse the stage into one.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 
@@ -62,6 +64,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def dealt(df: DataFrame, *keys: str, each: int = 4) -> DataFrame:
+    """Deal narrow rows out, by ``keys`` or in turn, to ``each`` tasks a core: for costly work on few bytes a row.
+
+    How a table is stored does not say how its rows lie: one row group is one task's, whatever the number of splits.
+    """
+    return df.repartition(each * df.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def materialised(df: DataFrame, name: str) -> DataFrame:
     """Write once to the shared scratch folder and read back: for inputs of iterative fits."""
     path = scratch(df.sparkSession, name)

@@ -193,3 +193,29 @@ def test_dates_outside_the_table_are_computed(spark):
     got = {str(r.event_date): r for r in calendar.with_sessions(df, calendar.calendar_table(spark)).collect()}
     assert got["1985-01-06"].reason == "Weekend (Sunday)" and str(got["1985-01-06"].prev_session) == "1985-01-04"
     assert got["1985-01-07"].is_trading and str(got["2100-01-04"].next_session) == "2100-01-05"
+
+
+def test_times_of_one_row_group_are_read_by_many_tasks(spark, tmp_path):
+    """A file of many splits whose rows are one row group: the parsers' work is dealt out all the same."""
+    from eventide.plans import Tables, load_all
+
+    rows = spark.range(0, 4000, 1, 1).selectExpr("id AS event_id", "timestamp_ntz'2024-01-01 10:00:00' + make_dt_interval(0, 0, id, 0) AS ts")
+    rows.write.parquet(f"{tmp_path}/events.parquet")
+    held = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in held:
+            spark.conf.set(k, "1000")
+        out = load_all()["parse_times"].build(Tables(spark, str(tmp_path)))
+        per_task = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(per_task) == 32_000 and max(per_task) < 32_000 / 8
+
+
+def test_marks_of_the_pipe_form_and_blanks_of_the_iso_form(spark):
+    texts = ["10:20:30 AM | 05 Jan 2024", "10:20 AM | 5 Jan 2024", "10:20 AM | 5 Jan 2024 |", "| 10:20 AM | 5 Jan 2024", "|", "10 AM | 5 Jan 2024", "1:2:3:4 AM | 5 Jan 2024",
+             "2024-01-05T10:20:30Z", "2024-01-05 10:20:30+05:30 IST", "2024-01-05T10:20 x:", " 10:20 AM|5 Jan 2024 "]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(timeparse.published_local(F.col("t")).cast("string").alias("x"))
+    first, second = "2024-01-05 10:20:30", "2024-01-05 10:20:00"
+    assert [r.x for r in df.collect()] == [first, second, None, None, None, None, None, None, first, None, second]
