@@ -15,6 +15,8 @@ from eventide.functions import scalars
 
 # Fixed value: sentences kept per document.
 TOP_SENTENCES = 5
+# Bytes of words that go to Python at once (a longer text stands alone): the counts take many times their size.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def sentences(text: Column) -> Column:
@@ -75,6 +77,8 @@ def top_sentences(
     places of the sentences. Every sentence is considered unless ``max_sentences`` is given.
     """
 
+    docs.sparkSession.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
     @F.arrow_udf(T.ArrayType(T.IntegerType()))
     def central(words: pa.Array) -> pa.Array:
         return _central(words, k)

@@ -235,3 +235,19 @@ def test_references_are_decoded_once(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = [r[0] for r in df.orderBy("i").select(pagetext.unescaped(F.col("t"))).collect()]
     assert got == ["a \u2019b\u2014c\U0001F600  d", "&lt; <&>", "&unknown; &#0; &#xD800; &#99999999; & &; &amp", "plain", None, "'\"\u00e9"]
+
+
+def test_words_reach_python_in_small_batches(spark, monkeypatch):
+    """One task of long texts: what its worker holds at once does not grow with the rows of the task."""
+    plain = condense._central
+
+    def bounded(words, k):
+        if words.nbytes > 8 << 20:
+            raise ValueError(f"{len(words)} texts at once, {words.nbytes} bytes")
+        return plain(words, k)
+
+    monkeypatch.setattr(condense, "_central", bounded)
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    text = F.repeat(F.concat(F.repeat(F.concat(F.lit("word "), F.col("id").cast("string"), F.lit(" ")), 20), F.lit(". ")), 100)
+    out = condense.top_sentences(spark.range(0, 800, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text")))
+    assert out.filter(F.length("condensed_text") > 0).count() == 800
