@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import clock, scalars
 from eventide.operators import evaluate, labels
-from eventide.session import materialised
+from eventide.session import dealt, materialised
 
 # Model shape, row gates and split share.
 TREES, DEPTH, ROW_SHARE, SEED = 200, 5, 0.8, 42
@@ -120,6 +120,12 @@ def class_index(label: Column, classes: Sequence[str] = labels.CLASSES) -> Colum
     return (F.nullif(F.array_position(F.array(*[F.lit(c) for c in classes]), label), F.lit(0)) - 1).cast("double")
 
 
+def fit_rows(rows: DataFrame, *targets: str) -> DataFrame:
+    """Targets, weight and features, dealt out to all cores: a fit has as many tasks as its input, and a stored
+    table of narrow rows has few, however much work they are."""
+    return dealt(rows.select(*targets, "weight", "features"), each=1)
+
+
 def train_reaction_model(rows: DataFrame, features: Sequence[str], trees: int = TREES, depth: int = DEPTH) -> PipelineModel:
     """Weighted three-class forest. Spark ML's boosted trees take two classes only."""
     known = rows.filter(F.col("label").isin(*labels.CLASSES))
@@ -128,7 +134,7 @@ def train_reaction_model(rows: DataFrame, features: Sequence[str], trees: int =
         labelCol="y", weightCol="weight", numTrees=trees, maxDepth=depth, subsamplingRate=ROW_SHARE,
         featureSubsetStrategy="0.8", seed=SEED,
     )
-    return Pipeline(stages=[forest]).fit(feature_vector(weighted, features))
+    return Pipeline(stages=[forest]).fit(fit_rows(feature_vector(weighted, features), "y"))
 
 
 def train_boosted_model(rows: DataFrame, features: Sequence[str], rounds: int = TREES, depth: int = DEPTH, rate: float = 0.1) -> PipelineModel:
@@ -146,7 +152,7 @@ def train_boosted_model(rows: DataFrame, features: Sequence[str], rounds: int =
         ).setRawPredictionCol(f"__raw_{c}").setProbabilityCol(f"__p_{c}")
         for c in labels.CLASSES
     ]
-    return Pipeline(stages=stages).fit(feature_vector(weighted, features))
+    return Pipeline(stages=stages).fit(fit_rows(feature_vector(weighted, features), *[f"__is_{c}" for c in labels.CLASSES]))
 
 
 def _signals(out: DataFrame, probs: dict[str, Column]) -> DataFrame:

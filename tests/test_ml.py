@@ -163,3 +163,20 @@ def test_historic_rows(spark):
     # The look-back comes from the column before the event, never from the one after it.
     assert (r.pre_close_15m, r.return_15m, r.label, r.volatility_15m, r.pre_volatility_15m, r.pre_volatility_1m) == (90.0, 0.5, "BUY", 2.0, 0.3, None)
     assert set(features.model_features()) - set(ml.historic_rows(df).columns) == {"sentiment_score", "confidence", "positive_prob", "negative_prob", "neutral_prob"}
+
+
+def test_fits_read_as_many_parts_as_there_are_cores(spark, monkeypatch):
+    """Rows that lie in one part, as a small stored table does, are dealt out before a fit."""
+
+    class Seen:
+        def __init__(self, stages):
+            pass
+
+        def fit(self, rows):
+            return rows.rdd.getNumPartitions()
+
+    monkeypatch.setattr(ml, "Pipeline", Seen)
+    label = F.element_at(F.array(*[F.lit(c) for c in ("BUY", "SELL", "HOLD")]), (F.col("id") % 3 + 1).cast("int"))
+    rows = spark.range(0, 90, 1, 1).select(label.alias("label"), F.col("id").cast("double").alias("f"))
+    cores = spark.sparkContext.defaultParallelism
+    assert ml.train_reaction_model(rows, ["f"]) == ml.train_boosted_model(rows, ["f"]) == cores > 1
