@@ -5,7 +5,8 @@ buckets. For a query, the score to beat divided by its length and the longest le
 is the cosine a vector of the bucket must reach. Above one, the bucket and all shorter ones are
 out (length pruning). At a high cosine the bucket is narrowed by the feasible range of the
 query's largest coordinates (coordinate pruning); at a low one all of its vectors are kept. What
-is left is verified with exact integer products.
+is left is verified with exact integer products. Queries come in blocks, and a bucket meets all
+queries of a block at once that it can still serve.
 """
 
 from __future__ import annotations
@@ -18,12 +19,43 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from eventide.llm.common import in_batches, key_runs, partitions, written
-from eventide.llm.vectors import best, matrix, query_blocks, smallest_ids, usable
+from eventide.llm.vectors import QUERY_BLOCK, best, smallest_ids, usable
 
 SHARD_ROWS = 8192
 BUCKET = 256
 FOCUS = 4  # coordinates of a query that narrow a bucket
 HIGH_COSINE = 0.6
+SLACK = 1e-6  # of a coordinate's range, whose vectors are in single precision
+# Types of a product of integers, each with the sum from which it may not be exact.
+EXACT = ((np.float32, 2.0**24), (np.float64, 2.0**53), (np.int64, np.inf))
+
+
+class Held:
+    """The best ``k`` so far of every query of a block: largest score first, then smallest id."""
+
+    def __init__(self, queries: int, k: int):
+        self.n = np.zeros(queries, np.int64)
+        self.ids, self.scores = np.zeros((queries, k), np.int64), np.zeros((queries, k), np.int64)
+
+    def full(self, at: np.ndarray) -> np.ndarray:
+        return self.n[at] == self.ids.shape[1]
+
+    def rows(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, id, score) of what the queries ``at`` hold."""
+        kept = np.arange(self.ids.shape[1]) < self.n[at][:, None]
+        return np.repeat(at, self.n[at]), self.ids[at][kept], self.scores[at][kept]
+
+    def add(self, q: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
+        """Candidates (query, id, score) that the queries do not hold yet."""
+        at = np.unique(q)
+        q, ids, scores = (np.concatenate(x) for x in zip(self.rows(at), (q, ids, scores)))
+        order = np.lexsort((ids, -scores, q))
+        q, ids, scores = q[order], ids[order], scores[order]
+        first = np.searchsorted(q, at)
+        place = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
+        best = place < self.ids.shape[1]
+        self.ids[q[best], place[best]], self.scores[q[best], place[best]] = ids[best], scores[best]
+        self.n[at] = np.bincount(np.searchsorted(at, q[best]), minlength=len(at))
 
 
 class NormBuckets:
@@ -33,86 +65,147 @@ class NormBuckets:
         lengths = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
         order = np.lexsort((ids, -lengths))
         self.ids, self.vectors, self.lengths = ids[order], vectors[order], lengths[order]
-        self.unit = self.vectors / np.maximum(self.lengths, 1e-300)[:, None]
-        # Products of these are exact in doubles if no sum can pass 2 ** 53.
-        self.top = float(np.abs(vectors).max(initial=0))
-        self.plain = vectors.shape[1] * self.top < 2**53
-
-    def products(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        rows = self.vectors[at]
-        if self.plain and self.vectors.shape[1] * self.top * float(np.abs(q).max(initial=0)) < 2**53:
-            return (rows.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-        return rows @ q
-
-    def survivors(self, a: int, b: int, unit: np.ndarray, focus: np.ndarray, cosine: float) -> np.ndarray:
-        """Vectors of a bucket that can reach the cosine with the query."""
-        at = np.arange(a, b)
-        if cosine < HIGH_COSINE:
-            return at
-        for f in focus.tolist():
-            mid, spread = unit[f] * cosine, np.sqrt(max(0.0, 1 - cosine**2) * max(0.0, 1 - unit[f] ** 2)) + 1e-9
-            x = self.unit[at, f]
+        # A row for each coordinate, for the ranges.
+        self.unit = np.ascontiguousarray((self.vectors / np.maximum(self.lengths, 1e-300)[:, None]).T.astype(np.float32))
+        self.starts = range(0, len(ids), BUCKET)
+        self.tops = [float(np.abs(self.vectors[a : a + BUCKET]).max(initial=0)) for a in self.starts]
+        self.cast = {np.int64: self.vectors}
+
+    def rows(self, a: int, b: int, kind: type) -> np.ndarray:
+        if kind not in self.cast:
+            self.cast[kind] = self.vectors.astype(kind)
+        return self.cast[kind][a:b]
+
+    def survivors(self, a: int, b: int, unit: np.ndarray, focus: np.ndarray, cosine: np.ndarray) -> np.ndarray:
+        """For queries of a high cosine each (a row each): which vectors of a bucket can reach it."""
+        out = np.ones((len(cosine), b - a), bool)
+        for f in focus.T:
+            own = np.take_along_axis(unit, f[:, None], axis=1)[:, 0]
+            mid, spread = own * cosine, np.sqrt(np.maximum(0.0, 1 - cosine**2) * np.maximum(0.0, 1 - own**2)) + SLACK
             # Beyond the cosine itself the cap still holds the query's own coordinate.
-            low = -2.0 if -unit[f] >= cosine else mid - spread
-            high = 2.0 if unit[f] >= cosine else mid + spread
-            at = at[(x >= low) & (x <= high)]
-        return at
-
-    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        length = float(np.sqrt((q.astype(np.float64) ** 2).sum()))
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        unit = q / length if length else q.astype(np.float64)
-        focus = np.argsort(-np.abs(unit))[:FOCUS]
-        for a in range(0, len(self.ids), BUCKET):
+            low = np.where(-own >= cosine, -2.0, mid - spread).astype(np.float32)
+            high = np.where(own >= cosine, 2.0, mid + spread).astype(np.float32)
+            x = self.unit[f, a:b]
+            out &= (x >= low[:, None]) & (x <= high[:, None])
+        return out
+
+    def search_all(self, own: np.ndarray, queries: np.ndarray, held: Held) -> Held:
+        """Adds the shard's best to what the queries of a block hold; a bucket meets all at once that it can still serve."""
+        lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        unit = queries / np.maximum(lengths, 1e-300)[:, None]
+        focus = np.argsort(-np.abs(unit), axis=1)[:, :FOCUS]
+        tops = np.abs(queries).max(axis=1, initial=0).astype(np.float64)
+        cast = {kind: queries.astype(kind) for kind, _ in EXACT}
+        at = np.arange(len(own))
+        for a, top in zip(self.starts, self.tops):
             b = min(a + BUCKET, len(self.ids))
-            at = np.arange(a, b)
-            if len(ids) >= k:
-                need, longest = float(scores[-1]), length * self.lengths[a]
-                if need > 0:
-                    if longest * (1 + 1e-9) < need:
-                        break  # this bucket and all shorter ones
-                    at = self.survivors(a, b, unit, focus, need / longest - 1e-9)
-                elif longest == 0 and need == 0:
-                    pass  # zero products tie with the score to beat: smaller ids may win
-            at = at[self.ids[at] != own]
+            need, longest = held.scores[at, -1].astype(np.float64), lengths[at] * self.lengths[a]
+            told = held.full(at) & (need > 0)  # else zero and negative products may count, which no bound leaves out
+            stay = ~told | (longest * (1 + 1e-9) >= need)  # others are done with this bucket and all shorter ones
+            at, need, longest, told = at[stay], need[stay], longest[stay], told[stay]
             if not len(at):
-                continue
-            ids, scores = np.concatenate([ids, self.ids[at]]), np.concatenate([scores, self.products(at, q)])
-            keep = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[keep], scores[keep]
+                break
+            cosine = np.where(told, need / np.where(told, longest, 1.0) - 1e-9, -1.0)
+            largest = queries.shape[1] * top * tops[at]
+            below = 0.0
+            for kind, limit in EXACT:
+                now = (largest >= below) & (largest < limit)
+                below = limit
+                if now.any():
+                    self._meet(held, own, at[now], cosine[now], a, b, cast[kind], unit, focus, kind)
+        return held
+
+    def _meet(self, held, own, at, cosine, a, b, queries, unit, focus, kind) -> None:
+        """A bucket and the queries ``at``, whose products the type ``kind`` holds exactly."""
+        high = np.flatnonzero(cosine >= HIGH_COSINE)
+        narrow = self.survivors(a, b, unit[at[high]], focus[at[high]], cosine[high])
+        some = narrow.any(axis=1)
+        keep = np.ones(len(at), bool)
+        keep[high] = some
+        at, rank, narrow = at[keep], np.cumsum(keep)[high[some]] - 1, narrow[some]
+        if not len(at):
+            return
+        scores = queries[at] @ self.rows(a, b, kind).T
+        need = held.scores[at, -1].astype(kind)
+        new = np.flatnonzero(~held.full(at))
+        if len(new):  # what the bucket's own best ones need
+            least = -np.inf if kind is not np.int64 else np.iinfo(np.int64).min
+            mine = np.where(self.ids[a:b] == own[at[new]][:, None], least, scores[new])
+            k = min(held.ids.shape[1], b - a)
+            need[new] = np.partition(mine, b - a - k, axis=1)[:, b - a - k]
+        found = scores >= need[:, None]
+        found[rank] &= narrow
+        q, v = np.nonzero(found)
+        ids, scores, q = self.ids[a + v], scores[q, v].astype(np.int64), at[q]
+        last = held.scores[q, -1]
+        # A tie with the last one held counts if its id is smaller.
+        fit = (ids != own[q]) & (~held.full(q) | (scores > last) | (ids < held.ids[q, -1]))
+        if fit.any():
+            held.add(q[fit], ids[fit], scores[fit])
+
+    def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        _, ids, scores = self.search_all(np.array([own]), q[None, :], Held(1, k)).rows(np.arange(1))
         return ids, scores
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's candidates as one row: ids, width and the matrix of integers."""
-    for rows in key_runs(batches, ["shard"]):
-        lists = rows.column("v").to_pylist()
-        width = max(map(len, lists))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([rows.column("shard")[0].as_py()], pa.int32()),
-                pa.array([rows.column("id").to_numpy().tobytes()], pa.binary()),
-                pa.array([width], pa.int32()),
-                pa.array([matrix(lists, width, np.int64).tobytes()], pa.binary()),
-            ],
-            names=["shard", "own", "width", "data"],
-        )
+def _matrix(lists: pa.ListArray) -> np.ndarray:
+    """Vectors as rows, as wide as the longest; shorter ones end in zeros."""
+    sizes = lists.value_lengths().to_numpy()
+    out = np.zeros((len(lists), sizes.max()), np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
+    return out
+
+
+def _pack(key: str):
+    """The rows of a key (shard or block) as one row: ids, width and the matrix of integers."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in key_runs(batches, [key]):
+            data = _matrix(rows.column("v").combine_chunks())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([rows.column(key)[0].as_py()], pa.int32()),
+                    pa.array([rows.column("id").to_numpy().tobytes()], pa.binary()),
+                    pa.array([data.shape[1]], pa.int32()),
+                    pa.array([data.tobytes()], pa.binary()),
+                ],
+                names=[key, f"{key}_ids", f"{key}_width", f"{key}_data"],
+            )
+
+    return run
+
+
+def _packed(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """A row for each of the ``n`` values of the key, written."""
+    dealt = rows.withColumn(key, F.pmod(F.xxhash64(F.lit(key), "id", "v"), F.lit(n)).cast("int"))
+    runs = dealt.repartitionById(n, key).sortWithinPartitions(key, "id")
+    return written(in_batches(runs, _pack(key), f"{key} int, {key}_ids binary, {key}_width int, {key}_data binary"), f"topk-{key}s")
+
+
+def _unpacked(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(row[f"{name}_data"], dtype=np.int64).reshape(-1, row[f"{name}_width"])
+    return np.frombuffer(row[f"{name}_ids"], dtype=np.int64), data
 
 
 def _search(k: int):
+    """Pairs of a shard and a block, those of a shard one after the other: what a block's queries hold goes from shard to shard."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, index = None, None
+        blocks: dict[int, tuple[np.ndarray, Held]] = {}
         for batch in batches:
             for row in batch.to_pylist():
-                data = np.frombuffer(row["data"], dtype=np.int64).reshape(-1, row["width"])
-                index = NormBuckets(np.frombuffer(row["own"], dtype=np.int64), data)
-                queries = matrix(row["vectors"], row["width"], np.int64)
-                q, v, s = [], [], []
-                for own, query in zip(row["ids"], queries):
-                    ids, scores = index.search(own, query, k)
-                    q.append(np.full(len(ids), own, dtype=np.int64))
-                    v.append(ids)
-                    s.append(scores)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (q, v, s)], names=["query_id", "vec_id", "score"])
+                if row["shard"] != shard:
+                    shard, index = row["shard"], NormBuckets(*_unpacked(row, "shard"))
+                own, queries = _unpacked(row, "block")
+                width = index.vectors.shape[1]  # what lies beyond it adds nothing to a product
+                fitted = np.zeros((len(own), width), np.int64)
+                fitted[:, : queries.shape[1]] = queries[:, :width]
+                _, held = blocks.setdefault(row["block"], (own, Held(len(own), k)))
+                index.search_all(own, fitted, held)
+        for own, held in blocks.values():
+            q, ids, scores = held.rows(np.arange(len(own)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[q], ids, scores)], names=["query_id", "vec_id", "score"])
 
     return run
 
@@ -139,12 +232,11 @@ def exact_top_k(vectors: DataFrame, every: int = 50, k: int = 5, scale: int = 25
     rows = rows.drop("raw")
     queries = rows.where(F.col("id") % every == 0).dropDuplicates(["id", "v"])
     kept = written(smallest_ids(rows.dropDuplicates(["id", "v"]), k + 1), "topk-rows")
-    shards = max(1, -(-kept.count() // SHARD_ROWS))
-    dealt = kept.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
-    n = max(partitions(vectors), shards)
-    packed = in_batches(dealt.repartition(n, "shard").sortWithinPartitions("shard", "id"), _pack, "shard int, own binary, width int, data binary")
-    packed = written(packed, "topk-shards")
-    # A row per shard and query block: dealt out evenly, each task holds one pair at a time.
-    tasks = query_blocks(queries, shards).join(packed, "shard")
-    found = in_batches(tasks.repartition(max(1, min(n, shards * 4)), "shard", "block"), _search(k), "query_id long, vec_id long, score long")
+    shards, blocks = max(1, -(-kept.count() // SHARD_ROWS)), max(1, -(-queries.count() // QUERY_BLOCK))
+    packed, asked = _packed(kept, "shard", shards), _packed(queries, "block", blocks)
+    # A task has a block and a part of the shards, and reads both where they lie: neither side is copied for the other,
+    # by a shuffle or over the driver. With more blocks the parts are fewer, so what is found grows as the queries.
+    parts = min(shards, -(-partitions(vectors) // blocks))
+    pairs = packed.coalesce(parts).hint("shuffle_replicate_nl").crossJoin(asked.repartitionById(blocks, "block"))
+    found = in_batches(pairs, _search(k), "query_id long, vec_id long, score long")
     return best(found, k)
