@@ -165,6 +165,8 @@ def published_text(html: Column, scraped_at: Column | None = None) -> Column:
 
 # --- lines ---------------------------------------------------------------------------------
 
+NAMES = r"(?:\s+[A-Z][a-z]+)*"  # of a by-line in ``fixed.AD_LINES``
+
 
 def trimmed_lines(text: Column) -> Column:
     lines = F.transform(F.split(text, "\n"), lambda x: F.trim(x, F.lit(" \t\r\f")))
@@ -209,6 +211,15 @@ def cleaned_body(text: Column, source: Column, lines: Mapping[str, Sequence[str]
     return out
 
 
+def looped(rx: str) -> str:
+    """The pattern with a possessive run of names, which Java walks in a loop and RE2 does not know.
+
+    Java walks the plain run by recursion, some calls for every name; a by-line of two thousand words overflows the stack,
+    which ends the executor. The run finds the same: blanks and letters exclude each other, so giving names back never helps.
+    """
+    return rx.replace(NAMES, f"{NAMES}+")
+
+
 def is_ad_line(line: Column, phrases: Sequence[str] = fixed.AD_PHRASES) -> Column:
     """Advert or navigation: a phrase, a pattern, a listing title, or a long line with few spaces."""
     phrase = F.lit(False)
@@ -217,7 +228,7 @@ def is_ad_line(line: Column, phrases: Sequence[str] = fixed.AD_PHRASES) -> Colum
     spaces = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit("")))
     return (
         phrase
-        | line.rlike(alternation((*fixed.AD_LINES, fixed.AD_LISTING_LINE)))
+        | line.rlike(looped(alternation((*fixed.AD_LINES, fixed.AD_LISTING_LINE))))
         | ((F.length(line) > fixed.AD_LONG_LINE) & (spaces < fixed.AD_FEW_SPACES))
     )
 

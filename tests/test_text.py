@@ -161,6 +161,23 @@ def test_lines(spark):
     assert (row.a, row.b, row.c) == ("Keep me\nlast", "Body text\nEnd", "a b")
 
 
+def test_by_lines_of_any_length(spark):
+    """One thread's stack must not bound a line; the JVM of the test would end with the stack, so the plain pattern tells first."""
+    rx = pagetext.alternation((*fixed.AD_LINES, fixed.AD_LISTING_LINE))
+    assert pagetext.looped(rx) != rx
+    names = "By " + "John SMITH\t" * 100_000
+    cases = [
+        (names, True), (names + "x1", False), (names + ", editor", False), ("  by Ann", True), ("by A", False), ("by Ann B", False),
+        ("by Ann\x0bBob", True), ("by Ann  Bob\u2028", True), ("by Ann Bob\u0085", True), ("Day by Ann", False), ("by Ann Bob - x", False), ("by  ", False), ("byAnn", False),
+    ]
+    df = spark.createDataFrame([(i, text) for i, (text, _) in enumerate(cases)], "n int, text string")
+    got = {r.n: r.left == "" for r in df.select("n", pagetext.without_ad_lines(F.col("text")).alias("left")).collect()}
+    assert got == {i: dropped for i, (_, dropped) in enumerate(cases)}
+    # What the plain pattern says of the short ones.
+    short = df.where(F.length("text") < 100).select("n", (pagetext.trimmed_lines(F.col("text"))[0].rlike(rx)).alias("plain")).collect()
+    assert {r.n: r.plain for r in short} == {i: dropped for i, (text, dropped) in enumerate(cases) if len(text) < 100}
+
+
 def test_top_sentences(spark):
     long = "Alpha beta. Alpha gamma! Zeta? Alpha beta gamma. Beta gamma. Omega omega. Alpha beta gamma alpha."
     df = spark.createDataFrame([(1, long), (2, "One. Two."), (3, "")], "doc_id int, text string")
