@@ -58,6 +58,32 @@ class Held:
         self.n[at] = np.bincount(np.searchsorted(at, q[best]), minlength=len(at))
 
 
+class Block:
+    """Queries with what every shard asks of them."""
+
+    def __init__(self, own: np.ndarray, queries: np.ndarray):
+        self.own, self.queries = own, queries
+        self.lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        self.tops = np.abs(queries).max(axis=1, initial=0).astype(np.float64)
+        unit = queries / np.maximum(self.lengths, 1e-300)[:, None]
+        self.focus = np.argsort(-np.abs(unit), axis=1)[:, :FOCUS]
+        self.peaks = np.take_along_axis(unit, self.focus, axis=1)
+        self._cast: dict[type, np.ndarray] = {}
+
+    def cast(self, kind: type) -> np.ndarray:
+        if kind not in self._cast:
+            self._cast[kind] = self.queries.astype(kind)
+        return self._cast[kind]
+
+    def fitted(self, width: int) -> Block:
+        """As wide as the vectors of a shard: what lies beyond adds nothing to a product."""
+        if self.queries.shape[1] == width:
+            return self
+        out = np.zeros((len(self.own), width), np.int64)
+        out[:, : self.queries.shape[1]] = self.queries[:, :width]
+        return Block(self.own, out)
+
+
 class NormBuckets:
     """The candidates of one shard, longest first, in buckets."""
 
@@ -65,10 +91,11 @@ class NormBuckets:
         lengths = np.sqrt((vectors.astype(np.float64) ** 2).sum(axis=1))
         order = np.lexsort((ids, -lengths))
         self.ids, self.vectors, self.lengths = ids[order], vectors[order], lengths[order]
-        # A row for each coordinate, for the ranges.
+        # A row for each coordinate, and its least and greatest values in each bucket, for the ranges.
         self.unit = np.ascontiguousarray((self.vectors / np.maximum(self.lengths, 1e-300)[:, None]).T.astype(np.float32))
-        self.starts = range(0, len(ids), BUCKET)
-        self.tops = [float(np.abs(self.vectors[a : a + BUCKET]).max(initial=0)) for a in self.starts]
+        self.starts = np.arange(0, len(ids), BUCKET)
+        self.least, self.most = (f.reduceat(self.unit, self.starts, axis=1) for f in (np.minimum, np.maximum))
+        self.tops = np.maximum.reduceat(np.abs(self.vectors).max(axis=1), self.starts).astype(np.float64)
         self.cast = {np.int64: self.vectors}
 
     def rows(self, a: int, b: int, kind: type) -> np.ndarray:
@@ -76,83 +103,86 @@ class NormBuckets:
             self.cast[kind] = self.vectors.astype(kind)
         return self.cast[kind][a:b]
 
-    def survivors(self, a: int, b: int, unit: np.ndarray, focus: np.ndarray, cosine: np.ndarray) -> np.ndarray:
-        """For queries of a high cosine each (a row each): which vectors of a bucket can reach it."""
-        out = np.ones((len(cosine), b - a), bool)
-        for f in focus.T:
-            own = np.take_along_axis(unit, f[:, None], axis=1)[:, 0]
-            mid, spread = own * cosine, np.sqrt(np.maximum(0.0, 1 - cosine**2) * np.maximum(0.0, 1 - own**2)) + SLACK
-            # Beyond the cosine itself the cap still holds the query's own coordinate.
-            low = np.where(-own >= cosine, -2.0, mid - spread).astype(np.float32)
-            high = np.where(own >= cosine, 2.0, mid + spread).astype(np.float32)
-            x = self.unit[f, a:b]
-            out &= (x >= low[:, None]) & (x <= high[:, None])
-        return out
-
-    def search_all(self, own: np.ndarray, queries: np.ndarray, held: Held) -> Held:
+    def survivors(self, bucket: int, peaks: np.ndarray, focus: np.ndarray, cosine: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of queries of a high cosine each (a row each) those for which the bucket is narrowed, and to which of its vectors."""
+        mid = peaks * cosine[:, None]
+        spread = np.sqrt(np.maximum(0.0, 1 - cosine[:, None] ** 2) * np.maximum(0.0, 1 - peaks**2)) + SLACK
+        # Beyond the cosine itself the cap still holds the query's own coordinate.
+        low = np.where(-peaks >= cosine[:, None], -2.0, mid - spread).astype(np.float32)
+        high = np.where(peaks >= cosine[:, None], 2.0, mid + spread).astype(np.float32)
+        cuts = (low > self.least[focus, bucket]) | (high < self.most[focus, bucket])  # other ranges hold the whole bucket
+        narrowed = np.flatnonzero(cuts.any(axis=1))
+        a = self.starts[bucket]
+        out = np.ones((len(narrowed), len(self.ids[a : a + BUCKET])), bool)
+        for i in range(focus.shape[1]):
+            row = np.flatnonzero(cuts[narrowed, i])
+            q = narrowed[row]
+            x = self.unit[focus[q, i], a : a + BUCKET]
+            out[row] &= (x >= low[q, i][:, None]) & (x <= high[q, i][:, None])
+        return narrowed, out
+
+    def search_all(self, block: Block, held: Held) -> Held:
         """Adds the shard's best to what the queries of a block hold; a bucket meets all at once that it can still serve."""
-        lengths = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
-        unit = queries / np.maximum(lengths, 1e-300)[:, None]
-        focus = np.argsort(-np.abs(unit), axis=1)[:, :FOCUS]
-        tops = np.abs(queries).max(axis=1, initial=0).astype(np.float64)
-        cast = {kind: queries.astype(kind) for kind, _ in EXACT}
-        at = np.arange(len(own))
-        for a, top in zip(self.starts, self.tops):
-            b = min(a + BUCKET, len(self.ids))
-            need, longest = held.scores[at, -1].astype(np.float64), lengths[at] * self.lengths[a]
+        at = np.arange(len(block.own))
+        for bucket, (top, length) in enumerate(zip(self.tops, self.lengths[self.starts])):
+            need, longest = held.scores[at, -1].astype(np.float64), block.lengths[at] * length
             told = held.full(at) & (need > 0)  # else zero and negative products may count, which no bound leaves out
             stay = ~told | (longest * (1 + 1e-9) >= need)  # others are done with this bucket and all shorter ones
             at, need, longest, told = at[stay], need[stay], longest[stay], told[stay]
             if not len(at):
                 break
             cosine = np.where(told, need / np.where(told, longest, 1.0) - 1e-9, -1.0)
-            largest = queries.shape[1] * top * tops[at]
+            largest = self.vectors.shape[1] * top * block.tops[at]
             below = 0.0
             for kind, limit in EXACT:
                 now = (largest >= below) & (largest < limit)
                 below = limit
                 if now.any():
-                    self._meet(held, own, at[now], cosine[now], a, b, cast[kind], unit, focus, kind)
+                    self._meet(held, block, at[now], cosine[now], bucket, kind)
         return held
 
-    def _meet(self, held, own, at, cosine, a, b, queries, unit, focus, kind) -> None:
+    def _meet(self, held: Held, block: Block, at: np.ndarray, cosine: np.ndarray, bucket: int, kind: type) -> None:
         """A bucket and the queries ``at``, whose products the type ``kind`` holds exactly."""
+        a = self.starts[bucket]
+        b = min(a + BUCKET, len(self.ids))
         high = np.flatnonzero(cosine >= HIGH_COSINE)
-        narrow = self.survivors(a, b, unit[at[high]], focus[at[high]], cosine[high])
+        narrowed, narrow = self.survivors(bucket, block.peaks[at[high]], block.focus[at[high]], cosine[high])
         some = narrow.any(axis=1)
         keep = np.ones(len(at), bool)
-        keep[high] = some
-        at, rank, narrow = at[keep], np.cumsum(keep)[high[some]] - 1, narrow[some]
+        keep[high[narrowed]] = some
+        at, row, narrow = at[keep], np.cumsum(keep)[high[narrowed[some]]] - 1, narrow[some]
         if not len(at):
             return
-        scores = queries[at] @ self.rows(a, b, kind).T
+        scores = block.cast(kind)[at] @ self.rows(a, b, kind).T
         need = held.scores[at, -1].astype(kind)
         new = np.flatnonzero(~held.full(at))
         if len(new):  # what the bucket's own best ones need
             least = -np.inf if kind is not np.int64 else np.iinfo(np.int64).min
-            mine = np.where(self.ids[a:b] == own[at[new]][:, None], least, scores[new])
+            mine = np.where(self.ids[a:b] == block.own[at[new]][:, None], least, scores[new])
             k = min(held.ids.shape[1], b - a)
             need[new] = np.partition(mine, b - a - k, axis=1)[:, b - a - k]
         found = scores >= need[:, None]
-        found[rank] &= narrow
-        q, v = np.nonzero(found)
-        ids, scores, q = self.ids[a + v], scores[q, v].astype(np.int64), at[q]
-        last = held.scores[q, -1]
+        found[row] &= narrow
+        place = np.flatnonzero(found)
+        q, v = np.divmod(place, b - a)
+        ids, scores, q = self.ids[a + v], scores.reshape(-1)[place].astype(np.int64), at[q]
         # A tie with the last one held counts if its id is smaller.
-        fit = (ids != own[q]) & (~held.full(q) | (scores > last) | (ids < held.ids[q, -1]))
+        fit = (ids != block.own[q]) & (~held.full(q) | (scores > held.scores[q, -1]) | (ids < held.ids[q, -1]))
         if fit.any():
             held.add(q[fit], ids[fit], scores[fit])
 
     def search(self, own: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        _, ids, scores = self.search_all(np.array([own]), q[None, :], Held(1, k)).rows(np.arange(1))
+        _, ids, scores = self.search_all(Block(np.array([own]), q[None, :]), Held(1, k)).rows(np.arange(1))
         return ids, scores
 
 
 def _matrix(lists: pa.ListArray) -> np.ndarray:
-    """Vectors as rows, as wide as the longest; shorter ones end in zeros."""
-    sizes = lists.value_lengths().to_numpy()
-    out = np.zeros((len(lists), sizes.max()), np.int64)
-    out[np.arange(out.shape[1]) < sizes[:, None]] = lists.flatten().to_numpy()
+    """Vectors as rows, as wide as the longest, in the smallest type that holds them; shorter ones end in zeros."""
+    sizes, values = lists.value_lengths().to_numpy(), lists.flatten().to_numpy()
+    ends = values.min(), values.max()
+    kind = next(t for t in (np.int8, np.int16, np.int32, np.int64) if np.iinfo(t).min <= ends[0] and ends[1] <= np.iinfo(t).max)
+    out = np.zeros((len(lists), sizes.max()), kind)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = values
     return out
 
 
@@ -183,8 +213,9 @@ def _packed(rows: DataFrame, key: str, n: int) -> DataFrame:
 
 
 def _unpacked(row: dict, name: str) -> tuple[np.ndarray, np.ndarray]:
-    data = np.frombuffer(row[f"{name}_data"], dtype=np.int64).reshape(-1, row[f"{name}_width"])
-    return np.frombuffer(row[f"{name}_ids"], dtype=np.int64), data
+    ids, data = np.frombuffer(row[f"{name}_ids"], dtype=np.int64), row[f"{name}_data"]
+    kind = f"i{len(data) // (len(ids) * row[f'{name}_width'])}"
+    return ids, np.frombuffer(data, dtype=kind).reshape(len(ids), -1).astype(np.int64)
 
 
 def _search(k: int):
@@ -192,20 +223,19 @@ def _search(k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, index = None, None
-        blocks: dict[int, tuple[np.ndarray, Held]] = {}
+        blocks: dict[int, tuple[Block, Held]] = {}
         for batch in batches:
             for row in batch.to_pylist():
                 if row["shard"] != shard:
                     shard, index = row["shard"], NormBuckets(*_unpacked(row, "shard"))
-                own, queries = _unpacked(row, "block")
-                width = index.vectors.shape[1]  # what lies beyond it adds nothing to a product
-                fitted = np.zeros((len(own), width), np.int64)
-                fitted[:, : queries.shape[1]] = queries[:, :width]
-                _, held = blocks.setdefault(row["block"], (own, Held(len(own), k)))
-                index.search_all(own, fitted, held)
-        for own, held in blocks.values():
-            q, ids, scores = held.rows(np.arange(len(own)))
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (own[q], ids, scores)], names=["query_id", "vec_id", "score"])
+                if row["block"] not in blocks:
+                    own, queries = _unpacked(row, "block")
+                    blocks[row["block"]] = Block(own, queries), Held(len(own), k)
+                block, held = blocks[row["block"]]
+                index.search_all(block.fitted(index.vectors.shape[1]), held)
+        for block, held in blocks.values():
+            q, ids, scores = held.rows(np.arange(len(block.own)))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (block.own[q], ids, scores)], names=["query_id", "vec_id", "score"])
 
     return run
 

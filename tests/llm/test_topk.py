@@ -57,9 +57,16 @@ def test_a_block_gets_what_single_queries_get(kind):
     ids = rng.permutation(len(x))
     held = topk.Held(len(ids[::3]), 5)
     for part in (ids % 2 == 0, ids % 2 == 1):
-        topk.NormBuckets(ids[part], x[part]).search_all(ids[::3], x[::3], held)
+        topk.NormBuckets(ids[part], x[part]).search_all(topk.Block(ids[::3], x[::3]), held)
     q, found, scores = held.rows(np.arange(len(ids[::3])))
     got = defaultdict(list)
     for own, i, s in zip(ids[::3][q].tolist(), found.tolist(), scores.tolist()):
         got[own].append((i, s))
     assert dict(got) == expected(ids.tolist(), x.tolist(), list(zip(ids[::3].tolist(), x[::3].tolist())))
+
+
+@pytest.mark.parametrize("values", [(1, 2, 127), (1, 128, -5), (-129, 3, 0), (40_000, 1, 2), (-40_000, 2, 70_000), (3_000_000_000, 1, -1), (2, 3, -3_000_000_000)])
+def test_integers_of_any_size_are_kept(spark, values):
+    df = spark.createDataFrame([(50, [1.0])] + [(51 + i, [float(x)]) for i, x in enumerate(values)], "vec_id long, embedding array<double>")
+    got = [(r.vec_id, r.score) for r in topk.exact_top_k(df, scale=1).orderBy("rank").collect()]
+    assert got == sorted([(51 + i, x) for i, x in enumerate(values)], key=lambda r: (-r[1], r[0]))
